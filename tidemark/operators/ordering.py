@@ -264,7 +264,7 @@ class Ordered:
 
         Each keyword is `name=(kind, value)`: `sum`, `max`, `last` (latest
         non-null value) run forwards, `next` (earliest non-null value at or
-        after the row) runs backwards. Values may use window columns added
+        after the row) runs backwards, `total` sums over the whole group. Values may use window columns added
         before. All of them share one per-chunk summary.
         """
         here = {}
@@ -275,6 +275,8 @@ class Ordered:
                 here[name] = F.sum(F.coalesce(mine, F.lit(0))).over(forwards)
             elif kind == "max":
                 here[name] = F.max(mine).over(forwards)
+            elif kind == "total":
+                here[name] = F.sum(F.coalesce(mine, F.lit(0))).over(self._partition())
             elif kind == "last":
                 here[name] = F.last(mine, ignorenulls=True).over(forwards)
             else:
@@ -285,6 +287,7 @@ class Ordered:
         rank = F.struct(*[F.col(f"`{c}`") for c in self.order])
         partial = {
             "sum": lambda v: F.sum(v),
+            "total": lambda v: F.sum(v),
             "max": lambda v: F.max(v),
             "last": lambda v: F.max_by(v, F.when(v.isNotNull(), rank)),
             "next": lambda v: F.min_by(v, F.when(v.isNotNull(), rank)),
@@ -300,6 +303,8 @@ class Ordered:
             part = F.col(f"__p_{name}")
             merged[name] = {
                 "sum": lambda p: F.sum(p).over(earlier),
+                "total": lambda p: (F.coalesce(F.sum(p).over(earlier), F.lit(0))
+                                    + F.coalesce(F.sum(p).over(later), F.lit(0))),
                 "max": lambda p: F.max(p).over(earlier),
                 "last": lambda p: F.last(p, ignorenulls=True).over(earlier),
                 "next": lambda p: F.last(p, ignorenulls=True).over(later),
@@ -316,7 +321,7 @@ class Ordered:
         final = {}
         for name, (kind, _) in values.items():
             mine, brought = F.col(name), F.col(f"__in_{name}")
-            final[name] = (mine + F.coalesce(brought, F.lit(0)) if kind == "sum"
+            final[name] = (mine + F.coalesce(brought, F.lit(0)) if kind in ("sum", "total")
                            else F.greatest(mine, brought) if kind == "max" else F.coalesce(mine, brought))
         spare = ["__c", *[f"__b{i}" for i in range(len(groups))], *[f"__in_{name}" for name in values]]
         return self._with(joined.withColumns(final).drop(*spare), list(values))

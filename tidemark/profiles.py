@@ -6,16 +6,31 @@ from dataclasses import dataclass, field
 
 # Label ids and their meanings in the two label domains.
 QC_FLAG_MEANINGS = {
-    0: "no quality control",
+    0: "no QC",
     1: "good",
     2: "probably good",
     3: "probably bad",
     4: "bad",
     6: "bad down-sampling",
-    7: "averaged value",
-    8: "interpolated value",
-    9: "missing",
+    7: "averaged",
+    8: "interpolated",
+    9: "missing / NaN",
 }
+PLUG_LABEL_MEANINGS = {
+    0: "good",
+    1: "conductivity bad plug",
+    2: "conductivity bad other",
+    3: "non-conductivity failure",
+    4: "missing data",
+}
+
+# File-name markers of the device families, in merge order.
+DEVICE_MARKERS = {
+    "ctd": "ConductivityTemperatureDepth",
+    "fluorometer": "Fluorometer",
+    "oxygen": "OxygenSensor",
+}
+MERGE_ORDER = ("ctd", "fluorometer", "oxygen", "other")
 
 
 @dataclass(frozen=True)
@@ -47,15 +62,15 @@ class Profile:
         return [self.time, self.source, *self.tie_break]
 
 
-def fractional_row_limit(row_count: int, fraction: float | None) -> int | None:
+def fractional_row_limit(row_count: int, fraction: float) -> int | None:
     """Row limit for a share of the data; no limit from 0.999 upwards."""
-    if fraction is None or fraction >= 0.999:
+    if not 0 < fraction <= 1:
+        raise ValueError("fraction must lie in (0, 1]")
+    if fraction >= 0.999:
         return None
-    if not 0 < fraction:
-        raise ValueError("fraction must be positive")
-    return max(int(row_count * fraction), 1)
+    return min(row_count, max(1, round(row_count * fraction)))
 
 
 def scaled_cap(cap: int, fraction: float, floor: int) -> int:
     """A cap scaled with the data share, never below its floor."""
-    return max(int(round(cap * fraction)), floor)
+    return max(floor, int(cap * fraction))
