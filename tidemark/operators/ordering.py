@@ -362,13 +362,10 @@ def spread_keep(position: Column, count: Column, limit: Column | int | None) ->
     limit = (F.lit(limit) if isinstance(limit, int) else limit).cast("bigint")
     stride = (count - 1).cast("double") / F.greatest(limit - 1, F.lit(1)).cast("double")
     guess = F.floor(position / stride)
-    hit = F.lit(False)
-    for shift in (-1, 0, 1):
-        i = guess + shift
-        landed = F.when(i == limit - 1, count - 1).otherwise(F.floor(i * stride))
-        hit = hit | ((i >= 0) & (i < limit) & (landed == position))
+    lands = F.exists(F.sequence(guess - 1, guess + 1), lambda i: (i >= 0) & (i < limit) & (
+        F.when(i == limit - 1, count - 1).otherwise(F.floor(i * stride)) == position))
     return (F.when(limit >= count, True).when(limit <= 0, False)
-            .when(limit == 1, position == 0).otherwise(hit))
+            .when(limit == 1, position == 0).otherwise(lands))
 
 
 def evenly_spaced_take(df: DataFrame, limit: int | None, *, by: Sequence[str] = (), order: Sequence[str]) -> DataFrame:

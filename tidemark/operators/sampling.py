@@ -73,27 +73,41 @@ def balanced_reviewed(df: DataFrame, profile: Profile, rows_limit: int, issue_sh
     extra |= {f"__r_{t}": seq.running(t) for t in tallies} | {f"__n_{t}": seq.total(t) for t in tallies}
     rows = seq.with_columns(extra).rows()
 
-    quota = F.least(F.lit(round(rows_limit * issue_share)), F.col("__n_issue"))
-    targets = {"issue": quota, "good": F.lit(rows_limit) - quota}
+    # Quotas become columns of their own, so that the plan does not repeat them.
+    rows = rows.withColumn("__q_issue", F.least(F.lit(round(rows_limit * issue_share)), F.col("__n_issue")))
+    rows = rows.withColumn("__q_good", F.lit(rows_limit) - F.col("__q_issue"))
+    each = {}
+    if stratify:
+        for name, members in sides.items():
+            present = sum((F.col(f"__n_label{v}") > 0).cast("int") for v in members)
+            each[f"__e_{name}"] = F.greatest(F.ceil(F.col(f"__q_{name}") / F.greatest(present, F.lit(1))), F.lit(1))
+        rows = rows.withColumns(each)
+    extra = [*extra, "__q_issue", "__q_good", *each]
     whole = F.col("__n") <= rows_limit
     empty = (F.col("__n_good") + F.col("__n_issue") == 0) if stratify else F.lit(False)
-    first, spare, side, target = F.lit(False), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    side, rank, size, quota = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    label_rank, label_size, label_quota = rank, rank, rank
     for name, members in sides.items():
-        in_side, want = tallies[name], targets[name]
-        spread = in_side & spread_keep(F.col(f"__r_{name}") - 1, F.col(f"__n_{name}"), want)
-        side, target = F.when(in_side, name).otherwise(side), F.when(in_side, want).otherwise(target)
-        spare = spare | spread
-        if not stratify:
-            first = first | spread
-            continue
-        present = sum((F.col(f"__n_label{v}") > 0).cast("int") for v in members)
-        each = F.greatest(F.ceil(want / F.greatest(present, F.lit(1))), F.lit(1))
-        for v in members:
-            first = first | ((want > 0) & tallies[f"label{v}"]
-                             & spread_keep(F.col(f"__r_label{v}") - 1, F.col(f"__n_label{v}"), each))
+        here = tallies[name]
+        side = F.when(here, name).otherwise(side)
+        rank, size = F.when(here, F.col(f"__r_{name}") - 1).otherwise(rank), F.when(here, F.col(f"__n_{name}")).otherwise(size)
+        quota = F.when(here, F.col(f"__q_{name}")).otherwise(quota)
+        for v in members if stratify else ():
+            mine = tallies[f"label{v}"]
+            label_rank = F.when(mine, F.col(f"__r_label{v}") - 1).otherwise(label_rank)
+            label_size = F.when(mine, F.col(f"__n_label{v}")).otherwise(label_size)
+            label_quota = F.when(mine, F.col(f"__e_{name}")).otherwise(label_quota)
+    own = {"__side": side, "__rank": rank, "__size": size, "__target": quota}
+    own |= {"__lrank": label_rank, "__lsize": label_size, "__lquota": label_quota} if stratify else {}
+    rows = rows.withColumns(own)
+    extra += [c for c in own if c not in ("__side", "__target")]
+    in_side = F.col("__side").isNotNull()
+    spare = in_side & spread_keep(F.col("__rank"), F.col("__size"), F.col("__target"))
+    first = (in_side & (F.col("__target") > 0) & spread_keep(F.col("__lrank"), F.col("__lsize"), F.col("__lquota"))
+             if stratify else spare)
     plain = empty & spread_keep(F.col("__pos"), F.col("__n"), rows_limit)
-    flagged = rows.withColumns({"__whole": whole | plain, "__first": first, "__side": side, "__target": target})
-    pool = settle(flagged.where(whole | plain | first | spare).drop(*extra))
+    flagged = rows.withColumns({"__whole": whole | plain, "__first": first, "__spare": spare})
+    pool = settle(flagged.where(F.col("__whole") | F.col("__first") | F.col("__spare")).drop(*extra, "__spare"))
     done = pool.where("__whole")
     pool = pool.where(~F.col("__whole"))
 
