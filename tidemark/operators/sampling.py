@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import is_issue, is_reviewed, label_id
-from tidemark.operators.cleaning import first_per_key, union_all
+from tidemark.operators.cleaning import attach_small, first_per_key, union_all
 from tidemark.operators.ordering import arrange, spread_keep
 from tidemark.profiles import Profile
 from tidemark.session import settle
@@ -55,9 +55,9 @@ def balanced_reviewed(df: DataFrame, profile: Profile, rows_limit: int, issue_sh
     """A chosen good/issue mix: issue quota first, good rows for the rest.
 
     `stratify` spreads each side over its labels and refills from reviewed
-    rows; without it sides are spread as a whole and any row may refill. Quotas
-    are columns, so one layout of the data serves all groups of `by` at once;
-    what follows works on at most a few times the row limit per group.
+    rows; without it sides are spread as a whole and any row may refill. One
+    layout of the data serves all groups of `by`; what follows works on at most
+    a few times the row limit per group.
     """
     if not 0 < issue_share < 1:
         raise ValueError("issue_share must lie strictly between 0 and 1")
@@ -65,49 +65,55 @@ def balanced_reviewed(df: DataFrame, profile: Profile, rows_limit: int, issue_sh
     good, issue = list(good or profile.good), list(issue or profile.issue)
     value = label_id(F.col(f"`{label or profile.target}`"))
     sides = {"good": good, "issue": issue}
-    tallies = {"good": F.coalesce(value.isin(good), F.lit(False)), "issue": F.coalesce(value.isin(issue), F.lit(False))}
-    labels = sorted({*good, *issue}) if stratify else []
-    tallies |= {f"label{v}": F.coalesce(value == v, F.lit(False)) for v in labels}
-    seq = arrange(df, by=by, order=order, tallies=tallies)
-    extra = {"__pos": seq.position(), "__n": seq.total()}
-    extra |= {f"__r_{t}": seq.running(t) for t in tallies} | {f"__n_{t}": seq.total(t) for t in tallies}
-    rows = seq.with_columns(extra).rows()
-
-    # Quotas become columns of their own, so that the plan does not repeat them.
-    rows = rows.withColumn("__q_issue", F.least(F.lit(round(rows_limit * issue_share)), F.col("__n_issue")))
-    rows = rows.withColumn("__q_good", F.lit(rows_limit) - F.col("__q_issue"))
-    each = {}
-    if stratify:
-        for name, members in sides.items():
-            present = sum((F.col(f"__n_label{v}") > 0).cast("int") for v in members)
-            each[f"__e_{name}"] = F.greatest(F.ceil(F.col(f"__q_{name}") / F.greatest(present, F.lit(1))), F.lit(1))
-        rows = rows.withColumns(each)
-    extra = [*extra, "__q_issue", "__q_good", *each]
-    whole = F.col("__n") <= rows_limit
-    empty = (F.col("__n_good") + F.col("__n_issue") == 0) if stratify else F.lit(False)
-    side, rank, size, quota = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
-    label_rank, label_size, label_quota = rank, rank, rank
+    side = F.when(value.isin(good), "good").when(value.isin(issue), "issue")
+
+    # Group and label counts first; quotas follow from them, one row per group.
+    counts = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.count_if(side == name).alias(f"__n_{name}") for name in sides],
+        *[F.count_if(value == v).alias(f"__n_label{v}") for v in sorted({*good, *issue})])
+    counts = counts.withColumn("__q_issue", F.least(F.lit(round(rows_limit * issue_share)), F.col("__n_issue")))
+    counts = counts.withColumn("__q_good", F.lit(rows_limit) - F.col("__q_issue"))
     for name, members in sides.items():
-        here = tallies[name]
-        side = F.when(here, name).otherwise(side)
-        rank, size = F.when(here, F.col(f"__r_{name}") - 1).otherwise(rank), F.when(here, F.col(f"__n_{name}")).otherwise(size)
-        quota = F.when(here, F.col(f"__q_{name}")).otherwise(quota)
-        for v in members if stratify else ():
-            mine = tallies[f"label{v}"]
-            label_rank = F.when(mine, F.col(f"__r_label{v}") - 1).otherwise(label_rank)
-            label_size = F.when(mine, F.col(f"__n_label{v}")).otherwise(label_size)
-            label_quota = F.when(mine, F.col(f"__e_{name}")).otherwise(label_quota)
-    own = {"__side": side, "__rank": rank, "__size": size, "__target": quota}
-    own |= {"__lrank": label_rank, "__lsize": label_size, "__lquota": label_quota} if stratify else {}
-    rows = rows.withColumns(own)
-    extra += [c for c in own if c not in ("__side", "__target")]
+        present = sum((F.col(f"__n_label{v}") > 0).cast("int") for v in members)
+        each = F.greatest(F.ceil(F.col(f"__q_{name}") / F.greatest(present, F.lit(1))), F.lit(1))
+        counts = counts.withColumn(f"__e_{name}", each.cast("bigint"))
+    quotas = [c for c in counts.columns if c not in by]
+    counts = settle(counts)
+    if by:
+        known = attach_small(df, counts, by)
+    else:
+        known = df.withColumns({name: F.lit(amount) for name, amount in counts.first().asDict().items()})
+
+    def per_label(column):
+        chosen = F.lit(None).cast("bigint")
+        for members in sides.values():
+            for v in members:
+                chosen = F.when(F.col("__v") == v, column(v)).otherwise(chosen)
+        return chosen
+
+    def per_side(prefix):
+        return F.when(F.col("__side") == "good", F.col(f"{prefix}_good")).when(F.col("__side") == "issue", F.col(f"{prefix}_issue"))
+
+    known = known.withColumns({"__v": value, "__side": side}).withColumns({
+        "__size": per_side("__n"), "__target": per_side("__q"), "__each": per_side("__e"),
+        "__lsize": per_label(lambda v: F.col(f"__n_label{v}")),
+        "__empty": (F.col("__n_good") + F.col("__n_issue") == 0) if stratify else F.lit(False),
+    }).drop(*[q for q in quotas if q != "__n"])
+    tallies = {name: F.coalesce(F.col("__side") == name, F.lit(False)) for name in sides}
+    if stratify:
+        tallies |= {f"label{v}": F.coalesce(F.col("__v") == v, F.lit(False)) for v in sorted({*good, *issue})}
+    seq = arrange(known, by=by, order=order, tallies=tallies)
+    seq = seq.with_columns({"__pos": seq.position(), **{f"__r_{t}": seq.position(t) for t in tallies}})
+    rows = seq.rows()
+
+    helpers = ["__pos", "__n", "__v", "__size", "__each", "__lsize", "__empty", *[f"__r_{t}" for t in tallies]]
     in_side = F.col("__side").isNotNull()
-    spare = in_side & spread_keep(F.col("__rank"), F.col("__size"), F.col("__target"))
-    first = (in_side & (F.col("__target") > 0) & spread_keep(F.col("__lrank"), F.col("__lsize"), F.col("__lquota"))
+    spare = in_side & spread_keep(per_side("__r"), F.col("__size"), F.col("__target"))
+    first = (in_side & (F.col("__target") > 0) & spread_keep(per_label(lambda v: F.col(f"__r_label{v}")), F.col("__lsize"), F.col("__each"))
              if stratify else spare)
-    plain = empty & spread_keep(F.col("__pos"), F.col("__n"), rows_limit)
-    flagged = rows.withColumns({"__whole": whole | plain, "__first": first, "__spare": spare})
-    pool = settle(flagged.where(F.col("__whole") | F.col("__first") | F.col("__spare")).drop(*extra, "__spare"))
+    whole = (F.col("__n") <= rows_limit) | (F.col("__empty") & spread_keep(F.col("__pos"), F.col("__n"), rows_limit))
+    flagged = rows.withColumns({"__whole": whole, "__first": first, "__spare": spare})
+    pool = settle(flagged.where(F.col("__whole") | F.col("__first") | F.col("__spare")).drop(*helpers, "__spare"))
     done = pool.where("__whole")
     pool = pool.where(~F.col("__whole"))
 

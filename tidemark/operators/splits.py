@@ -181,7 +181,8 @@ def assign_units(episodes: DataFrame, clean: DataFrame, ranks: DataFrame, profil
             ordered = frame.sort_values("__i")[[source, "start", "end", "__i"]]
             return _fill_toward_targets(ordered, targets, begin, block_rows)
 
-        part = pieces.where(F.floor(F.col("__i") / per_chunk) == chunk).groupBy(F.lit(chunk)).applyInPandas(fill, schema)
+        mine = pieces.withColumn("__c", F.floor(F.col("__i") / per_chunk)).where(F.col("__c") == chunk)
+        part = mine.groupBy("__c").applyInPandas(fill, schema)
         if chunk < chunks - 1:
             part = settle(part)
             current = np.array(part.agg(F.max_by("state", "__i")).first()[0])
