@@ -144,6 +144,14 @@ def _fill_toward_targets(pieces: pd.DataFrame, targets: np.ndarray, current: np.
     return pieces.assign(picks=chosen, state=states)
 
 
+def _filler(source: str, targets: np.ndarray, current: np.ndarray, block_rows: int):
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("__i")[[source, "start", "end", "__i"]]
+        return _fill_toward_targets(ordered, targets, current, block_rows)
+
+    return fill
+
+
 def assign_units(episodes: DataFrame, clean: DataFrame, ranks: DataFrame, profile: Profile, train: float, validation: float,
                  *, block_rows: int) -> DataFrame:
     """Units `(source, start, end, kind, split)`.
@@ -175,14 +183,8 @@ def assign_units(episodes: DataFrame, clean: DataFrame, ranks: DataFrame, profil
     per_chunk, done = 20_000, []
     chunks = -(-pieces.count() // per_chunk)
     for chunk in range(chunks):
-        begin = current
-
-        def fill(frame: pd.DataFrame, begin=begin) -> pd.DataFrame:
-            ordered = frame.sort_values("__i")[[source, "start", "end", "__i"]]
-            return _fill_toward_targets(ordered, targets, begin, block_rows)
-
         mine = pieces.withColumn("__c", F.floor(F.col("__i") / per_chunk)).where(F.col("__c") == chunk)
-        part = mine.groupBy("__c").applyInPandas(fill, schema)
+        part = mine.groupBy("__c").applyInPandas(_filler(source, targets, current, block_rows), schema)
         if chunk < chunks - 1:
             part = settle(part)
             current = np.array(part.agg(F.max_by("state", "__i")).first()[0])
@@ -190,7 +192,7 @@ def assign_units(episodes: DataFrame, clean: DataFrame, ranks: DataFrame, profil
     if not done:
         return dealt
     blocks = union_all(done).select(source, "start", "end", F.posexplode("picks").alias("__b", "__p"))
-    begin = F.col("start") + F.col("__b") * block_rows
+    begin = F.col("start") + F.col("__b").cast("bigint") * block_rows
     cleaned = blocks.select(source, begin.cast("bigint").alias("start"),
                             F.least(begin + block_rows, F.col("end")).cast("bigint").alias("end"), F.lit("clean").alias("kind"),
                             F.element_at(F.array(*[F.lit(s) for s in SPLITS]), F.col("__p") + 1).alias("split"))

@@ -56,18 +56,20 @@ def manifest_summary(rows: DataFrame, profile: Profile, *, window_rows: int) ->
 
 def write_manifest(rows: DataFrame, path: str, profile: Profile, *, window_rows: int) -> None:
     """Manifest as JSON: `parts`, one line per source, and `summary`, one line."""
-    manifest_parts(rows, profile).write.mode("overwrite").json(f"{path}/parts")
+    parts = manifest_parts(rows, profile)
+    parts.write.mode("overwrite").option("timestampFormat", INSTANT).json(f"{path}/parts")
     summary = manifest_summary(rows, profile, window_rows=window_rows)
     summary.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/summary")
 
 
+INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 PARTS_SCHEMA = "source_file string, row_count bigint, time_start timestamp, time_end timestamp, labelled_rows bigint, issue_rows bigint"
 SUMMARY_SCHEMA = ("target string, row_count bigint, target_distribution map<string,bigint>, issue_fraction double, window_size int, "
                   "measurement_columns array<string>, issue_labels array<int>")
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    parts = spark.read.schema(PARTS_SCHEMA).json(f"{path}/parts").withColumn("label", display_source(F.col("source_file")))
+    parts = spark.read.schema(PARTS_SCHEMA).option("timestampFormat", INSTANT).json(f"{path}/parts").withColumn("label", display_source(F.col("source_file")))
     summary = spark.read.text(f"{path}/summary").select(F.from_json("value", SUMMARY_SCHEMA).alias("s")).select("s.*")
     return parts, summary
 
