@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import join_queries, row_queries, sequence_queries, split_queries  # noqa: F401
+from tidemark.plans import join_queries, model_queries, row_queries, sequence_queries, split_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
