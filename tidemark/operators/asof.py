@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import arrange
+from tidemark.session import settle
 
 
 def nearest_join(left: DataFrame, right: DataFrame, *, time: str, by: Sequence[str] = (), left_tie: str,
@@ -78,25 +79,59 @@ def join_companions(primary: DataFrame, companions: Sequence[tuple[str, DataFram
 def best_companions(primary: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each primary file the best companion file of the same series.
 
-    Both frames hold `name, series_key, start_time, end_time`. An exact time
-    range wins, then the longest overlap, the smaller start gap, the smaller
-    end gap and the name. Candidates that share a range differ by name only,
-    so each range keeps just its first name before the join. Input is one row
-    per file, never per reading.
+    Both frames hold `name, series_key, start_time, end_time`, one row per
+    file. An exact time range wins, then the longest overlap, the smaller start
+    gap, the smaller end gap and the name. Files of a series are not paired
+    with each other at large: overlaps are found through time buckets, and a file without any overlap looks only at the
+    candidate starts next to its own.
     """
-    pick = (candidates.groupBy("series_key", "start_time", "end_time").agg(F.min("name").alias("companion"))
-            .select("series_key", F.col("start_time").alias("c_start"), F.col("end_time").alias("c_end"), "companion"))
-    pairs = primary.join(pick, "series_key")
-    seconds = lambda later, earlier: (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
-    epoch = F.timestamp_micros(F.lit(0))
-    known = F.greatest(F.lit(0.0), seconds(F.least("end_time", "c_end"), F.greatest("start_time", "c_start")))
-    complete = (F.col("start_time").isNotNull() & F.col("end_time").isNotNull()
-                & F.col("c_start").isNotNull() & F.col("c_end").isNotNull())
-    overlap = F.when(complete, known).otherwise(F.lit(-1.0))
-    gap = lambda a, b: F.abs(seconds(F.coalesce(a, epoch), F.coalesce(b, epoch)))
-    exact = F.col("start_time").eqNullSafe(F.col("c_start")) & F.col("end_time").eqNullSafe(F.col("c_end"))
-    rank = F.struct((~exact).alias("inexact"), (-overlap).alias("overlap"), gap(F.col("c_start"), F.col("start_time")).alias("start_gap"),
-                    gap(F.col("c_end"), F.col("end_time")).alias("end_gap"), F.col("companion"))
-    best = pairs.groupBy("name").agg(F.min(rank).alias("best"))
-    return best.select("name", F.col("best.companion").alias("companion"),
-                       (~F.col("best.inexact")).alias("exact"), F.greatest(-F.col("best.overlap"), F.lit(0.0)).alias("overlap_seconds"))
+    micros = lambda c: F.unix_micros(F.col(c))
+    # Candidates of one range differ by name only: the first name stands for them.
+    pick = settle(candidates.groupBy("series_key", micros("start_time").alias("cs"), micros("end_time").alias("ce"))
+                  .agg(F.min("name").alias("companion")))
+    files = primary.select("name", "series_key", micros("start_time").alias("ps"), micros("end_time").alias("pe"))
+    timed, untimed = files.where("ps IS NOT NULL AND pe IS NOT NULL"), files.where("ps IS NULL OR pe IS NULL")
+    ranged, rangeless = pick.where("cs IS NOT NULL AND ce IS NOT NULL"), pick.where("cs IS NULL OR ce IS NULL")
+    columns = ["name", "companion", "exact", "overlap_seconds"]
+    overlap = F.greatest(F.lit(0), F.least("pe", "ce") - F.greatest("ps", "cs")) / 1e6
+    exact = (F.col("ps") == F.col("cs")) & (F.col("pe") == F.col("ce"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        rank = F.struct((~exact).alias("inexact"), (-overlap).alias("lost"), F.abs(F.col("cs") - F.col("ps")).alias("sg"),
+                        F.abs(F.col("ce") - F.col("pe")).alias("eg"), F.col("companion"))
+        return (pairs.groupBy("name").agg(F.min(rank).alias("r"))
+                .select("name", F.col("r.companion").alias("companion"), (~F.col("r.inexact")).alias("exact"), (-F.col("r.lost") + 0.0).alias("overlap_seconds")))
+
+    # A bucket is as wide as the candidate's length class, so a candidate lies in
+    # two buckets at most and one very long file does not widen all the others.
+    length = F.floor(F.log2(F.greatest(F.col("ce") - F.col("cs"), F.lit(1_000_000)).cast("double"))).cast("int")
+    ranged = ranged.withColumn("cls", length)
+    classes = [r["cls"] for r in ranged.select("cls").distinct().collect()]
+    width = F.expr("shiftleft(1L, cls)")
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(a, b) / width))).alias("bucket")
+    asked = timed.withColumn("cls", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>")))
+    pairs = (asked.select("*", buckets("ps", "pe")).join(ranged.select("*", buckets("cs", "ce")), ["series_key", "cls", "bucket"])
+             .where(exact | (overlap > 0)))
+    found = settle(best(pairs))
+
+    # No overlap: all candidates of the series tie, so the nearest start decides.
+    left = timed.join(found.select("name"), "name", "left_anti")
+    starts = ranged.select("series_key", F.col("cs").alias("at"), F.lit(0).alias("side"), F.lit("").alias("name"), F.col("cs").alias("start")).distinct()
+    marked = left.select("series_key", F.col("ps").alias("at"), F.lit(1).alias("side"), "name", "pe").unionByName(starts, allowMissingColumns=True)
+    seq = arrange(marked, by=["series_key"], order=["at", "side", "name"])
+    seq = seq.accumulate(earlier=("last", F.col("start")), later=("next", F.col("start")))
+    gap = lambda c: F.abs(F.col(c) - F.col("at"))
+    least = F.least(gap("earlier"), gap("later"))
+    nearby = F.array_compact(F.array(*[F.when(gap(c) == least, F.col(c)) for c in ("earlier", "later")]))
+    beside = (seq.rows().where("side = 1").select("name", "series_key", F.col("at").alias("ps"), "pe", F.explode(F.array_distinct(nearby)).alias("cs"))
+              .join(ranged, ["series_key", "cs"]))
+    found = settle(found.unionByName(best(beside)))
+
+    # Names without a time range: equal to each other, else last in line.
+    plain = rangeless.groupBy("series_key").agg(F.min("companion").alias("companion"))
+    alone = timed.join(found.select("name"), "name", "left_anti").join(plain, "series_key").select("name", "companion", F.lit(False).alias("exact"), F.lit(0.0).alias("overlap_seconds"))
+    equal = untimed.join(plain, "series_key").select("name", "companion", F.lit(True).alias("exact"), F.lit(0.0).alias("overlap_seconds"))
+    first = ranged.groupBy("series_key").agg(F.min_by("companion", F.struct(F.abs("cs"), F.abs("ce"), "companion")).alias("companion"))
+    rest = (untimed.join(plain.select("series_key"), "series_key", "left_anti").join(first, "series_key")
+            .select("name", "companion", F.lit(False).alias("exact"), F.lit(0.0).alias("overlap_seconds")))
+    return found.select(*columns).unionByName(alone).unionByName(equal).unionByName(rest)

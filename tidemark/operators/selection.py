@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import label_id
@@ -68,25 +68,37 @@ def rows_in_windows(rows: DataFrame, windows: DataFrame, profile: Profile, windo
 # --- panels around a time or an event ----------------------------------------
 
 def context_panel(df: DataFrame, profile: Profile, center_time: str, points: int, *, by_source: bool = True) -> DataFrame:
-    """`points` rows centred on the row closest to a time, per source, clipped at its ends."""
+    """`points` rows centred on the row closest to a time, per source, clipped at its ends.
+
+    No row needs its position: at most `points` rows on each side of the centre
+    can be in the panel, and Spark keeps only those of each task before it
+    shuffles (a window group limit).
+    """
     by = [profile.source] if by_source else []
     order = profile.source_order if by_source else profile.global_order
-    placed = settle(with_position(df, by=by, order=order, name="__pos", total="__n"))
-    micros = F.unix_micros(F.col(profile.time).cast("timestamp"))
-    center = F.unix_micros(F.lit(center_time).cast("timestamp"))
-    nearest = placed.groupBy(*by).agg(F.min(F.struct(F.abs(micros - center).alias("d"), F.col("__pos").alias("p"))).alias("best"),
-                                      F.max("__n").alias("__rows"))
-    start = F.greatest(F.col("best.p") - points // 2, F.lit(0))
-    stop = F.least(start + points, F.col("__rows"))
-    bounds = nearest.select(*by, F.when(stop - start < points, F.greatest(stop - points, F.lit(0))).otherwise(start).alias("__start"), stop.alias("__stop"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    place = F.struct(*[F.col(c) for c in order])
+    distance = F.abs(micros(F.col(profile.time)) - micros(F.lit(center_time)))
+    nearest = df.groupBy(*by).agg(F.min(F.struct(distance.alias("d"), place.alias("at"))).alias("best")).select(*by, F.col("best.at").alias("__center"))
     if by:
-        # The window reaches each row by source: one short row per source.
-        placed = attach_small(placed, bounds, by)
-        lo, hi = F.col("__start"), F.col("__stop")
+        around = attach_small(df, nearest, by)
+        center = F.col("__center")
     else:
-        edge = bounds.first()
-        lo, hi = F.lit(edge["__start"]), F.lit(edge["__stop"])
-    return placed.where((F.col("__pos") >= lo) & (F.col("__pos") < hi)).select(*[f"`{c}`" for c in df.columns])
+        around, center = df, F.lit(None) if nearest.isEmpty() else F.struct(*[F.lit(v).alias(c) for c, v in nearest.first()[0].asDict().items()])
+        around = around.withColumn("__center", center)
+        center = F.col("__center")
+    groups = by or [F.lit(0)]
+    upward = Window.partitionBy(*groups).orderBy(*order)
+    downward = Window.partitionBy(*groups).orderBy(*[F.col(c).desc() for c in order])
+    after = around.where(place >= center).withColumn("__k", F.row_number().over(upward) - 1).where(F.col("__k") <= points)
+    before = around.where(place < center).withColumn("__k", F.row_number().over(downward)).where(F.col("__k") <= points)
+    near = before.withColumn("__k", -F.col("__k")).unionByName(after)
+    low, high = F.min("__k").over(Window.partitionBy(*groups)), F.max("__k").over(Window.partitionBy(*groups)) + 1
+    near = near.withColumns({"__lo": low, "__hi": high})
+    start = F.greatest(F.lit(-(points // 2)), F.col("__lo"))
+    stop = F.least(start + points, F.col("__hi"))
+    start = F.greatest(F.least(start, stop - points), F.col("__lo"))
+    return near.where((F.col("__k") >= start) & (F.col("__k") < stop)).select(*[f"`{c}`" for c in df.columns])
 
 
 def event_panels(df: DataFrame, profile: Profile, classes: Sequence[int], points: int) -> tuple[DataFrame, DataFrame]:

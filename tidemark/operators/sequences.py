@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import finite, is_issue, label_id
 from tidemark.operators.ordering import arrange, evenly_spaced_take, spread_keep, with_position
 from tidemark.profiles import Profile
+from tidemark.session import settle
 
 WORST, MAJORITY = "worst", "majority"
 
@@ -102,6 +103,8 @@ def forecast_windows(df: DataFrame, profile: Profile, *, features: Sequence[str]
     ends = rows.where("is_end")
     if limit is not None:
         sources = max(df.select(f"`{profile.source}`").distinct().count(), 1)
+        kept = [*by, profile.source, profile.time, *profile.tie_break, profile.target, target, "row_index"]
+        ends = settle(ends.select(*[f"`{c}`" for c in dict.fromkeys(kept)]))
         ends = choose_ends(ends, profile, limit=max(1, math.ceil(limit / sources)), mode=mode, seed=seed, by=by)
         ends = evenly_spaced_take(ends, limit, by=by, order=[profile.source, "row_index"])
     label = label_id(F.col(f"`{profile.target}`"))

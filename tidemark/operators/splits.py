@@ -65,13 +65,13 @@ def _slot(index: Column, schedule: Sequence[str]) -> Column:
 def source_ranks(df: DataFrame, profile: Profile) -> DataFrame:
     """Sources with row counts, ordered by first appearance in time."""
     sources = df.groupBy(profile.source).agg(F.min(profile.time).alias("first_time"), F.count(F.lit(1)).alias("source_rows"))
-    return with_position(sources, order=["first_time", profile.source], name="source_rank")
+    return with_position(settle(sources), order=["first_time", profile.source], name="source_rank")
 
 
 def interleaved_blocks(df: DataFrame, profile: Profile, train: float, validation: float, *, block_rows: int = 1024,
                        cycle: int = 20, schedule: str = "deficit") -> DataFrame:
     """Short blocks of each source dealt to the splits in a repeating schedule."""
-    sources = source_ranks(df, profile).withColumn("__blocks", F.ceil(F.col("source_rows") / block_rows))
+    sources = settle(source_ranks(df, profile)).withColumn("__blocks", F.ceil(F.col("source_rows") / block_rows))
     seq = arrange(sources, order=["source_rank"]).accumulate(__upto=("sum", F.col("__blocks")))
     offsets = seq.rows().select(profile.source, (F.col("__upto") - F.col("__blocks")).alias("__offset"))
     placed = with_position(df, by=[profile.source], order=profile.source_order, name="__pos")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import TIME_COLUMN, clean_header
 from tidemark.operators.cleaning import attach_small, type_readings
+from tidemark.session import settle
 
 _FIELD_BREAK = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
@@ -69,6 +70,7 @@ def read_exports(lines: DataFrame, headers: DataFrame, *, columns: Sequence[str]
     lacks is null. `first_rows` keeps the first data lines of each export in
     file order, counted before untimed lines are dropped.
     """
+    headers = settle(headers)
     if columns is None:
         names = available_columns(headers).orderBy("first_export", "position").select("name")
         columns = [r["name"] for r in names.collect()]
