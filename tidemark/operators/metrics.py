@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import _constant, _search, arrange
+from tidemark.session import settle
 
 
 def score_histogram(df: DataFrame, value: Column, *, by: Sequence[str] = (), flags: Mapping[str, Column] | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def exact_quantiles(df: DataFrame, value: Column, fractions: Sequence[float], *,
     group key (a split, a column name) must have few values.
     """
     group = [by] if by else []
-    histogram = score_histogram(df, value, by=group)
+    histogram = settle(score_histogram(df, value, by=group))
     totals = {r[0] if by else None: r["rows"] for r in
               histogram.groupBy(*group).agg(F.sum("n").alias("rows")).collect() if r["rows"]}
     wanted = {}
@@ -49,11 +50,11 @@ def exact_quantiles(df: DataFrame, value: Column, fractions: Sequence[float], *,
     spot_type = "struct<p:bigint,i:int,w:double>"
     lists, covered = F.lit(None).cast(f"array<{spot_type}>"), F.lit(None).cast("array<int>")
     for key, spots in wanted.items():
-        positions = _constant([p for p, _, _ in spots], "bigint")
+        positions = [p for p, _, _ in spots]
         literal = _constant([{"p": p, "i": i, "w": w} for p, i, w in spots], spot_type)
         here = F.lit(True) if by is None else F.col(by).eqNullSafe(F.lit(key))
-        first = _search(positions, len(spots), F.col("__upto") - F.col("n") - 1)
-        after = _search(positions, len(spots), F.col("__upto") - 1)
+        first = _search(positions, "bigint", F.col("__upto") - F.col("n") - 1)
+        after = _search(positions, "bigint", F.col("__upto") - 1)
         covered = F.when(here, F.array(first, after)).otherwise(covered)
         lists = F.when(here, literal).otherwise(lists)
     seq = arrange(histogram, by=group, order=["value"]).accumulate(__upto=("sum", F.col("n")))
@@ -194,7 +195,7 @@ def best_f1_threshold(valid: DataFrame, score: str) -> tuple[float, float]:
     step = (SEARCH_HIGH - SEARCH_LOW) / (SEARCH_STEPS - 1)
     fractions = [SEARCH_LOW + step * i for i in range(SEARCH_STEPS - 1)] + [SEARCH_HIGH]
     limits = sorted({r["quantile"] for r in exact_quantiles(valid, F.col(score), fractions).collect()})
-    bucket = _search(_constant(limits, "double"), len(limits), F.col(score).cast("double"))
+    bucket = _search(limits, "double", F.col(score).cast("double"))
     rows = (valid.where(F.col(score).isNotNull()).groupBy(bucket.alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_issue").alias("h")).collect())
     actual = sum(r["h"] for r in rows)
@@ -211,6 +212,7 @@ def best_f1_threshold(valid: DataFrame, score: str) -> tuple[float, float]:
 def threshold_sweep(scores: DataFrame, *, score: str, split: str = "split", issue_labels: Sequence[int],
                     validation: str = "validation") -> DataFrame:
     """Good-row quantile thresholds and the F1-optimised one, on every split."""
+    scores = settle(scores.select(split, score, "is_good", "is_issue", "qc_label"))
     valid = scores.where(F.col(split) == validation)
     limits = good_thresholds(valid, score)
     limits["validation_f1_optimized"] = best_f1_threshold(valid, score)[0]

@@ -75,14 +75,33 @@ class _Chunks:
     count: int = 1
 
 
-def _search(bounds: Column, size: int, key: Column) -> Column:
-    """Number of bounds not greater than the key (binary search)."""
-    steps = _constant([1 << b for b in reversed(range(max(size.bit_length(), 1)))], "int")
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(F.get(bounds, low + step - F.lit(1)) <= key, low + step).otherwise(low),
-    )
+_TREE_LIMIT = 64
+
+
+def _search(bounds: list, element_type: str, key: Column) -> Column:
+    """Number of (sorted) bounds not greater than the key, by binary search.
+
+    A few bounds become a tree of comparisons inside generated code; many are
+    kept in one array literal that a fold halves step by step.
+    """
+    if not bounds:
+        return F.lit(0)
+    listed = _constant(bounds, element_type)
+    if len(bounds) <= _TREE_LIMIT:
+        def halve(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(F.get(listed, F.lit(middle)) <= key, halve(middle + 1, high)).otherwise(halve(low, middle))
+
+        return halve(0, len(bounds))
+    steps = _constant([1 << b for b in reversed(range(len(bounds).bit_length()))], "int")
+
+    def walk(value: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(listed, low + step - F.lit(1)) <= value, low + step).otherwise(low))
+
+    # The one-element transform binds the key once for all steps.
+    return F.get(F.transform(F.array(key), walk), F.lit(0))
 
 
 def _cut(df: DataFrame, by: list[str], order: list[str], back: int, ahead: int,
@@ -113,7 +132,7 @@ def _cut(df: DataFrame, by: list[str], order: list[str], back: int, ahead: int,
     if not bounds:
         return _Chunks()
 
-    binned = keyed.withColumn(_BIN, _search(_constant(bounds, key_type), len(bounds), F.col("key")))
+    binned = keyed.withColumn(_BIN, _search(bounds, key_type, F.col("key")))
     counts = [F.count(F.lit(1)).alias("rows")] + [F.count_if(F.col(f"t_{t}")).alias(t) for t in tallies]
     measures = F.struct("rows", *tallies)
     per_bin = (binned.groupBy(_BIN, "grp").agg(*counts).groupBy(_BIN)
@@ -341,8 +360,7 @@ def arrange(df: DataFrame, *, by: Sequence[str] = (), order: Sequence[str], back
     if chunks.count == 1:
         frame = df.withColumns({CHUNK: F.lit(0), OWN: F.lit(True)})
         return Ordered(frame, by, order, chunks, tallies, columns)
-    frame = df.withColumn(_BIN, _search(_constant(chunks.bounds, chunks.key_type), len(chunks.bounds),
-                                        _key(df, [*by, *order], "k")))
+    frame = df.withColumn(_BIN, _search(chunks.bounds, chunks.key_type, _key(df, [*by, *order], "k")))
     if back or ahead:
         frame = (frame.withColumn(CHUNK, F.explode(F.get(_constant(chunks.targets, "array<int>"), F.col(_BIN))))
                  .withColumn(OWN, F.get(_constant(chunks.home, "int"), F.col(_BIN)) == F.col(CHUNK)))

@@ -168,7 +168,7 @@ def with_time_bin(df: DataFrame, time: str, edges: Sequence[int]) -> DataFrame:
     """Right-closed bin number; the first bin also holds its left edge."""
     micros = F.unix_micros(F.col(f"`{time}`").cast("timestamp"))
     inner = list(edges[1:-1])
-    index = _search(_constant(inner, "bigint"), len(inner), micros - 1) if inner else F.lit(0)
+    index = _search(inner, "bigint", micros - 1)
     return df.withColumn("bin_index", index)
 
 

@@ -371,7 +371,8 @@ spare AS (SELECT row_id FROM sides WHERE t >= gn OR list_contains([CASE WHEN i =
 short AS (SELECT s.bad, count(*) < max(CASE WHEN s.bad THEN qi ELSE 1200 - qi END) AS refill FROM stratum s, quota GROUP BY s.bad),
 pool AS (SELECT x.*, CASE WHEN x.bad THEN qi ELSE 1200 - qi END AS t FROM strata x JOIN short USING (bad), quota WHERE x.row_id IN (SELECT row_id FROM stratum) OR (refill AND x.row_id IN (SELECT row_id FROM spare))),
 final AS (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY ts, source_file, row_id) - 1 AS fp, count(*) OVER (PARTITION BY bad) AS fn FROM pool)
-SELECT row_id, ts, source_file, m1, m2, m3, CAST(qc AS BIGINT) AS qc FROM final WHERE t >= fn OR list_contains([CASE WHEN i = t - 1 THEN fn - 1 ELSE CAST(floor(i * (CAST(fn - 1 AS DOUBLE) / CAST(t - 1 AS DOUBLE))) AS BIGINT) END FOR i IN range(t)], fp)"""
+SELECT row_id, ts, source_file, m1, m2, m3, CAST(qc AS BIGINT) AS qc FROM final WHERE (SELECT count(*) FROM readings) > 1200 AND (t >= fn OR list_contains([CASE WHEN i = t - 1 THEN fn - 1 ELSE CAST(floor(i * (CAST(fn - 1 AS DOUBLE) / CAST(t - 1 AS DOUBLE))) AS BIGINT) END FOR i IN range(t)], fp))
+UNION ALL SELECT row_id, ts, source_file, m1, m2, m3, CAST(qc AS BIGINT) FROM readings WHERE (SELECT count(*) FROM readings) <= 1200"""
 
 
 @query("t04_balanced_stratified_subset", STRATA)

@@ -22,6 +22,13 @@ def slot_sql(index: str, kind: str = "deficit", cycle: int = 20) -> str:
     return f"([{names}])[CAST({index} % {cycle} AS BIGINT) + 1]"
 
 
+def episode_slot_sql(index: str, episodes: str) -> str:
+    """The schedule's cycle is the number of episodes, held between 3 and 20."""
+    lists = ", ".join("[" + ", ".join(f"'{s}'" for s in splits.slot_schedule(0.70, 0.15, cycle=c)) + "]" for c in range(3, 21))
+    cycle = f"greatest(3, least({episodes}, 20))"
+    return f"([{lists}])[CAST({cycle} - 2 AS BIGINT)][CAST({index} % {cycle} AS BIGINT) + 1]"
+
+
 GLOBAL = REVIEWED + f", split AS (SELECT row_id, ts, source_file, qc, {cut_sql('p', 'n')} AS split FROM (SELECT *, row_number() OVER ({G}) - 1 AS p, count(*) OVER () AS n FROM reviewed))"
 PER_SOURCE = REVIEWED + f", split AS (SELECT row_id, ts, source_file, qc, {cut_sql('p', 'n')} AS split FROM (SELECT *, row_number() OVER ({W}) - 1 AS p, count(*) OVER (PARTITION BY source_file) AS n FROM reviewed))"
 
@@ -69,7 +76,7 @@ episodes AS (SELECT source_file, greatest(min(pos) - 6, 0) AS lo, least(max(pos)
 gaps AS (SELECT source_file, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM episodes WINDOW w AS (PARTITION BY source_file ORDER BY lo) UNION ALL SELECT source_file, max(hi), max(n) FROM episodes GROUP BY source_file),
 ranks AS (SELECT source_file, row_number() OVER (ORDER BY min(ts), source_file) AS rk, count(*) AS rows FROM reviewed GROUP BY source_file),
 dealt AS (SELECT source_file, lo, hi, row_number() OVER (ORDER BY rk, lo) - 1 AS i, count(*) OVER () AS m FROM episodes JOIN ranks USING (source_file)),
-named AS (SELECT source_file, lo, hi, {slot_sql('i')} AS split FROM dealt),
+named AS (SELECT source_file, lo, hi, {episode_slot_sql('i', 'm')} AS split FROM dealt),
 blocks AS (SELECT source_file, s AS lo, least(s + 32, hi) AS hi, row_number() OVER (ORDER BY rk, s) AS i FROM (SELECT source_file, hi, unnest(range(lo, hi, 32)) AS s FROM gaps WHERE lo < hi) JOIN ranks USING (source_file)),
 goal AS (SELECT CAST(sum(rows) AS DOUBLE) * CAST(0.7 AS DOUBLE) AS t1, CAST(sum(rows) AS DOUBLE) * CAST(0.15 AS DOUBLE) AS t2, greatest(CAST(sum(rows) AS DOUBLE) * (CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE) - CAST(0.15 AS DOUBLE)), CAST(0 AS DOUBLE)) AS t3 FROM ranks),
 start AS (SELECT CAST(coalesce(sum(hi - lo) FILTER (split = 'train'), 0) AS DOUBLE) AS c1, CAST(coalesce(sum(hi - lo) FILTER (split = 'validation'), 0) AS DOUBLE) AS c2, CAST(coalesce(sum(hi - lo) FILTER (split = 'test'), 0) AS DOUBLE) AS c3 FROM named),

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_CHUNK_CONF = "spark.tidemark.rowsPerChunk"
-DEFAULT_ROWS_PER_CHUNK = 250_000
+DEFAULT_ROWS_PER_CHUNK = 1_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
