@@ -224,7 +224,8 @@ def capped_windows(spark, sf):
 
 @query("t07_contiguous_blocks", READINGS + f""", placed AS (SELECT *, row_number() OVER ({W}) - 1 AS pos FROM readings), blocks AS (SELECT source_file, pos // 48 AS b, count(*) AS rows FROM placed GROUP BY ALL HAVING count(*) >= 13),
 chosen AS ({spread_sql('blocks', 42, order='source_file, b')}), budget AS (SELECT *, sum(rows) OVER (ORDER BY source_file, b) - rows AS before FROM chosen)
-SELECT p.row_id, p.ts, p.source_file, p.m1, p.m2, p.m3, CAST(p.qc AS BIGINT) AS qc FROM placed p JOIN budget c ON p.source_file = c.source_file AND p.pos // 48 = c.b WHERE c.before + p.pos % 48 < 2000""")
+SELECT p.row_id, p.ts, p.source_file, p.m1, p.m2, p.m3, CAST(p.qc AS BIGINT) AS qc FROM placed p JOIN budget c ON p.source_file = c.source_file AND p.pos // 48 = c.b WHERE c.before + p.pos % 48 < 2000 AND (SELECT count(*) FROM readings) > 2000
+UNION ALL SELECT row_id, ts, source_file, m1, m2, m3, CAST(qc AS BIGINT) FROM readings WHERE (SELECT count(*) FROM readings) <= 2000""")
 def blocks(spark, sf):
     return sequences.contiguous_blocks(readings(spark, sf), PROFILE, max_rows=2000, block_rows=48, lookback=12)
 
