@@ -103,7 +103,8 @@ def forecast_anomalies(df: DataFrame, profile: Profile, experiments: Sequence[Ex
     reviewed = reviewed_target_frame(narrow, profile)
     limit = fractional_row_limit(reviewed.count(), data_fraction)
     options = {"block_rows": 1024, "context_rows": 512, "merge_gap_rows": 128, "purge_gap_rows": 256, **split_options}
-    cut = settle(split_by_strategy(reviewed_target_frame(narrow, profile, limit), profile, "episode_aware", **options))
+    modelled = settle(reviewed_target_frame(narrow, profile, limit)) if limit else reviewed
+    cut = settle(split_by_strategy(modelled, profile, "episode_aware", **options))
     rows = settle(features_for_splits(df, cut, profile))
     tables, summaries = [], []
     for experiment in experiments:

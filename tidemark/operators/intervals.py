@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import arrange
+from tidemark.session import settle
 
 
 def label_runs(df: DataFrame, *, time: str, label: Column, order: Sequence[str], by: Sequence[str] = (),
@@ -54,7 +55,7 @@ def merge_labelled_intervals(intervals: DataFrame, *, by: Sequence[str] = (), ma
     """Join neighbouring intervals of equal label that touch or overlap."""
     by = list(by)
     work = intervals.select(*[f"`{c}`" for c in by], "label", F.unix_micros("start").alias("__s"), F.unix_micros("end").alias("__e"))
-    seq = arrange(work, by=by, order=["__s", "__e", "label"], back=1)
+    seq = arrange(settle(work), by=by, order=["__s", "__e", "label"], back=1)
     here = seq.window()
     seq = seq.with_columns({
         "__last_end": F.lag("__e").over(here),
@@ -77,7 +78,7 @@ def merge_labelled_intervals(intervals: DataFrame, *, by: Sequence[str] = (), ma
 def merge_row_intervals(intervals: DataFrame, *, by: Sequence[str] = (), gap_rows: int = 0) -> DataFrame:
     """Merge half-open `[start, end)` row intervals that overlap or lie within `gap_rows`."""
     by = list(by)
-    seq = arrange(intervals.select(*[f"`{c}`" for c in by], "start", "end"), by=by, order=["start", "end"], back=1)
+    seq = arrange(settle(intervals.select(*[f"`{c}`" for c in by], "start", "end")), by=by, order=["start", "end"], back=1)
     seq = seq.with_columns({"__before": F.lag("end").over(seq.window())})
     seq = seq.accumulate(__reach=("max", F.col("__before")))
     opens = F.col("__reach").isNull() | (F.col("start") > F.col("__reach") + gap_rows)

@@ -133,7 +133,8 @@ def panel_scores(df: DataFrame, profile: Profile, classes: Sequence[int], points
     Shares inside a panel are differences of running counts at its two ends,
     so each run needs two key lookups, whatever the panel length.
     """
-    unique = settle(first_per_key(df, [profile.source, profile.time], profile.tie_break))
+    needed = [profile.source, profile.time, *profile.tie_break, profile.target, measurement, *([secondary] if secondary else [])]
+    unique = settle(first_per_key(df.select(*[f"`{c}`" for c in dict.fromkeys(needed)]), [profile.source, profile.time], profile.tie_break))
     value = F.coalesce(label_id(F.col(f"`{profile.target}`")), F.lit(-1))
     counted = {"m": F.col(measurement).isNotNull()} | ({"s": F.col(secondary).isNotNull()} if secondary else {})
     counted |= {f"f{v}": value == v for v in dict.fromkeys([*classes, *avoid])}

@@ -19,7 +19,7 @@ WORST, MAJORITY = "worst", "majority"
 # --- next-value forecast windows --------------------------------------------
 
 def forecast_rows(df: DataFrame, profile: Profile, *, features: Sequence[str], target: str, lookback: int,
-                  max_gap_seconds: float, good_only: bool = False, by: Sequence[str] = ()) -> DataFrame:
+                  max_gap_seconds: float, good_only: bool = False, by: Sequence[str] = (), with_history: bool = False) -> DataFrame:
     """All rows with `row_index` and `is_end`: may the row end a window?
 
     A window is `lookback` usable rows and the usable end row, with every time
@@ -42,6 +42,9 @@ def forecast_rows(df: DataFrame, profile: Profile, *, features: Sequence[str], t
         "__bad": F.coalesce(F.max(F.when(~F.col("__usable"), F.col("__n"))).over(so_far), F.lit(0)),
         "__cut": F.coalesce(F.max(F.when(~F.col("__linked"), F.col("__n"))).over(so_far), F.lit(0)),
     })
+    if with_history:
+        values = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+        seq = seq.with_columns({"history": F.collect_list(values).over(seq.window(-lookback, -1))})
     ends = (F.col("__n") > lookback) & (F.col("__bad") < F.col("__n") - lookback) & (F.col("__cut") <= F.col("__n") - lookback)
     return seq.rows().withColumn("is_end", ends).drop("__n", "__usable", "__linked", "__bad", "__cut")
 
@@ -99,7 +102,7 @@ def forecast_windows(df: DataFrame, profile: Profile, *, features: Sequence[str]
     the union is thinned evenly to the limit again.
     """
     rows = forecast_rows(df, profile, features=features, target=target, lookback=lookback,
-                         max_gap_seconds=max_gap_seconds, good_only=good_only, by=by)
+                         max_gap_seconds=max_gap_seconds, good_only=good_only, by=by, with_history=limit is None)
     ends = rows.where("is_end")
     if limit is not None:
         sources = max(df.select(f"`{profile.source}`").distinct().count(), 1)
@@ -109,10 +112,10 @@ def forecast_windows(df: DataFrame, profile: Profile, *, features: Sequence[str]
         ends = evenly_spaced_take(ends, limit, by=by, order=[profile.source, "row_index"])
     label = label_id(F.col(f"`{profile.target}`"))
     ends = ends.select(*[f"`{c}`" for c in dict.fromkeys([*by, profile.source, profile.time, *profile.tie_break])], "row_index",
-                       F.col(f"`{target}`").cast("double").alias("target_value"), label.alias("qc_label"),
+                       *(["history"] if limit is None else []), F.col(f"`{target}`").cast("double").alias("target_value"), label.alias("qc_label"),
                        F.coalesce(label.isin(list(profile.good)), F.lit(False)).alias("is_good"),
                        is_issue(label, profile.issue).alias("is_issue"))
-    return attach_history(rows, ends, profile, features=features, lookback=lookback, by=by)
+    return ends if limit is None else attach_history(rows, ends, profile, features=features, lookback=lookback, by=by)
 
 
 def contiguous_blocks(df: DataFrame, profile: Profile, *, max_rows: int, block_rows: int, lookback: int) -> DataFrame:
@@ -175,7 +178,7 @@ def sequence_bundle(df: DataFrame, profile: Profile, *, features: Sequence[str],
     Windows never cross a split or a source. The class list is shared by all
     splits; it is as short as the label domain, so the driver may hold it.
     """
-    windows = fixed_windows(df, profile, features=features, label=label, size=size, by=[split])
+    windows = settle(fixed_windows(df, profile, features=features, label=label, size=size, by=[split]))
     if task == "binary":
         target = F.array_max("labels") if output == "window" else F.col("labels")
         return windows.withColumn("y", target), [0, 1]
