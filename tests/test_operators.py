@@ -241,3 +241,17 @@ def test_ranking_needs_both_classes(spark):
 def test_f1_without_hits_is_zero(spark):
     df = spark.createDataFrame([(0, 1), (1, 0)], "y int, p int")
     assert f1_score(df, "y", "p", average="binary").first()["f1"] == 0.0
+
+
+def test_strategy_labels_and_feature_sets():
+    from tidemark.functions.labels import strategy_labels
+    assert strategy_labels("raw_multiclass") is None and strategy_labels("collapsed_1_34_9") == [1, 34, 9]
+    assert strategy_labels("collapsed_12_34_9") == [12, 34, 9] and strategy_labels("binary_issue") == [0, 1]
+    sets = features.feature_sets(PROFILE)
+    assert [len(v) for v in sets.values()] == [3, 6, 16]
+
+
+def test_feature_sets_name_built_columns(spark):
+    built = features.sequence_features(sensor(spark, [1, 3, 9, 1]), PROFILE)
+    for names in features.feature_sets(PROFILE).values():
+        assert set(names) <= set(built.columns)

@@ -39,6 +39,7 @@ class Experiment:
 
 def presets(kind: str) -> list[Experiment]:
     """Named experiment lists: history on or off, window budgets, loss, lookback."""
+    # Experiment names, window budgets and lookbacks.
     own, other = Experiment("target_history_20k"), Experiment("exogenous_only_20k", include_target_history=False)
 
     def more(base: Experiment, name: str, train: int = 100_000, evaluate: int = 30_000, **changes) -> Experiment:

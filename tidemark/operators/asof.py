@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import arrange
+from tidemark.profiles import MERGE_ORDER
 from tidemark.session import settle
 
 
@@ -66,9 +67,10 @@ def merged_columns(primary: Sequence[str], companions: Sequence[tuple[str, Seque
 
 def join_companions(primary: DataFrame, companions: Sequence[tuple[str, DataFrame]], *, time: str, by: Sequence[str],
                     tie: str, tolerance_seconds: float, fixed: Sequence[str] = ()) -> DataFrame:
-    """Fold the nearest join over the companion devices in the given order."""
+    """Fold the nearest join over the companion devices, in their fixed order."""
     merged = primary
-    for device, frame in companions:
+    rank = {device: i for i, device in enumerate(MERGE_ORDER)}
+    for device, frame in sorted(companions, key=lambda c: rank.get(c[0], len(rank))):
         kept = [c for c in frame.columns if c not in {time, tie, *by, *fixed}]
         names = companion_names(merged.columns, device, kept)
         merged = nearest_join(merged, frame.withColumnsRenamed(names), time=time, by=by, left_tie=tie, right_tie=tie,

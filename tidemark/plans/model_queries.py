@@ -11,6 +11,7 @@ from tidemark.models.prepare import fit_medians, impute
 from tidemark.operators import cleaning, features, metrics, sequences, splits, summaries
 from tidemark.plans.registry import PROFILE, READINGS, SCORES, query, r9, readings, scores
 from tidemark.plans.sequence_queries import FIXED, window_sql
+from tidemark.plans.split_queries import GLOBAL
 from tidemark.session import scratch_path, settle
 from tidemark.sources.datasets import write_reports
 
@@ -194,7 +195,20 @@ def interval_labels(spark, sf):
     return _report(spark, sf)["label_counts"]
 
 
-@query("m11_interval_report")
+def spans_sql(name: str, label: str) -> str:
+    return f""", {name}_rows AS (SELECT ts, {label} AS l, lag(ts) OVER g AS prev, lead(ts) OVER g AS nxt, CASE WHEN lag({label}) OVER g = {label} THEN 0 ELSE 1 END AS fresh, row_number() OVER g AS rn
+FROM chosen WINDOW g AS (ORDER BY ts, source_file, row_id)), {name}_runs AS (SELECT *, sum(fresh) OVER (ORDER BY rn) AS run FROM {name}_rows),
+{name} AS (SELECT coalesce(min(prev) FILTER (fresh = 1) + (min(ts) - min(prev) FILTER (fresh = 1)) // 2, min(ts)) AS start, coalesce(max(ts) + (max(nxt) - max(ts)) // 2, max(ts)) AS stop, CAST(min(l) AS BIGINT) AS label FROM {name}_runs GROUP BY run)"""
+
+
+REPORT_SQL = (GLOBAL + CHOSEN[len(READINGS):] + spans_sql("true_spans", "qc") + spans_sql("guessed_spans", "prediction")
+              + ", spans AS (SELECT split, min(ts) AS lo, max(ts) AS hi FROM split GROUP BY split), hit AS (SELECT split, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS k "
+              "FROM spans WHERE lo <= (SELECT max(ts) FROM chosen) AND hi >= (SELECT min(ts) FROM chosen)) "
+              "SELECT start, stop AS \"end\", label, 'true_intervals' AS kind FROM true_spans UNION ALL SELECT start, stop, label, 'predicted_intervals' FROM guessed_spans "
+              "UNION ALL SELECT NULL, NULL, NULL, CASE count(*) WHEN 0 THEN 'outside modeled range' WHEN 1 THEN min(split) ELSE 'mixed (' || string_agg(split, ', ' ORDER BY k) || ')' END FROM hit")
+
+
+@query("m11_interval_report", REPORT_SQL)
 def report_tables(spark, sf):
     tables = _report(spark, sf)
     origin = tables["origin"].select("origin")

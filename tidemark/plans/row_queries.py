@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.labels import infinite_to_null, is_issue, is_reviewed, meaning, strategy_target
+from tidemark.functions.labels import infinite_to_null, is_issue, is_reviewed, meaning
 from tidemark.functions.names import clean_header, device_family, display_source, name_time, series_key
 from tidemark.operators import cleaning, ordering, summaries
 from tidemark.plans.registry import (GOOD, ISSUE, PROFILE, READINGS, SCORES, SHIPMENT_PROFILE, SHIPMENTS, query, r9, readings, scores, shipments,
@@ -81,9 +81,9 @@ UNION ALL SELECT 'collapsed_12_34_9', row_id, CASE WHEN qc IN (3, 4) THEN 34 WHE
 UNION ALL SELECT 'binary_issue', row_id, CAST(qc IN (3, 4, 9) AS INT) FROM readings""")
 def target_strategies(spark, sf):
     names = ["raw_multiclass", "multiclass_1_3_4_9", "collapsed_1_34_9", "collapsed_12_34_9", "binary_issue"]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), strategy_target(F.col("qc"), n, ISSUE).alias("target")) for n in names])).alias("s")
-    return (readings(spark, sf).select("row_id", each).where(F.col("s.target").isNotNull())
-            .select("s.strategy", "row_id", F.col("s.target").alias("strategy_target")))
+    rows = readings(spark, sf)
+    each = [cleaning.apply_target_strategy(rows, PROFILE, n).select(F.lit(n).alias("strategy"), "row_id", "strategy_target") for n in names]
+    return cleaning.union_all(each)
 
 
 @query("p13_open_time_filter", READINGS + f" SELECT {ROW} FROM readings WHERE ts >= epoch_us(TIMESTAMP '2024-01-20 06:00:00')")

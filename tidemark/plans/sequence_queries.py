@@ -424,6 +424,25 @@ def panel_scores(spark, sf):
     return scored.select("source_file", "label", "first_row", "middle_row", "panel_start", "panel_stop", "target_share", "avoid_share", "score")
 
 
-@query("t11_best_panels")
+SCORED = PANELS + """, cells AS (SELECT p.source_file, p.label, p.first_row, p.mid, p.lo, p.hi, i.ts, i.qc FROM panels p JOIN islands i ON i.source_file = p.source_file AND i.pos >= p.lo AND i.pos < p.hi),
+shares AS (SELECT source_file, label, first_row, mid AS middle_row, lo AS panel_start, hi AS panel_stop, min(ts) AS panel_from, max(ts) AS panel_to, CAST(1 AS DOUBLE) AS measurement_share, CAST(1 AS DOUBLE) AS secondary_share,
+avg(CASE WHEN qc = label THEN 1 ELSE 0 END) AS target_share, avg(CASE WHEN qc = 9 AND label <> 9 THEN 1 ELSE 0 END) AS avoid_share,
+(max(ts) - min(ts)) / 1e6 / greatest(hi - lo - 1, 1) / 60 AS gap_minutes, (mid - lo) / CAST(greatest(hi - lo - 1, 1) AS DOUBLE) AS target_position FROM cells GROUP BY source_file, label, first_row, mid, lo, hi),
+scored AS (SELECT *, 3.0 + 0.5 + least(target_share, 0.25) * 2.0 - avoid_share * 6.0 - ln(1 + gap_minutes) * 0.8 - abs(target_position - 0.5) * 4.0 AS raw FROM shares)"""
+
+
+def overlap_sql(used: str) -> str:
+    return f"coalesce((SELECT sum(greatest(0, least(s.panel_to, u.panel_to) - greatest(s.panel_from, u.panel_from)) / 1e6 / greatest(1, (s.panel_to - s.panel_from) / 1e6)) FROM {used} u), 0)"
+
+
+def pick_sql(label: int, used: str) -> str:
+    return f"SELECT * FROM (SELECT s.*, raw - 8 * {overlap_sql(used) if used else '0'} AS score FROM scored s WHERE label = {label}) ORDER BY round(score, 9) DESC, source_file, first_row LIMIT 1"
+
+
+BEST = (SCORED + f", b3 AS ({pick_sql(3, '')}), b4 AS ({pick_sql(4, 'b3')}), used4 AS (SELECT * FROM b3 UNION ALL SELECT * FROM b4), b9 AS ({pick_sql(9, 'used4')}) SELECT source_file, label, first_row, middle_row, panel_start, panel_stop, panel_from, panel_to, "
+        + ", ".join(r9(c, c) for c in ("measurement_share", "secondary_share", "target_share", "avoid_share", "gap_minutes", "target_position", "score")) + " FROM (SELECT * FROM used4 UNION ALL SELECT * FROM b9)")
+
+
+@query("t11_best_panels", BEST)
 def best_panels(spark, sf):
     return selection.best_panels(readings(spark, sf), PROFILE, [3, 4, 9], 24, measurement="m1", secondary="m2", avoid=[9])
