@@ -198,6 +198,16 @@ def test_greedy_fill_matches_block_by_block(spark):
         assert got == want
 
 
+def test_units_do_not_depend_on_the_pieces_per_task(spark, monkeypatch):
+    df = sensor(spark, ([1] * 53 + [3] * 5 + [1] * 31) * 6).unionByName(sensor(spark, [1] * 70 + [4] * 3, "b", start_id=5000))
+    options = {"block_rows": 8, "context_rows": 2, "purge_gap_rows": 2}
+    whole = splits.split_by_strategy(df, PROFILE, "episode_aware", **options)
+    monkeypatch.setattr(splits, "_PIECES_PER_TASK", 3)
+    monkeypatch.setattr(splits, "_PIECE_BLOCKS", 2)
+    pieces = splits.split_by_strategy(df, PROFILE, "episode_aware", **options)
+    assert whole.count() == pieces.count() and whole.exceptAll(pieces).isEmpty()
+
+
 def test_split_shares_and_gap(spark):
     df = sensor(spark, [1] * 60 + [3] * 40)
     table = summaries.split_distribution(splits.contiguous(df, PROFILE, 0.70, 0.15), "qc")

@@ -18,7 +18,7 @@ from tidemark.operators.cleaning import attach_small, union_all
 from tidemark.operators.intervals import issue_episodes
 from tidemark.operators.ordering import arrange, with_position
 from tidemark.profiles import Profile
-from tidemark.session import settle
+from tidemark.session import scratch_path, settle
 
 SPLITS = ("train", "validation", "test")
 STRATEGIES = ("global_contiguous", "per_source_contiguous", "interleaved_blocks", "episode_aware")
@@ -84,6 +84,7 @@ def interleaved_blocks(df: DataFrame, profile: Profile, train: float, validation
 # --- episode-aware -----------------------------------------------------------
 
 _PIECE_BLOCKS = 4096
+_PIECES_PER_TASK = 5_000
 
 
 def place_issues(df: DataFrame, profile: Profile, issue: Column) -> DataFrame:
@@ -180,18 +181,20 @@ def assign_units(episodes: DataFrame, clean: DataFrame, ranks: DataFrame, profil
               .select(source, "source_rank", F.col("__s").alias("start"), F.least(F.col("__s") + span, F.col("end")).alias("end")))
     pieces = settle(with_position(pieces, order=["source_rank", "start"], name="__i"))
     schema = f"`{source}` {ranks.schema[source].dataType.simpleString()}, `start` bigint, `end` bigint, __i bigint, picks array<int>, state array<double>"
-    per_chunk, done = 20_000, []
-    chunks = -(-pieces.count() // per_chunk)
+    chunks = -(-pieces.count() // _PIECES_PER_TASK)
+    if not chunks:
+        return dealt
+    path = scratch_path(pieces.sparkSession, "units")
     for chunk in range(chunks):
-        mine = pieces.withColumn("__c", F.floor(F.col("__i") / per_chunk)).where(F.col("__c") == chunk)
+        mine = pieces.withColumn("__c", F.floor(F.col("__i") / _PIECES_PER_TASK)).where(F.col("__c") == chunk)
         part = mine.groupBy("__c").applyInPandas(_filler(source, targets, current, block_rows), schema)
-        if chunk < chunks - 1:
-            part = settle(part)
-            current = np.array(part.agg(F.max_by("state", "__i")).first()[0])
-        done.append(part)
-    if not done:
-        return dealt
-    blocks = union_all(done).select(source, "start", "end", F.posexplode("picks").alias("__b", "__p"))
+        if chunks == 1:
+            break
+        part.write.mode("overwrite").parquet(f"{path}/part={chunk}")
+        written = pieces.sparkSession.read.schema(part.schema).parquet(f"{path}/part={chunk}")
+        current = np.array(written.agg(F.max_by("state", "__i")).first()[0])
+    picked = part if chunks == 1 else pieces.sparkSession.read.schema(part.schema).parquet(path)
+    blocks = picked.select(source, "start", "end", F.posexplode("picks").alias("__b", "__p"))
     begin = F.col("start") + F.col("__b").cast("bigint") * block_rows
     cleaned = blocks.select(source, begin.cast("bigint").alias("start"),
                             F.least(begin + block_rows, F.col("end")).cast("bigint").alias("end"), F.lit("clean").alias("kind"),
