@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, html, packing, quality, simhash, sketch, toxicity
+from tidemark.llm import bpe, chat, html, licenses, lm, packing, quality, simhash, sketch, toxicity
 from tidemark.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,16 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_versions(table(spark, sf_dir, "documents"))
 
 
+@query("op3_pseudo_likelihood")
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
