@@ -1,12 +1,60 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: from documents to packed sequences.
+
+Each stage works on all that its predecessor kept; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import packing, quality, simhash, toxicity
 from tidemark.llm.common import ready, table, written
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels of documents still here, doesn't call toxic."""
+    ready(spark)
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(toxicity.scorer(model)("text") < 0.5)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie near the bulk of their language and source."""
+    ready(spark)
+    return quality.keep(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id.
+
+    Rows without an id can't name a group: of equal texts among them one stays,
+    unless a document with an id is in their group.
+    """
+    ready(spark)
+    found = written(simhash.near_duplicates(docs), "near-duplicates")
+    chosen = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
+    kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not chosen.filter("times > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    if not found.filter("doc_id IS NULL AND component_id IS NULL").isEmpty():
+        alone = found.filter("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
+        named = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
+        prints = simhash.fingerprints(named.select(F.coalesce("text", F.lit("")).alias("doc_id"), "text")).select(
+            F.col("doc_id").alias("same_text"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")).join(alone, "fingerprint", "left_semi")
+        kept = kept.unionByName(named.join(prints, F.coalesce("text", F.lit("")) == F.col("same_text"), "left_semi").select(docs.columns))
+    return kept
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All pieces of the documents left, with their sequences."""
+    ready(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_low_quality), ("near_dedup", drop_near_duplicates), ("packing", pack)]
 
 #: None: the classifier's and the estimator's verdicts are no SQL.
 ORACLE_SQL = None
@@ -18,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name)
+            docs = written(docs, f"stage-{name}")
     return docs

@@ -225,23 +225,33 @@ def resolve(estimates: DataFrame, groups: DataFrame, *, small: int = SMALL) -> D
     """(lang, source, center, precision) for each pair of `groups`: its own estimate, or its language's, or that of all."""
     named = groups.select("lang", "source").distinct()
     for k, keys in enumerate(LEVELS):
-        key = F.concat_ws("\x1f", F.lit(str(len(keys))), *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~")) for c in keys])
+        # The empty string of the first part keeps the key of all texts a column: a constant would make the join a nested loop.
+        key = F.concat_ws("\x1f", F.concat(F.lit(str(len(keys))), F.coalesce(F.left("lang", F.lit(0)), F.lit(""))), *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~")) for c in keys])
         found = estimates if not keys else estimates.filter(F.col("n") >= small)
         named = named.withColumn("group", key).join(found.select("group", F.struct("center", "precision").alias(f"of{k}")), "group", "left").drop("group")
     best = F.coalesce(*(f"of{k}" for k in range(len(LEVELS))))
     return named.select("lang", "source", best["center"].alias("center"), best["precision"].alias("precision"))
 
 
-def verdict(measured: DataFrame, resolved: DataFrame, *, limit: float = LIMIT) -> DataFrame:
-    """Add base_failed, distance and kept to rows of counts; without any estimate the base rules decide."""
+def verdict(measured: DataFrame, resolved: DataFrame, *, of: Callable[[str], Column] = F.col, limit: float = LIMIT) -> DataFrame:
+    """Add base_failed, distance and kept to rows of counts (`of` names the columns of counts); without any estimate the base rules decide."""
     keyed = resolved.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("center").alias("__center"), F.col("precision").alias("__precision"))
     keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_GROUPS else keyed
     joined = measured.join(keyed, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    far = squared_distance(vector(), F.col("__center"), F.col("__precision"))
-    judged = joined.withColumn("base_failed", base_failed()).withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(far)))
+    failed = base_failed(of)
+    far = F.when(~failed, F.sqrt(squared_distance(vector(of), F.col("__center"), F.col("__precision"))))
+    judged = joined.withColumns({"base_failed": failed, "distance": far})
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= math.sqrt(limit), F.lit(True))).drop("__lang", "__source", "__center", "__precision")
 
 
+def keep(documents: DataFrame) -> DataFrame:
+    """The documents that are kept, with their own columns; their counts are taken twice, so that no text moves."""
+    measured = written(counts(documents), "quality-counts")
+    resolved = resolve(fit(measured), measured)
+    bare = documents.select("lang", "source", F.struct("*").alias("__row")).withColumn("__counts", counts_column()("__row.text"))
+    return verdict(bare, resolved, of=lambda c: F.col(f"__counts.{c}")).filter("kept").select("__row.*")
+
+
 def judge(documents: DataFrame) -> DataFrame:
     """(doc_id, counts, base_failed, distance, kept) of every row; repeated rows stay repeated."""
     measured = written(counts(documents), "quality-counts")
