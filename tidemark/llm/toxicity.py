@@ -16,6 +16,7 @@ labels of only one class, or none, the score is the smoothed base rate.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -125,16 +126,22 @@ def fit(texts: list[str | None], labels: list[int], *, size: int = 8, min_texts:
     words = list(word_of)
     seen = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=len(words))
     texts_of: dict[str, int] = {}
-    lists = [ngrams(w) for w in words]
-    for grams, n in zip(lists, seen.tolist()):
-        for g in set(grams):
-            texts_of[g] = texts_of.get(g, 0) + n
+    for w, n in zip(words, seen.tolist()):
+        if n > 1:  # most words of the texts are in one text only; what they share is in others, too
+            for g in set(ngrams(w)):
+                texts_of[g] = texts_of.get(g, 0) + n
     kept = sorted((g for g, n in texts_of.items() if n >= min_texts), key=lambda g: (-texts_of[g], g))[:max_grams]
     index = {g: i for i, g in enumerate(kept)}
-    entry_word = np.concatenate([np.full(sum(g in index for g in grams), i, np.int32) for i, grams in enumerate(lists)])
-    entry_gram = np.array([index[g] for grams in lists for g in grams if g in index], np.int32)
-    share = 1.0 / np.maximum(np.array([len(g) for g in lists], float), 1.0)
-    entry_share = share[entry_word]
+    texts_of.clear()
+    # The n-grams of all words, laid end to end; compact, since the driver holds them.
+    entries, known, share = array("i"), np.zeros(len(words), np.int32), np.zeros(len(words))
+    for i, w in enumerate(words):
+        found = ngrams(w)
+        with_vector = [index[g] for g in found if g in index]
+        entries.extend(with_vector)
+        known[i], share[i] = len(with_vector), 1.0 / max(1, len(found))
+    entry_gram = np.frombuffer(entries, np.int32) if len(entries) else np.zeros(0, np.int32)
+    entry_word = np.repeat(np.arange(len(words), dtype=np.int32), known)
     # Windows of all texts, laid end to end.
     lengths = np.array([len(r) for r in rows])
     tokens = np.concatenate(rows)
@@ -155,7 +162,7 @@ def fit(texts: list[str | None], labels: list[int], *, size: int = 8, min_texts:
     for step in range(1, rounds + 1):
         vectors, softmax, bias = parameters
         direction = softmax[:, 1] - softmax[:, 0]
-        word_value = np.bincount(entry_word, (vectors @ direction)[entry_gram] * entry_share, minlength=len(words))
+        word_value = share * np.bincount(entry_word, (vectors @ direction)[entry_gram], minlength=len(words))
         total = np.concatenate([[0.0], np.cumsum(word_value[tokens])])
         means = (total[end] - total[start]) / (end - start)
         best = np.maximum.reduceat(means, first)
@@ -170,7 +177,7 @@ def fit(texts: list[str | None], labels: list[int], *, size: int = 8, min_texts:
         at_token = np.cumsum(edge[:-1])
         touched = np.flatnonzero(at_token)
         at_word = np.bincount(tokens[touched], at_token[touched], minlength=len(words))
-        at_gram = np.bincount(entry_gram, at_word[entry_word] * entry_share, minlength=len(kept))
+        at_gram = np.bincount(entry_gram, (at_word * share)[entry_word], minlength=len(kept))
         toward = vectors.T @ at_gram
         gradients = [np.outer(at_gram, direction) + decay * vectors, np.stack([-toward, toward], 1) + decay * softmax, np.array([-slope.sum(), slope.sum()])]
         for k, (p, g) in enumerate(zip(parameters, gradients)):
@@ -188,8 +195,8 @@ def held_out(id_column: str = "doc_id", folds: int = 5):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def sample(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_positive: int = 2_000, max_negative: int = 4_000,
-           max_chars: int = 40_000_000) -> tuple[list[str | None], list[int]]:
+def sample(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max_positive: int = 1_200, max_negative: int = 2_400,
+           max_chars: int = 20_000_000) -> tuple[list[str | None], list[int]]:
     """Labelled texts for the fit, in the order of a hash of the id.
 
     The bound: `max_positive` and `max_negative` rows of the two classes, and
