@@ -23,11 +23,9 @@ from __future__ import annotations
 import math
 import os
 import zlib
-from array import array
 from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -39,9 +37,9 @@ CAPACITY, END_ID = 2048, 0
 #: Fixed value: a special token of the vocabulary.
 MARK = "<|endoftext|>"
 #: Words tokenised at once and kept in a worker's memo.
-AT_ONCE, MEMO = 1_024, 400_000
+AT_ONCE, MEMO = 1_024, 700_000
 #: Pieces left to best fit, and pieces of one bucket.
-REST, BUCKET_ROWS = 40_000, 20_000
+REST, BUCKET_ROWS = 40_000, 2_000
 
 
 class Tokenizer:
@@ -62,9 +60,9 @@ class Tokenizer:
             codec.no_padding()
         self.mark = MARK if self.marked.token_to_id(MARK) is not None else ""
         self.mark_id = self.marked.token_to_id(MARK)
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
         found = list(map(self.memo.get, words))
         if None in found:
@@ -72,22 +70,18 @@ class Tokenizer:
             found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
             if len(self.memo) + len(new) <= MEMO:
                 self.memo.update((w, ids) for w, ids in new.items() if len(w) <= 64)
-        return array("I", chain.from_iterable(found))
+        return np.frombuffer(b"".join(found), "<u4")
 
-    def _new(self, words: set[str]) -> dict[str, list[int]]:
+    def _new(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each word. Many words go as one string with a special token between them, which no word holds."""
         odd = [w for w in words if not self.mark or "<|" in w]
-        made = {w: self.codec.encode(w, add_special_tokens=False).ids for w in odd}
-        plain = sorted(words.difference(odd)) if odd else list(words)
+        made = {w: np.array(self.codec.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd}
+        plain = list(words.difference(odd)) if odd else list(words)
         for first in range(0, len(plain), AT_ONCE):
             part = plain[first:first + AT_ONCE]
-            ids = self.marked.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids
-            at = 0
-            for w in part[:-1]:
-                end = ids.index(self.mark_id, at)
-                made[w] = ids[at:end]
-                at = end + 1
-            made[part[-1]] = ids[at:]
+            ids = np.array(self.marked.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
+            made.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(e + 4 for e in ends)], [*ends, len(raw)]))
         return made
 
 
@@ -104,9 +98,7 @@ def cut(documents: DataFrame, path: str, *, capacity: int = CAPACITY, with_ids:
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         out = {name: [] for name in names}
         for doc, text in zip(columns["doc_id"], columns["text"]):
-            ids = codec.encode(text or "")
-            ids.append(END_ID)
-            ids = np.frombuffer(ids, np.uint32).astype("<u4")
+            ids = np.append(codec.encode(text or ""), np.array([END_ID], "<u4"))
             for piece, start in enumerate(range(0, len(ids), capacity)):
                 part = ids[start:start + capacity]
                 row = (doc, piece, start, len(part), zlib.crc32(part.tobytes()), part.tolist() if with_ids else None)
