@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import finite, is_issue, is_reviewed, strategy_target
-from tidemark.operators import asof, cleaning, features, intervals, sampling, sequences, splits, summaries
+from tidemark.operators import asof, cleaning, features, intervals, sampling, selection, sequences, splits, summaries
 from tidemark.operators.metrics import exact_quantiles, f1_score, ranking_metrics
 from tidemark.profiles import Profile, fractional_row_limit, scaled_cap
+from tidemark.sources import exports
 
 PROFILE = Profile()
 BASE = dt.datetime(2025, 3, 1, tzinfo=dt.timezone.utc)
@@ -147,10 +148,22 @@ def test_forecast_windows_need_good_rows(spark):
     assert sorted(r["row_index"] for r in ends.collect()) == [2, 6, 7]
 
 
-def test_slot_schedule_is_the_known_cycle():
-    short = {"train": "t", "validation": "v", "test": "T"}
-    assert " ".join(short[s] for s in splits.slot_schedule(0.70, 0.15)) == "t t v t T t t t v t t T t t t v t T t t"
-    assert [splits.slot_schedule(0.70, 0.15, kind="runs").count(s) for s in splits.SPLITS] == [14, 3, 3]
+@pytest.mark.parametrize("cycle", range(3, 21))
+def test_slot_schedule_keeps_shares_and_balance(cycle):
+    slots = splits.slot_schedule(0.70, 0.15, cycle=cycle)
+    shares = dict(zip(splits.SPLITS, (0.70, 0.15, 0.15), strict=True))
+    assert len(slots) == cycle and sorted(slots) == sorted(splits.slot_schedule(0.70, 0.15, cycle=cycle, kind="runs"))
+    for name, share in shares.items():
+        count = slots.count(name)
+        assert count >= 1 and abs(count - max(1.0, share * cycle)) < 2
+        for upto in range(cycle + 1):  # no stretch from the start is more than a slot off
+            assert abs(slots[:upto].count(name) - count * upto / cycle) <= 1
+
+
+def test_clean_blocks_fill_targets_within_a_block(small_chunks):
+    df = sensor(small_chunks, [1] * 700 + [3] * 4 + [1] * 900)
+    rows = splits.episode_aware(df, PROFILE, 0.70, 0.15, block_rows=16).groupBy("split").count().collect()
+    assert {r["split"]: abs(r["count"] - 1604 * s) <= 16 for r, s in ((r, {"train": 0.70, "validation": 0.15, "test": 0.15}[r["split"]]) for r in rows)} == dict.fromkeys(splits.SPLITS, True)
 
 
 @pytest.mark.parametrize("strategy", splits.STRATEGIES)
@@ -177,34 +190,15 @@ def test_episode_split_without_one_side(spark, labels):
     assert splits.split_by_strategy(df, PROFILE, "episode_aware", block_rows=8).count() == len(labels)
 
 
-def test_greedy_fill_matches_block_by_block(spark):
-    import numpy as np
-    import pandas as pd
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        block = int(rng.integers(1, 40))
-        ends = rng.integers(1, 400, size=6)
-        pieces = pd.DataFrame({"s": "a", "start": 0, "end": ends, "__i": range(6)})
-        targets = np.array([0.7, 0.15, 0.15]) * float(ends.sum() + 100)
-        current = rng.integers(0, 60, size=3).astype(float)
-        got = [p for picks in splits._fill_toward_targets(pieces, targets, current, block)["picks"] for p in picks]
-        want, load = [], current.copy()
-        for end in ends:
-            for begin in range(0, int(end), block):
-                size = min(block, int(end) - begin)
-                pick = max(range(3), key=lambda s: ((targets[s] - load[s]) / max(targets[s], 1.0), targets[s] - load[s], -load[s]))
-                load[pick] += size
-                want.append(pick)
-        assert got == want
-
-
-def test_units_do_not_depend_on_the_pieces_per_task(spark, monkeypatch):
+def test_units_do_not_depend_on_the_chunks(spark):
     df = sensor(spark, ([1] * 53 + [3] * 5 + [1] * 31) * 6).unionByName(sensor(spark, [1] * 70 + [4] * 3, "b", start_id=5000))
     options = {"block_rows": 8, "context_rows": 2, "purge_gap_rows": 2}
     whole = splits.split_by_strategy(df, PROFILE, "episode_aware", **options)
-    monkeypatch.setattr(splits, "_PIECES_PER_TASK", 3)
-    monkeypatch.setattr(splits, "_PIECE_BLOCKS", 2)
-    pieces = splits.split_by_strategy(df, PROFILE, "episode_aware", **options)
+    try:
+        spark.conf.set("spark.tidemark.rowsPerChunk", "30")
+        pieces = splits.split_by_strategy(df, PROFILE, "episode_aware", **options)
+    finally:
+        spark.conf.unset("spark.tidemark.rowsPerChunk")
     assert whole.count() == pieces.count() and whole.exceptAll(pieces).isEmpty()
 
 
@@ -265,3 +259,41 @@ def test_feature_sets_name_built_columns(spark):
     built = features.sequence_features(sensor(spark, [1, 3, 9, 1]), PROFILE)
     for names in features.feature_sets(PROFILE).values():
         assert set(names) <= set(built.columns)
+
+
+def write_exports_by_hand(folder, exports=6, readings=700):
+    for e in range(exports):
+        lines = ["# station", f"2020-01-0{e + 1}T00:00:00Z, a metadata line with a time", '#"Time UTC (yyyy-mm-ddThh:mm:ss.fffZ)",m1', *[f"2025-03-01T00:{i // 60:02d}:{i % 60:02d}.000Z,{i}" for i in range(readings)]]
+        (folder / f"s{e}.csv").write_text("\n".join(lines) + "\n")
+
+
+def test_exports_lose_nothing_when_the_cluster_changes_size(spark, tmp_path):
+    write_exports_by_hand(tmp_path)
+    try:
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "64")
+        lines = exports.export_lines(spark, str(tmp_path))
+        headers = exports.export_headers(lines)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+        assert exports.read_exports(lines, headers).count() == 4200
+        first = exports.read_exports(lines, headers, first_rows=650)
+        assert {r["source_file"]: (r["count"], r["top"]) for r in first.groupBy("source_file").agg(F.count("*").alias("count"), F.max("m1").alias("top")).collect()} == {f"s{e}.csv": (650, 649.0) for e in range(6)}
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_first_rows_cross_splits(spark, tmp_path):
+    write_exports_by_hand(tmp_path, 2, 3000)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        lines = exports.export_lines(spark, str(tmp_path))
+        got = exports.read_exports(lines, exports.export_headers(lines), first_rows=2500).groupBy("source_file").agg(F.count("*").alias("n"), F.max("m1").alias("top")).collect()
+        assert [(r["n"], r["top"]) for r in got] == [(2500, 2499.0)] * 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_full_range_and_a_bundle_keep_every_row(spark):
+    df = sensor(spark, [1, 3] * 600)
+    assert selection.select_range(df, PROFILE, auto=False)[0].count() == 1200
+    assert selection.select_range(df, PROFILE, auto=False, thin_to=100)[0].count() == 100
+    assert selection.context_panel(df, PROFILE, "2024-01-01 00:00:30", 20, by_source=False).count() == 20

@@ -47,4 +47,4 @@ def series_key(name: Column) -> Column:
 def display_source(name: Column) -> Column:
     """Short source name for report tables: no suffix, no time range."""
     bare = F.replace(name, F.lit(".csv"), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(bare, "(?s)_2025.*$", ""), "(?s)_2026.*$", "")
+    return F.regexp_replace(bare, r"(?s)_\d{8}T\d{6}(?:\.\d+)?Z.*$", "")

@@ -22,14 +22,14 @@ from tidemark.session import settle
 
 @dataclass(frozen=True)
 class Experiment:
-    """One forecast run: what history it sees and how many windows it uses."""
+    """One forecast run: what history it sees; window budgets are opt-in, None takes every window."""
 
     name: str
     include_target_history: bool = True
     lookback: int = 96
     max_gap_seconds: float = 5.0
-    train_windows: int = 20_000
-    eval_windows: int = 20_000
+    train_windows: int | None = None
+    eval_windows: int | None = None
     train_sampling: str = "spread"
     eval_sampling: str = "issue_enriched"
     loss: str = "squaredError"
@@ -38,18 +38,18 @@ class Experiment:
 
 
 def presets(kind: str) -> list[Experiment]:
-    """Named experiment lists: history on or off, window budgets, loss, lookback."""
-    # Experiment names, window budgets and lookbacks.
-    own, other = Experiment("target_history_20k"), Experiment("exogenous_only_20k", include_target_history=False)
+    """Named experiment lists: history on or off, training budgets, loss, lookback; every window is scored."""
+    # Experiment names, training budgets and lookbacks.
+    own, other = Experiment("target_history_20k", train_windows=20_000), Experiment("exogenous_only_20k", include_target_history=False, train_windows=20_000)
 
-    def more(base: Experiment, name: str, train: int = 100_000, evaluate: int = 30_000, **changes) -> Experiment:
-        return Experiment(**{**asdict(base), "name": name, "train_windows": train, "eval_windows": evaluate, **changes})
+    def more(base: Experiment, name: str, train: int = 100_000, **changes) -> Experiment:
+        return Experiment(**{**asdict(base), "name": name, "train_windows": train, **changes})
 
     shared = [own, other, more(own, "target_history_100k"), more(other, "exogenous_only_100k"), more(other, "exogenous_huber_100k", loss="huber")]
     if kind == "quick":
         return shared
     if kind == "extended":
-        return [*shared, more(own, "target_history_200k", 200_000, 50_000), more(other, "exogenous_boosted_100k", learner="boosted"),
+        return [*shared, more(own, "target_history_200k", 200_000), more(other, "exogenous_boosted_100k", learner="boosted"),
                 more(other, "exogenous_lookback192_100k", lookback=192)]
     raise ValueError(f"unknown preset: {kind}")
 
@@ -89,11 +89,11 @@ def run_experiment(rows: DataFrame, profile: Profile, experiment: Experiment, *,
     kept = ["split", profile.time, profile.source, "target_value", "qc_label", "is_good", "is_issue", "predicted_value", "actual_value", "forecast_error",
             "forecast_abs_error_scaled"]
     counts = {r["split"]: r["n"] for r in windows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    summary = {**asdict(experiment), "feature_count": len(inputs), **{f"{s}_windows_actual": counts.get(s, 0) for s in ("train", "validation", "test")}}
+    summary = {**{k: v for k, v in asdict(experiment).items() if v is not None}, "feature_count": len(inputs), **{f"{s}_windows_actual": counts.get(s, 0) for s in ("train", "validation", "test")}}
     return table.select(*kept).withColumn("experiment", F.lit(experiment.name)), summary
 
 
-def forecast_anomalies(df: DataFrame, profile: Profile, experiments: Sequence[Experiment], *, target: str, data_fraction: float = 0.9,
+def forecast_anomalies(df: DataFrame, profile: Profile, experiments: Sequence[Experiment], *, target: str, data_fraction: float = 1.0,
                        seed: int = 21, **split_options) -> dict[str, DataFrame]:
     """The whole job: labels, split, features, windows, scores, thresholds, ranking.
 

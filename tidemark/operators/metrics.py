@@ -248,13 +248,12 @@ def score_summary(scores: DataFrame, *, score: str, split: str = "split", quanti
 
 
 def error_histogram(scores: DataFrame, *, score: str, split: str = "split", threshold: float, bins: int = 44) -> DataFrame:
-    """Good and issue rows per error bin from 0 to max(p99.5, threshold)."""
+    """Good and issue rows per error bin from 0 to max(p99.5, threshold); bin `bins` holds what lies above."""
     tops = {r[split]: max(r["quantile"], threshold, 1e-6) for r in exact_quantiles(scores, F.col(score), [0.995], by=split).collect()}
     top = F.lit(None).cast("double")
     for name, value in tops.items():
         top = F.when(F.col(split) == name, F.lit(value)).otherwise(top)
     width = top / bins
-    inside = (F.col(score) >= 0) & (F.col(score) <= top)
-    bin_index = F.least(F.floor(F.col(score) / width), F.lit(bins - 1))
-    return (scores.where(inside).groupBy(split, bin_index.alias("bin"))
+    bin_index = F.when(F.col(score) > top, bins).otherwise(F.least(F.floor(F.col(score) / width), F.lit(bins - 1)))
+    return (scores.where(F.col(score) >= 0).groupBy(split, bin_index.alias("bin"))
             .agg(F.count_if("is_good").alias("good_rows"), F.count_if("is_issue").alias("issue_rows")))

@@ -70,35 +70,23 @@ def rows_in_windows(rows: DataFrame, windows: DataFrame, profile: Profile, windo
 def context_panel(df: DataFrame, profile: Profile, center_time: str, points: int, *, by_source: bool = True) -> DataFrame:
     """`points` rows centred on the row closest to a time, per source, clipped at its ends.
 
-    No row needs its position: at most `points` rows on each side of the centre
-    can be in the panel, and Spark keeps only those of each task before it
-    shuffles (a window group limit).
+    Rows have positions, so the panel is a range of them: no window runs over
+    all rows on one side of the centre.
     """
     by = [profile.source] if by_source else []
     order = profile.source_order if by_source else profile.global_order
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    place = F.struct(*[F.col(c) for c in order])
+    placed = with_position(df, by=by, order=order, name="__pos", total="__n")
     distance = F.abs(micros(F.col(profile.time)) - micros(F.lit(center_time)))
-    nearest = df.groupBy(*by).agg(F.min(F.struct(distance.alias("d"), place.alias("at"))).alias("best")).select(*by, F.col("best.at").alias("__center"))
+    nearest = placed.groupBy(*by).agg(F.min(F.struct(distance.alias("d"), F.col("__pos").alias("at")))["at"].alias("__at"))
     if by:
-        around = attach_small(df, nearest, by)
-        center = F.col("__center")
+        around = attach_small(placed, nearest, by)
     else:
-        around, center = df, F.lit(None) if nearest.isEmpty() else F.struct(*[F.lit(v).alias(c) for c, v in nearest.first()[0].asDict().items()])
-        around = around.withColumn("__center", center)
-        center = F.col("__center")
-    groups = by or [F.lit(0)]
-    upward = Window.partitionBy(*groups).orderBy(*order)
-    downward = Window.partitionBy(*groups).orderBy(*[F.col(c).desc() for c in order])
-    after = around.where(place >= center).withColumn("__k", F.row_number().over(upward) - 1).where(F.col("__k") <= points)
-    before = around.where(place < center).withColumn("__k", F.row_number().over(downward)).where(F.col("__k") <= points)
-    near = before.withColumn("__k", -F.col("__k")).unionByName(after)
-    low, high = F.min("__k").over(Window.partitionBy(*groups)), F.max("__k").over(Window.partitionBy(*groups)) + 1
-    near = near.withColumns({"__lo": low, "__hi": high})
-    start = F.greatest(F.lit(-(points // 2)), F.col("__lo"))
-    stop = F.least(start + points, F.col("__hi"))
-    start = F.greatest(F.least(start, stop - points), F.col("__lo"))
-    return near.where((F.col("__k") >= start) & (F.col("__k") < stop)).select(*[f"`{c}`" for c in df.columns])
+        around = placed.withColumn("__at", F.lit(nearest.first()["__at"]).cast("bigint"))
+    start = F.greatest(F.col("__at") - points // 2, F.lit(0))
+    stop = F.least(start + points, F.col("__n"))
+    start = F.greatest(F.least(start, stop - points), F.lit(0))
+    return around.where((F.col("__pos") >= start) & (F.col("__pos") < stop)).select(*[f"`{c}`" for c in df.columns])
 
 
 def event_panels(df: DataFrame, profile: Profile, classes: Sequence[int], points: int) -> tuple[DataFrame, DataFrame]:
@@ -197,16 +185,18 @@ def best_panels(df: DataFrame, profile: Profile, classes: Sequence[int], points:
 # --- time ranges -------------------------------------------------------------
 
 def select_range(df: DataFrame, profile: Profile, *, start: str | None = None, end: str | None = None, auto: bool = True,
-                 max_points: int = 800, preferred: Sequence[int] = (4, 3, 9), max_hours: float | None = 6.0) -> tuple[DataFrame, dict]:
+                 max_points: int = 800, preferred: Sequence[int] = (4, 3, 9), max_hours: float | None = 6.0,
+                 thin_to: int | None = None) -> tuple[DataFrame, dict]:
     """Rows of an explicit or representative interval, and how it was chosen.
 
-    Automatic choice centres on the middle occurrence of the first preferred
+    The full range (`auto` off, no bounds) is every row unless `thin_to` asks for an
+    even sample. Automatic choice centres on the middle occurrence of the first preferred
     label present. Only the chosen centre (one row) reaches the driver.
     """
     if start or end:
         return between_times(df, profile.time, start, end), {"mode": "explicit", "label": None}
     if not auto:
-        return evenly_spaced_take(df, max_points, order=profile.global_order), {"mode": "manual-full-range", "label": None}
+        return df if thin_to is None else evenly_spaced_take(df, thin_to, order=profile.global_order), {"mode": "manual-full-range", "label": None}
     value = label_id(F.col(f"`{profile.target}`"))
     counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(value == v).alias(f"n{v}") for v in preferred]).first()
     label = next((v for v in preferred if counts[f"n{v}"]), None)

@@ -6,10 +6,9 @@ purge gap are absent.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from tidemark.operators.cleaning import attach_small, union_all
 from tidemark.operators.intervals import issue_episodes
 from tidemark.operators.ordering import arrange, with_position
 from tidemark.profiles import Profile
-from tidemark.session import scratch_path, settle
+from tidemark.session import settle
 
 SPLITS = ("train", "validation", "test")
 STRATEGIES = ("global_contiguous", "per_source_contiguous", "interleaved_blocks", "episode_aware")
@@ -37,25 +36,25 @@ def contiguous(df: DataFrame, profile: Profile, train: float, validation: float,
     return placed.withColumn("split", _cut(F.col("__pos"), F.col("__n"), train, validation)).drop("__pos", "__n")
 
 
-def slot_schedule(train: float, validation: float, *, cycle: int = 20, kind: str = "deficit") -> list[str]:
-    """Split names of one cycle of blocks: interleaved by deficit, or in runs."""
+def slot_counts(train: float, validation: float, cycle: int) -> dict[str, int]:
+    """Slots of each split in a cycle: whole parts of the shares, at least one; the largest remainders get what is left."""
     if cycle < 3:
         raise ValueError("a cycle needs at least three slots")
-    if kind == "runs":
-        first = max(1, round(train * cycle))
-        second = max(1, round(validation * cycle))
-        if first + second >= cycle:
-            second = max(1, cycle - first - 1)
-        return [SPLITS[0] if s < first else SPLITS[1] if s < first + second else SPLITS[2] for s in range(cycle)]
-    first = min(max(round(cycle * train), 1), cycle - 2)
-    second = min(max(round(cycle * validation), 1), cycle - first - 1)
-    wanted = dict(zip(SPLITS, (first, second, max(cycle - first - second, 1)), strict=True))
-    given, slots = dict.fromkeys(SPLITS, 0), []
-    for step in range(1, cycle + 1):
-        name = max(SPLITS, key=lambda s: (wanted[s] * step / cycle - given[s], wanted[s], -given[s]))
-        slots.append(name)
-        given[name] += 1
-    return slots
+    ideal = dict(zip(SPLITS, (train * cycle, validation * cycle, (1.0 - train - validation) * cycle), strict=True))
+    counts = {s: max(1, math.floor(share)) for s, share in ideal.items()}
+    left = cycle - sum(counts.values())
+    for s in sorted(SPLITS, key=lambda s: counts[s] - ideal[s])[: max(left, 0)]:
+        counts[s] += 1
+    if left < 0:
+        counts[max(SPLITS, key=counts.get)] += left
+    return counts
+
+
+def slot_schedule(train: float, validation: float, *, cycle: int = 20, kind: str = "spread") -> list[str]:
+    """Split names of one cycle of blocks: the k-th of c slots stands at (k - 1/2) / c of the cycle, or splits in runs."""
+    counts = slot_counts(train, validation, cycle)
+    slots = [((k - 0.5) / counts[s] if kind == "spread" else 0.0, place, s) for place, s in enumerate(SPLITS) for k in range(1, counts[s] + 1)]
+    return [s for _, _, s in sorted(slots)]
 
 
 def _slot(index: Column, schedule: Sequence[str]) -> Column:
@@ -69,7 +68,7 @@ def source_ranks(df: DataFrame, profile: Profile) -> DataFrame:
 
 
 def interleaved_blocks(df: DataFrame, profile: Profile, train: float, validation: float, *, block_rows: int = 1024,
-                       cycle: int = 20, schedule: str = "deficit") -> DataFrame:
+                       cycle: int = 20, schedule: str = "spread") -> DataFrame:
     """Short blocks of each source dealt to the splits in a repeating schedule."""
     sources = settle(source_ranks(df, profile)).withColumn("__blocks", F.ceil(F.col("source_rows") / block_rows))
     seq = arrange(sources, order=["source_rank"]).accumulate(__upto=("sum", F.col("__blocks")))
@@ -83,10 +82,6 @@ def interleaved_blocks(df: DataFrame, profile: Profile, train: float, validation
 
 # --- episode-aware -----------------------------------------------------------
 
-_PIECE_BLOCKS = 4096
-_PIECES_PER_TASK = 5_000
-
-
 def place_issues(df: DataFrame, profile: Profile, issue: Column) -> DataFrame:
     """Rows with `row_index`, `source_rows` and `__issue`, in source order."""
     placed = with_position(df, by=[profile.source], order=profile.source_order, name="row_index", total="source_rows")
@@ -110,96 +105,49 @@ def split_units(placed: DataFrame, profile: Profile, *, context_rows: int, merge
     return episodes.select(source, "start", "end"), clean
 
 
-def clean_blocks(clean: DataFrame, profile: Profile, block_rows: int) -> DataFrame:
-    """Clean ranges cut into blocks of `block_rows`, the last one shorter."""
-    starts = F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(block_rows).cast("bigint")))
-    return (clean.select(profile.source, "end", starts.alias("__s"))
-            .select(profile.source, F.col("__s").alias("start"), F.least(F.col("__s") + block_rows, F.col("end")).alias("end")))
-
-
-def _fill_toward_targets(pieces: pd.DataFrame, targets: np.ndarray, current: np.ndarray, block_rows: int) -> pd.DataFrame:
-    """Give each block to the split with the largest relative deficit.
+def clean_blocks(clean: DataFrame, profile: Profile, block_rows: int, *, keep: Sequence[str] = ()) -> DataFrame:
+    """Clean ranges cut into blocks of `block_rows`, the last one shorter.
 
-    Blocks of one piece are equally long (but for its last), so the picks of a
-    piece are the largest entries of three falling score series, merged.
+    Cut twice, so that no row holds more starts than about the root of a range's blocks.
     """
-    floor = np.maximum(targets, 1.0)
-    chosen, states = [], []
-    for start, end in zip(pieces["start"], pieces["end"], strict=True):
-        full, tail = divmod(int(end - start), block_rows)
-        steps = np.arange(full)
-        load = (current[:, None] + steps[None, :] * block_rows).ravel()
-        split = np.repeat(np.arange(3), full)
-        deficit = targets[split] - load
-        best = np.lexsort((split, load, -deficit, -deficit / floor[split]))[:full]
-        picks = split[best].tolist()
-        current = current + np.bincount(picks, minlength=3) * float(block_rows) if full else current
-        if tail:
-            deficit = targets - current
-            pick = max(range(3), key=lambda s: (deficit[s] / floor[s], deficit[s], -current[s], -s))
-            picks.append(pick)
-            current = current.copy()
-            current[pick] += tail
-        chosen.append(picks)
-        states.append(current.tolist())
-    return pieces.assign(picks=chosen, state=states)
-
-
-def _filler(source: str, targets: np.ndarray, current: np.ndarray, block_rows: int):
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("__i")[[source, "start", "end", "__i"]]
-        return _fill_toward_targets(ordered, targets, current, block_rows)
-
-    return fill
+    blocks = F.ceil((F.col("end") - F.col("start")) / block_rows)
+    span = (F.ceil(F.sqrt(blocks)) * block_rows).cast("bigint")
+    parts = clean.select(profile.source, *keep, "end", span.alias("__span"), F.explode(F.sequence(F.col("start"), F.col("end") - 1, span)).alias("__from"))
+    starts = F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + F.col("__span"), F.col("end")) - 1, F.lit(block_rows).cast("bigint")))
+    return (parts.select(profile.source, *keep, "end", starts.alias("__s"))
+            .select(profile.source, *keep, F.col("__s").alias("start"), F.least(F.col("__s") + block_rows, F.col("end")).alias("end")))
 
 
 def assign_units(episodes: DataFrame, clean: DataFrame, ranks: DataFrame, profile: Profile, train: float, validation: float,
                  *, block_rows: int) -> DataFrame:
     """Units `(source, start, end, kind, split)`.
 
-    Episodes follow the slot schedule; clean blocks are then dealt out one
-    after the other toward the row targets. That rule is a recurrence over the
-    clean ranges, with three numbers as its state. Ranges are handled chunk by
-    chunk in order: a task sees one bounded chunk, the driver only the state.
+    Episodes follow the slot schedule. Clean blocks fill what the episodes leave
+    of each split's target: taken in the order of their reversed binary number,
+    which spreads any stretch of them evenly over time, the blocks whose middle
+    lies in the first stretch of rows go to train, then validation, then test. So
+    each split is within one block of its target, and all of it is counting.
     """
     source = profile.source
     order_of = ranks.select(source, "source_rank")
-    episodes = episodes.join(order_of, source)
-    placed = settle(with_position(episodes, order=["source_rank", "start"], name="__i"))
-    count = placed.count()
-    slots = slot_schedule(train, validation, cycle=max(3, min(count, 20)))
+    placed = settle(with_position(episodes.join(order_of, source), order=["source_rank", "start"], name="__i"))
+    slots = slot_schedule(train, validation, cycle=max(3, min(placed.count(), 20)))
     dealt = placed.select(source, "start", "end", F.lit("episode").alias("kind"), _slot(F.col("__i"), slots).alias("split"))
 
     rows_in = {r["split"]: r["n"] for r in dealt.groupBy("split").agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()}
     total = float(ranks.agg(F.sum("source_rows")).first()[0] or 0)
-    targets = np.array([total * train, total * validation, max(total * (1.0 - train - validation), 0.0)])
-    current = np.array([float(rows_in.get(s, 0)) for s in SPLITS])
-
-    span = _PIECE_BLOCKS * block_rows
-    cuts = F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(span).cast("bigint")))
-    pieces = (clean.join(order_of, source).select(source, "source_rank", "end", cuts.alias("__s"))
-              .select(source, "source_rank", F.col("__s").alias("start"), F.least(F.col("__s") + span, F.col("end")).alias("end")))
-    pieces = settle(with_position(pieces, order=["source_rank", "start"], name="__i"))
-    schema = f"`{source}` {ranks.schema[source].dataType.simpleString()}, `start` bigint, `end` bigint, __i bigint, picks array<int>, state array<double>"
-    chunks = -(-pieces.count() // _PIECES_PER_TASK)
-    if not chunks:
-        return dealt
-    path = scratch_path(pieces.sparkSession, "units")
-    for chunk in range(chunks):
-        mine = pieces.withColumn("__c", F.floor(F.col("__i") / _PIECES_PER_TASK)).where(F.col("__c") == chunk)
-        part = mine.groupBy("__c").applyInPandas(_filler(source, targets, current, block_rows), schema)
-        if chunks == 1:
-            break
-        part.write.mode("overwrite").parquet(f"{path}/part={chunk}")
-        written = pieces.sparkSession.read.schema(part.schema).parquet(f"{path}/part={chunk}")
-        current = np.array(written.agg(F.max_by("state", "__i")).first()[0])
-    picked = part if chunks == 1 else pieces.sparkSession.read.schema(part.schema).parquet(path)
-    blocks = picked.select(source, "start", "end", F.posexplode("picks").alias("__b", "__p"))
-    begin = F.col("start") + F.col("__b").cast("bigint") * block_rows
-    cleaned = blocks.select(source, begin.cast("bigint").alias("start"),
-                            F.least(begin + block_rows, F.col("end")).cast("bigint").alias("end"), F.lit("clean").alias("kind"),
-                            F.element_at(F.array(*[F.lit(s) for s in SPLITS]), F.col("__p") + 1).alias("split"))
-    return dealt.unionByName(cleaned)
+    targets = (total * train, total * validation, max(total * (1.0 - train - validation), 0.0))
+    lacking = [max(t - float(rows_in.get(s, 0)), 0.0) for s, t in zip(SPLITS, targets, strict=True)]
+    size = F.col("end") - F.col("start")
+    blocks = settle(with_position(clean_blocks(clean.join(order_of, source), profile, block_rows, keep=["source_rank"]), order=["source_rank", "start"], name="__i"))
+    clean_rows = float(blocks.agg(F.sum(size)).first()[0] or 0)
+    whole = sum(lacking)
+    first, second = (clean_rows * (lacking[0] / whole), clean_rows * ((lacking[0] + lacking[1]) / whole)) if whole else (clean_rows, clean_rows)
+    spread = blocks.withColumn("__order", F.reverse(F.lpad(F.bin("__i"), 48, "0")))
+    filled = arrange(spread, order=["__order"]).accumulate(__upto=("sum", size)).rows()
+    middle = F.col("__upto") - size / 2
+    split = F.when(middle < first, SPLITS[0]).when(middle < second, SPLITS[1]).otherwise(SPLITS[2])
+    return dealt.unionByName(filled.select(source, "start", "end", F.lit("clean").alias("kind"), split.alias("split")))
 
 
 def trim_units(units: DataFrame, profile: Profile, purge_gap_rows: int) -> DataFrame:

@@ -216,7 +216,7 @@ def report_tables(spark, sf):
     return spans.unionByName(origin.select(F.col("origin").alias("kind")), allowMissingColumns=True)
 
 
-QUICK = {"lookback": 6, "max_gap_seconds": 14_400.0, "train_windows": 600, "eval_windows": 300}
+QUICK = {"lookback": 6, "max_gap_seconds": 14_400.0}
 EPISODE = {"block_rows": 64, "context_rows": 4, "merge_gap_rows": 4, "purge_gap_rows": 4}
 
 

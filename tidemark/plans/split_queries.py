@@ -17,23 +17,28 @@ def cut_sql(pos: str, n: str) -> str:
     return (f"CASE WHEN {pos} < floor({n} * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN {pos} < floor({n} * (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE))) THEN 'validation' ELSE 'test' END")
 
 
-def slot_sql(index: str, kind: str = "deficit", cycle: int = 20) -> str:
-    names = ", ".join(f"'{s}'" for s in splits.slot_schedule(0.70, 0.15, cycle=cycle, kind=kind))
-    return f"([{names}])[CAST({index} % {cycle} AS BIGINT) + 1]"
+def slot_sql(index: str, kind: str = "spread") -> str:
+    """Split of a block: 14, 3 and 3 slots of 20, each split's evenly over the cycle, or one split after the other."""
+    place = "(CAST(k AS DOUBLE) - CAST(0.5 AS DOUBLE)) / CAST(c AS DOUBLE), ord" if kind == "spread" else "ord, k"
+    return (f"(SELECT list(split ORDER BY {place}) FROM (SELECT *, unnest(range(1, c + 1)) AS k FROM (VALUES ('train', 14, 0), ('validation', 3, 1), ('test', 3, 2)) t(split, c, ord)))"
+            f"[CAST({index} % 20 AS BIGINT) + 1]")
 
 
-def episode_slot_sql(index: str, episodes: str) -> str:
-    """The schedule's cycle is the number of episodes, held between 3 and 20."""
-    lists = ", ".join("[" + ", ".join(f"'{s}'" for s in splits.slot_schedule(0.70, 0.15, cycle=c)) + "]" for c in range(3, 21))
-    cycle = f"greatest(3, least({episodes}, 20))"
-    return f"([{lists}])[CAST({cycle} - 2 AS BIGINT)][CAST({index} % {cycle} AS BIGINT) + 1]"
+# Slots of cycles of 3 to 20 episodes: whole parts of the shares, at least one, the rest by largest remainder.
+EPISODE_SLOTS = """, ideals AS (SELECT cycle, split, ord, share * cycle AS ideal, greatest(1, CAST(floor(share * cycle) AS BIGINT)) AS least_slots FROM range(3, 21) t(cycle),
+(VALUES ('train', CAST(0.7 AS DOUBLE), 0), ('validation', CAST(0.15 AS DOUBLE), 1), ('test', CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE) - CAST(0.15 AS DOUBLE), 2)) s(split, share, ord)),
+slot_counts AS (SELECT cycle, split, ord, least_slots + CASE WHEN row_number() OVER (PARTITION BY cycle ORDER BY ideal - least_slots DESC, ord) <= left_over THEN 1 ELSE 0 END
++ CASE WHEN left_over < 0 AND row_number() OVER (PARTITION BY cycle ORDER BY least_slots DESC, ord) = 1 THEN left_over ELSE 0 END AS c
+FROM (SELECT *, cycle - sum(least_slots) OVER (PARTITION BY cycle) AS left_over FROM ideals)),
+slots AS (SELECT cycle, split, row_number() OVER (PARTITION BY cycle ORDER BY (CAST(k AS DOUBLE) - CAST(0.5 AS DOUBLE)) / CAST(c AS DOUBLE), ord) - 1 AS slot
+FROM (SELECT *, unnest(range(1, CAST(c AS BIGINT) + 1)) AS k FROM slot_counts))"""
 
 
 GLOBAL = REVIEWED + f", split AS (SELECT row_id, ts, source_file, qc, {cut_sql('p', 'n')} AS split FROM (SELECT *, row_number() OVER ({G}) - 1 AS p, count(*) OVER () AS n FROM reviewed))"
 PER_SOURCE = REVIEWED + f", split AS (SELECT row_id, ts, source_file, qc, {cut_sql('p', 'n')} AS split FROM (SELECT *, row_number() OVER ({W}) - 1 AS p, count(*) OVER (PARTITION BY source_file) AS n FROM reviewed))"
 
 
-def interleaved_sql(block: int, kind: str = "deficit", name: str = "split") -> str:
+def interleaved_sql(block: int, kind: str = "spread", name: str = "split") -> str:
     return f""", sources_{name} AS (SELECT source_file, min(ts) AS first_ts, CAST(ceil(count(*) / CAST({block} AS DOUBLE)) AS BIGINT) AS blocks FROM reviewed GROUP BY source_file),
 offsets_{name} AS (SELECT source_file, CAST(sum(blocks) OVER (ORDER BY first_ts, source_file) - blocks AS BIGINT) AS off FROM sources_{name}),
 {name} AS (SELECT row_id, ts, source_file, qc, {slot_sql(f'(off + p // {block})', kind)} AS split FROM (SELECT *, row_number() OVER ({W}) - 1 AS p FROM reviewed) JOIN offsets_{name} USING (source_file))"""
@@ -70,23 +75,20 @@ def _episode_split(spark, sf, purge=8):
     return splits.split_by_strategy(reviewed(spark, sf), PROFILE, "episode_aware", block_rows=32, context_rows=6, merge_gap_rows=4, purge_gap_rows=purge)
 
 
-EPISODE_UNITS = REVIEWED + f""", numbered AS (SELECT *, row_number() OVER ({W}) - 1 AS pos, count(*) OVER (PARTITION BY source_file) AS n, qc IN (3, 4, 9) AS bad FROM reviewed),
+EPISODE_UNITS = REVIEWED + EPISODE_SLOTS + f""", numbered AS (SELECT *, row_number() OVER ({W}) - 1 AS pos, count(*) OVER (PARTITION BY source_file) AS n, qc IN (3, 4, 9) AS bad FROM reviewed),
 marks AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY source_file ORDER BY pos) - 1 <= 12 THEN 0 ELSE 1 END AS opens FROM numbered WHERE bad),
 episodes AS (SELECT source_file, greatest(min(pos) - 6, 0) AS lo, least(max(pos) + 7, min(n)) AS hi, min(n) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY source_file ORDER BY pos) AS e FROM marks) GROUP BY source_file, e),
 gaps AS (SELECT source_file, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM episodes WINDOW w AS (PARTITION BY source_file ORDER BY lo) UNION ALL SELECT source_file, max(hi), max(n) FROM episodes GROUP BY source_file),
 ranks AS (SELECT source_file, row_number() OVER (ORDER BY min(ts), source_file) AS rk, count(*) AS rows FROM reviewed GROUP BY source_file),
 dealt AS (SELECT source_file, lo, hi, row_number() OVER (ORDER BY rk, lo) - 1 AS i, count(*) OVER () AS m FROM episodes JOIN ranks USING (source_file)),
-named AS (SELECT source_file, lo, hi, {episode_slot_sql('i', 'm')} AS split FROM dealt),
-blocks AS (SELECT source_file, s AS lo, least(s + 32, hi) AS hi, row_number() OVER (ORDER BY rk, s) AS i FROM (SELECT source_file, hi, unnest(range(lo, hi, 32)) AS s FROM gaps WHERE lo < hi) JOIN ranks USING (source_file)),
+named AS (SELECT source_file, lo, hi, split FROM dealt JOIN slots ON cycle = greatest(3, least(m, 20)) AND slot = i % cycle),
+blocks AS (SELECT source_file, s AS lo, least(s + 32, hi) AS hi, row_number() OVER (ORDER BY rk, s) - 1 AS i FROM (SELECT source_file, hi, unnest(range(lo, hi, 32)) AS s FROM gaps WHERE lo < hi) JOIN ranks USING (source_file)),
 goal AS (SELECT CAST(sum(rows) AS DOUBLE) * CAST(0.7 AS DOUBLE) AS t1, CAST(sum(rows) AS DOUBLE) * CAST(0.15 AS DOUBLE) AS t2, greatest(CAST(sum(rows) AS DOUBLE) * (CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE) - CAST(0.15 AS DOUBLE)), CAST(0 AS DOUBLE)) AS t3 FROM ranks),
 start AS (SELECT CAST(coalesce(sum(hi - lo) FILTER (split = 'train'), 0) AS DOUBLE) AS c1, CAST(coalesce(sum(hi - lo) FILTER (split = 'validation'), 0) AS DOUBLE) AS c2, CAST(coalesce(sum(hi - lo) FILTER (split = 'test'), 0) AS DOUBLE) AS c3 FROM named),
-walk AS (SELECT CAST(0 AS BIGINT) AS i, c1, c2, c3, CAST('' AS VARCHAR) AS pick FROM start
-UNION ALL SELECT i, c1 + CASE WHEN pick = 'train' THEN size ELSE 0 END, c2 + CASE WHEN pick = 'validation' THEN size ELSE 0 END, c3 + CASE WHEN pick = 'test' THEN size ELSE 0 END, pick
-FROM (SELECT b.i, w.c1, w.c2, w.c3, CAST(b.hi - b.lo AS DOUBLE) AS size, CASE
-WHEN ((t1 - c1) / greatest(t1, 1), t1 - c1, -c1) >= ((t2 - c2) / greatest(t2, 1), t2 - c2, -c2) AND ((t1 - c1) / greatest(t1, 1), t1 - c1, -c1) >= ((t3 - c3) / greatest(t3, 1), t3 - c3, -c3) THEN 'train'
-WHEN ((t2 - c2) / greatest(t2, 1), t2 - c2, -c2) >= ((t3 - c3) / greatest(t3, 1), t3 - c3, -c3) THEN 'validation' ELSE 'test' END AS pick FROM walk w JOIN blocks b ON b.i = w.i + 1, goal)),
-units AS (SELECT source_file, lo, hi, 'episode' AS kind, split FROM named UNION ALL SELECT b.source_file, b.lo, b.hi, 'clean', w.pick FROM blocks b JOIN walk w USING (i))"""
-EPISODE_UNITS = EPISODE_UNITS.replace("WITH readings", "WITH RECURSIVE readings", 1)
+lack AS (SELECT greatest(t1 - c1, CAST(0 AS DOUBLE)) AS q1, greatest(t2 - c2, CAST(0 AS DOUBLE)) AS q2, greatest(t3 - c3, CAST(0 AS DOUBLE)) AS q3 FROM goal, start),
+filled AS (SELECT *, sum(hi - lo) OVER (ORDER BY reverse(lpad(bin(i), 48, '0'))) - CAST(hi - lo AS DOUBLE) / 2 AS middle, CAST(sum(hi - lo) OVER () AS DOUBLE) AS clean_rows FROM blocks),
+units AS (SELECT source_file, lo, hi, 'episode' AS kind, split FROM named UNION ALL SELECT source_file, lo, hi, 'clean',
+CASE WHEN q1 + q2 + q3 = 0 OR middle < clean_rows * (q1 / (q1 + q2 + q3)) THEN 'train' WHEN middle < clean_rows * ((q1 + q2) / (q1 + q2 + q3)) THEN 'validation' ELSE 'test' END FROM filled, lack)"""
 EPISODE_SPLIT = EPISODE_UNITS + """, trimmed AS (SELECT source_file, split, lo + CASE WHEN lag(split) OVER w <> split THEN 4 ELSE 0 END AS lo, hi - CASE WHEN lead(split) OVER w <> split THEN 4 ELSE 0 END AS hi
 FROM units WINDOW w AS (PARTITION BY source_file ORDER BY lo)),
 split AS (SELECT r.row_id, r.ts, r.source_file, r.qc, t.split FROM numbered r JOIN trimmed t ON r.source_file = t.source_file AND r.pos >= t.lo AND r.pos < t.hi)"""
@@ -382,7 +384,7 @@ def score_summary(spark, sf):
 
 
 @query("a19_error_histogram", SCORES + """, tops AS (SELECT split, greatest(quantile_cont(error, 0.995), 1.25) AS top FROM scores GROUP BY split)
-SELECT s.split, least(CAST(floor(error / (top / 44)) AS BIGINT), 43) AS bin, count(*) FILTER (is_good) AS good_rows, count(*) FILTER (is_issue) AS issue_rows FROM scores s JOIN tops USING (split) WHERE error <= top GROUP BY ALL""")
+SELECT s.split, CASE WHEN error > top THEN 44 ELSE least(CAST(floor(error / (top / 44)) AS BIGINT), 43) END AS bin, count(*) FILTER (is_good) AS good_rows, count(*) FILTER (is_issue) AS issue_rows FROM scores s JOIN tops USING (split) GROUP BY ALL""")
 def error_histogram(spark, sf):
     return metrics.error_histogram(scores(spark, sf), score="error", threshold=1.25)
 

@@ -95,15 +95,17 @@ def overlapping_parts(parts: DataFrame, start: str | None, end: str | None) -> D
 
 
 def load_bundle(rows: DataFrame, windows: DataFrame, parts: DataFrame, profile: Profile, *, part_limit: int | None = None,
-                mode: str = "spread", rows_per_part: int = 45_000, issue_rows_per_part: int = 12_000, strategy: str = "time_spread",
+                mode: str = "spread", rows_per_part: int | None = None, issue_rows_per_part: int | None = None, strategy: str = "time_spread",
                 window_limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chosen parts, their sampled rows and their sampled window summaries."""
+    """Chosen parts, their rows and their window summaries; both are sampled only where a limit is given."""
     chosen = select_parts(parts, part_limit, mode)
     names = chosen.select(F.col("source_file").alias(profile.source))
     picked = attach_small(rows, names, [profile.source], "left_semi")
-    sample = subsample(picked, profile, strategy, rows_per_part, issue_rows=issue_rows_per_part, by=[profile.source])
+    sample = picked
+    if rows_per_part is not None:
+        sample = subsample(picked, profile, strategy, rows_per_part, issue_rows=rows_per_part if issue_rows_per_part is None else issue_rows_per_part, by=[profile.source])
     kept = attach_small(windows, names, [profile.source], "left_semi")
-    return chosen, sample, evenly_spaced_take(kept, window_limit, order=["window_start", profile.source, "window_id"])
+    return chosen, sample, kept if window_limit is None else evenly_spaced_take(kept, window_limit, order=["window_start", profile.source, "window_id"])
 
 
 def write_reports(scores: DataFrame, thresholds: DataFrame, summaries: DataFrame, path: str) -> None:

@@ -2,7 +2,9 @@
 
 Files are read as lines, in parallel and splittable. The order of lines in an
 export is (file path, split start, position in the split); no step needs a
-whole file in one task.
+whole file in one task. Where splits start and which numbers their lines get
+depends on the size of the cluster at the time of the scan, so numbered lines
+are written once, and headers and readings are both taken from there.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import TIME_COLUMN, clean_header
 from tidemark.operators.cleaning import attach_small, type_readings
-from tidemark.session import settle
+from tidemark.session import scratch_path, settle
 
 _FIELD_BREAK = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def export_lines(spark: SparkSession, path: str | Sequence[str], *, named_by: str = "file") -> DataFrame:
-    """Lines with `export` (its name), `line` and `at` (their order).
+    """Lines with `export` (its name), `line` and `at` (their order), written once.
 
     `named_by="folder"` takes the name from the `key=name` folder around the
     files, for exports that a distributed writer split into several parts.
@@ -29,7 +31,10 @@ def export_lines(spark: SparkSession, path: str | Sequence[str], *, named_by: st
     file = F.col("_metadata.file_path")
     name = F.regexp_extract(file, r"([^/=]+)/[^/]+$", 1) if named_by == "folder" else F.regexp_extract(file, r"([^/]+)$", 1)
     at = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
-    return lines.select(F.url_decode(name).alias("export"), F.col("value").alias("line"), at.alias("at"))
+    numbered = lines.select(F.url_decode(name).alias("export"), F.col("value").alias("line"), at.alias("at"))
+    written = scratch_path(spark, "lines")
+    numbered.write.parquet(written)
+    return spark.read.schema(numbered.schema).parquet(written)
 
 
 def export_headers(lines: DataFrame, *, header_row: int | None = None) -> DataFrame:
@@ -82,8 +87,7 @@ def read_exports(lines: DataFrame, headers: DataFrame, *, columns: Sequence[str]
     width = headers.agg(F.max(F.size("columns"))).first()[0] or 1
     data = attach_small(lines, headers, ["export"]).where(F.col("at") > F.col("header_at"))
     if first_rows is not None:
-        rank = F.row_number().over(Window.partitionBy("export").orderBy("at"))
-        data = data.where(F.length(F.trim("line")) > 0).withColumn("__rank", rank).where(F.col("__rank") <= first_rows)
+        data = _first_lines(data.where(F.length(F.trim("line")) > 0), first_rows)
     parsed = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     cells = data.select("export", "columns", parsed.alias("row")).withColumn("cells", F.array(*[F.col(f"row.c{i}") for i in range(width)]))
 
@@ -94,6 +98,17 @@ def read_exports(lines: DataFrame, headers: DataFrame, *, columns: Sequence[str]
     return type_readings(table, time=time, keep_text=["source_file"])
 
 
+def _first_lines(data: DataFrame, count: int) -> DataFrame:
+    """The first `count` lines of each export; lines are ranked inside their split, and only in splits that can hold one."""
+    placed = data.withColumns({"__file": F.col("at.file"), "__split": F.col("at.split")})
+    sizes = placed.groupBy("export", "__file", "__split").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy("export").orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("__before", before).where(F.col("__before") < count).drop("__size")
+    rank = F.row_number().over(Window.partitionBy("export", "__file", "__split").orderBy("at"))
+    near = placed.join(starts, ["export", "__file", "__split"]).withColumn("__rank", rank)
+    return near.where(F.col("__before") + F.col("__rank") <= count).select(*data.columns)
+
+
 def write_exports(rows: DataFrame, path: str, *, name: Column, time: str, columns: dict[str, Sequence[str]], kind: Column,
                   order: Sequence[str], missing: str = "NaN") -> None:
     """Write readings as exports: a metadata block, a header, data lines.
