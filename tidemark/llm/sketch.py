@@ -123,7 +123,10 @@ def difference(at_size: Callable[[int], tuple[np.ndarray, np.ndarray]], cells: i
 def likeness(a: np.ndarray, b: np.ndarray, sketch_a: np.ndarray | None = None, sketch_b: np.ndarray | None = None) -> float:
     """Shared part of all paragraphs of two texts, from the peeled difference of their sketches."""
     made = {CELLS: (sketch_a if sketch_a is not None else build(a), sketch_b if sketch_b is not None else build(b))}
-    only_a, only_b = difference(lambda cells: made[cells] if cells in made else (build(a, cells), build(b, cells)))
+    start = CELLS
+    while start < 1.2 * abs(len(a) - len(b)):  # at least so many digests differ, and no smaller sketch can give them away
+        start *= 2
+    only_a, only_b = difference(lambda cells: made[cells] if cells in made else (build(a, cells), build(b, cells)), start)
     union = len(a) + len(only_b)
     return (len(a) - len(only_a)) / union if union else 1.0
 
@@ -147,14 +150,15 @@ def edited(text: str, following: str) -> str:
 def beside_next(documents: DataFrame, function: Callable[[object, str, str], tuple], names: list[str], schema: str) -> DataFrame:
     """Apply `function(doc_id, text, next text)` in descending order of doc_id; after the last comes the first.
 
-    Ids are cut into ranges by their quantiles. The first document of each range
+    Ids are cut into ranges by their quantiles, one number per range on the driver. The first document of each range
     is also sent to the range before it, so each text moves once (a few twice)
     and no range needs another's task. Equal ids stand in order of their texts;
     null ids come last.
     """
     lowest = -(1 << 63)
     keyed = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(lowest)).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
-    wanted = max(1, 2 * documents.rdd.getNumPartitions())
+    tasks = max(1, 2 * documents.rdd.getNumPartitions())
+    wanted = 4 * tasks  # several ranges a task, so that tasks are about as large
     cuts = keyed.agg(F.percentile_approx("place", [i / wanted for i in range(1, wanted)] or [0.5], 100 * wanted)).first()[0] or []
     bounds = sorted(set(cuts)) if wanted > 1 else []
     ranged = keyed.withColumn("range", _search(bounds, "bigint", F.col("place")))
@@ -167,7 +171,7 @@ def beside_next(documents: DataFrame, function: Callable[[object, str, str], tup
     own = F.struct(F.col("range").alias("target"), F.lit(0).alias("guest"))
     guest = F.struct(goes_to.alias("target"), F.lit(1).alias("guest"))
     sent = ranged.select("doc_id", "place", "text", F.explode(F.when(F.col("place") == head_of, F.array(own, guest)).otherwise(F.array(own))).alias("to"))
-    laid = (sent.select("doc_id", "place", "text", "to.target", "to.guest").repartition(max(1, len(there)), "target")
+    laid = (sent.select("doc_id", "place", "text", "to.target", "to.guest").repartition(min(tasks, max(1, len(there))), "target")
             .sortWithinPartitions("target", "guest", F.col("place").desc(), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
