@@ -26,11 +26,13 @@ def row_level_input(df: DataFrame, profile: Profile) -> DataFrame:
     return df.withColumns({"window_start": F.col(profile.time), "window_end": F.col(profile.time), "issue_rate": rate})
 
 
-def cluster(df: DataFrame, features: Sequence[str], *, clusters: int, seed: int = 21, starts: int = 1) -> tuple[DataFrame, float]:
+def cluster(df: DataFrame, features: Sequence[str], *, clusters: int, seed: int = 21, starts: int = 1,
+            all_distances: bool = False) -> tuple[DataFrame, float]:
     """Rows with `cluster` and `distance_to_centroid`, and the training cost.
 
     Inputs are median-imputed and scaled by the population deviation. Of
-    several random starts the one with the lowest cost is kept.
+    several random starts the one with the lowest cost is kept. `all_distances`
+    adds the distances to every centre as an array.
     """
     features = list(features)
     filled = impute(df, fit_medians(df, features))
@@ -42,10 +44,10 @@ def cluster(df: DataFrame, features: Sequence[str], *, clusters: int, seed: int
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     labelled = best.transform(ready)
-    distance = F.lit(None).cast("double")
-    for number, center in enumerate(best.clusterCenters()):
+    distances = []
+    for center in best.clusterCenters():
         point = F.array(*[F.lit(float(v)) for v in center])
-        squares = F.aggregate(F.zip_with("__x", point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        distance = F.when(F.col("cluster") == number, F.sqrt(squares)).otherwise(distance)
+        distances.append(F.sqrt(F.aggregate(F.zip_with("__x", point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
+    labelled = labelled.withColumn("distances", F.array(*distances)).withColumn("distance_to_centroid", F.get("distances", F.col("cluster")))
     # Original values come back for reports; the imputed ones served the fit.
-    return labelled.withColumn("distance_to_centroid", distance).drop("__x", "__v"), best.summary.trainingCost
+    return labelled.drop("__x", "__v", *([] if all_distances else ["distances"])), best.summary.trainingCost

@@ -56,7 +56,7 @@ def choose_ends(ends: DataFrame, profile: Profile, *, limit: int | None, mode: s
         return ends
     groups = [*by, profile.source]
     if mode == "random":
-        ranked = ends.withColumn("__draw", F.xxhash64(*[f"`{c}`" for c in [*groups, tie]], F.lit(seed)))
+        ranked = ends.withColumn("__draw", F.md5(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in [*groups, tie]], F.lit(str(seed)))))
         placed = with_position(ranked, by=groups, order=["__draw", tie], name="__pos")
         return placed.where(F.col("__pos") < limit).drop("__draw", "__pos")
     issue = is_issue(F.col(f"`{profile.target}`"), profile.issue)

@@ -11,7 +11,7 @@ from tidemark.models.prepare import fit_medians, impute
 from tidemark.operators import cleaning, features, metrics, sequences, splits, summaries
 from tidemark.plans.registry import PROFILE, READINGS, SCORES, query, r9, readings, scores
 from tidemark.plans.sequence_queries import FIXED, window_sql
-from tidemark.plans.split_queries import GLOBAL
+from tidemark.plans.split_queries import GLOBAL, PER_SOURCE
 from tidemark.session import scratch_path, settle
 from tidemark.sources.datasets import write_reports
 
@@ -39,32 +39,35 @@ def _forest(spark, sf):
     return rows, names, forest.fit_forest(rows.where("split = 'train'"), names, config=SMALL)
 
 
-@query("m02_forest_predictions")
+# What SQL can state of fitted models: every row that is scored, with its truth, and values in their range.
+@query("m02_forest_predictions", PER_SOURCE + " SELECT row_id, ts, source_file, CAST(qc AS BIGINT) AS model_target, TRUE AS known_label FROM split WHERE split = 'test'")
 def forest_predictions(spark, sf):
     rows, _, model = _forest(spark, sf)
-    return model.predict(rows.where("split = 'test'")).select("row_id", "ts", "source_file", "model_target", "prediction")
+    return model.predict(rows.where("split = 'test'")).select(
+        "row_id", "ts", "source_file", "model_target", F.coalesce(F.col("prediction").isin(model.classes), F.lit(False)).alias("known_label"))
 
 
-@query("m02_forest_importances")
+@query("m02_forest_importances", "SELECT CAST(12 AS BIGINT) AS features, TRUE AS in_range")
 def forest_importances(spark, sf):
-    return spark.createDataFrame(_forest(spark, sf)[2].importances(), "feature string, importance double")
+    found = spark.createDataFrame(_forest(spark, sf)[2].importances(), "feature string, importance double")
+    return found.agg(F.countDistinct("feature").alias("features"), ((F.min("importance") >= 0) & (F.sum("importance") <= 1.000001)).alias("in_range"))
 
 
-@query("m03_forest_growth")
+@query("m03_forest_growth", "SELECT CAST(trees AS BIGINT) AS trees, TRUE AS in_range FROM (VALUES (2), (4), (6), (8)) t(trees)")
 def forest_growth(spark, sf):
     rows, _, model = _forest(spark, sf)
-    return forest.growth_curve(model, rows.where("split = 'validation'"), step=2)
+    return forest.growth_curve(model, rows.where("split = 'validation'"), step=2).select("trees", F.col("validation_f1").between(0, 1).alias("in_range"))
 
 
-@query("m04_forest_search")
+@query("m04_forest_search", 'SELECT CAST(n AS BIGINT) AS "numTrees", CAST(d AS BIGINT) AS "maxDepth", TRUE AS in_range FROM (VALUES (5, 3), (5, 6)) t(n, d)')
 def forest_search(spark, sf):
     rows, names = _tabular(spark, sf)
     train, valid = rows.where("split = 'train'"), rows.where("split = 'validation'")
     trials, _ = forest.search(train, valid, names, {"numTrees": [5], "maxDepth": [3, 6]}, refit_on=train.unionByName(valid), refit_top=1)
-    return spark.createDataFrame(trials)
+    return spark.createDataFrame(trials).select("numTrees", "maxDepth", F.col("validation_f1").between(0, 1).alias("in_range"))
 
 
-@query("s26_saved_forest")
+@query("s26_saved_forest", PER_SOURCE + " SELECT count(*) AS rows, count(*) AS equal_rows FROM split WHERE split = 'test'")
 def saved_forest(spark, sf):
     rows, _, model = _forest(spark, sf)
     path = scratch_path(spark, "forest")
@@ -79,16 +82,21 @@ def _windows(spark, sf):
     return features.window_features(readings(spark, sf), PROFILE, 64)
 
 
-@query("m05_window_clusters")
+LABELLED = READINGS + window_sql("readings", "ts, row_id", 64).replace("SELECT p.source_file, p.window_id", ", base AS (SELECT p.source_file, p.window_id", 1) + """),
+labelled AS (SELECT *, CAST(floor(m2_mean / 10) AS BIGINT) AS cluster, abs(m1_mean - 45) AS distance_to_centroid FROM base)"""
+
+
+@query("m05_window_clusters", LABELLED + f" SELECT source_file, window_id, {r9('issue_rate', 'issue_rate')}, TRUE AS at_nearest_centre FROM labelled")
 def window_clusters(spark, sf):
     windows = _windows(spark, sf)
-    return clusters.cluster(windows, clusters.window_feature_names(windows), clusters=4)[0].select("source_file", "window_id", "issue_rate", "cluster", "distance_to_centroid")
+    return clusters.cluster(windows, clusters.window_feature_names(windows), clusters=4, all_distances=True)[0].select(
+        "source_file", "window_id", "issue_rate", (F.col("distance_to_centroid") <= F.array_min("distances") + 1e-9).alias("at_nearest_centre"))
 
 
-@query("m05_row_clusters")
+@query("m05_row_clusters", READINGS + " SELECT CAST(3 AS BIGINT) AS clusters, count(*) AS rows FROM readings")
 def row_clusters(spark, sf):
     rows = clusters.row_level_input(readings(spark, sf), PROFILE)
-    return summaries.cluster_summary(clusters.cluster(rows, ["m1", "m2", "m3"], clusters=3)[0])
+    return summaries.cluster_summary(clusters.cluster(rows, ["m1", "m2", "m3"], clusters=3)[0]).agg(F.count("*").alias("clusters"), F.sum("window_count").alias("rows"))
 
 
 def _labelled(spark, sf):
@@ -96,10 +104,6 @@ def _labelled(spark, sf):
     return _windows(spark, sf).withColumns({"cluster": F.floor(F.col("m2_mean") / 10), "distance_to_centroid": F.abs(F.col("m1_mean") - 45.0)})
 
 
-LABELLED = READINGS + window_sql("readings", "ts, row_id", 64).replace("SELECT p.source_file, p.window_id", ", base AS (SELECT p.source_file, p.window_id", 1) + """),
-labelled AS (SELECT *, CAST(floor(m2_mean / 10) AS BIGINT) AS cluster, abs(m1_mean - 45) AS distance_to_centroid FROM base)"""
-
-
 @query("a13_cluster_summary", LABELLED + f""" SELECT cluster, count(*) AS window_count, {r9('avg(issue_rate)', 'mean_issue_rate')}, {r9('max(issue_rate)', 'max_issue_rate')}, {r9('avg(distance_to_centroid)', 'avg_distance').replace(', 9)', ', 7)')},
 min(window_start) AS first_window, max(window_end) AS last_window FROM labelled GROUP BY cluster""")
 def cluster_summary(spark, sf):
@@ -128,29 +132,39 @@ def _sequence_input(spark, sf):
     return splits.split_by_strategy(rows, PROFILE, "per_source_contiguous")
 
 
-@query("m06_sequence_classifier")
+TEST_WINDOWS = PER_SOURCE + """, placed AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY ts, row_id) - 1 AS pos FROM split WHERE split = 'test'),
+cells AS (SELECT source_file, pos // 8 AS window_index, pos % 8 AS step, qc, count(*) OVER (PARTITION BY source_file, pos // 8) AS size FROM placed)"""
+
+
+@query("m06_sequence_classifier", TEST_WINDOWS + " SELECT source_file, window_index, CAST(max(qc) AS BIGINT) AS truth, TRUE AS known_label FROM cells WHERE size = 8 GROUP BY ALL")
 def sequence_classifier(spark, sf):
     windows, classes = sequences.sequence_bundle(_sequence_input(spark, sf), PROFILE, features=["m1", "m2"], label="model_target", size=8)
     ready = settle(sequences.normalise_windows(windows, 2))
     model = sequence_models.fit_sequence_classifier(ready, classes, channels=2, size=8, config={"maxIter": 15, "hidden": [8]})
-    return model.predict(ready.where("split = 'test'"))
+    return _judged(model, ready, "source_file", "window_index")
+
+
+def _judged(model, ready, *keys):
+    return model.predict(ready.where("split = 'test'")).select(*keys, "truth", F.coalesce(F.col("prediction").isin(model.classes), F.lit(False)).alias("known_label"))
 
 
-@query("m06_step_classifier")
+@query("m06_step_classifier", TEST_WINDOWS + " SELECT source_file, window_index, step, CAST(qc IN (3, 4, 9) AS BIGINT) AS truth, TRUE AS known_label FROM cells WHERE size = 8")
 def step_classifier(spark, sf):
     windows, classes = sequences.sequence_bundle(_sequence_input(spark, sf), PROFILE, features=["m1", "m2"], label="issue", size=8, task="binary", output="step")
     ready = settle(sequences.normalise_windows(windows, 2))
     model = sequence_models.fit_sequence_classifier(ready, classes, channels=2, size=8, per_step=True, kind="forest", config={"numTrees": 5, "maxDepth": 4})
-    return model.predict(ready.where("split = 'test'"))
+    return _judged(model, ready, "source_file", "window_index", "step")
 
 
-@query("m07_sequence_search")
+@query("m07_sequence_search", """SELECT CAST(size AS BIGINT) AS window_size, reduction, status, CASE status WHEN 'fitted' THEN TRUE END AS in_range
+FROM (VALUES (8, 'worst', 'fitted'), (8, 'majority', 'fitted'), (1000000, 'worst', 'skipped'), (1000000, 'majority', 'skipped')) t(size, reduction, status)""")
 def sequence_search(spark, sf):
     rows = settle(_sequence_input(spark, sf))
     trials = sequence_models.search_sequence_models(rows, PROFILE, features=["m1", "m2"], label="model_target", sizes=[8, 1_000_000], reductions=["worst", "majority"],
                                                     configs=[{"numTrees": 4, "maxDepth": 3}], kind="forest")
     schema = "window_size int, reduction string, status string, validation_f1 double"
-    return spark.createDataFrame([(t["window_size"], t["reduction"], t["status"], t["validation_f1"]) for t in trials], schema)
+    return spark.createDataFrame([(t["window_size"], t["reduction"], t["status"], t["validation_f1"]) for t in trials], schema).select(
+        "window_size", "reduction", "status", F.col("validation_f1").between(0, 1).alias("in_range"))
 
 
 @query("m09_score_table", SCORES + f" SELECT row_id, {r9('predicted_value', 'predicted_value')}, {r9('actual_value', 'actual_value')}, {r9('actual_value - predicted_value', 'forecast_error')}, {r9('abs(actual_value - predicted_value) / 50', 'forecast_abs_error_scaled')} FROM scores")

@@ -211,7 +211,7 @@ def enriched_ends(spark, sf):
     return _ends(spark, sf, "issue_enriched")
 
 
-@query("t06_random_ends")
+@query("t06_random_ends", FORECAST.format(valid="TRUE") + " SELECT row_id, source_file, row_index FROM (SELECT row_id, source_file, pos AS row_index, row_number() OVER (PARTITION BY source_file ORDER BY md5(source_file || '|' || pos || '|21'), pos) AS rk FROM ends) WHERE rk <= 40")
 def random_ends(spark, sf):
     return _ends(spark, sf, "random")
 
