@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import finite, is_issue, is_reviewed, strategy_target
 from tidemark.operators import asof, cleaning, features, intervals, sampling, selection, sequences, splits, summaries
 from tidemark.operators.metrics import exact_quantiles, f1_score, ranking_metrics
+from tidemark.operators.ordering import arrange
 from tidemark.profiles import Profile, fractional_row_limit, scaled_cap
 from tidemark.sources import exports
 
@@ -297,3 +298,33 @@ def test_a_full_range_and_a_bundle_keep_every_row(spark):
     assert selection.select_range(df, PROFILE, auto=False)[0].count() == 1200
     assert selection.select_range(df, PROFILE, auto=False, thin_to=100)[0].count() == 100
     assert selection.context_panel(df, PROFILE, "2024-01-01 00:00:30", 20, by_source=False).count() == 20
+
+
+def test_carried_totals_stay_within_two_rows_per_chunk(spark):
+    """Many groups inside single chunks need no carry; only groups that cross an edge do."""
+    df = spark.range(20_000).select(F.col("id").alias("t"), F.floor(F.col("id") / 4).alias("g"))
+    try:
+        spark.conf.set("spark.tidemark.rowsPerChunk", "1800")
+        seq = arrange(df, by=["g"], order=["t"])
+        chunks, rows = seq._chunks.count, seq.accumulate(n=("total", F.lit(1)), upto=("sum", F.lit(1))).rows()
+        assert chunks > 5 and rows.where("n <> 4 OR upto <> t % 4 + 1").count() == 0 and rows.count() == 20_000
+    finally:
+        spark.conf.unset("spark.tidemark.rowsPerChunk")
+
+
+def test_a_year_beside_a_second_stays_few_rows(spark):
+    rows = [("p", "s", dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1))]
+    others = [("short", "s", dt.datetime(2024, 6, 1), dt.datetime(2024, 6, 1, 0, 0, 1)), ("apart", "s", dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1))]
+    schema = "name string, series_key string, start_time timestamp, end_time timestamp"
+    primary, candidates = spark.createDataFrame(rows, schema), spark.createDataFrame(others, schema)
+    found = asof.best_companions(primary, candidates).collect()
+    assert [(r["name"], r["companion"], r["overlap_seconds"]) for r in found] == [("p", "short", 1.0)]
+    found = asof.best_companions(candidates, primary).collect()
+    assert {r["name"]: (r["companion"], r["overlap_seconds"]) for r in found} == {"short": ("p", 1.0), "apart": ("p", 0.0)}
+
+
+def test_modelling_split_keeps_every_row_by_default(spark):
+    df = sensor(spark, [1, 1, 3, 0, 1, 9, 1, 1, 1, 4] * 30)
+    assert sampling.modelling_split(df, PROFILE, strategy="global_contiguous").count() == 270
+    some = sampling.modelling_split(df, PROFILE, strategy="global_contiguous", subset="time_spread", subset_rows=50)
+    assert some.where("split = 'train'").count() == 50 and some.where("split <> 'train'").count() == 81

@@ -104,16 +104,19 @@ def best_companions(primary: DataFrame, candidates: DataFrame) -> DataFrame:
         return (pairs.groupBy("name").agg(F.min(rank).alias("r"))
                 .select("name", F.col("r.companion").alias("companion"), (~F.col("r.inexact")).alias("exact"), (-F.col("r.lost") + 0.0).alias("overlap_seconds")))
 
-    # A bucket is as wide as the candidate's length class, so a candidate lies in
-    # two buckets at most and one very long file does not widen all the others.
-    length = F.floor(F.log2(F.greatest(F.col("ce") - F.col("cs"), F.lit(1_000_000)).cast("double"))).cast("int")
-    ranged = ranged.withColumn("cls", length)
-    classes = [r["cls"] for r in ranged.select("cls").distinct().collect()]
+    # Two files meet in buckets as wide as the longer one's length class, where
+    # each of them lies in three at most: neither a year beside a second nor a
+    # second beside a year becomes many rows. A file appears once per class that
+    # is its own or longer, and there are fewer than 64 classes.
+    length = lambda a, b: F.floor(F.log2(F.greatest(F.col(b) - F.col(a), F.lit(1_000_000)).cast("double"))).cast("int")
+    timed_in, ranged_in = timed.withColumn("pcls", length("ps", "pe")), ranged.withColumn("ccls", length("cs", "ce"))
+    classes = sorted({r[0] for r in timed_in.select("pcls").distinct().collect()} | {r[0] for r in ranged_in.select("ccls").distinct().collect()})
+    listed = F.array(*[F.lit(c) for c in classes]).cast("array<int>")
     width = F.expr("shiftleft(1L, cls)")
     buckets = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(a, b) / width))).alias("bucket")
-    asked = timed.withColumn("cls", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>")))
-    pairs = (asked.select("*", buckets("ps", "pe")).join(ranged.select("*", buckets("cs", "ce")), ["series_key", "cls", "bucket"])
-             .where(exact | (overlap > 0)))
+    upward = lambda frame, own: frame.withColumn("cls", F.explode(F.filter(listed, lambda c: c >= F.col(own))))
+    pairs = (upward(timed_in, "pcls").select("*", buckets("ps", "pe")).join(upward(ranged_in, "ccls").select("*", buckets("cs", "ce")), ["series_key", "cls", "bucket"])
+             .where((F.col("cls") == F.greatest("pcls", "ccls")) & (exact | (overlap > 0))))
     found = settle(best(pairs))
 
     # No overlap: all candidates of the series tie, so the nearest start decides.

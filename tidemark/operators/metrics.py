@@ -30,8 +30,12 @@ def exact_quantiles(df: DataFrame, value: Column, fractions: Sequence[float], *,
     tell which distinct values cover the few row positions asked for. The
     group key (a split, a column name) must have few values.
     """
-    group = [by] if by else []
-    histogram = settle(score_histogram(df, value, by=group))
+    return histogram_quantiles(settle(score_histogram(df, value, by=[by] if by else [])), fractions, by=by)
+
+
+def histogram_quantiles(histogram: DataFrame, fractions: Sequence[float], *, by: str | None = None) -> DataFrame:
+    """Quantiles of a settled histogram (`value`, `n`), so that one histogram can serve several questions."""
+    df, group = histogram, [by] if by else []
     totals = {r[0] if by else None: r["rows"] for r in
               histogram.groupBy(*group).agg(F.sum("n").alias("rows")).collect() if r["rows"]}
     wanted = {}
@@ -148,8 +152,8 @@ def positive_weight(df: DataFrame, label: str) -> DataFrame:
 # --- anomaly scores ----------------------------------------------------------
 
 def threshold_metrics(scores: DataFrame, thresholds: Mapping[str, float], *, score: str, split: str = "split",
-                      issue_labels: Sequence[int]) -> DataFrame:
-    """Metrics at named thresholds, per split: one pass for all thresholds."""
+                      issue_labels: Sequence[int], histogram: DataFrame | None = None) -> DataFrame:
+    """Metrics at named thresholds, per split: one pass for all thresholds; `histogram` has the scores of each split."""
     value, issue, label = F.col(score), F.col("is_issue"), F.col("qc_label")
     fixed = [F.count(F.lit(1)).alias("rows"), F.count_if(issue).alias("issue_rows")]
     fixed += [F.count_if(label == v).alias(f"label_{v}_rows") for v in issue_labels]
@@ -166,7 +170,9 @@ def threshold_metrics(scores: DataFrame, thresholds: Mapping[str, float], *, sco
             _ratio(hits, guessed).alias("precision"), _ratio(hits, actual).alias("recall"), _f1(hits, guessed, actual).alias("f1"),
             *[_ratio(F.col(f"h{i}_{v}"), F.col(f"label_{v}_rows")).alias(f"label_{v}_recall") for v in issue_labels]))
     exploded = counts.select(split, "rows", "issue_rows", *[f"label_{v}_rows" for v in issue_labels], F.explode(F.array(*each)).alias("m"))
-    spread = exact_quantiles(scores, value, [0.5, 0.95], by=split).groupBy(split).agg(
+    if histogram is None:
+        histogram = settle(score_histogram(scores, value, by=[split]))
+    spread = histogram_quantiles(histogram, [0.5, 0.95], by=split).groupBy(split).agg(
         F.max(F.when(F.col("fraction") == 0.5, F.col("quantile"))).alias("median_abs_error_scaled"),
         F.max(F.when(F.col("fraction") == 0.95, F.col("quantile"))).alias("p95_abs_error_scaled"))
     return exploded.join(spread, split).select(split, "rows", "issue_rows", *[f"label_{v}_rows" for v in issue_labels],
@@ -178,15 +184,22 @@ GOOD_QUANTILES = (0.90, 0.95, 0.97, 0.98, 0.99, 0.995)
 SEARCH_STEPS, SEARCH_LOW, SEARCH_HIGH = 250, 0.50, 0.999
 
 
-def good_thresholds(valid: DataFrame, score: str, quantiles: Sequence[float] = GOOD_QUANTILES) -> dict[str, float]:
+def validation_histogram(valid: DataFrame, score: str) -> DataFrame:
+    """Scores with their rows, good rows and issue rows."""
+    return score_histogram(valid, F.col(score), flags={"good": F.col("is_good"), "issue": F.col("is_issue")})
+
+
+def good_thresholds(valid: DataFrame, score: str, quantiles: Sequence[float] = GOOD_QUANTILES, *, histogram: DataFrame | None = None) -> dict[str, float]:
     """Score quantiles of good validation rows (of all rows if none is good)."""
-    good = valid.where("is_good")
-    base = good if not good.isEmpty() else valid
-    found = {r["fraction"]: r["quantile"] for r in exact_quantiles(base, F.col(score), quantiles).collect()}
+    if histogram is None:
+        histogram = settle(validation_histogram(valid, score))
+    good = histogram.where("good > 0").select("value", F.col("good").alias("n"))
+    base = good if not good.isEmpty() else histogram
+    found = {r["fraction"]: r["quantile"] for r in histogram_quantiles(base, quantiles).collect()}
     return {f"good_q{q:g}": found[q] for q in quantiles}
 
 
-def best_f1_threshold(valid: DataFrame, score: str) -> tuple[float, float]:
+def best_f1_threshold(valid: DataFrame, score: str, *, histogram: DataFrame | None = None) -> tuple[float, float]:
     """Threshold with the best validation F1 among 250 quantiles; first wins ties.
 
     Candidate thresholds are answered from one histogram: rows at or above each
@@ -194,10 +207,11 @@ def best_f1_threshold(valid: DataFrame, score: str) -> tuple[float, float]:
     """
     step = (SEARCH_HIGH - SEARCH_LOW) / (SEARCH_STEPS - 1)
     fractions = [SEARCH_LOW + step * i for i in range(SEARCH_STEPS - 1)] + [SEARCH_HIGH]
-    limits = sorted({r["quantile"] for r in exact_quantiles(valid, F.col(score), fractions).collect()})
-    bucket = _search(limits, "double", F.col(score).cast("double"))
-    rows = (valid.where(F.col(score).isNotNull()).groupBy(bucket.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_issue").alias("h")).collect())
+    if histogram is None:
+        histogram = settle(validation_histogram(valid, score))
+    limits = sorted({r["quantile"] for r in histogram_quantiles(histogram, fractions).collect()})
+    bucket = _search(limits, "double", F.col("value"))
+    rows = histogram.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.sum("issue").alias("h")).collect()
     actual = sum(r["h"] for r in rows)
     best, best_f1 = limits[0], -1.0
     for i, limit in enumerate(limits):
@@ -212,11 +226,12 @@ def best_f1_threshold(valid: DataFrame, score: str) -> tuple[float, float]:
 def threshold_sweep(scores: DataFrame, *, score: str, split: str = "split", issue_labels: Sequence[int],
                     validation: str = "validation") -> DataFrame:
     """Good-row quantile thresholds and the F1-optimised one, on every split."""
-    scores = settle(scores.select(split, score, "is_good", "is_issue", "qc_label"))
-    valid = scores.where(F.col(split) == validation)
-    limits = good_thresholds(valid, score)
-    limits["validation_f1_optimized"] = best_f1_threshold(valid, score)[0]
-    return threshold_metrics(scores, limits, score=score, split=split, issue_labels=issue_labels)
+    scores = scores.select(split, score, "is_good", "is_issue", "qc_label")
+    counted = settle(score_histogram(scores, F.col(score), by=[split], flags={"good": F.col("is_good"), "issue": F.col("is_issue")}))
+    valid = counted.where(F.col(split) == validation)
+    limits = good_thresholds(scores, score, histogram=valid)
+    limits["validation_f1_optimized"] = best_f1_threshold(scores, score, histogram=valid)[0]
+    return threshold_metrics(scores, limits, score=score, split=split, issue_labels=issue_labels, histogram=counted)
 
 
 def ranking_metrics(scores: DataFrame, *, score: str, by: Sequence[str] = ("split",)) -> DataFrame:

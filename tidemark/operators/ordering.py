@@ -322,8 +322,8 @@ class Ordered:
             part = F.col(f"__p_{name}")
             merged[name] = {
                 "sum": lambda p: F.sum(p).over(earlier),
-                "total": lambda p: (F.coalesce(F.sum(p).over(earlier), F.lit(0))
-                                    + F.coalesce(F.sum(p).over(later), F.lit(0))),
+                # Null where no other chunk holds the group: such rows need no carry.
+                "total": lambda p: F.coalesce(F.sum(p).over(earlier) + F.sum(p).over(later), F.sum(p).over(earlier), F.sum(p).over(later)),
                 "max": lambda p: F.max(p).over(earlier),
                 "last": lambda p: F.last(p, ignorenulls=True).over(earlier),
                 "next": lambda p: F.last(p, ignorenulls=True).over(later),

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import is_issue, is_reviewed, label_id
-from tidemark.operators.cleaning import attach_small, first_per_key, union_all
+from tidemark.operators.cleaning import attach_small, first_per_key, reviewed_target_frame, union_all
 from tidemark.operators.ordering import arrange, spread_keep
+from tidemark.operators.splits import split_by_strategy
 from tidemark.profiles import Profile
 from tidemark.session import settle
 
@@ -177,3 +178,17 @@ def zoom_points(split: DataFrame, profile: Profile, zoom_rows: int, max_points:
     start = F.greatest(F.lit(0), stop - size)
     window = rows.where((F.col("__pos") >= start) & (F.col("__pos") < stop)).drop("__pos", "__n")
     return _take(window, max_points, ["split"], profile.global_order)
+
+
+def modelling_split(df: DataFrame, profile: Profile, *, strategy: str, row_limit: int | None = None, subset: str = "full_train",
+                    subset_rows: int | None = None, train: float = 0.70, validation: float = 0.15, **options) -> DataFrame:
+    """Reviewed rows with target and split, ready for a fit.
+
+    Only the key and label columns go through target, split and training subset;
+    wide feature rows join the result by key afterwards (`features_for_splits`).
+    The limits are opt-in; validation and test keep all their rows.
+    """
+    narrow = df.select(*[f"`{c}`" for c in dict.fromkeys([profile.time, profile.source, *profile.tie_break, profile.target])])
+    cut = settle(split_by_strategy(reviewed_target_frame(narrow, profile, row_limit), profile, strategy, train, validation, **options))
+    chosen = subsample(cut.where("split = 'train'"), profile, subset, subset_rows)
+    return chosen.unionByName(cut.where("split <> 'train'"))

@@ -23,7 +23,7 @@ SPLITS = ("train", "validation", "test")
 STRATEGIES = ("global_contiguous", "per_source_contiguous", "interleaved_blocks", "episode_aware")
 
 
-def _cut(position: Column, total: Column, train: float, validation: float) -> Column:
+def contiguous_cut(position: Column, total: Column, train: float, validation: float) -> Column:
     return (F.when(position < F.floor(total * F.lit(train)), "train")
             .when(position < F.floor(total * F.lit(train + validation)), "validation").otherwise("test"))
 
@@ -33,7 +33,7 @@ def contiguous(df: DataFrame, profile: Profile, train: float, validation: float,
     by = [profile.source] if per_source else []
     order = profile.source_order if per_source else profile.global_order
     placed = with_position(df, by=by, order=order, name="__pos", total="__n")
-    return placed.withColumn("split", _cut(F.col("__pos"), F.col("__n"), train, validation)).drop("__pos", "__n")
+    return placed.withColumn("split", contiguous_cut(F.col("__pos"), F.col("__n"), train, validation)).drop("__pos", "__n")
 
 
 def slot_counts(train: float, validation: float, cycle: int) -> dict[str, int]:
@@ -57,7 +57,7 @@ def slot_schedule(train: float, validation: float, *, cycle: int = 20, kind: str
     return [s for _, _, s in sorted(slots)]
 
 
-def _slot(index: Column, schedule: Sequence[str]) -> Column:
+def slot_split(index: Column, schedule: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in schedule]), (index % len(schedule) + 1).cast("int"))
 
 
@@ -77,7 +77,7 @@ def interleaved_blocks(df: DataFrame, profile: Profile, train: float, validation
     placed = attach_small(placed, offsets, [profile.source])
     block = F.col("__offset") + F.floor(F.col("__pos") / block_rows)
     slots = slot_schedule(train, validation, cycle=cycle, kind=schedule)
-    return placed.withColumn("split", _slot(block, slots)).select(*[f"`{c}`" for c in df.columns], "split")
+    return placed.withColumn("split", slot_split(block, slots)).select(*[f"`{c}`" for c in df.columns], "split")
 
 
 # --- episode-aware -----------------------------------------------------------
@@ -132,7 +132,7 @@ def assign_units(episodes: DataFrame, clean: DataFrame, ranks: DataFrame, profil
     order_of = ranks.select(source, "source_rank")
     placed = settle(with_position(episodes.join(order_of, source), order=["source_rank", "start"], name="__i"))
     slots = slot_schedule(train, validation, cycle=max(3, min(placed.count(), 20)))
-    dealt = placed.select(source, "start", "end", F.lit("episode").alias("kind"), _slot(F.col("__i"), slots).alias("split"))
+    dealt = placed.select(source, "start", "end", F.lit("episode").alias("kind"), slot_split(F.col("__i"), slots).alias("split"))
 
     rows_in = {r["split"]: r["n"] for r in dealt.groupBy("split").agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()}
     total = float(ranks.agg(F.sum("source_rows")).first()[0] or 0)

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import is_issue, is_reviewed, label_id
-from tidemark.operators.cleaning import union_all
-from tidemark.operators.ordering import _constant, _search
-from tidemark.operators.splits import SPLITS, interleaved_blocks
+from tidemark.operators.cleaning import attach_small, union_all
+from tidemark.operators.ordering import _constant, _search, arrange, with_position
+from tidemark.operators.splits import SPLITS, contiguous_cut, slot_schedule, slot_split, source_ranks
 from tidemark.profiles import Profile
+from tidemark.session import settle
 
 
 def _percent(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -54,6 +55,13 @@ def issue_composition(splits: DataFrame, label: str, issue: Sequence[int], *, by
     return split_distribution(splits.where(is_issue(F.col(f"`{label}`"), issue)), label, by=by)
 
 
+def contiguous_label_counts(df: DataFrame, label: str, *, order: Sequence[str], train: float, validation: float, by: Sequence[str] = ()) -> DataFrame:
+    """Label counts of an early, middle and late split, from the label and order columns alone."""
+    narrow = df.select(*[f"`{c}`" for c in dict.fromkeys([*by, *order, label])])
+    placed = with_position(narrow, by=by, order=order, name="__pos", total="__n")
+    return split_distribution(placed.withColumn("split", contiguous_cut(F.col("__pos"), F.col("__n"), train, validation)), label)
+
+
 def share_gap(distribution: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Largest and mean total variation between the splits' label shares."""
     pairs = [(a, b) for i, a in enumerate(SPLITS) for b in SPLITS[i + 1:]]
@@ -214,9 +222,15 @@ def issue_bin_composition(df: DataFrame, profile: Profile, bins: int = 24) -> Da
 
 def scan_block_sizes(df: DataFrame, profile: Profile, label: str, *, sizes: Sequence[int] = (512, 1024, 2048, 4096),
                      train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """Interleaved-split balance for several block sizes, best first."""
-    trials = union_all([interleaved_blocks(df, profile, train, validation, block_rows=s).select(label, "split")
-                        .groupBy("split", label).agg(F.count(F.lit(1)).alias("n")).withColumn("block_rows", F.lit(s)) for s in sizes])
+    """Interleaved-split balance for several block sizes, best first; each row has one position for all sizes."""
+    blocks = {s: F.ceil(F.col("source_rows") / s) for s in sizes}
+    sources = settle(source_ranks(df, profile))
+    seq = arrange(sources, order=["source_rank"]).accumulate(**{f"__upto{s}": ("sum", n) for s, n in blocks.items()})
+    starts = seq.rows().select(profile.source, F.array(*[F.struct(F.lit(s).alias("size"), (F.col(f"__upto{s}") - n).alias("start")) for s, n in blocks.items()]).alias("__starts"))
+    placed = with_position(df.select(*[f"`{c}`" for c in dict.fromkeys([profile.source, *profile.source_order, label])]), by=[profile.source], order=profile.source_order, name="__pos")
+    each = attach_small(placed, starts, [profile.source]).select(label, "__pos", F.explode("__starts").alias("__s"))
+    slot = slot_split(F.col("__s.start") + F.floor(F.col("__pos") / F.col("__s.size")), slot_schedule(train, validation))
+    trials = each.groupBy(slot.alias("split"), label, F.col("__s.size").alias("block_rows")).agg(F.count(F.lit(1)).alias("n"))
     value = label_id(F.col(f"`{label}`"))
     counts = trials.where(value.isNotNull()).groupBy("block_rows", value.alias("label")).agg(
         *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(f"{s}_rows") for s in SPLITS])
@@ -234,6 +248,13 @@ def cluster_summary(clustered: DataFrame) -> DataFrame:
         F.avg("distance_to_centroid").alias("avg_distance"), F.min("window_start").alias("first_window"), F.max("window_end").alias("last_window"))
 
 
+def cluster_counts_between(clustered: DataFrame, start: str, end: str) -> DataFrame:
+    """Windows of each cluster that meet a closed time range, and their mean issue rate."""
+    low, high = (F.lit(t).cast("timestamp") for t in (start, end))
+    inside = clustered.where((F.col("window_end").cast("timestamp") >= low) & (F.col("window_start").cast("timestamp") <= high))
+    return inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("window_count"), F.avg("issue_rate").alias("mean_issue_rate"))
+
+
 def cluster_means(clustered: DataFrame, columns: Sequence[str]) -> DataFrame:
     return clustered.groupBy("cluster").agg(*[F.avg(f"`{c}`").alias(c) for c in columns])
 

@@ -39,19 +39,18 @@ def nearest(spark, sf):
 
 
 SHIFTED = """WITH items AS (SELECT l_returnflag AS k, epoch_us(l_shipdate) AS ts, l_orderkey AS row_id, l_quantity AS q, l_discount AS d FROM lineitem),
-lhs AS (SELECT k, ts, min(row_id) AS row_id, max(q) AS q FROM items GROUP BY k, ts), rhs AS (SELECT k, ts + 43200000000 * (row_id % 3) AS ts, row_id, min(d) AS d FROM items GROUP BY k, items.ts + 43200000000 * (row_id % 3), row_id)"""
+lhs AS (SELECT k, ts, row_number() OVER (ORDER BY k, ts) AS row_id, max(q) AS q FROM items GROUP BY k, ts), rhs AS (SELECT k, ts + 250000000 * (row_id % 7) - 700000000 AS ts, row_id, min(d) AS d FROM items GROUP BY k, items.ts + 250000000 * (row_id % 7) - 700000000, row_id)"""
 
 
-@query("j01_nearest_join_by_key", SHIFTED + f""" SELECT l.k, l.ts, l.q, n.d FROM lhs l ASOF LEFT JOIN (SELECT k, ts, arg_max(d, row_id) AS d FROM rhs GROUP BY k, ts) n ON l.k = n.k AND l.ts >= n.ts
-WHERE l.ts = n.ts""")
+@query("j01_nearest_join_by_key", SHIFTED + f" SELECT l.k, l.ts, l.q, n.d, n.gap FROM lhs l LEFT JOIN {nearest_sql('lhs', 'rhs', 'd', 'k')} n ON n.row_id = l.row_id AND n.rk = 1")
 def nearest_by_key(spark, sf):
     items = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("k"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("t"), F.col("l_orderkey").alias("row_id"),
                                                 F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
     left = items.groupBy("k", F.timestamp_micros("t").alias("ts")).agg(F.min("row_id").alias("row_id"), F.max("q").alias("q"))
-    moved = F.timestamp_micros(F.col("t") + F.lit(43_200_000_000) * (F.col("row_id") % 3)).alias("ts")
+    moved = F.timestamp_micros(F.col("t") + F.lit(250_000_000) * (F.col("row_id") % 7) - 700_000_000).alias("ts")
     right = items.groupBy("k", moved, "row_id").agg(F.min("d").alias("d"))
-    found = asof.nearest_join(left, right, time="ts", by=["k"], left_tie="row_id", right_tie="row_id", columns=["d"], tolerance_seconds=0)
-    return found.where(F.col("d").isNotNull()).select("k", "ts", "q", "d")
+    found = asof.nearest_join(left, right, time="ts", by=["k"], left_tie="row_id", right_tie="row_id", columns=["d"], tolerance_seconds=600, gap="gap")
+    return found.select("k", "ts", "q", "d", "gap")
 
 
 CHAIN = DEVICES + f""", step1 AS (SELECT l.row_id, l.ts, l.m1, n.m1 AS "m1 [fluorometer]" FROM d_click l LEFT JOIN {nearest_sql('d_click', 'd_view', 'm1')} n ON n.row_id = l.row_id AND n.rk = 1),

@@ -117,6 +117,12 @@ def cluster_means(spark, sf):
     return means.select("cluster", F.round("m1_mean", 7).alias("m1_mean"), F.round("m2_mean", 7).alias("m2_mean"))
 
 
+@query("a13_cluster_counts_between", LABELLED + f""" SELECT cluster, count(*) AS window_count, {r9('avg(issue_rate)', 'mean_issue_rate')} FROM labelled
+WHERE window_end >= epoch_us(TIMESTAMP '2024-01-10 00:00:00') AND window_start <= epoch_us(TIMESTAMP '2024-01-20 00:00:00') GROUP BY cluster""")
+def cluster_counts(spark, sf):
+    return summaries.cluster_counts_between(_labelled(spark, sf), "2024-01-10 00:00:00", "2024-01-20 00:00:00")
+
+
 @query("w17_closest_members", LABELLED + " SELECT cluster, source_file, window_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance_to_centroid, issue_rate DESC, source_file, window_id) AS rank FROM labelled) WHERE rank <= 3")
 def closest(spark, sf):
     return summaries.closest_members(_labelled(spark, sf), 3, ["source_file", "window_id"]).select("cluster", "source_file", "window_id", "rank")
@@ -230,6 +236,16 @@ def report_tables(spark, sf):
     return spans.unionByName(origin.select(F.col("origin").alias("kind")), allowMissingColumns=True)
 
 
+@query("m11_forest_interval_report", CHOSEN + " SELECT CAST(qc AS BIGINT) AS label, count(*) AS true_rows, TRUE AS all_rows_predicted FROM chosen GROUP BY qc")
+def forest_report(spark, sf):
+    """The report on a fitted forest: features are built on all rows, so that those at the range's edge look back."""
+    rows, names, model = _forest(spark, sf)
+    built = features.model_features(readings(spark, sf), PROFILE, lags=(1,), widths=(5,))[0]
+    report = interval_report(built, PROFILE, model.predict, start="2024-01-10 00:00:00", end="2024-01-22 00:00:00")
+    totals = report["label_counts"].agg(F.sum("true_rows").alias("t"), F.sum("predicted_rows").alias("p")).first()
+    return report["label_counts"].where("true_rows > 0").select("label", "true_rows", F.lit(totals["t"] == totals["p"]).alias("all_rows_predicted"))
+
+
 QUICK = {"lookback": 6, "max_gap_seconds": 14_400.0}
 EPISODE = {"block_rows": 64, "context_rows": 4, "merge_gap_rows": 4, "purge_gap_rows": 4}
 
@@ -248,11 +264,12 @@ def forecast_job(spark, sf):
     return _forecast(spark, sf, forecast.Experiment("own_history", **QUICK))["thresholds"]
 
 
-@query("s25_written_reports", SCORES + " SELECT 'scores' AS dataset, count(*) AS rows FROM scores UNION ALL SELECT 'thresholds', 2 UNION ALL SELECT 'summary', 2")
+@query("s25_written_reports", SCORES + f""" SELECT 'scores' AS dataset, count(*) AS rows, {r9('sum(error)', 'checked').replace(', 9)', ', 6)')} FROM scores
+UNION ALL SELECT 'thresholds', count(DISTINCT split), CAST(count(*) FILTER (error >= 1.25) AS DOUBLE) FROM scores UNION ALL SELECT 'summary', count(DISTINCT split), CAST(count(*) FILTER (is_issue) AS DOUBLE) FROM scores""")
 def written_reports(spark, sf):
     path = scratch_path(spark, "reports")
     table = scores(spark, sf)
     write_reports(table, metrics.threshold_metrics(table, {"fixed": 1.25}, score="error", issue_labels=[3, 4, 9]), metrics.ranking_metrics(table, score="error"), path)
-    found = [("scores", spark.read.parquet(f"{path}/scores")), ("thresholds", spark.read.option("header", True).csv(f"{path}/threshold_metrics")),
-             ("summary", spark.read.json(f"{path}/summary"))]
-    return cleaning.union_all([frame.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("rows")) for name, frame in found])
+    found = [("scores", spark.read.parquet(f"{path}/scores"), "error"), ("thresholds", spark.read.option("header", True).csv(f"{path}/threshold_metrics"), "predicted_anomaly_rows"),
+             ("summary", spark.read.json(f"{path}/summary"), "issue_rows")]
+    return cleaning.union_all([frame.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col(c).cast("double")), 6).alias("checked")) for name, frame, c in found])

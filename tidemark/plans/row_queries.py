@@ -9,7 +9,7 @@ from tidemark.functions.names import clean_header, device_family, display_source
 from tidemark.operators import cleaning, ordering, summaries
 from tidemark.plans.registry import (GOOD, ISSUE, PROFILE, READINGS, SCORES, SHIPMENT_PROFILE, SHIPMENTS, query, r9, readings, scores, shipments,
                                      spread_sql, table)
-from tidemark.profiles import fractional_row_limit, scaled_cap
+from tidemark.profiles import PLUG_LABEL_MEANINGS, fractional_row_limit, scaled_cap
 
 ROW = "row_id, ts, source_file, m1, m2, m3, CAST(qc AS BIGINT) AS qc"
 NARROW = ["row_id", "ts", "source_file", "qc"]
@@ -153,6 +153,12 @@ def label_meanings(spark, sf):
     return readings(spark, sf).select("row_id", meaning(F.col("qc"), PROFILE.meanings).alias("meaning"))
 
 
+@query("p19_plug_label_meanings", READINGS + """ SELECT row_id, CASE qc WHEN 0 THEN 'good' WHEN 1 THEN 'conductivity bad plug' WHEN 2 THEN 'conductivity bad other'
+WHEN 3 THEN 'non-conductivity failure' WHEN 4 THEN 'missing data' END AS meaning FROM readings""")
+def plug_meanings(spark, sf):
+    return readings(spark, sf).select("row_id", meaning(F.col("qc"), PLUG_LABEL_MEANINGS).alias("meaning"))
+
+
 @query("p20_fractional_limits", READINGS + f""" SELECT source_file, count(*) AS rows, least(count(*), greatest(1, CAST(round_even(count(*) * CAST(0.35 AS DOUBLE), 0) AS BIGINT))) AS row_limit,
 CAST(350000 AS BIGINT) AS train_cap, CAST(4200 AS BIGINT) AS issue_cap FROM readings WHERE {REVIEWED} GROUP BY source_file""")
 def fractional_limits(spark, sf):

@@ -112,10 +112,7 @@ split AS (SELECT row_id, ts, source_file, qc, {cut_sql('p', 'n')} AS split FROM
 train AS ({spread_sql('split', 900, where="split = 'train'")})
 SELECT split, count(*) AS rows, count(*) FILTER (qc IN (3, 4, 9)) AS issue_rows, min(ts) AS time_start, max(ts) AS time_end FROM (SELECT split, qc, ts FROM train UNION ALL SELECT split, qc, ts FROM split WHERE split <> 'train') GROUP BY split""")
 def modelling_split(spark, sf):
-    rows = cleaning.reviewed_target_frame(reviewed(spark, sf), PROFILE, 5000)
-    cut = splits.split_by_strategy(rows, PROFILE, "per_source_contiguous")
-    train = sampling.subsample(cut.where("split = 'train'"), PROFILE, "time_spread", 900)
-    final = train.unionByName(cut.where("split <> 'train'"))
+    final = sampling.modelling_split(reviewed(spark, sf), PROFILE, strategy="per_source_contiguous", row_limit=5000, subset="time_spread", subset_rows=900)
     return summaries.split_overview(final, PROFILE).drop("issue_share_pct")
 
 
@@ -227,6 +224,21 @@ def compare_strategies(spark, sf):
     return summaries.compare_strategies(two_strategies(spark, sf), "qc", ISSUE, **FLOORS)
 
 
+# All four strategies under one name each; the episode split brings its own steps.
+FOUR = (EPISODE_SPLIT.replace("split AS (SELECT r.row_id", "by_episode AS (SELECT r.row_id") + interleaved_sql(64, name="by_block")
+        + f", by_time AS (SELECT qc, {cut_sql('p', 'n')} AS split FROM (SELECT *, row_number() OVER ({G}) - 1 AS p, count(*) OVER () AS n FROM reviewed))"
+        + f", by_source AS (SELECT qc, {cut_sql('p', 'n')} AS split FROM (SELECT *, row_number() OVER ({W}) - 1 AS p, count(*) OVER (PARTITION BY source_file) AS n FROM reviewed))"
+        + ", tagged AS (" + " UNION ALL ".join(f"SELECT '{s}' AS strategy, qc, split FROM {t}" for s, t in
+                                              zip(splits.STRATEGIES, ("by_time", "by_source", "by_block", "by_episode"), strict=True)) + ")")
+
+
+@query("sp6_compare_all_strategies", FOUR + COMPARE.replace("gaps", "split_gaps"))
+def compare_all(spark, sf):
+    rows, options = reviewed(spark, sf), {"interleaved_blocks": {"block_rows": 64}, "episode_aware": {"block_rows": 32, "context_rows": 6, "merge_gap_rows": 4, "purge_gap_rows": 8}}
+    cut = [splits.split_by_strategy(rows, PROFILE, s, **options.get(s, {})).withColumn("strategy", F.lit(s)) for s in splits.STRATEGIES]
+    return summaries.compare_strategies(cleaning.union_all(cut), "qc", ISSUE, **FLOORS)
+
+
 FUNNEL = READINGS + f", reviewed AS (SELECT * FROM readings WHERE qc IN (1, 3, 4, 9)), modelled AS ({spread_sql('reviewed', 4000)})"
 
 
@@ -258,8 +270,7 @@ def split_overview(spark, sf):
 @query("a11_contiguous_label_counts", READINGS + f", split AS (SELECT qc, {cut_sql('p', 'n')} AS split FROM (SELECT *, row_number() OVER (ORDER BY source_file, ts, row_id) - 1 AS p, count(*) OVER () AS n FROM readings))"
        + _sum_rows("split", "CAST(qc AS BIGINT)") + f" SELECT label, train_rows, validation_rows, test_rows, {_shares()} FROM counts")
 def contiguous_counts(spark, sf):
-    placed = ordering.with_position(readings(spark, sf).select("source_file", "ts", "row_id", "qc"), order=["source_file", "ts", "row_id"], name="p", total="n")
-    return summaries.split_distribution(placed.withColumn("split", splits._cut(F.col("p"), F.col("n"), 0.70, 0.15)), "qc")
+    return summaries.contiguous_label_counts(readings(spark, sf), "qc", order=["source_file", "ts", "row_id"], train=0.70, validation=0.15)
 
 
 def scan_sql() -> str:
