@@ -11,7 +11,7 @@ from tidemark.models.prepare import fit_medians, impute
 from tidemark.operators import cleaning, features, metrics, sequences, splits, summaries
 from tidemark.plans.registry import PROFILE, READINGS, SCORES, query, r9, readings, scores
 from tidemark.plans.sequence_queries import FIXED, window_sql
-from tidemark.plans.split_queries import GLOBAL, PER_SOURCE
+from tidemark.plans.split_queries import GLOBAL, PER_SOURCE, episode_split_sql
 from tidemark.session import scratch_path, settle
 from tidemark.sources.datasets import write_reports
 
@@ -254,14 +254,25 @@ def _forecast(spark, sf, *experiments):
     return forecast.forecast_anomalies(readings(spark, sf), PROFILE, experiments, target="m1", data_fraction=1.0, **EPISODE)
 
 
-@query("m08_forecast_scores")
+# All rows of validation and test with six linked rows before them in their split and source: every window is scored.
+SCORED = episode_split_sql(64, 4, 4, 4) + """, judged AS (SELECT s.split, s.ts, s.source_file, s.row_id, r.m1, s.qc FROM split s JOIN readings r USING (row_id) WHERE s.split <> 'train'),
+steps AS (SELECT *, ts - lag(ts) OVER w AS gap FROM judged WINDOW w AS (PARTITION BY split, source_file ORDER BY ts, row_id)),
+scored AS (SELECT * FROM (SELECT *, count(*) FILTER (gap <= 14400000000) OVER (PARTITION BY split, source_file ORDER BY ts, row_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS links FROM steps) WHERE links = 6)"""
+
+
+@query("m08_forecast_scores", SCORED + f" SELECT split, ts, source_file, {r9('m1', 'actual_value')}, CAST(qc AS BIGINT) AS qc_label, qc = 1 AS is_good, qc IN (3, 4, 9) AS is_issue, TRUE AS error_fits FROM scored")
 def forecast_scores(spark, sf):
-    return _forecast(spark, sf, forecast.Experiment("huber", include_target_history=False, loss="huber", **QUICK))["scores"]
+    found = _forecast(spark, sf, forecast.Experiment("huber", include_target_history=False, loss="huber", **QUICK))["scores"]
+    fits = (F.abs(F.col("forecast_error") - (F.col("actual_value") - F.col("predicted_value"))) < 1e-9) & (F.col("forecast_abs_error_scaled") >= 0)
+    return found.select("split", "ts", "source_file", "actual_value", "qc_label", "is_good", "is_issue", F.coalesce(fits, F.lit(False)).alias("error_fits"))
 
 
-@query("m12_forecast_anomaly_job")
+@query("m12_forecast_anomaly_job", SCORED + """ SELECT split, threshold_source, count(*) AS rows, count(*) FILTER (qc IN (3, 4, 9)) AS issue_rows, TRUE AS in_range FROM scored,
+(VALUES ('good_q0.9'), ('good_q0.95'), ('good_q0.97'), ('good_q0.98'), ('good_q0.99'), ('good_q0.995'), ('validation_f1_optimized')) t(threshold_source) GROUP BY ALL""")
 def forecast_job(spark, sf):
-    return _forecast(spark, sf, forecast.Experiment("own_history", **QUICK))["thresholds"]
+    found = _forecast(spark, sf, forecast.Experiment("own_history", **QUICK))["thresholds"]
+    inside = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+    return found.select("split", "threshold_source", "rows", "issue_rows", inside.alias("in_range"))
 
 
 @query("s25_written_reports", SCORES + f""" SELECT 'scores' AS dataset, count(*) AS rows, {r9('sum(error)', 'checked').replace(', 9)', ', 6)')} FROM scores

@@ -75,25 +75,32 @@ def _episode_split(spark, sf, purge=8):
     return splits.split_by_strategy(reviewed(spark, sf), PROFILE, "episode_aware", block_rows=32, context_rows=6, merge_gap_rows=4, purge_gap_rows=purge)
 
 
-EPISODE_UNITS = REVIEWED + EPISODE_SLOTS + f""", numbered AS (SELECT *, row_number() OVER ({W}) - 1 AS pos, count(*) OVER (PARTITION BY source_file) AS n, qc IN (3, 4, 9) AS bad FROM reviewed),
-marks AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY source_file ORDER BY pos) - 1 <= 12 THEN 0 ELSE 1 END AS opens FROM numbered WHERE bad),
-episodes AS (SELECT source_file, greatest(min(pos) - 6, 0) AS lo, least(max(pos) + 7, min(n)) AS hi, min(n) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY source_file ORDER BY pos) AS e FROM marks) GROUP BY source_file, e),
+def episode_units_sql(block: int = 32, context: int = 6, merge: int = 4) -> str:
+    return REVIEWED + EPISODE_SLOTS + f""", numbered AS (SELECT *, row_number() OVER ({W}) - 1 AS pos, count(*) OVER (PARTITION BY source_file) AS n, qc IN (3, 4, 9) AS bad FROM reviewed),
+marks AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY source_file ORDER BY pos) - 1 <= {max(merge, 2 * context)} THEN 0 ELSE 1 END AS opens FROM numbered WHERE bad),
+episodes AS (SELECT source_file, greatest(min(pos) - {context}, 0) AS lo, least(max(pos) + {context + 1}, min(n)) AS hi, min(n) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY source_file ORDER BY pos) AS e FROM marks) GROUP BY source_file, e),
 gaps AS (SELECT source_file, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM episodes WINDOW w AS (PARTITION BY source_file ORDER BY lo) UNION ALL SELECT source_file, max(hi), max(n) FROM episodes GROUP BY source_file),
 ranks AS (SELECT source_file, row_number() OVER (ORDER BY min(ts), source_file) AS rk, count(*) AS rows FROM reviewed GROUP BY source_file),
 dealt AS (SELECT source_file, lo, hi, row_number() OVER (ORDER BY rk, lo) - 1 AS i, count(*) OVER () AS m FROM episodes JOIN ranks USING (source_file)),
 named AS (SELECT source_file, lo, hi, split FROM dealt JOIN slots ON cycle = greatest(3, least(m, 20)) AND slot = i % cycle),
-blocks AS (SELECT source_file, s AS lo, least(s + 32, hi) AS hi, row_number() OVER (ORDER BY rk, s) - 1 AS i FROM (SELECT source_file, hi, unnest(range(lo, hi, 32)) AS s FROM gaps WHERE lo < hi) JOIN ranks USING (source_file)),
+blocks AS (SELECT source_file, s AS lo, least(s + {block}, hi) AS hi, row_number() OVER (ORDER BY rk, s) - 1 AS i FROM (SELECT source_file, hi, unnest(range(lo, hi, {block})) AS s FROM gaps WHERE lo < hi) JOIN ranks USING (source_file)),
 goal AS (SELECT CAST(sum(rows) AS DOUBLE) * CAST(0.7 AS DOUBLE) AS t1, CAST(sum(rows) AS DOUBLE) * CAST(0.15 AS DOUBLE) AS t2, greatest(CAST(sum(rows) AS DOUBLE) * (CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE) - CAST(0.15 AS DOUBLE)), CAST(0 AS DOUBLE)) AS t3 FROM ranks),
 start AS (SELECT CAST(coalesce(sum(hi - lo) FILTER (split = 'train'), 0) AS DOUBLE) AS c1, CAST(coalesce(sum(hi - lo) FILTER (split = 'validation'), 0) AS DOUBLE) AS c2, CAST(coalesce(sum(hi - lo) FILTER (split = 'test'), 0) AS DOUBLE) AS c3 FROM named),
 lack AS (SELECT greatest(t1 - c1, CAST(0 AS DOUBLE)) AS q1, greatest(t2 - c2, CAST(0 AS DOUBLE)) AS q2, greatest(t3 - c3, CAST(0 AS DOUBLE)) AS q3 FROM goal, start),
 filled AS (SELECT *, sum(hi - lo) OVER (ORDER BY reverse(lpad(bin(i), 48, '0'))) - CAST(hi - lo AS DOUBLE) / 2 AS middle, CAST(sum(hi - lo) OVER () AS DOUBLE) AS clean_rows FROM blocks),
 units AS (SELECT source_file, lo, hi, 'episode' AS kind, split FROM named UNION ALL SELECT source_file, lo, hi, 'clean',
 CASE WHEN q1 + q2 + q3 = 0 OR middle < clean_rows * (q1 / (q1 + q2 + q3)) THEN 'train' WHEN middle < clean_rows * ((q1 + q2) / (q1 + q2 + q3)) THEN 'validation' ELSE 'test' END FROM filled, lack)"""
-EPISODE_SPLIT = EPISODE_UNITS + """, trimmed AS (SELECT source_file, split, lo + CASE WHEN lag(split) OVER w <> split THEN 4 ELSE 0 END AS lo, hi - CASE WHEN lead(split) OVER w <> split THEN 4 ELSE 0 END AS hi
+
+
+def episode_split_sql(block: int = 32, context: int = 6, merge: int = 4, purge: int = 8) -> str:
+    return episode_units_sql(block, context, merge) + f""", trimmed AS (SELECT source_file, split, lo + CASE WHEN lag(split) OVER w <> split THEN {purge // 2} ELSE 0 END AS lo, hi - CASE WHEN lead(split) OVER w <> split THEN {purge - purge // 2} ELSE 0 END AS hi
 FROM units WINDOW w AS (PARTITION BY source_file ORDER BY lo)),
 split AS (SELECT r.row_id, r.ts, r.source_file, r.qc, t.split FROM numbered r JOIN trimmed t ON r.source_file = t.source_file AND r.pos >= t.lo AND r.pos < t.hi)"""
 
 
+EPISODE_UNITS, EPISODE_SPLIT = episode_units_sql(), episode_split_sql()
+
+
 @query("sp4_episode_aware", EPISODE_SPLIT + ROWS)
 def episode_aware(spark, sf):
     return _episode_split(spark, sf)
