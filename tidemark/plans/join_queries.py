@@ -28,14 +28,29 @@ def nearest_sql(left: str, right: str, value: str, key: str = "") -> str:
 CASE WHEN r.ts <= l.ts THEN -r.row_id ELSE r.row_id END) AS rk FROM {left} l JOIN {right} r ON r.ts BETWEEN l.ts - {TOLERANCE} AND l.ts + {TOLERANCE} {on})"""
 
 
-DEVICES = READINGS + "".join(f", d_{s} AS (SELECT * FROM readings WHERE source_file = '{s}')" for s in ("click", "view", "error", "purchase"))
+# Every source has two companions, the next two in order of their names; `pair` names the source they belong to.
+SOURCES = ("click", "error", "purchase", "signup", "view")
 
 
-@query("j01_nearest_join", DEVICES + f" SELECT l.row_id, l.ts, l.m1, n.m2 AS m2_near, n.gap FROM d_click l LEFT JOIN {nearest_sql('d_click', 'd_view', 'm2')} n ON n.row_id = l.row_id AND n.rk = 1")
+def pair_sql(step: int) -> str:
+    return "CASE source_file " + " ".join(f"WHEN '{SOURCES[(i + step) % 5]}' THEN '{s}'" for i, s in enumerate(SOURCES)) + " END AS pair"
+
+
+def pair(step: int):
+    found = F.lit(None).cast("string")
+    for i, s in enumerate(SOURCES):
+        found = F.when(F.col("source_file") == SOURCES[(i + step) % 5], s).otherwise(found)
+    return found.alias("pair")
+
+
+DEVICES = READINGS + ", primary_rows AS (SELECT *, source_file AS pair FROM readings)" + "".join(f", companion{k} AS (SELECT *, {pair_sql(k)} FROM readings)" for k in (1, 2))
+
+
+@query("j01_nearest_join", DEVICES + f" SELECT l.row_id, l.ts, l.m1, l.pair, n.m2 AS m2_near, n.gap FROM primary_rows l LEFT JOIN {nearest_sql('primary_rows', 'companion1', 'm2', 'pair')} n ON n.row_id = l.row_id AND n.rk = 1")
 def nearest(spark, sf):
     rows = readings(spark, sf)
-    left, right = rows.where("source_file = 'click'").select("row_id", "ts", "m1"), rows.where("source_file = 'view'").select("row_id", "ts", "m2")
-    return asof.nearest_join(left, right, time="ts", left_tie="row_id", right_tie="row_id", columns=["m2"], tolerance_seconds=600, suffix="_near", gap="gap")
+    left, right = rows.select("row_id", "ts", "m1", F.col("source_file").alias("pair")), rows.select("row_id", "ts", "m2", pair(1))
+    return asof.nearest_join(left, right, time="ts", by=["pair"], left_tie="row_id", right_tie="row_id", columns=["m2"], tolerance_seconds=600, suffix="_near", gap="gap")
 
 
 SHIFTED = """WITH items AS (SELECT l_returnflag AS k, epoch_us(l_shipdate) AS ts, l_orderkey AS row_id, l_quantity AS q, l_discount AS d FROM lineitem),
@@ -53,20 +68,20 @@ def nearest_by_key(spark, sf):
     return found.select("k", "ts", "q", "d", "gap")
 
 
-CHAIN = DEVICES + f""", step1 AS (SELECT l.row_id, l.ts, l.m1, n.m1 AS "m1 [fluorometer]" FROM d_click l LEFT JOIN {nearest_sql('d_click', 'd_view', 'm1')} n ON n.row_id = l.row_id AND n.rk = 1),
-step2 AS (SELECT s.*, n.m1 AS "m1 [oxygen]" FROM step1 s LEFT JOIN {nearest_sql('d_click', 'd_error', 'm1')} n ON n.row_id = s.row_id AND n.rk = 1)"""
+CHAIN = DEVICES + f""", step1 AS (SELECT l.row_id, l.ts, l.m1, l.pair, n.m1 AS "m1 [fluorometer]" FROM primary_rows l LEFT JOIN {nearest_sql('primary_rows', 'companion1', 'm1', 'pair')} n ON n.row_id = l.row_id AND n.rk = 1),
+step2 AS (SELECT s.*, n.m1 AS "m1 [oxygen]" FROM step1 s LEFT JOIN {nearest_sql('primary_rows', 'companion2', 'm1', 'pair')} n ON n.row_id = s.row_id AND n.rk = 1)"""
 
 
 @query("j02_companion_chain", CHAIN + " SELECT * FROM step2")
 def chain(spark, sf):
     rows = readings(spark, sf)
-    part = lambda s: rows.where(F.col("source_file") == s).select("row_id", "ts", "m1")
-    return asof.join_companions(part("click"), [("fluorometer", part("view")), ("oxygen", part("error"))], time="ts", by=[], tie="row_id", tolerance_seconds=600)
+    part = lambda k: rows.select("row_id", "ts", "m1", pair(k))
+    return asof.join_companions(part(0), [("fluorometer", part(1)), ("oxygen", part(2))], time="ts", by=["pair"], tie="row_id", tolerance_seconds=600)
 
 
-@query("p04_companion_names", DEVICES + " SELECT row_id, ts, m1, m2, m1 AS \"m1 [oxygen]\", m3 FROM d_error")
+@query("p04_companion_names", DEVICES + " SELECT row_id, ts, m1, m2, m1 AS \"m1 [oxygen]\", m3 FROM readings")
 def companion_rename(spark, sf):
-    rows = readings(spark, sf).where("source_file = 'error'")
+    rows = readings(spark, sf)
     names = asof.companion_names(["ts", "m1", "m2"], "oxygen", ["m1", "m3"])
     merged = asof.merged_columns(["ts", "m1", "m2"], [("oxygen", ["m1", "m3"])], fixed=("ts", "row_id"))
     doubled = rows.select("row_id", "ts", "m1", "m2", F.col("m1").alias(names["m1"]), F.col("m3").alias(names["m3"]))
@@ -219,16 +234,16 @@ def row_dataset(spark, sf):
     return datasets.manifest_parts(stored(spark, sf), PROFILE)
 
 
-MERGED = DEVICES + f""", near AS {nearest_sql('d_click', 'd_view', 'm1')}, near2 AS {nearest_sql('d_click', 'd_error', 'm3')}
-SELECT l.row_id, l.ts, l.m1, CAST(l.qc AS BIGINT) AS qc, a.m1 AS "m1 [fluorometer]", b.m3, CAST(NULL AS DOUBLE) AS salinity, l.source_file FROM d_click l LEFT JOIN near a ON a.row_id = l.row_id AND a.rk = 1 LEFT JOIN near2 b ON b.row_id = l.row_id AND b.rk = 1"""
+MERGED = DEVICES + f""", near AS {nearest_sql('primary_rows', 'companion1', 'm1', 'pair')}, near2 AS {nearest_sql('primary_rows', 'companion2', 'm3', 'pair')}
+SELECT l.row_id, l.ts, l.m1, CAST(l.qc AS BIGINT) AS qc, a.m1 AS "m1 [fluorometer]", b.m3, CAST(NULL AS DOUBLE) AS salinity, l.source_file FROM primary_rows l LEFT JOIN near a ON a.row_id = l.row_id AND a.rk = 1 LEFT JOIN near2 b ON b.row_id = l.row_id AND b.rk = 1"""
 
 
 @query("s09_merged_row_dataset", MERGED)
 def merged_dataset(spark, sf):
     rows = readings(spark, sf)
-    primary = rows.where("source_file = 'click'").select("row_id", "ts", "m1", "qc", "source_file")
-    companions = [("fluorometer", rows.where("source_file = 'view'").select("row_id", "ts", "m1")), ("oxygen", rows.where("source_file = 'error'").select("row_id", "ts", "m3"))]
-    merged = asof.join_companions(primary, companions, time="ts", by=[], tie="row_id", tolerance_seconds=600)
+    primary = rows.select("row_id", "ts", "m1", "qc", "source_file", pair(0))
+    companions = [("fluorometer", rows.select("row_id", "ts", "m1", pair(1))), ("oxygen", rows.select("row_id", "ts", "m3", pair(2)))]
+    merged = asof.join_companions(primary, companions, time="ts", by=["pair"], tie="row_id", tolerance_seconds=600)
     padded = cleaning.pad_columns(merged, ["row_id", "ts", "m1", "qc", "m1 [fluorometer]", "m3", "salinity", "source_file"])
     path = scratch_path(spark, "merged")
     datasets.write_rows(padded, path, PROFILE)
@@ -243,12 +258,12 @@ def window_dataset(spark, sf):
 
 
 @query("s11_manifest_summary", READINGS + f""" SELECT 'qc' AS target, count(*) AS row_count, {r9('count(*) FILTER (qc IN (3, 4, 9)) / CAST(count(*) AS DOUBLE)', 'issue_fraction')}, CAST(64 AS BIGINT) AS window_size,
-count(*) FILTER (qc = 0) AS n0, count(*) FILTER (qc = 1) AS n1, count(*) FILTER (qc = 9) AS n9, 'm1,m2,m3' AS measurements FROM readings""")
+count(*) FILTER (qc = 0) AS n0, count(*) FILTER (qc = 1) AS n1, count(*) FILTER (qc = 2) AS n2, count(*) FILTER (qc = 3) AS n3, count(*) FILTER (qc = 4) AS n4, count(*) FILTER (qc = 9) AS n9, 'm1,m2,m3' AS measurements FROM readings""")
 def manifest(spark, sf):
     path = scratch_path(spark, "manifest")
     datasets.write_manifest(readings(spark, sf), path, PROFILE, window_rows=64)
     summary = datasets.read_manifest(spark, path)[1]
-    return summary.select("target", "row_count", "issue_fraction", "window_size", *[F.try_element_at("target_distribution", F.lit(k)).alias(f"n{k}") for k in ("0", "1", "9")],
+    return summary.select("target", "row_count", "issue_fraction", "window_size", *[F.try_element_at("target_distribution", F.lit(k)).alias(f"n{k}") for k in ("0", "1", "2", "3", "4", "9")],
                           F.array_join("measurement_columns", ",").alias("measurements"))
 
 

@@ -186,10 +186,10 @@ def error_rate(spark, sf):
     return summaries.error_rate(scores(spark, sf), truth="qc_label")
 
 
-@query("u01_union_frames", READINGS + " SELECT row_id, ts, m1, CAST(NULL AS DOUBLE) AS m3 FROM readings WHERE source_file = 'click' UNION ALL SELECT row_id, ts, CAST(NULL AS DOUBLE), m3 FROM readings WHERE source_file = 'view'")
+@query("u01_union_frames", READINGS + " SELECT row_id, ts, m1, CAST(NULL AS DOUBLE) AS m3 FROM readings WHERE source_file IN ('click', 'error') UNION ALL SELECT row_id, ts, CAST(NULL AS DOUBLE), m3 FROM readings WHERE source_file NOT IN ('click', 'error')")
 def union_frames(spark, sf):
     rows = readings(spark, sf)
-    return cleaning.union_all([rows.where("source_file = 'click'").select("row_id", "ts", "m1"), rows.where("source_file = 'view'").select("row_id", "ts", "m3")])
+    return cleaning.union_all([rows.where("source_file IN ('click', 'error')").select("row_id", "ts", "m1"), rows.where("source_file NOT IN ('click', 'error')").select("row_id", "ts", "m3")])
 
 
 @query("f01_math", READINGS + f""" SELECT row_id, {r9('abs(m1 - m2)', 'a')}, CAST(ceil(m1 / 7) AS BIGINT) AS c, CAST(floor(m1 / 7) AS BIGINT) AS f, {r9('sin(m3)', 's')}, {r9('cos(m3)', 'k')},
