@@ -37,30 +37,40 @@ CAPACITY, END_ID = 2048, 0
 #: Fixed value: a special token of the vocabulary.
 MARK = "<|endoftext|>"
 #: Words tokenised at once and kept in a worker's memo.
-AT_ONCE, MEMO = 1_024, 700_000
+AT_ONCE, MEMO = 1_024, 300_000
 #: Pieces left to best fit, and pieces of one bucket.
 REST, BUCKET_ROWS = 40_000, 2_000
 
 
+@lru_cache(maxsize=2)
+def _loaded(path: str):
+    """One loaded vocabulary per worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer as Loaded
+
+    codec = Loaded.from_file(path)
+    codec.no_truncation()
+    codec.no_padding()
+    return codec
+
+
 class Tokenizer:
-    """A tokenizer with a bounded memo of blank-separated words.
+    """A tokenizer with a bounded memo of blank-separated words, which lives as long as its task.
 
     The vocabulary's pattern never matches a blank, so a text's ids are those of
     its words in order; words that are new go to the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer as Loaded
+        self.codec = _loaded(path)
+        self.mark = MARK if self.codec.token_to_id(MARK) is not None else ""
+        self.mark_id = self.codec.token_to_id(MARK)
+        self.memo: dict[str, bytes] = {}
 
-        self.codec, self.marked = Loaded.from_file(path), Loaded.from_file(path)
+    def ids_of(self, text: str) -> list[int]:
+        """Ids from the tokenizer itself; strings of special tokens are ordinary text."""
         self.codec.encode_special_tokens = True
-        for codec in (self.codec, self.marked):
-            codec.no_truncation()
-            codec.no_padding()
-        self.mark = MARK if self.marked.token_to_id(MARK) is not None else ""
-        self.mark_id = self.marked.token_to_id(MARK)
-        self.memo: dict[str, bytes] = {}
+        return self.codec.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
@@ -75,26 +85,24 @@ class Tokenizer:
     def _new(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each word. Many words go as one string with a special token between them, which no word holds."""
         odd = [w for w in words if not self.mark or "<|" in w]
-        made = {w: np.array(self.codec.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd}
+        made = {w: np.array(self.ids_of(w), "<u4").tobytes() for w in odd}
         plain = list(words.difference(odd)) if odd else list(words)
+        self.codec.encode_special_tokens = False
         for first in range(0, len(plain), AT_ONCE):
             part = plain[first:first + AT_ONCE]
-            ids = np.array(self.marked.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.codec.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
             raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
             made.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(e + 4 for e in ends)], [*ends, len(raw)]))
         return made
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
-
-
 def cut(documents: DataFrame, path: str, *, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document's pieces."""
 
+    state: dict = {}
+
     def run(columns):
-        codec = tokenizer(path)
+        codec = state.get("codec") or state.setdefault("codec", Tokenizer(path))
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         out = {name: [] for name in names}
         for doc, text in zip(columns["doc_id"], columns["text"]):
