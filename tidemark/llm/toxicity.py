@@ -29,7 +29,7 @@ from tidemark.llm.common import written
 
 SIZES = (3, 4, 5)
 WINDOW, STRIDE = 24, 12
-MEMO = 300_000
+MEMO = 200_000
 #: Digits and signs that stand for letters inside words.
 LOOKALIKES = str.maketrans("01345@", "oieasa")
 _LETTERS = re.compile(r"[\W\d_]+")
@@ -124,15 +124,16 @@ def fit(texts: list[str | None], labels: list[int], *, size: int = 8, min_texts:
             ids.append(k)
         rows.append(np.array(ids, np.int32))
     words = list(word_of)
+    del raw_of, word_of
     seen = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=len(words))
-    texts_of: dict[str, int] = {}
+    texts_of: dict[str, int] = {}  # only n-grams that can reach min_texts through words of several texts
     for w, n in zip(words, seen.tolist()):
         if n > 1:  # most words of the texts are in one text only; what they share is in others, too
             for g in set(ngrams(w)):
                 texts_of[g] = texts_of.get(g, 0) + n
     kept = sorted((g for g, n in texts_of.items() if n >= min_texts), key=lambda g: (-texts_of[g], g))[:max_grams]
     index = {g: i for i, g in enumerate(kept)}
-    texts_of.clear()
+    del texts_of
     # The n-grams of all words, laid end to end; compact, since the driver holds them.
     entries, known, share = array("i"), np.zeros(len(words), np.int32), np.zeros(len(words))
     for i, w in enumerate(words):
@@ -162,7 +163,7 @@ def fit(texts: list[str | None], labels: list[int], *, size: int = 8, min_texts:
     for step in range(1, rounds + 1):
         vectors, softmax, bias = parameters
         direction = softmax[:, 1] - softmax[:, 0]
-        word_value = share * np.bincount(entry_word, (vectors @ direction)[entry_gram], minlength=len(words))
+        word_value = share * _summed(entry_word, entry_gram, vectors @ direction, len(words))
         total = np.concatenate([[0.0], np.cumsum(word_value[tokens])])
         means = (total[end] - total[start]) / (end - start)
         best = np.maximum.reduceat(means, first)
@@ -177,7 +178,7 @@ def fit(texts: list[str | None], labels: list[int], *, size: int = 8, min_texts:
         at_token = np.cumsum(edge[:-1])
         touched = np.flatnonzero(at_token)
         at_word = np.bincount(tokens[touched], at_token[touched], minlength=len(words))
-        at_gram = np.bincount(entry_gram, (at_word * share)[entry_word], minlength=len(kept))
+        at_gram = _summed(entry_gram, entry_word, at_word * share, len(kept))
         toward = vectors.T @ at_gram
         gradients = [np.outer(at_gram, direction) + decay * vectors, np.stack([-toward, toward], 1) + decay * softmax, np.array([-slope.sum(), slope.sum()])]
         for k, (p, g) in enumerate(zip(parameters, gradients)):
@@ -190,6 +191,14 @@ def fit(texts: list[str | None], labels: list[int], *, size: int = 8, min_texts:
     return Model(index, *(p.astype(np.float32) for p in parameters))
 
 
+def _summed(into: np.ndarray, source: np.ndarray, values: np.ndarray, size: int, block: int = 1 << 20) -> np.ndarray:
+    """Sum of values[source] by `into`, a block of entries at a time: the driver holds no array of floats per entry."""
+    out = np.zeros(size)
+    for first in range(0, len(into), block):
+        out += np.bincount(into[first:first + block], values[source[first:first + block]], minlength=size)
+    return out
+
+
 def held_out(id_column: str = "doc_id", folds: int = 5):
     """Rows kept from the fit: crc32 of the id as text leaves no remainder."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % folds == 0, F.lit(False))
@@ -210,8 +219,8 @@ def sample(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", max
     # The broadcast side has at most max_positive + max_negative ids.
     chosen = written(of_class[0].unionByName(of_class[1]), "toxic-ids")
     found = written(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "place", "label_of_row").agg(F.min("text").alias("text")), "toxic-sample")
-    before = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy("place", "doc_id"))  # at most as many rows as chosen
-    within = found.select("doc_id", "place", "text").withColumn("chars", before).filter(F.col("chars") <= max_chars).select("doc_id")
+    before = F.sum("size").over(Window.orderBy("place", "doc_id"))  # at most as many rows as chosen
+    within = found.select("doc_id", "place", F.coalesce(F.length("text"), F.lit(0)).alias("size")).withColumn("chars", before).filter(F.col("chars") <= max_chars).select("doc_id")
     rows = sorted(found.join(within, "doc_id", "left_semi").select("doc_id", "text", "label_of_row").collect(), key=lambda r: r.doc_id)
     return [r.text for r in rows], [r.label_of_row for r in rows]
 
