@@ -25,6 +25,7 @@ import os
 import zlib
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,32 +38,25 @@ CAPACITY, END_ID = 2048, 0
 #: Fixed value: a special token of the vocabulary.
 MARK = "<|endoftext|>"
 #: Words tokenised at once and kept in a worker's memo.
-AT_ONCE, MEMO = 1_024, 300_000
+AT_ONCE, MEMO, PORTION = 1_024, 250_000, 2_000_000
 #: Pieces left to best fit, and pieces of one bucket.
-REST, BUCKET_ROWS = 40_000, 2_000
-
-
-@lru_cache(maxsize=2)
-def _loaded(path: str):
-    """One loaded vocabulary per worker process."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer as Loaded
-
-    codec = Loaded.from_file(path)
-    codec.no_truncation()
-    codec.no_padding()
-    return codec
+REST, BUCKET_ROWS = 100_000, 2_000
 
 
 class Tokenizer:
-    """A tokenizer with a bounded memo of blank-separated words, which lives as long as its task.
+    """A tokenizer with a bounded memo of blank-separated words.
 
     The vocabulary's pattern never matches a blank, so a text's ids are those of
     its words in order; words that are new go to the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
-        self.codec = _loaded(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer as Loaded
+
+        self.codec = Loaded.from_file(path)
+        self.codec.no_truncation()
+        self.codec.no_padding()
         self.mark = MARK if self.codec.token_to_id(MARK) is not None else ""
         self.mark_id = self.codec.token_to_id(MARK)
         self.memo: dict[str, bytes] = {}
@@ -73,14 +67,29 @@ class Tokenizer:
         return self.codec.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.memo.get, words))
-        if None in found:
-            new = self._new({w for w, ids in zip(words, found) if ids is None})
-            found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
-            if len(self.memo) + len(new) <= MEMO:
-                self.memo.update((w, ids) for w, ids in new.items() if len(w) <= 64)
-        return np.frombuffer(b"".join(found), "<u4")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; words that are new to several of the texts are tokenised once."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(self.memo.get, words)) for words in split]
+        missing = [self._gaps(ids) for ids in found]
+        new = self._new({words[i] for words, gaps in zip(split, missing) for i in gaps})
+        for words, ids, gaps in zip(split, found, missing):
+            for i in gaps:
+                ids[i] = new[words[i]]
+        if len(self.memo) + len(new) <= MEMO:
+            self.memo.update((w, ids) for w, ids in new.items() if len(w) <= 64)
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
+
+    @staticmethod
+    def _gaps(found: list) -> list[int]:
+        gaps, at = [], -1
+        try:
+            while True:
+                gaps.append(at := found.index(None, at + 1))
+        except ValueError:
+            return gaps
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each word. Many words go as one string with a special token between them, which no word holds."""
@@ -96,17 +105,35 @@ class Tokenizer:
         return made
 
 
+def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about PORTION code points: what a worker splits into words at once."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if size + len(text) > PORTION and i > first:
+            yield first, i
+            first, size = i, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
+
+
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> Tokenizer:
+    """One tokenizer per worker process; its memo is small enough to stay there."""
+    return Tokenizer(path)
+
+
 def cut(documents: DataFrame, path: str, *, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document's pieces."""
 
-    state: dict = {}
-
     def run(columns):
-        codec = state.get("codec") or state.setdefault("codec", Tokenizer(path))
+        codec = tokenizer(path)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         out = {name: [] for name in names}
-        for doc, text in zip(columns["doc_id"], columns["text"]):
-            ids = np.append(codec.encode(text or ""), np.array([END_ID], "<u4"))
+        texts = [t or "" for t in columns["text"]]
+        made = (ids for first, last in _portions(texts) for ids in codec.encode_all(texts[first:last]))
+        for doc, ids in zip(columns["doc_id"], made):
+            ids = np.append(ids, np.array([END_ID], "<u4"))
             for piece, start in enumerate(range(0, len(ids), capacity)):
                 part = ids[start:start + capacity]
                 row = (doc, piece, start, len(part), zlib.crc32(part.tobytes()), part.tolist() if with_ids else None)
