@@ -38,7 +38,7 @@ CAPACITY, END_ID = 2048, 0
 #: Fixed value: a special token of the vocabulary.
 MARK = "<|endoftext|>"
 #: Words tokenised at once and kept in a worker's memo.
-AT_ONCE, MEMO, PORTION = 1_024, 250_000, 2_000_000
+AT_ONCE, MEMO, PORTION = 1_024, 350_000, 2_000_000
 #: Pieces left to best fit, and pieces of one bucket.
 REST, BUCKET_ROWS = 100_000, 2_000
 
@@ -173,7 +173,7 @@ def _fill(taken: np.ndarray, room: int) -> list[int]:
     return inside
 
 
-def configurations(counts: dict[int, int], capacity: int, *, share: float = 0.1, phases: int = 60, slack: float = 0.02) -> Counter:
+def configurations(counts: dict[int, int], capacity: int, *, share: float = 0.2, phases: int = 30, slack: float = 0.02) -> Counter:
     """Fractional numbers of sequences per configuration, near the optimum of the linear program."""
     lengths = np.array(sorted(counts), np.int64)
     need = np.array([counts[int(n)] for n in lengths], float)
@@ -209,7 +209,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
     """Configurations and how many sequences have each; together they hold exactly the counts."""
     left = {n: c for n, c in counts.items() if c}
     made: Counter = Counter()
-    while sum(left.values()) > REST:
+    while left:
         before = sum(left.values())
         for inside, times in sorted(configurations(left, capacity).items(), key=lambda x: (-x[1], x[0])):
             fill = sum(n * k for n, k in inside)
@@ -219,7 +219,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
                 for n, k in inside:
                     left[n] -= whole * k
         left = {n: c for n, c in left.items() if c}
-        if sum(left.values()) > 0.9 * before:
+        if sum(left.values()) <= REST or sum(left.values()) > 0.9 * before:
             break
     made.update(_best_fit(left, capacity))
     return sorted(made.items())
