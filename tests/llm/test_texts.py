@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from tests.llm.conftest import prose
 from tidemark.llm import chat, html, licenses, lm, sketch
+from tidemark.llm.common import ready, written
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><div id="cookie-notice">We use cookies. Accept them, please.</div>%s
@@ -127,6 +128,33 @@ def test_network_learns_from_both_sides(spark, nothing):
     assert lm.pseudo_likelihood(nothing).count() == 0
 
 
+@pytest.mark.parametrize("known", [0, 2, 50_000])
+def test_every_word_has_a_probability_of_its_own(spark, monkeypatch, known):
+    ready(spark)
+    monkeypatch.setattr(lm, "KNOWN", known)
+    rare = {"alphaxyz": 7, "betaxyz": 3, "gammaxyz": 1}
+    said = [f"w{k}" for k in range(lm.WORDS)] * 9 + [w for w, n in rare.items() for _ in range(n)] + ["--", "Other."]
+    random.Random(4).shuffle(said)
+    corpus = spark.createDataFrame([(k, " ".join(said[k::5])) for k in range(5)], "doc_id bigint, text string")
+    counted = written(lm.count_words(corpus), "t")
+    words, network = lm.vocabulary(corpus), lm.Network.first()
+    every = [r.word or "--" for r in counted.collect()]
+    odd = spark.createDataFrame(list(enumerate([*every, "newxyz", "Betaxyz, betaxyz", "", None])) + [(None, "alphaxyz")], "doc_id bigint, text string")
+    rows = lm.score(odd, words, network, counted).collect()
+    assert len(rows) == len(every) + 5
+    found = {w: r for w, r in zip([*every, "newxyz"], sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id))}
+    score = {w: r.log_probability for w, r in found.items()}
+    assert score["alphaxyz"] - score["gammaxyz"] == pytest.approx(np.log(7))
+    assert score["betaxyz"] - score["gammaxyz"] == pytest.approx(np.log(3))
+    assert score["newxyz"] == pytest.approx(score["gammaxyz"])
+    assert next(r for r in rows if r.doc_id is None).log_probability == score["alphaxyz"]
+    # The words of a class, and one for the unknown ones, share its probability.
+    ids = np.array([lm.Ids(words).of(w)[0] for w in found])
+    classes = np.exp(network.log_probabilities(np.arange(lm.VOCABULARY), np.full((lm.VOCABULARY, 4), lm.EDGE), network.tables()))
+    for c in [*range(lm.WORDS), lm.WORDS + lm.ending("xyz")]:
+        assert sum(np.exp(score[w]) for w, i in zip(found, ids) if i == c) == pytest.approx(classes[c], rel=1e-5)
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(0)
     net = lm.Network.first()
