@@ -79,6 +79,16 @@ def test_plan_of_awkward_lengths():
     assert sum(t for _, t in packing.plan({32: 7}, 64)) == 4
 
 
+@pytest.mark.parametrize("n", [300, 200_000])
+def test_plan_keeps_configurations_of_hot_lengths(n):
+    counts = {1000: n, 600: n, 380: n}
+    planned = packing.plan(dict(counts), 2048)
+    assert holds(planned, counts, 2048)
+    assert sum(t for _, t in planned) <= 1.005 * n + 1
+    found, bound = packing.configurations(counts, 2048)
+    assert 1980 / 2048 * n - 1 <= bound <= n + 1e-6
+
+
 def test_packing_all_rows(documents, nothing, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 2)
     cut = packing.cut(documents, WORD_BPE, with_ids=True).collect()

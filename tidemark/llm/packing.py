@@ -8,7 +8,9 @@ cover the counts. Multiplicative weights solve it: each length's price falls as
 it is covered, a knapsack dynamic program prices configurations, and the best one
 around each length gets a small share of the sequences. Whole numbers of each
 configuration are kept, what is left goes through the same again while it is
-large, and the bounded rest by best fit, largest first.
+large, and the bounded rest by best fit, largest first. The prices also give a
+bound that no packing is below: first well-filled configurations alone are kept,
+and if that plan is not near the bound, all of them, with faster prices.
 
 Each piece then takes a place by its rank among the pieces of its length. Ranks
 come from counts per (length, bucket) and positions inside a bucket, so that a
@@ -173,21 +175,26 @@ def _fill(taken: np.ndarray, room: int) -> list[int]:
     return inside
 
 
-def configurations(counts: dict[int, int], capacity: int, *, share: float = 0.2, phases: int = 30, slack: float = 0.02) -> Counter:
-    """Fractional numbers of sequences per configuration, near the optimum of the linear program."""
+def configurations(counts: dict[int, int], capacity: int, *, share: float = 0.2, phases: int = 30, slack: float = 0.02, rate: float = 0.1) -> tuple[Counter, float]:
+    """Fractional numbers of sequences per configuration, and a number of sequences that no packing is below.
+
+    Any prices give such a bound: what all pieces cost over the dearest sequence.
+    """
     lengths = np.array(sorted(counts), np.int64)
     need = np.array([counts[int(n)] for n in lengths], float)
     place = {int(n): i for i, n in enumerate(lengths)}
     covered = np.zeros(len(lengths))
     found: Counter = Counter()
+    bound = 0.0
     for _ in range(phases):
         if covered.min() >= 1.0:
             break
         # Prices: the length itself, scaled down as its count is covered.
         lag = covered - covered.min()
-        prices = lengths / capacity * np.exp(-slack * lag / share)
+        prices = lengths / capacity * np.exp(-rate * lag)
         prices[covered >= 1.0] *= 0.5
         value, taken = knapsack(lengths, prices, capacity)
+        bound = max(bound, float(prices @ need) / value[capacity])
         room = need * share
         around = prices + value[capacity - lengths]
         order = np.lexsort((-lengths, covered.round(6)))
@@ -202,19 +209,46 @@ def configurations(counts: dict[int, int], capacity: int, *, share: float = 0.2,
             for n, k in inside.items():
                 room[place[n]] -= step * k
                 covered[place[n]] += step * k / need[place[n]]
-    return found
+    return found, bound
+
+
+#: Distance to the bound at which no further plan is tried, and the plans in order: least fill of a configuration, and how the program runs.
+GAP = 0.005
+TRIES = ((0.97, {}), (0.0, {}), (0.0, {"share": 0.1, "phases": 60, "rate": 1.0}), (0.0, {"share": 0.1, "phases": 60, "rate": 4.0}))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Configurations and how many sequences have each; together they hold exactly the counts."""
-    left = {n: c for n, c in counts.items() if c}
+    """Configurations and how many sequences have each; together they hold exactly the counts.
+
+    The first plan within `GAP` of the bound is taken, else the one with the fewest sequences.
+    """
+    need = {n: c for n, c in counts.items() if c}
+    if not need:
+        return []
+    bound = sum(n * c for n, c in need.items()) / capacity
+    best = None
+    for least, how in TRIES:
+        made, found = _one_plan(need, capacity, least, how)
+        bound = max(bound, found)
+        if best is None or made.total() < best.total():
+            best = made
+        if best.total() <= (1 + GAP) * bound + 1:
+            break
+    return sorted(best.items())
+
+
+def _one_plan(need: dict[int, int], capacity: int, least: float, how: dict) -> tuple[Counter, float]:
+    """Whole parts of the configurations filled to `least`, rest again, then best fit; and the bound of all pieces."""
+    left, bound = dict(need), None
     made: Counter = Counter()
     while left:
         before = sum(left.values())
-        for inside, times in sorted(configurations(left, capacity).items(), key=lambda x: (-x[1], x[0])):
+        found, now = configurations(left, capacity, **how)
+        bound = now if bound is None else bound
+        for inside, times in sorted(found.items(), key=lambda x: (-x[1], x[0])):
             fill = sum(n * k for n, k in inside)
-            whole = min(int(times), *(left[n] // k for n, k in inside))
-            if whole and fill >= 0.97 * capacity:
+            whole = min(int(times + 1e-6), *(left[n] // k for n, k in inside))
+            if whole and fill >= least * capacity:
                 made[inside] += whole
                 for n, k in inside:
                     left[n] -= whole * k
@@ -222,7 +256,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
         if sum(left.values()) <= REST or sum(left.values()) > 0.9 * before:
             break
     made.update(_best_fit(left, capacity))
-    return sorted(made.items())
+    return made, bound or 0.0
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> Counter:
