@@ -30,6 +30,15 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("around", ["<div id='content'>%s</div>", "<main>%s</main>", "%s"])
+@pytest.mark.parametrize("first, last", [("<section>%s</section>", "<section>%s</section>"), ("<article>%s</article>", "<section>%s</section>"), ("<div>%s</div>", "%s")])
+def test_article_in_several_parts_is_whole(around, first, last):
+    said = [f"Sentence {k} of the article, with some words, and more of them." for k in range(10)]
+    part = lambda head, texts: f"<h2>{head}</h2>" + "".join(f"<p>{t}</p>" for t in texts)
+    page = PAGE % (around % (first % part("One", said[:7]) + last % part("Two", said[7:])))
+    assert html.main_text(page) == "\n".join(["One", *said[:7], "Two", *said[7:]])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<b", "<!--", "-->", "&amp", "x, y.", "<script>", "</article>", "<article>", "\"'", ">"])).map("".join))
 def test_any_markup_gives_some_text(page):

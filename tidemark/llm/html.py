@@ -4,9 +4,11 @@ A page is cut into blocks, each with its root-to-leaf path of block tags (with
 class and id). Per path the text length and the punctuation marks are added up
 and divided by the number of blocks; both ratios are smoothed over neighbouring
 paths, weighted by how much the paths share, and fused. Paths over the threshold
-carry the content; the smallest container around most of their weight is the
-article, and its blocks are kept unless a tag, class or id on their path names
-boilerplate. Paths that mostly hold link text don't count as content.
+carry the content; the article is the smallest container around all their weight,
+and its blocks are kept unless a tag, class or id on their path names boilerplate.
+Where only the page itself holds all of it, the container around most of the weight,
+the other parts of the page with content, and headings are kept. Paths that mostly
+hold link text don't count as content.
 
 Nulls and pages without content give an empty string.
 """
@@ -48,7 +50,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"[\s​]+")
 MARK = re.compile(r"[.,;:!?…、。，！？]")
-#: Share of the fused weight that the article's container must hold.
+#: Share of the fused weight that the article's main container must hold.
 CONTAINER_SHARE = 0.6
 
 
@@ -245,16 +247,24 @@ def main_text(html: str | None) -> str:
     inner = [n for n in nodes.values() if held[n.number] >= CONTAINER_SHARE * total and n.tag not in ("p", "li", "td", "th", "tr", "ul", "ol", "pre", "blockquote", "dd", "dl", "figure") and n.tag not in HEADINGS]
     best = max(named or inner or [nodes[0]], key=lambda n: n.number)
     strict = best.tag not in ("article", "main")
+    # What holds the whole weight: of the page itself, only its parts with content and its headings belong to the article.
+    whole = max((n for n in nodes.values() if held[n.number] >= (1 - 1e-9) * total), key=lambda n: n.number)
+    page = whole.tag in ("", "html", "body")
     out = []
     for p, (node, text, linked) in zip(paths, found):
-        if node.boiler or strict and linked > 0.5 * len(text):
+        if node.boiler:
             continue
-        up, inside, head = node, False, False
+        up, below, inside, around, head = node, node, False, False, False
         while up is not None:
             inside |= up is best
             head |= up.tag == "header"
+            if up is whole:
+                around = not page or node.tag in HEADINGS or node is whole and p in weights or below is not whole and below.number in held
+            below = up
             up = up.parent
-        if inside and (not head or node.tag in HEADINGS):
+        if (strict or not inside) and linked > 0.5 * len(text):
+            continue
+        if (inside or around) and (not head or node.tag in HEADINGS):
             out.append(text)
     return "\n".join(out)
 
