@@ -77,6 +77,18 @@ def test_estimate_matches_numpy(spark):
     np.testing.assert_allclose(np.array(got.precision).reshape(precision.shape), precision, rtol=0.05, atol=2.0)
 
 
+def test_groups_on_both_sides_of_the_bound(spark):
+    ready(spark)
+    rng = random.Random(8)
+    sizes = {"at": 70, "under": 69, "large": 300}
+    rows = [(k, prose(rng, rng.randint(60, 120)), "en", source) for k, source in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    measured = written(quality.counts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")), "t")
+    estimates = written(quality.fit(measured), "t")
+    of_group = {r.group: list(r.center) for r in estimates.collect()}
+    of_pair = {r.source: list(r.center) for r in quality.resolve(estimates, measured).collect()}
+    assert of_pair == {s: of_group["1\x1f=en" if s == "under" else f"2\x1f=en\x1f={s}"] for s in sizes}
+
+
 def test_chi_squared():
     assert quality.chi2_cdf(quality.chi2_quantile(0.5, 7), 7) == pytest.approx(0.5)
     assert quality.chi2_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)

@@ -9,8 +9,8 @@ half settles. Texts far away by Mahalanobis distance are rejected.
 The steps are Spark aggregates over the small table of vectors, summed per group
 before they move, so a source with a third of all rows is no single task; the
 half's border comes from a histogram of distances with bins of one per cent.
-Groups with few texts take the estimate of their language, small languages that
-of all texts.
+Groups with fewer texts than ten times the statistics take the estimate of their
+language, such languages that of all texts.
 
 Null texts have no words. A null language or source is a group of its own.
 Texts that fail the base rules take no part in the estimate and are never kept.
@@ -35,7 +35,7 @@ FEATURES = ("word_length", "symbols", "repeated_lines", "repeated_words", "upper
 #: Spread below which a statistic's own scatter is not believed: many are zero in nearly all good texts.
 FLOORS = np.array([0.05, 0.06, 0.12, 0.10, 0.04, 0.05, 0.08])
 #: Steps, share of the half, smallest group with an estimate of its own, and the squared distance beyond which a text goes.
-STEPS, HALF, SMALL = 4, 0.5, 400
+STEPS, HALF, SMALL = 4, 0.5, 10 * len(FEATURES)
 LIMIT = 90.0
 _NOT_UPPER = re.compile(r"[^A-ZÀ-ÖØ-ÞΑ-ΡΣ-ΫА-Я]+")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
