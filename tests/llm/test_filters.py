@@ -200,6 +200,13 @@ def test_a_long_chain_is_one_component(spark):
     assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 301)}
 
 
+def test_unsettled_components_are_an_error(spark):
+    ready(spark)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, rounds=1)
+
+
 def test_near_duplicates_of_odd_rows(documents, nothing):
     rows = simhash.near_duplicates(documents).collect()
     texts = documents.collect()

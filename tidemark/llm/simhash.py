@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -250,11 +251,14 @@ def links(groups: DataFrame, total: int, *, budget: int = BUDGET) -> DataFrame:
 
 # ---------------------------------------------------------------- components
 
-def components(edges: DataFrame, *, rounds: int = 40) -> DataFrame:
-    """(node, root): each linked node's smallest reachable node, by large-star and small-star rounds."""
+def components(edges: DataFrame, *, rounds: int | None = None) -> DataFrame:
+    """(node, root): each linked node's smallest reachable node, by large-star and small-star rounds until they settle.
+
+    With `rounds`, edges that still change in the last of them are an error.
+    """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
     last = None
-    for _ in range(rounds):
+    for number in count(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -265,6 +269,8 @@ def components(edges: DataFrame, *, rounds: int = 40) -> DataFrame:
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint")), F.countDistinct("a")).first())
         if now == last and now[0] == now[2]:
             break
+        if number == rounds:
+            raise RuntimeError(f"components have not settled after {rounds} rounds")
         last = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
