@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, html, licenses, lm, packing, quality, simhash, sketch, toxicity
+from tidemark.llm import boosting, bpe, chat, codes, html, licenses, lm, packing, quality, ranking, simhash, sketch, toxicity
 from tidemark.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,51 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def _op11_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """The same rounds by full search; vectors of four components a part, as the given ones."""
+    apart = " + ".join(f"(x[{k}] - c[{k}]) * (x[{k}] - c[{k}])" for k in range(1, 5))
+    means = ", ".join(f"CAST(floor(sum(x[{k}]) / count(*)) AS BIGINT)" for k in range(1, 5))
+    steps = [f"""kept AS (SELECT vec_id, label, list_transform(embedding, lambda a: CAST(floor(256 * CAST(a AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda a: a IS NULL OR NOT isfinite(a))) = 0),
+cut AS (SELECT vec_id, label, p, v[4 * p + 1:4 * p + 4] AS x FROM kept, range({parts}) AS r(p)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM cut QUALIFY e < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"given{k} AS (SELECT vec_id, label, p, any_value(x) AS x, min(({apart}) * {entries} + e) AS best FROM cut JOIN book{k} USING (p) GROUP BY vec_id, label, p)")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (SELECT p, best % {entries} AS e, [{means}] AS c FROM given{k} GROUP BY ALL),
+book{k + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, e))""")
+    steps.append(f"""coded AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(best % {entries} AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM given{rounds} GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})""")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest"
+
+
+@query("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = r"""WITH doc_terms AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, len(t) AS n FROM doc_terms WHERE len(t) > 0),
+totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes),
+item_terms AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM doc_terms) WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY term, big_n),
+parts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) AS part FROM tfs JOIN weights USING (term) JOIN sizes USING (doc_id), totals),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM item_terms JOIN parts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 20"""
+
+
+@query("op12_ranked_search", OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    trees = boosting.fit(*boosting.sample(documents, table(spark, sf_dir, "labels")))
+    return boosting.score(documents, trees)
