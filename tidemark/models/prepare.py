@@ -8,7 +8,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.metrics import medians
+from tidemark.operators.quantiles import medians
 
 
 def impute(df: DataFrame, fitted: Mapping[str, float]) -> DataFrame:

@@ -1,19 +1,19 @@
 """Classification, threshold and ranking metrics without driver-side data.
 
-Everything ordered by score works on the score histogram: equal scores are
-counted before the shuffle, so many equal scores are no burden, and running
-counts over the distinct scores answer quantiles, thresholds and curves.
+Quantiles and thresholds come from bracketed counts (`quantiles`), with no shuffle
+by score. Ranking curves need every distinct score: there equal scores are
+counted before the shuffle, so many equal scores are no burden.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import _constant, _search, arrange
+from tidemark.operators.ordering import _search, arrange
+from tidemark.operators.quantiles import exact_quantiles, grouped_quantiles, quantiles_of  # noqa: F401 (exact_quantiles is part of this module's surface)
 from tidemark.session import settle
 
 
@@ -23,60 +23,6 @@ def score_histogram(df: DataFrame, value: Column, *, by: Sequence[str] = (), fla
     return df.withColumn("value", value.cast("double")).where(F.col("value").isNotNull()).groupBy(*by, "value").agg(*counts)
 
 
-def exact_quantiles(df: DataFrame, value: Column, fractions: Sequence[float], *, by: str | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles, per group of a small key domain.
-
-    Result: `by`, `fraction`, `quantile`. Nothing is gathered: running counts
-    tell which distinct values cover the few row positions asked for. The
-    group key (a split, a column name) must have few values.
-    """
-    return histogram_quantiles(settle(score_histogram(df, value, by=[by] if by else [])), fractions, by=by)
-
-
-def histogram_quantiles(histogram: DataFrame, fractions: Sequence[float], *, by: str | None = None) -> DataFrame:
-    """Quantiles of a settled histogram (`value`, `n`), so that one histogram can serve several questions."""
-    df, group = histogram, [by] if by else []
-    totals = {r[0] if by else None: r["rows"] for r in
-              histogram.groupBy(*group).agg(F.sum("n").alias("rows")).collect() if r["rows"]}
-    wanted = {}
-    for key, rows in totals.items():
-        spots = []
-        for i, q in enumerate(fractions):
-            at = (rows - 1) * q
-            low = math.floor(at)
-            spots.append((low, i, 1.0 - (at - low)))
-            if at > low:
-                spots.append((low + 1, i, at - low))
-        wanted[key] = sorted(spots)
-    if not wanted:
-        return df.sparkSession.createDataFrame([], f"{by + ' string, ' if by else ''}fraction double, quantile double")
-
-    spot_type = "struct<p:bigint,i:int,w:double>"
-    lists, covered = F.lit(None).cast(f"array<{spot_type}>"), F.lit(None).cast("array<int>")
-    for key, spots in wanted.items():
-        positions = [p for p, _, _ in spots]
-        literal = _constant([{"p": p, "i": i, "w": w} for p, i, w in spots], spot_type)
-        here = F.lit(True) if by is None else F.col(by).eqNullSafe(F.lit(key))
-        first = _search(positions, "bigint", F.col("__upto") - F.col("n") - 1)
-        after = _search(positions, "bigint", F.col("__upto") - 1)
-        covered = F.when(here, F.array(first, after)).otherwise(covered)
-        lists = F.when(here, literal).otherwise(lists)
-    seq = arrange(histogram, by=group, order=["value"]).accumulate(__upto=("sum", F.col("n")))
-    ranges = seq.rows().withColumn("__range", covered).where(F.get("__range", F.lit(0)) < F.get("__range", F.lit(1)))
-    hits = ranges.select(*group, "value", F.explode(F.slice(lists, F.get("__range", F.lit(0)) + 1,
-                                                            F.get("__range", F.lit(1)) - F.get("__range", F.lit(0)))).alias("spot"))
-    summed = hits.groupBy(*group, F.col("spot.i").alias("__i")).agg(F.sum(F.col("value") * F.col("spot.w")).alias("quantile"))
-    names = _constant([float(q) for q in fractions], "double")
-    return summed.select(*group, F.get(names, F.col("__i")).alias("fraction"), "quantile")
-
-
-def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact median of each column, by one long-format pass."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])).alias("p")
-    rows = exact_quantiles(df.select(pairs).select("p.name", "p.x"), F.col("x"), [0.5], by="name").collect()
-    return {r["name"]: r["quantile"] for r in rows}
-
-
 # --- classification ----------------------------------------------------------
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -152,9 +98,15 @@ def positive_weight(df: DataFrame, label: str) -> DataFrame:
 # --- anomaly scores ----------------------------------------------------------
 
 def threshold_metrics(scores: DataFrame, thresholds: Mapping[str, float], *, score: str, split: str = "split",
-                      issue_labels: Sequence[int], histogram: DataFrame | None = None) -> DataFrame:
-    """Metrics at named thresholds, per split: one pass for all thresholds; `histogram` has the scores of each split."""
+                      issue_labels: Sequence[int], levels: Mapping | None = None) -> DataFrame:
+    """Metrics at named thresholds, per split: one pass for all thresholds.
+
+    `levels`: known median and 95 % quantile of each split's scores, if asked before.
+    """
     value, issue, label = F.col(score), F.col("is_issue"), F.col("qc_label")
+    if levels is None:
+        scores = settle(scores.select(split, score, "is_issue", "qc_label"))
+        levels = grouped_quantiles(scores, score, LEVELS, by=split)
     fixed = [F.count(F.lit(1)).alias("rows"), F.count_if(issue).alias("issue_rows")]
     fixed += [F.count_if(label == v).alias(f"label_{v}_rows") for v in issue_labels]
     for i, limit in enumerate(thresholds.values()):
@@ -170,48 +122,53 @@ def threshold_metrics(scores: DataFrame, thresholds: Mapping[str, float], *, sco
             _ratio(hits, guessed).alias("precision"), _ratio(hits, actual).alias("recall"), _f1(hits, guessed, actual).alias("f1"),
             *[_ratio(F.col(f"h{i}_{v}"), F.col(f"label_{v}_rows")).alias(f"label_{v}_recall") for v in issue_labels]))
     exploded = counts.select(split, "rows", "issue_rows", *[f"label_{v}_rows" for v in issue_labels], F.explode(F.array(*each)).alias("m"))
-    if histogram is None:
-        histogram = settle(score_histogram(scores, value, by=[split]))
-    spread = histogram_quantiles(histogram, [0.5, 0.95], by=split).groupBy(split).agg(
-        F.max(F.when(F.col("fraction") == 0.5, F.col("quantile"))).alias("median_abs_error_scaled"),
-        F.max(F.when(F.col("fraction") == 0.95, F.col("quantile"))).alias("p95_abs_error_scaled"))
-    return exploded.join(spread, split).select(split, "rows", "issue_rows", *[f"label_{v}_rows" for v in issue_labels],
-                                               "m.*", "median_abs_error_scaled", "p95_abs_error_scaled")
+    # Splits without a score are left out, as they have no level.
+    known = {k: xs for k, xs in levels.items() if xs[0] is not None and k is not None}
+
+    def level(i: int) -> Column:
+        found = F.lit(None).cast("double")
+        for k, xs in known.items():
+            found = F.when(F.col(split) == F.lit(k), F.lit(xs[i])).otherwise(found)
+        return found
 
+    return exploded.where(F.col(split).isin(list(known))).select(
+        split, "rows", "issue_rows", *[f"label_{v}_rows" for v in issue_labels], "m.*", level(0).alias("median_abs_error_scaled"), level(1).alias("p95_abs_error_scaled"))
 
-# Quantiles of the threshold sweep.
+
+# Quantiles of the threshold sweep and of the error level.
 GOOD_QUANTILES = (0.90, 0.95, 0.97, 0.98, 0.99, 0.995)
+LEVELS = (0.5, 0.95)
 SEARCH_STEPS, SEARCH_LOW, SEARCH_HIGH = 250, 0.50, 0.999
 
 
-def validation_histogram(valid: DataFrame, score: str) -> DataFrame:
-    """Scores with their rows, good rows and issue rows."""
-    return score_histogram(valid, F.col(score), flags={"good": F.col("is_good"), "issue": F.col("is_issue")})
+def search_fractions() -> list[float]:
+    step = (SEARCH_HIGH - SEARCH_LOW) / (SEARCH_STEPS - 1)
+    return [SEARCH_LOW + step * i for i in range(SEARCH_STEPS - 1)] + [SEARCH_HIGH]
+
+
+def good_thresholds(valid: DataFrame, score: str, quantiles: Sequence[float] = GOOD_QUANTILES) -> dict[str, float]:
+    """Score quantiles of good validation rows (of all rows if none is good); empty without rows."""
+    found = quantiles_of(valid, {"good": (F.when(F.col("is_good"), F.col(score)), quantiles), "all": (F.col(score), quantiles)})
+    return _named(quantiles, found["good"], found["all"])
 
 
-def good_thresholds(valid: DataFrame, score: str, quantiles: Sequence[float] = GOOD_QUANTILES, *, histogram: DataFrame | None = None) -> dict[str, float]:
-    """Score quantiles of good validation rows (of all rows if none is good)."""
-    if histogram is None:
-        histogram = settle(validation_histogram(valid, score))
-    good = histogram.where("good > 0").select("value", F.col("good").alias("n"))
-    base = good if not good.isEmpty() else histogram
-    found = {r["fraction"]: r["quantile"] for r in histogram_quantiles(base, quantiles).collect()}
-    return {f"good_q{q:g}": found[q] for q in quantiles}
+def _named(quantiles: Sequence[float], good: Sequence[float | None], every: Sequence[float | None]) -> dict[str, float]:
+    base = good if good and good[0] is not None else every
+    return {f"good_q{q:g}": x for q, x in zip(quantiles, base) if x is not None}
 
 
-def best_f1_threshold(valid: DataFrame, score: str, *, histogram: DataFrame | None = None) -> tuple[float, float]:
-    """Threshold with the best validation F1 among 250 quantiles; first wins ties.
+def best_f1_threshold(valid: DataFrame, score: str, *, limits: Sequence[float] | None = None) -> tuple[float, float] | None:
+    """Threshold with the best validation F1 among 250 quantiles; first wins ties, None without rows.
 
-    Candidate thresholds are answered from one histogram: rows at or above each
-    candidate are counted by bucketing every distinct score once.
+    Every row is counted once, in the bucket of the highest candidate it reaches.
     """
-    step = (SEARCH_HIGH - SEARCH_LOW) / (SEARCH_STEPS - 1)
-    fractions = [SEARCH_LOW + step * i for i in range(SEARCH_STEPS - 1)] + [SEARCH_HIGH]
-    if histogram is None:
-        histogram = settle(validation_histogram(valid, score))
-    limits = sorted({r["quantile"] for r in histogram_quantiles(histogram, fractions).collect()})
-    bucket = _search(limits, "double", F.col("value"))
-    rows = histogram.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.sum("issue").alias("h")).collect()
+    if limits is None:
+        limits = quantiles_of(valid, {"all": (F.col(score), search_fractions())})["all"]
+    limits = sorted({x for x in limits if x is not None})
+    if not limits:
+        return None
+    rows = (valid.where(F.col(score).isNotNull()).groupBy(_search(limits, "double", F.col(score).cast("double")).alias("b"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_issue").alias("h")).collect())  # one row a candidate
     actual = sum(r["h"] for r in rows)
     best, best_f1 = limits[0], -1.0
     for i, limit in enumerate(limits):
@@ -225,13 +182,22 @@ def best_f1_threshold(valid: DataFrame, score: str, *, histogram: DataFrame | No
 
 def threshold_sweep(scores: DataFrame, *, score: str, split: str = "split", issue_labels: Sequence[int],
                     validation: str = "validation") -> DataFrame:
-    """Good-row quantile thresholds and the F1-optimised one, on every split."""
-    scores = scores.select(split, score, "is_good", "is_issue", "qc_label")
-    counted = settle(score_histogram(scores, F.col(score), by=[split], flags={"good": F.col("is_good"), "issue": F.col("is_issue")}))
-    valid = counted.where(F.col(split) == validation)
-    limits = good_thresholds(scores, score, histogram=valid)
-    limits["validation_f1_optimized"] = best_f1_threshold(scores, score, histogram=valid)[0]
-    return threshold_metrics(scores, limits, score=score, split=split, issue_labels=issue_labels, histogram=counted)
+    """Good-row quantile thresholds and the F1-optimised one, on every split.
+
+    All quantiles, those of each split and those of the validation rows, are
+    asked together, so they share each pass over the settled scores.
+    """
+    scores = settle(scores.select(split, score, "is_good", "is_issue", "qc_label"))
+    valid, splits = F.col(split) == validation, [r[0] for r in scores.select(split).distinct().collect()]
+    asked = {"good": (F.when(valid & F.col("is_good"), F.col(score)), GOOD_QUANTILES), "all": (F.when(valid, F.col(score)), [*GOOD_QUANTILES, *search_fractions()])}
+    asked |= {f"split {i}": (F.when(F.col(split) == F.lit(k), F.col(score)), LEVELS) for i, k in enumerate(splits) if k is not None}
+    found = quantiles_of(scores, asked)
+    limits = _named(GOOD_QUANTILES, found["good"], found["all"])
+    best = best_f1_threshold(scores.where(valid), score, limits=found["all"][len(GOOD_QUANTILES):])
+    if best:
+        limits["validation_f1_optimized"] = best[0]
+    levels = {k: found[f"split {i}"] for i, k in enumerate(splits) if k is not None}
+    return threshold_metrics(scores, limits, score=score, split=split, issue_labels=issue_labels, levels=levels)
 
 
 def ranking_metrics(scores: DataFrame, *, score: str, by: Sequence[str] = ("split",)) -> DataFrame:
@@ -255,16 +221,17 @@ def ranking_metrics(scores: DataFrame, *, score: str, by: Sequence[str] = ("spli
 
 def score_summary(scores: DataFrame, *, score: str, split: str = "split", quantile: float = 0.99) -> DataFrame:
     """Per split: counts, error level and F1 at the good-validation quantile."""
-    valid = scores.where(F.col(split) == "validation")
-    limits = good_thresholds(valid, score, [quantile])
-    metrics = threshold_metrics(scores, limits, score=score, split=split, issue_labels=[])
+    scores = settle(scores.select(split, score, "is_good", "is_issue", "qc_label"))
+    limits = good_thresholds(scores.where(F.col(split) == "validation"), score, [quantile])
+    metrics = threshold_metrics(scores, limits, score=score, split=split, issue_labels=[], levels=grouped_quantiles(scores, score, LEVELS, by=split))
     return metrics.select(split, "rows", "issue_rows", "predicted_anomaly_rows", "median_abs_error_scaled", "p95_abs_error_scaled",
                           F.col("f1").alias("forecast_anomaly_f1"), F.col("threshold").alias("forecast_error_threshold"))
 
 
 def error_histogram(scores: DataFrame, *, score: str, split: str = "split", threshold: float, bins: int = 44) -> DataFrame:
     """Good and issue rows per error bin from 0 to max(p99.5, threshold); bin `bins` holds what lies above."""
-    tops = {r[split]: max(r["quantile"], threshold, 1e-6) for r in exact_quantiles(scores, F.col(score), [0.995], by=split).collect()}
+    scores = settle(scores.select(split, score, "is_good", "is_issue"))
+    tops = {k: max(xs[0], threshold, 1e-6) for k, xs in grouped_quantiles(scores, score, [0.995], by=split).items() if xs[0] is not None}
     top = F.lit(None).cast("double")
     for name, value in tops.items():
         top = F.when(F.col(split) == name, F.lit(value)).otherwise(top)
