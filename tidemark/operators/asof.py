@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import arrange
@@ -12,43 +13,59 @@ from tidemark.profiles import MERGE_ORDER
 from tidemark.session import settle
 
 
-def nearest_join(left: DataFrame, right: DataFrame, *, time: str, by: Sequence[str] = (), left_tie: str,
-                 right_tie: str, columns: Sequence[str], tolerance_seconds: float, suffix: str = "",
-                 gap: str | None = None) -> DataFrame:
-    """Each left row with the nearest right row in time, or nulls.
+@dataclass(frozen=True)
+class Side:
+    """A right side of an as-of join: its rows, their tie-break and the columns to take (name there -> name in the result)."""
+
+    rows: DataFrame
+    tie: str
+    columns: Mapping[str, str]
+    gap: str | None = None
+
+
+def nearest_joins(left: DataFrame, sides: Sequence[Side], *, time: str, by: Sequence[str] = (), left_tie: str, tolerance_seconds: float) -> DataFrame:
+    """Each left row with the nearest row in time of every right side, or nulls.
 
     The tolerance is inclusive; equal distances take the earlier right row;
     among right rows of one time at or before the left row the last counts,
-    after it the first. Both sides are laid out along time once and each left
-    row looks at the right row just before and just after it, so the cost does
-    not depend on how many right rows lie within the tolerance. `gap` names an
+    after it the first. All sides are laid out along time together, once, and
+    each left row looks at the row of each side just before and just after it.
+    The cost depends neither on how many right rows lie within the tolerance nor
+    does any input move twice when there are more sides. `gap` of a side names an
     extra column with the distance in microseconds.
     """
-    by, columns = list(by), list(columns)
+    by = list(by)
     micros = F.unix_micros(F.col(f"`{time}`").cast("timestamp"))
     keys = [F.col(f"`{c}`").alias(f"__by{i}") for i, c in enumerate(by)]
-    payload = F.struct(micros.alias("t"), *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
     mine = F.struct(*[F.col(f"`{c}`").alias(f"l{i}") for i, c in enumerate(left.columns)])
-    left_rows = left.select(*keys, micros.alias("__t"), F.lit(1).alias("__side"), F.col(f"`{left_tie}`").alias("__tie"),
-                            mine.alias("__left"))
-    right_rows = (right.where(F.col(f"`{time}`").isNotNull())
-                  .select(*keys, micros.alias("__t"), F.lit(0).alias("__side"), F.col(f"`{right_tie}`").alias("__tie"),
-                          payload.alias("__right")))
-    both = left_rows.unionByName(right_rows, allowMissingColumns=True)
-    seq = arrange(both, by=[f"__by{i}" for i in range(len(by))], order=["__t", "__side", "__tie"])
-    seq = seq.accumulate(__before=("last", F.col("__right")), __after=("next", F.col("__right")))
-    back = F.col("__t") - F.col("__before.t")
-    ahead = F.col("__after.t") - F.col("__t")
-    nearest = F.when(ahead.isNull() | (back <= ahead), F.col("__before")).otherwise(F.col("__after"))
-    near = F.when(F.abs(nearest["t"] - F.col("__t")) <= int(tolerance_seconds * 1_000_000), nearest)
-    found = seq.rows().where(F.col("__side") == 1).withColumn("__near", near)
-    picked = [F.col(f"__left.l{i}").alias(c) for i, c in enumerate(left.columns)]
-    picked += [F.col(f"__near.v{i}").alias(f"{c}{suffix}") for i, c in enumerate(columns)]
-    if gap:
-        picked.append(F.abs(F.col("__near.t") - F.col("__t")).alias(gap))
+    every = left.select(*keys, micros.alias("__t"), F.lit(1).alias("__side"), F.col(f"`{left_tie}`").alias("__tie"), F.lit(-1).alias("__from"), mine.alias("__left"))
+    for k, side in enumerate(sides):
+        payload = F.struct(micros.alias("t"), *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(side.columns)])
+        every = every.unionByName(
+            side.rows.where(F.col(f"`{time}`").isNotNull()).select(*keys, micros.alias("__t"), F.lit(0).alias("__side"), F.col(f"`{side.tie}`").alias("__tie"),
+                                                                   F.lit(k).alias("__from"), payload.alias(f"__right{k}")), allowMissingColumns=True)
+    seq = arrange(every, by=[f"__by{i}" for i in range(len(by))], order=["__t", "__side", "__tie", "__from"])
+    seq = seq.accumulate(**{f"__{name}{k}": (kind, F.col(f"__right{k}")) for k in range(len(sides)) for name, kind in (("before", "last"), ("after", "next"))})
+    found, picked = seq.rows().where(F.col("__side") == 1), [F.col(f"__left.l{i}").alias(c) for i, c in enumerate(left.columns)]
+    for k, side in enumerate(sides):
+        earlier, later = F.col(f"__before{k}"), F.col(f"__after{k}")
+        back, ahead = F.col("__t") - earlier["t"], later["t"] - F.col("__t")
+        nearest = F.when(ahead.isNull() | (back <= ahead), earlier).otherwise(later)
+        found = found.withColumn(f"__near{k}", F.when(F.abs(nearest["t"] - F.col("__t")) <= int(tolerance_seconds * 1_000_000), nearest))
+        picked += [F.col(f"__near{k}.v{i}").alias(name) for i, name in enumerate(side.columns.values())]
+        if side.gap:
+            picked.append(F.abs(F.col(f"__near{k}.t") - F.col("__t")).alias(side.gap))
     return found.select(*picked)
 
 
+def nearest_join(left: DataFrame, right: DataFrame, *, time: str, by: Sequence[str] = (), left_tie: str,
+                 right_tie: str, columns: Sequence[str], tolerance_seconds: float, suffix: str = "",
+                 gap: str | None = None) -> DataFrame:
+    """`nearest_joins` with one right side, its columns named with a suffix."""
+    side = Side(right, right_tie, {c: f"{c}{suffix}" for c in columns}, gap)
+    return nearest_joins(left, [side], time=time, by=by, left_tie=left_tie, tolerance_seconds=tolerance_seconds)
+
+
 def companion_names(primary: Sequence[str], device: str, columns: Sequence[str]) -> dict[str, str]:
     """Names of companion columns after the merge: collisions get the device."""
     return {c: f"{c} [{device}]" if c in primary else c for c in columns}
@@ -67,15 +84,44 @@ def merged_columns(primary: Sequence[str], companions: Sequence[tuple[str, Seque
 
 def join_companions(primary: DataFrame, companions: Sequence[tuple[str, DataFrame]], *, time: str, by: Sequence[str],
                     tie: str, tolerance_seconds: float, fixed: Sequence[str] = ()) -> DataFrame:
-    """Fold the nearest join over the companion devices, in their fixed order."""
-    merged = primary
+    """The nearest rows of all companion devices, in their fixed order, by one sweep along time."""
+    taken, sides = list(primary.columns), []
     rank = {device: i for i, device in enumerate(MERGE_ORDER)}
     for device, frame in sorted(companions, key=lambda c: rank.get(c[0], len(rank))):
         kept = [c for c in frame.columns if c not in {time, tie, *by, *fixed}]
-        names = companion_names(merged.columns, device, kept)
-        merged = nearest_join(merged, frame.withColumnsRenamed(names), time=time, by=by, left_tie=tie, right_tie=tie,
-                              columns=list(names.values()), tolerance_seconds=tolerance_seconds)
-    return merged
+        names = companion_names(taken, device, kept)
+        taken += names.values()
+        sides.append(Side(frame, tie, names))
+    return nearest_joins(primary, sides, time=time, by=by, left_tie=tie, tolerance_seconds=tolerance_seconds)
+
+
+def meetings(timed: DataFrame, ranged: DataFrame) -> DataFrame:
+    """Pairs of one series that share a time bucket: primaries (`ps`, `pe`) with candidates (`cs`, `ce`), in microseconds.
+
+    Two files meet in buckets as wide as the longer one's length class, where
+    each of them lies in three at most: neither a year beside a second nor a
+    second beside a year becomes many rows. A file appears once per class of the
+    other side that is its own or longer, and there are fewer than 64. One of a
+    pair is always in its own class: longer primaries meet the candidates raised
+    to them, longer candidates the primaries. Short files never meet each other
+    in the wide buckets of a long one, so matches grow with overlaps.
+    """
+    length = lambda a, b: F.floor(F.log2(F.greatest(F.col(b) - F.col(a), F.lit(1_000_000)).cast("double"))).cast("int")
+    timed, ranged = timed.withColumn("pcls", length("ps", "pe")), ranged.withColumn("ccls", length("cs", "ce"))
+    width = F.expr("shiftleft(1L, cls)")
+
+    def raised(frame: DataFrame, own: str, others: DataFrame, longer: Callable[[Column, Column], Column]) -> DataFrame:
+        classes = sorted(r[0] for r in others.distinct().collect())  # fewer than 64
+        return frame.withColumn("cls", F.explode(F.filter(F.array(*[F.lit(c) for c in classes]).cast("array<int>"), lambda c: longer(c, F.col(own)))))
+
+    def spread(frame: DataFrame, a: str, b: str) -> DataFrame:
+        return frame.select("*", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(a, b) / width))).alias("bucket"))
+
+    on = ["series_key", "cls", "bucket"]
+    shorter = raised(ranged, "ccls", timed.select("pcls"), lambda c, own: c >= own)
+    longer = raised(timed, "pcls", ranged.select("ccls"), lambda c, own: c > own)
+    return (spread(timed.withColumn("cls", F.col("pcls")), "ps", "pe").join(spread(shorter, "cs", "ce"), on)
+            .unionByName(spread(longer, "ps", "pe").join(spread(ranged.withColumn("cls", F.col("ccls")), "cs", "ce"), on)))
 
 
 def best_companions(primary: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -104,20 +150,7 @@ def best_companions(primary: DataFrame, candidates: DataFrame) -> DataFrame:
         return (pairs.groupBy("name").agg(F.min(rank).alias("r"))
                 .select("name", F.col("r.companion").alias("companion"), (~F.col("r.inexact")).alias("exact"), (-F.col("r.lost") + 0.0).alias("overlap_seconds")))
 
-    # Two files meet in buckets as wide as the longer one's length class, where
-    # each of them lies in three at most: neither a year beside a second nor a
-    # second beside a year becomes many rows. A file appears once per class that
-    # is its own or longer, and there are fewer than 64 classes.
-    length = lambda a, b: F.floor(F.log2(F.greatest(F.col(b) - F.col(a), F.lit(1_000_000)).cast("double"))).cast("int")
-    timed_in, ranged_in = timed.withColumn("pcls", length("ps", "pe")), ranged.withColumn("ccls", length("cs", "ce"))
-    classes = sorted({r[0] for r in timed_in.select("pcls").distinct().collect()} | {r[0] for r in ranged_in.select("ccls").distinct().collect()})
-    listed = F.array(*[F.lit(c) for c in classes]).cast("array<int>")
-    width = F.expr("shiftleft(1L, cls)")
-    buckets = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(a, b) / width))).alias("bucket")
-    upward = lambda frame, own: frame.withColumn("cls", F.explode(F.filter(listed, lambda c: c >= F.col(own))))
-    pairs = (upward(timed_in, "pcls").select("*", buckets("ps", "pe")).join(upward(ranged_in, "ccls").select("*", buckets("cs", "ce")), ["series_key", "cls", "bucket"])
-             .where((F.col("cls") == F.greatest("pcls", "ccls")) & (exact | (overlap > 0))))
-    found = settle(best(pairs))
+    found = settle(best(meetings(timed, ranged).where(exact | (overlap > 0))))
 
     # No overlap: all candidates of the series tie, so the nearest start decides.
     left = timed.join(found.select("name"), "name", "left_anti")

@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import rows_per_chunk
+from tidemark.session import rows_per_chunk, settle
 
 CHUNK = "__chunk"
 OWN = "__own"
@@ -219,9 +219,9 @@ class Ordered:
     """Rows laid out in chunks, ready for window expressions."""
 
     def __init__(self, frame: DataFrame, by: list[str], order: list[str],
-                 chunks: _Chunks, tallies: Mapping[str, Column], columns: list[str]):
+                 chunks: _Chunks, tallies: Mapping[str, Column], columns: list[str], laid: bool = False):
         self.frame, self.by, self.order = frame, by, order
-        self._chunks, self._tallies, self._columns = chunks, tallies, columns
+        self._chunks, self._tallies, self._columns, self._laid = chunks, tallies, columns, laid
 
     # --- windows -----------------------------------------------------------
     def window(self, start: int | None = None, end: int | None = None):
@@ -238,9 +238,9 @@ class Ordered:
     def with_columns(self, columns: Mapping[str, Column]) -> Ordered:
         return self._with(self.frame.withColumns(dict(columns)), list(columns))
 
-    def _with(self, frame: DataFrame, added: list[str]) -> Ordered:
+    def _with(self, frame: DataFrame, added: list[str], laid: bool | None = None) -> Ordered:
         names = self._columns + [c for c in added if c not in self._columns]
-        return Ordered(frame, self.by, self.order, self._chunks, self._tallies, names)
+        return Ordered(frame, self.by, self.order, self._chunks, self._tallies, names, self._laid if laid is None else laid)
 
     def rows(self) -> DataFrame:
         """Every input row once, with the added columns."""
@@ -285,6 +285,11 @@ class Ordered:
         non-null value) run forwards, `next` (earliest non-null value at or
         after the row) runs backwards, `total` sums over the whole group. Values may use window columns added
         before. All of them share one per-chunk summary.
+
+        With more than one chunk the first call writes the laid-out rows once.
+        What follows, summaries and further carries included, reads them in
+        their chunks: the input is read and shuffled once however many carries
+        there are.
         """
         here = {}
         for name, (kind, value) in values.items():
@@ -302,7 +307,15 @@ class Ordered:
                 here[name] = F.last(mine, ignorenulls=True).over(self._backwards().rowsBetween(_FIRST, _TO_HERE))
         if self._chunks.count == 1:
             return self._with(self.frame.withColumns(here), list(values))
-
+        if not self._laid:
+            # Windows have put the rows into their chunks, in order; the written table keeps both.
+            spare = {f"__v_{name}": value for name, (_, value) in values.items()}
+            written = self._with(settle(self.frame.withColumns(spare).withColumns(here)), [], laid=True)
+            return written._carried({name: (kind, F.col(f"__v_{name}")) for name, (kind, _) in values.items()}, {}, list(spare))
+        return self._carried(values, here, [])
+
+    def _carried(self, values: Mapping[str, tuple[str, Column]], here: Mapping[str, Column], spare_values: list[str]) -> Ordered:
+        """Add to each chunk's own running values (`here`, or in the frame already) what earlier or later chunks bring."""
         rank = F.struct(*[F.col(f"`{c}`") for c in self.order])
         partial = {
             "sum": lambda v: F.sum(v),
@@ -342,7 +355,7 @@ class Ordered:
             mine, brought = F.col(name), F.col(f"__in_{name}")
             final[name] = (mine + F.coalesce(brought, F.lit(0)) if kind in ("sum", "total")
                            else F.greatest(mine, brought) if kind == "max" else F.coalesce(mine, brought))
-        spare = ["__c", *[f"__b{i}" for i in range(len(groups))], *[f"__in_{name}" for name in values]]
+        spare = ["__c", *[f"__b{i}" for i in range(len(groups))], *[f"__in_{name}" for name in values], *spare_values]
         return self._with(joined.withColumns(final).drop(*spare), list(values))
 
 
