@@ -194,6 +194,18 @@ def scan_plain(spark, sf):
     return exports.read_exports(lines, named, columns=["m2", "qc"])
 
 
+@query("s03_scan_quoted_tables", "SELECT doc_id * 1000000 AS \"Time UTC\", CAST(n_chars AS DOUBLE) AS n_chars, CAST(doc_id AS DOUBLE) AS doc_id, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS breaks FROM documents")
+def scan_quoted(spark, sf):
+    """Texts with line breaks and quotes inside quoted fields, written as a table and read back line by line."""
+    path = scratch_path(spark, "quoted")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.date_format(F.timestamp_seconds("doc_id"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Time UTC"), "text", "n_chars", "doc_id")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    records = exports.csv_records(exports.export_lines(spark, path))
+    table = exports.read_exports(records, exports.export_headers(records, header_row=0), columns=["text", "n_chars", "doc_id"], text=["text"])
+    text = F.coalesce("text", F.lit(""))
+    return table.select("Time UTC", "n_chars", "doc_id", F.md5(text.cast("binary")).alias("text_md5"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint").alias("breaks"))
+
+
 @query("s04_available_columns", EXPORTED + """, names AS (SELECT DISTINCT source_file, src FROM cells), heads AS (SELECT source_file, unnest(CASE src WHEN 'view' THEN ['Time UTC', 'm1', 'm2', 'qc'] WHEN 'error' THEN ['Time UTC', 'qc', 'm3', 'm2', 'm1'] WHEN 'search' THEN ['Time UTC', 'm1', 'm2', 'm3'] ELSE ['Time UTC', 'm1', 'm2', 'm3', 'qc'] END) AS name,
 unnest(range(CASE src WHEN 'view' THEN 4 WHEN 'search' THEN 4 ELSE 5 END)) AS pos FROM names)
 SELECT name, first_export, position FROM (SELECT name, source_file AS first_export, pos AS position, row_number() OVER (PARTITION BY name ORDER BY source_file, pos) AS rk FROM heads) WHERE rk = 1""")

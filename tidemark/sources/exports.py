@@ -18,6 +18,8 @@ from tidemark.functions.names import TIME_COLUMN, clean_header
 from tidemark.operators.cleaning import attach_small, type_readings
 from tidemark.session import scratch_path, settle
 
+# A quote inside a quoted field is doubled; a field may be of any length.
+_PARSING = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"', "maxCharsPerColumn": "-1"}
 _FIELD_BREAK = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
@@ -37,6 +39,44 @@ def export_lines(spark: SparkSession, path: str | Sequence[str], *, named_by: st
     return spark.read.schema(numbered.schema).parquet(written)
 
 
+def csv_records(lines: DataFrame) -> DataFrame:
+    """Lines as records: lines inside a quoted field are joined by a line feed; same columns.
+
+    Whether a line stands inside quotes depends on all quotes before it in its
+    file. Each split is read for both cases at once, as if it began outside and
+    as if it began inside a quoted field: it gives its number of quotes and how
+    many records would begin in it either way. A prefix over the splits of a file
+    then tells which case holds and which record is open where a split begins.
+    Files without a line of odd quotes pass as they are, and of the others only
+    the lines of broken records are grouped. A quote that is never closed takes
+    the rest of its file into one record, as it does for any reader.
+    """
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    counted = lines.withColumns({"__file": F.col("at.file"), "__split": F.col("at.split"), "__quotes": quotes})
+    broken = settle(counted.where(F.col("__quotes") % 2 == 1).select("__file").distinct())
+    if broken.isEmpty():
+        return lines
+    whole = attach_small(counted, broken, ["__file"], "left_anti").select(*lines.columns)
+    inside = Window.partitionBy("__file", "__split").orderBy("at")
+    before = F.coalesce(F.sum("__quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = settle(attach_small(counted, broken, ["__file"], "left_semi").withColumn("__odd", before % 2))
+    splits = local.groupBy("__file", "__split").agg(
+        F.sum("__quotes").alias("__all"), F.count_if(F.col("__odd") == 0).alias("__from_outside"), F.count_if(F.col("__odd") == 1).alias("__from_inside"))
+    earlier = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__begins", F.coalesce(F.sum("__all").over(earlier) % 2, F.lit(0)))
+    splits = splits.withColumn("__records", F.when(F.col("__begins") == 0, F.col("__from_outside")).otherwise(F.col("__from_inside")))
+    splits = splits.withColumn("__open", F.last(F.when(F.col("__records") > 0, F.struct(F.col("__split").alias("split"), F.col("__records").alias("k"))), True).over(earlier))
+    placed = attach_small(local, settle(splits.select("__file", "__split", "__begins", "__open")), ["__file", "__split"])
+    starts, ends = (F.col("__odd") + F.col("__begins")) % 2 == 0, (F.col("__odd") + F.col("__begins") + F.col("__quotes")) % 2 == 0
+    k = F.count_if(starts).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    record = F.when(k > 0, F.struct(F.col("__split").alias("split"), k.alias("k"))).otherwise(F.col("__open"))
+    numbered = placed.withColumns({"__alone": starts & ends, "__record": record})
+    parts = F.array_sort(F.collect_list(F.struct("at", "line")))
+    joined = (numbered.where(~F.col("__alone")).groupBy("export", "__file", "__record").agg(parts.alias("__parts"))
+              .select("export", F.array_join("__parts.line", "\n").alias("line"), F.get("__parts", F.lit(0))["at"].alias("at")))
+    return whole.unionByName(numbered.where("__alone").select(*lines.columns)).unionByName(joined.select(*lines.columns))
+
+
 def export_headers(lines: DataFrame, *, header_row: int | None = None) -> DataFrame:
     """Column names of each export and where its header stands.
 
@@ -68,8 +108,8 @@ def exports_with_columns(headers: DataFrame, required: Sequence[str]) -> DataFra
 
 
 def read_exports(lines: DataFrame, headers: DataFrame, *, columns: Sequence[str] | None = None, time: str = TIME_COLUMN,
-                 allow_missing: bool = True, first_rows: int | None = None) -> DataFrame:
-    """Typed readings of all exports, stamped with `source_file`.
+                 allow_missing: bool = True, first_rows: int | None = None, text: Sequence[str] = ()) -> DataFrame:
+    """Typed readings of all exports, stamped with `source_file`; columns in `text` stay strings.
 
     Exports may have different columns in different order; a column an export
     lacks is null. `first_rows` keeps the first data lines of each export in
@@ -88,14 +128,14 @@ def read_exports(lines: DataFrame, headers: DataFrame, *, columns: Sequence[str]
     data = attach_small(lines, headers, ["export"]).where(F.col("at") > F.col("header_at"))
     if first_rows is not None:
         data = _first_lines(data.where(F.length(F.trim("line")) > 0), first_rows)
-    parsed = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    parsed = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), _PARSING)
     cells = data.select("export", "columns", parsed.alias("row")).withColumn("cells", F.array(*[F.col(f"row.c{i}") for i in range(width)]))
 
     def cell(name: str) -> Column:
         return F.get("cells", F.array_position("columns", F.lit(name)).cast("int") - 1).alias(name)
 
     table = cells.select(*[cell(c) for c in wanted], F.col("export").alias("source_file"))
-    return type_readings(table, time=time, keep_text=["source_file"])
+    return type_readings(table, time=time, keep_text=["source_file", *text])
 
 
 def _first_lines(data: DataFrame, count: int) -> DataFrame:
