@@ -279,6 +279,28 @@ def manifest(spark, sf):
                           F.array_join("measurement_columns", ",").alias("measurements"))
 
 
+@query("s11_manifest_merged", READINGS + """, named AS (SELECT *, CASE WHEN source_file = 'click' THEN 'Fluorometer' ELSE '' END || source_file AS name FROM readings), wins AS (SELECT name, (count(*) + 63) // 64 AS w FROM named GROUP BY name)
+SELECT count(*) AS row_count, count(DISTINCT name) AS processed_file_count, (SELECT CAST(sum(w) AS BIGINT) FROM wins) AS window_count, count(DISTINCT name) FILTER (name LIKE 'Fluorometer%') AS fluorometer_files, count(DISTINCT name) FILTER (name NOT LIKE 'Fluorometer%') AS other_files,
+count(*) FILTER (qc = 4) AS n4, 'm1,m2,m3,qc,row_id,ts' AS available, 'salinity' AS missing, 'qc' AS qc_columns, 'ctd' AS primary_device, CAST(600 AS DOUBLE) AS merge_tolerance_seconds, 'spread' AS file_selection_strategy, CAST(19 AS BIGINT) AS window_columns FROM named""")
+def manifest_merged(spark, sf):
+    """The manifest of the first week of all sources but one, then of what came after."""
+    rows = readings(spark, sf).withColumn("source_file", F.concat(F.when(F.col("source_file") == "click", "Fluorometer").otherwise(""), "source_file"))
+    early = (F.col("ts") < F.lit("2024-01-08")) & (F.col("source_file") != "view")
+    made = datasets.DatasetSettings(64, primary_device="ctd", merge_tolerance_seconds=600, requested_columns=["m1", "m2", "m3", "salinity"])
+    path = scratch_path(spark, "manifest")
+    datasets.write_manifest(rows.where(early), path, PROFILE, settings=made)
+    datasets.add_to_manifest(rows.where(~early), path, PROFILE, made)
+    return datasets.read_manifest(spark, path)[1].select(
+        "row_count", "processed_file_count", "window_count", *[F.try_element_at("device_file_counts", F.lit(d)).alias(f"{d}_files") for d in ("fluorometer", "other")],
+        F.try_element_at("target_distribution", F.lit("4")).alias("n4"), F.array_join("all_available_columns", ",").alias("available"), F.array_join("missing_measurement_columns", ",").alias("missing"),
+        F.array_join("qc_columns", ",").alias("qc_columns"), "primary_device", "merge_tolerance_seconds", "file_selection_strategy", F.size("window_columns").cast("bigint").alias("window_columns"))
+
+
+@query("s11_part_map", READINGS + " SELECT DISTINCT source_file FROM readings")
+def part_map(spark, sf):
+    return datasets.part_map(stored(spark, sf), PROFILE).where(F.col("row_level_part").endswith(".parquet")).select("source_file").distinct()
+
+
 @query("s22_manifest_reader", READINGS + PARTS.replace(" FROM readings", ", source_file AS label FROM readings"))
 def manifest_reader(spark, sf):
     path = scratch_path(spark, "manifest")
