@@ -198,3 +198,65 @@ def test_versions_beside_their_successors(documents, nothing, spark):
     assert sketch.compare_versions(nothing).count() == 0
     one = sketch.compare_versions(spark.createDataFrame([(4, "alone here")], "doc_id bigint, text string")).collect()
     assert one[0].near_next == 1.0
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    net = lm.Network.from_flat(lm.Network.first().flat().astype(np.float64))
+    tokens, around = rng.integers(0, lm.VOCABULARY, 300), rng.integers(0, lm.VOCABULARY, (300, 4))
+    before = [p.astype(np.float64).copy() for p in net.parts()]
+    ones = [np.full_like(p, 1e12) for p in net.parts()]  # so large that a step is the plain gradient, scaled by a known amount
+    net.step(tokens, around, ones, 1e5)
+    moved = [(b - p.astype(np.float64)) / 1e5 * np.sqrt(0.98e12) for b, p in zip(before, net.parts())]
+
+    def loss(parts):
+        other = lm.Network(*parts)
+        return -other.log_probabilities(tokens, around, np.einsum("vd,pdh->pvh", other.embed, other.mix)).mean()
+
+    for k, part in enumerate(before):
+        for at in [np.unravel_index(i, part.shape) for i in rng.choice(part.size, 4, replace=False)]:
+            up, down = [p.copy() for p in before], [p.copy() for p in before]
+            up[k][at] += 1e-4
+            down[k][at] -= 1e-4
+            assert moved[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-4)
+
+
+def test_scores_equal_a_plain_sum(spark, monkeypatch):
+    """A text's score, token by token in plain Python from the weights and the counts of words."""
+    import math
+    from collections import Counter
+
+    ready(spark)
+    monkeypatch.setattr(lm, "KNOWN", 5)
+    monkeypatch.setattr(lm, "SCORED_TOKENS", 37)  # texts are put together and cut
+    rng = random.Random(6)
+    texts = [prose(rng, n) for n in (1, 3, 40, 90, 200)] + ["", "Unheard-of wordsxyz, wordsxyz!"]
+    corpus = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id bigint, text string")
+    counted = written(lm.count_words(corpus), "plain-words")
+    words = lm.vocabulary(corpus)
+    network = lm.train(corpus, words, passes=((3, 0.05),))
+    found = {r.doc_id: r for r in lm.score(corpus, words, network, counted).collect()}
+    n = Counter(lm.normal(t) for text in texts * 3 for t in text.split())
+    class_of = lambda w: words.index(w) if w in words else lm.WORDS + lm.ending(w)
+    size = Counter()
+    for w, times in n.items():
+        size[class_of(w)] += times
+
+    def softmax(x):
+        x = [math.exp(v) for v in x]
+        return [v / sum(x) for v in x]
+
+    for k, text in enumerate(texts):
+        ids, total = [class_of(lm.normal(t)) for t in text.split()], 0.0
+        for i, token in enumerate(text.split()):
+            hidden = np.zeros(lm.HIDDEN)
+            for p, o in enumerate(lm.OFFSETS):
+                near = ids[i + o] if 0 <= i + o < len(ids) else lm.EDGE
+                hidden += network.embed[near].astype(float) @ network.mix[p].astype(float)
+            hidden = np.tanh(hidden + network.mix_bias)
+            g, m = divmod(ids[i], lm.MEMBERS)
+            total += math.log(softmax(hidden @ network.group + network.group_bias)[g]) + math.log(softmax(hidden @ network.member[g] + network.member_bias[g])[m])
+            if ids[i] >= lm.WORDS:
+                total += math.log(n[lm.normal(token)] / (size[ids[i]] + 1))  # one more token for all unknown words
+        assert found[k].log_probability == pytest.approx(total, rel=1e-4, abs=1e-3) and found[k].n_tokens == len(ids)
+        assert found[k].per_token == (None if not ids else pytest.approx(total / len(ids), rel=1e-4))
