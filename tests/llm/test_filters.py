@@ -245,3 +245,24 @@ def test_run_reads_documents(spark, tmp_path):
     corpus(spark, 100).drop("junk").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert table(spark, str(tmp_path), "documents").count() == 100
+
+
+def test_near_duplicate_stage_with_repeated_ids(spark, tmp_path):
+    """One id on two texts, clashing columns, null ids: every group keeps one row."""
+    rng = random.Random(12)
+    ready(spark)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, same_text string, print bigint, kept_id string, component_id bigint"
+
+    def kept(rows):
+        docs = spark.createDataFrame([(k, t, "en", "s", 1, "clash", 7, "x", 3) for k, t in rows], schema)
+        found = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+
+    assert kept([(5, a), (5, b), (3, b)]) == sorted([(5, a), (3, b)])
+    assert kept([(5, a), (5, b)]) == sorted([(5, a), (5, b)], key=str)
+    assert kept([(5, a), (5, a), (5, a + " more")]) in ([(5, a)], [(5, a + " more")])
+    nulls = kept([(None, a), (None, b), (4, b), (None, a), (None, None), (None, "")])
+    assert len(nulls) == 3 and (None, a) in nulls and (4, b) in nulls
+    assert kept([(1, a), (2, b), (9, c), (9, c)]) == sorted([(1, a), (2, b), (9, c)])

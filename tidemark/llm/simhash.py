@@ -275,8 +275,8 @@ def components(edges: DataFrame, *, rounds: int | None = None) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(documents: DataFrame, *, words_each: int = 4, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; repeated rows stay repeated."""
+def resolve(documents: DataFrame, *, words_each: int = 4, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, print) of every row, written; (print, root, component_id) of every fingerprint): root is a print of the component."""
     made = written(fingerprints(documents, words_each=words_each), "fingerprints")
     # Copies share a fingerprint: from here on there is one row per fingerprint, with its smallest id.
     known = written(made.groupBy("print").agg(F.min("doc_id").alias("first_id")), "prints")
@@ -287,6 +287,18 @@ def near_duplicates(documents: DataFrame, *, words_each: int = 4, budget: int =
     member = rooted.join(known, rooted["node"] == known["print"]).select("root", "first_id").unionByName(
         rooted.select(F.col("root").alias("print")).distinct().join(known, "print").select(F.col("print").alias("root"), "first_id"))
     named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = rooted.join(named, "root").select(F.col("node").alias("print"), "component_id").unionByName(named.select(F.col("root").alias("print"), "component_id"))
-    resolved = known.join(of_print, "print", "left").select("print", F.coalesce("component_id", "first_id").alias("component_id"))
+    of_print = rooted.join(named, "root").select(F.col("node").alias("print"), "root", "component_id").unionByName(named.select(F.col("root").alias("print"), "root", "component_id"))
+    return made, known.join(of_print, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+
+
+def near_duplicates(documents: DataFrame, **settings) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row; repeated rows stay repeated."""
+    made, resolved = resolve(documents, **settings)
     return made.join(resolved, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(documents: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, print) of every row; the one (doc_id, print) of each component that comes first by id, then print): null ids come last."""
+    made, resolved = resolve(documents, **settings)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print")).alias("least")
+    return made, made.join(resolved.select("print", "root"), "print").groupBy("root").agg(least).select("least.doc_id", "least.print")
