@@ -11,45 +11,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing, quality, simhash, toxicity
-from tidemark.llm.common import ready, table, written
+from tidemark.llm.common import ready, table, unused_name, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of documents still here, doesn't call toxic."""
+    """Documents that the classifier, fitted on the labels of documents still here, doesn't call toxic.
+
+    Null and empty texts get the classifier's base score; rows of one id are
+    judged each by its own text; without labels of both kinds the base rate
+    decides; an empty table stays empty.
+    """
     ready(spark)
     model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
     return docs.filter(toxicity.scorer(model)("text") < 0.5)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie near the bulk of their language and source."""
+    """Documents that pass the base rules and lie near the bulk of their language and source.
+
+    Null and empty texts have too few words and go; null languages and sources
+    are groups of their own; rows of one id are judged each by its own text; an
+    empty table stays empty.
+    """
     ready(spark)
     return quality.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id.
+    """One document of each group: the one with the smallest id, then the smallest fingerprint; rows without an id come last.
 
-    Rows without an id can't name a group: of equal texts among them one stays,
-    unless a document with an id is in their group.
+    An id may stand on several rows. Rows of one id in different groups are
+    told apart by their fingerprint, so no group loses its document and none
+    keeps two. Of rows equal in both, the first by text, language, source and
+    length stays. Null texts count as empty; an empty table stays empty.
     """
     ready(spark)
-    found = written(simhash.near_duplicates(docs), "near-duplicates")
-    chosen = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not chosen.filter("times > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    if not found.filter("doc_id IS NULL AND component_id IS NULL").isEmpty():
-        alone = found.filter("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
-        named = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
-        prints = simhash.fingerprints(named.select(F.coalesce("text", F.lit("")).alias("doc_id"), "text")).select(
-            F.col("doc_id").alias("same_text"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")).join(alone, "fingerprint", "left_semi")
-        kept = kept.unionByName(named.join(prints, F.coalesce("text", F.lit("")) == F.col("same_text"), "left_semi").select(docs.columns))
-    return kept
+    made, first = simhash.representatives(docs)
+    chosen = written(first, "kept-prints")
+    repeated = written(made.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id"), "repeated-ids")
+    id_, said, print_, kept_print = (unused_name(docs, stem) for stem in ("kept_id", "same_text", "print", "kept_print"))
+    single = chosen.join(repeated, "doc_id", "left_anti").filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_))
+    kept = docs.join(single, F.col("doc_id") == F.col(id_), "left_semi").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    # Only rows whose id does not name them get their fingerprints again.
+    again = docs.join(repeated.select(F.col("doc_id").alias(id_)), F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    texts = again.select(F.coalesce("text", F.lit("")).alias("doc_id")).distinct().withColumn("text", F.col("doc_id"))
+    prints = simhash.fingerprints(texts).select(F.col("doc_id").alias(said), F.col("print").alias(print_))
+    marked = again.join(prints, F.coalesce("text", F.lit("")) == F.col(said)).join(
+        chosen.select(F.col("doc_id").alias(id_), F.col("print").alias(kept_print)), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(print_) == F.col(kept_print)), "left_semi")
+    order = F.struct(F.coalesce("text", F.lit("")), "lang", "source", "n_chars")
+    one = marked.groupBy("doc_id", print_).agg(F.min_by(F.struct(docs.columns), order).alias(said)).select(f"{said}.*")
+    return kept.unionByName(one)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All pieces of the documents left, with their sequences."""
+    """All pieces of the documents left, with their sequences.
+
+    A null text counts as empty: one piece of the end token. Rows of one id, and
+    rows without an id, are packed each for itself.
+    """
     ready(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
