@@ -67,3 +67,13 @@ def test_forecast_scores_are_consistent(spark):
 def test_search_skips_impossible_windows(spark):
     got = queries()["m07_sequence_search"](spark, "/root/testdata/sf0.01").collect()
     assert {r["status"] for r in got} == {"fitted", "skipped"}
+
+
+def test_lloyd_from_fixed_starts(spark):
+    rows = [(i, float(x), None if i == 3 else float(y)) for i, (x, y) in enumerate([(0, 0), (0, 1), (10, 10), (10, 11), (0, 2), (10, 9)])]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double").repartition(3)
+    found = {r["id"]: r["cluster"] for r in clusters.lloyd(df, ["x", "y"], clusters=2, order=["id"]).collect()}
+    assert found == {0: 0, 1: 0, 4: 0, 2: 1, 3: 1, 5: 1}
+    same = clusters.lloyd(spark.createDataFrame([(1, 2.0), (2, 2.0)], "id bigint, x double"), ["x"], clusters=5, order=["id"])
+    assert [r["cluster"] for r in same.collect()] == [0, 0]  # equal rows: one centre
+    assert clusters.lloyd(df.limit(0), ["x", "y"], clusters=2, order=["id"]).collect() == []

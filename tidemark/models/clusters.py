@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.models.prepare import fit_medians, fit_scale, impute, scaled
 from tidemark.profiles import Profile
+from tidemark.session import settle
 
 
 def window_feature_names(df: DataFrame) -> list[str]:
@@ -51,3 +53,43 @@ def cluster(df: DataFrame, features: Sequence[str], *, clusters: int, seed: int
     labelled = labelled.withColumn("distances", F.array(*distances)).withColumn("distance_to_centroid", F.get("distances", F.col("cluster")))
     # Original values come back for reports; the imputed ones served the fit.
     return labelled.drop("__x", "__v", *([] if all_distances else ["distances"])), best.summary.trainingCost
+
+
+def lloyd(df: DataFrame, features: Sequence[str], *, clusters: int, order: Sequence[str], rounds: int = 3) -> DataFrame:
+    """Rows with `cluster` and `distance_to_centroid` after rounds of k-means from fixed starts.
+
+    The first start is the first row by `order`; each further one is the row
+    farthest from the starts so far, ties to the first by `order`. So the result
+    can be repeated by any engine. A round is one aggregate of sums per centre,
+    an empty centre stays; the driver holds centres only. Fewer rows than
+    `clusters`: so many centres.
+    """
+    features = list(features)
+    filled = impute(df, fit_medians(df, features))
+    ready = settle(filled.select(*[F.col(f"`{c}`") for c in df.columns], F.array(*scaled(fit_scale(filled, features)).values()).alias("__x")))
+    along, centres = [F.col(f"`{c}`").asc() for c in order], []
+    while len(centres) < clusters:
+        ranked = ready.orderBy(*along) if not centres else ready.where(F.array_min(_squares(centres)) > 0).orderBy(F.array_min(_squares(centres)).desc(), *along)
+        first = ranked.select("__x").limit(1).collect()  # a top-1: no sort of all rows
+        if not first:
+            break
+        centres.append(list(first[0]["__x"]))
+    for _ in range(rounds if centres else 0):
+        sums = ready.groupBy(_nearest(centres).alias("c")).agg(*[F.avg(F.get("__x", F.lit(i))).alias(f"m{i}") for i in range(len(features))]).collect()
+        for r in sums:
+            centres[r["c"]] = [r[f"m{i}"] for i in range(len(features))]
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    if not centres:
+        return ready.select(*kept, F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("distance_to_centroid"))
+    return ready.select(*kept, _nearest(centres).alias("cluster"), F.sqrt(F.array_min(_squares(centres))).alias("distance_to_centroid"))
+
+
+def _squares(centres: Sequence[Sequence[float]]) -> Column:
+    """Squared distances of a row to all centres, as plain arithmetic."""
+    each = [[(F.get("__x", F.lit(i)) - F.lit(float(v))) * (F.get("__x", F.lit(i)) - F.lit(float(v))) for i, v in enumerate(c)] for c in centres]
+    return F.array(*[reduce(lambda a, b: a + b, terms) for terms in each])
+
+
+def _nearest(centres: Sequence[Sequence[float]]) -> Column:
+    """Number of the nearest centre, the first of equals."""
+    return (F.array_position(_squares(centres), F.array_min(_squares(centres))) - 1).cast("int")

@@ -99,6 +99,28 @@ def row_clusters(spark, sf):
     return summaries.cluster_summary(clusters.cluster(rows, ["m1", "m2", "m3"], clusters=3)[0]).agg(F.count("*").alias("clusters"), F.sum("window_count").alias("rows"))
 
 
+def _lloyd_sql(clusters: int, rounds: int) -> str:
+    """Far-apart starts and rounds of means, as common table expressions over the standardised windows."""
+    away = lambda c: f"((z.x - {c}.x) * (z.x - {c}.x) + (z.y - {c}.y) * (z.y - {c}.y))"
+    steps = [", z AS (SELECT source_file, window_id, (m1_mean - avg(m1_mean) OVER ()) / stddev_pop(m1_mean) OVER () AS x, (m2_mean - avg(m2_mean) OVER ()) / stddev_pop(m2_mean) OVER () AS y FROM base)",
+             "s0 AS (SELECT x, y FROM z ORDER BY source_file, window_id LIMIT 1)"]
+    for k in range(1, clusters):
+        chosen = [f"s{j}" for j in range(k)]
+        steps.append(f"s{k} AS (SELECT z.x, z.y FROM z, {', '.join(chosen)} ORDER BY least({', '.join(map(away, chosen))}) DESC, source_file, window_id LIMIT 1)")
+    steps.append("c0 AS (" + " UNION ALL ".join(f"SELECT {k} AS k, x, y FROM s{k}" for k in range(clusters)) + ")")
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT * FROM (SELECT z.*, c.k, {away('c')} AS d, row_number() OVER (PARTITION BY z.source_file, z.window_id ORDER BY {away('c')}, c.k) AS rk FROM z, c{r} c) WHERE rk = 1)")
+        if r < rounds:
+            steps.append(f"c{r + 1} AS (SELECT c.k, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y FROM c{r} c LEFT JOIN (SELECT k, avg(x) AS x, avg(y) AS y FROM a{r} GROUP BY k) m USING (k))")
+    return ", ".join(steps)
+
+
+@query("m05_lloyd_clusters", LABELLED + _lloyd_sql(4, 3) + f" SELECT source_file, window_id, CAST(k AS BIGINT) AS cluster, {r9('sqrt(d)', 'distance_to_centroid').replace(', 9)', ', 7)')} FROM a3")
+def lloyd_clusters(spark, sf):
+    found = clusters.lloyd(_windows(spark, sf), ["m1_mean", "m2_mean"], clusters=4, order=["source_file", "window_id"], rounds=3)
+    return found.select("source_file", "window_id", "cluster", F.round("distance_to_centroid", 7).alias("distance_to_centroid"))
+
+
 def _labelled(spark, sf):
     """Windows with a rule in place of fitted clusters, so that reports can be checked."""
     return _windows(spark, sf).withColumns({"cluster": F.floor(F.col("m2_mean") / 10), "distance_to_centroid": F.abs(F.col("m1_mean") - 45.0)})
