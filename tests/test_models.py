@@ -77,3 +77,44 @@ def test_lloyd_from_fixed_starts(spark):
     same = clusters.lloyd(spark.createDataFrame([(1, 2.0), (2, 2.0)], "id bigint, x double"), ["x"], clusters=5, order=["id"])
     assert [r["cluster"] for r in same.collect()] == [0, 0]  # equal rows: one centre
     assert clusters.lloyd(df.limit(0), ["x", "y"], clusters=2, order=["id"]).collect() == []
+
+
+def test_ridge_sums_merge_and_equal_least_squares(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    y = x @ [1.0, -2.0, 0.5, 0.0] + 3 + 0.1 * rng.normal(size=300)
+    rows = [([[float(a), float(b)], [float(c), float(d)]], float(t)) for (a, b, c, d), t in zip(x, y)]
+    schema = "history array<array<double>>, y double"
+    whole, parts = spark.createDataFrame(rows, schema), [spark.createDataFrame(p, schema).repartition(3) for p in (rows[:100], rows[100:])]
+    model = forecast.solve_ridge(forecast.normal_sums(whole), 0.05)
+    merged = forecast.merge_sums(forecast.normal_sums(parts[0]).unionByName(forecast.normal_sums(parts[1])))
+    centred, aim = x - x.mean(0), y - y.mean()
+    expected = np.linalg.solve(centred.T @ centred / 300 + 0.05 * np.eye(4), centred.T @ aim / 300)
+    for found in (model, forecast.solve_ridge(merged, 0.05)):
+        assert np.allclose(found.weights, expected) and found.intercept == pytest.approx(y.mean() - expected @ x.mean(0))
+    predicted = [r["prediction"] for r in model.transform(whole).collect()]
+    assert np.allclose(predicted, model.intercept + x @ expected)
+    # No windows, and a column without spread.
+    nothing = forecast.solve_ridge(forecast.normal_sums(whole.limit(0)), 0.05)
+    assert [r["prediction"] for r in nothing.transform(whole.limit(1)).collect()] == [0.0]
+    flat = spark.createDataFrame([([[1.0, float(i)]], 2.0 * i) for i in range(5)], schema)
+    assert forecast.solve_ridge(forecast.normal_sums(flat), 0.0).weights == pytest.approx((0.0, 2.0))
+
+
+def test_node_table_scores_and_weighs_like_the_forest(spark, tabular):
+    rows, names = tabular
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    model = forest.fit_forest(train, names, config={"numTrees": 5, "maxDepth": 4})
+    nodes = forest.node_table(spark, model).cache()
+    assert nodes.select("tree").distinct().count() == 5
+    # Every child is a row, and leaves have no feature.
+    assert nodes.where("feature IS NULL").count() == nodes.where("feature IS NOT NULL").count() + 5
+    fitted = dict(p for p in model.importances(len(names)) if p[1] > 0)
+    assert {r["feature"]: r["importance"] for r in forest.node_importances(nodes).collect() if r["importance"] > 0} == pytest.approx(fitted)
+    from tidemark.models.prepare import fit_medians
+    filled = fit_medians(train, names)
+    inputs = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(filled[c])) for c in names}
+    both = forest.score_nodes(model.predict(test), nodes, model.classes, inputs, column="by_nodes")
+    assert both.count() > 0 and both.where("NOT prediction <=> by_nodes").count() == 0
+    assert both.select("by_nodes").distinct().count() > 1

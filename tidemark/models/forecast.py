@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -62,8 +64,73 @@ def score_table(df: DataFrame, *, predicted: Column, actual: Column, spread: Col
     return df.withColumns({"forecast_error": error, "forecast_abs_error_scaled": F.abs(error) / scale})
 
 
+def normal_sums(train: DataFrame) -> DataFrame:
+    """Sums of products (i, j, total) over windows of (1, flattened history, y), with i <= j: all a ridge fit needs to know of them.
+
+    A task adds the products of a batch to one square of sums and sends that once.
+    Sums of disjoint windows add up by `merge_sums`, so a fit can take in new
+    windows without reading the others again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                design = np.column_stack([np.ones(batch.num_rows), x, batch.column(1).to_numpy(zero_copy_only=False)])
+                square = design.T @ design if square is None else square + design.T @ design
+        if square is not None:
+            i, j = np.triu_indices(len(square))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(square[i, j])], ["i", "j", "total"])
+
+    return merge_sums(train.select(F.flatten("history").alias("x"), F.col("y").cast("double").alias("y")).mapInArrow(run, "i int, j int, total double"))
+
+
+def merge_sums(sums: DataFrame) -> DataFrame:
+    """One table of sums out of any number of them, put below each other."""
+    return sums.groupBy("i", "j").agg(F.sum("total").alias("total"))
+
+
+@dataclass(frozen=True)
+class RidgeForecast:
+    """Weights of the flattened history; applied as a column expression."""
+
+    intercept: float
+    weights: tuple[float, ...]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if not self.weights:
+            return df.withColumn("prediction", F.lit(self.intercept))
+        weights = F.array(*[F.lit(w) for w in self.weights])
+        products = F.zip_with(F.flatten("history"), weights, lambda x, w: x * w)
+        return df.withColumn("prediction", F.aggregate(products, F.lit(self.intercept), lambda a, b: a + b))
+
+
+def solve_ridge(sums: DataFrame, regularisation: float) -> RidgeForecast:
+    """Weights that minimise the mean squared error plus the penalty on all but the intercept.
+
+    The driver holds the sums only, whose number depends on the history's width and not
+    on the rows. Directions without any spread get no weight; without windows the
+    prediction is 0.
+    """
+    found = sums.collect()
+    if not found:
+        return RidgeForecast(0.0, ())
+    size = max(r["j"] for r in found) + 1
+    square = np.zeros((size, size))
+    for r in found:
+        square[r["i"], r["j"]] = square[r["j"], r["i"]] = r["total"]
+    mean = square[0] / square[0, 0]
+    spread = square / square[0, 0] - np.outer(mean, mean)
+    left = spread[1:-1, 1:-1] + regularisation * np.eye(size - 2)
+    weights = np.linalg.lstsq(left, spread[1:-1, -1], rcond=None)[0]
+    return RidgeForecast(float(mean[-1] - weights @ mean[1:-1]), tuple(map(float, weights)))
+
+
 def fit_forecast(train: DataFrame, experiment: Experiment):
     """Regression of the scaled next value on the flattened scaled history."""
+    if experiment.learner == "ridge":
+        return solve_ridge(normal_sums(train), experiment.regularisation)
     ready = train.withColumn("features", array_to_vector(F.flatten("history")))
     if experiment.learner == "boosted":
         return GBTRegressor(featuresCol="features", labelCol="y", maxIter=30, maxDepth=5, seed=21).fit(ready)
@@ -86,7 +153,7 @@ def run_experiment(rows: DataFrame, profile: Profile, experiment: Experiment, *,
     model = fit_forecast(scaled.where("split = 'train'"), experiment)
     scored = model.transform(scaled.where("split <> 'train'").withColumn("features", array_to_vector(F.flatten("history"))))
     table = score_table(scored, predicted=F.col("prediction") * F.lit(spread) + F.lit(mean), actual=F.col("target_value"), spread=spread)
-    kept = ["split", profile.time, profile.source, "target_value", "qc_label", "is_good", "is_issue", "predicted_value", "actual_value", "forecast_error",
+    kept = ["split", profile.time, profile.source, *profile.tie_break, "target_value", "qc_label", "is_good", "is_issue", "predicted_value", "actual_value", "forecast_error",
             "forecast_abs_error_scaled"]
     counts = {r["split"]: r["n"] for r in windows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     summary = {**{k: v for k, v in asdict(experiment).items() if v is not None}, "feature_count": len(inputs), **{f"{s}_windows_actual": counts.get(s, 0) for s in ("train", "validation", "test")}}

@@ -10,11 +10,12 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.models.prepare import class_index, class_label, imputing_assembler
 from tidemark.operators.metrics import class_weights, f1_score
+from tidemark.session import scratch_path
 
 DEFAULTS = {"numTrees": 100, "maxDepth": 12, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"}
 
@@ -61,6 +62,70 @@ def fit_forest(train: DataFrame, features: Sequence[str], *, label: str = "model
     return Forest(model, features, classes)
 
 
+def node_table(spark: SparkSession, model: Forest) -> DataFrame:
+    """The fitted trees as rows, one a node, read from the written model.
+
+    (tree, node, feature, threshold, left, right, shares, weight, gain): rows at or
+    below the threshold go left; leaves have no feature. `shares` are the classes'
+    parts of the training weight at the node, in the order of `model.classes`.
+    """
+    path = scratch_path(spark, "nodes")
+    model.pipeline.stages[-1].write().save(path)
+    node, names = F.col("nodeData"), F.array(*[F.lit(c) for c in model.features])
+    inner, weight = node["leftChild"] >= 0, F.aggregate(node["impurityStats"], F.lit(0.0), lambda a, b: a + b)
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("node"), F.when(inner, F.get(names, node["split"]["featureIndex"])).alias("feature"),
+        F.when(inner, F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"), F.when(inner, node["leftChild"]).alias("left"),
+        F.when(inner, node["rightChild"]).alias("right"), F.transform(node["impurityStats"], lambda v: v / weight).alias("shares"), weight.alias("weight"),
+        F.when(inner, node["gain"]).alias("gain"))
+
+
+def node_importances(nodes: DataFrame) -> DataFrame:
+    """(feature, importance): gain times weight a feature brings, as parts of each tree, averaged over the trees that split."""
+    gains = nodes.where("feature IS NOT NULL").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("weight")).alias("g"))
+    parts = gains.join(gains.groupBy("tree").agg(F.sum("g").alias("all")).where(F.col("all") > 0), "tree").withColumn("part", F.col("g") / F.col("all"))
+    trees = parts.agg(F.countDistinct("tree").alias("trees"))
+    return parts.groupBy("feature").agg(F.sum("part").alias("part")).join(F.broadcast(trees)).select("feature", (F.col("part") / F.col("trees")).alias("importance"))
+
+
+def score_nodes(df: DataFrame, nodes: DataFrame, classes: Sequence[int], inputs: Mapping[str, Column], column: str = "prediction") -> DataFrame:
+    """Score rows by a node table alone: each tree's leaf gives its shares, the largest sum wins, the first of equals.
+
+    `inputs` names the expression of each feature (imputed as in the fit). Nodes are
+    bounded by trees and depth, not by the data; they become one literal, and
+    rows walk it in the JVM without a join.
+    """
+    found = nodes.orderBy("tree", "node").collect()
+    place = {c: i for i, c in enumerate(inputs)}
+    trees: dict[int, dict[int, list]] = {}
+    for r in found:
+        trees.setdefault(r["tree"], {})[r["node"]] = [place[r["feature"]] if r["feature"] is not None else -1, r["threshold"] or 0.0, r["left"] or 0, r["right"] or 0, r["shares"]]
+    deepest = max((_depth(t) for t in trees.values()), default=0)
+    listed = [dict(zip("ftlrs", map(list, zip(*[t[i] for i in sorted(t)])))) for t in trees.values()]
+    literal = F.from_json(F.lit(json.dumps(listed)), "array<struct<f:array<int>,t:array<double>,l:array<int>,r:array<int>,s:array<array<double>>>>")
+    steps = F.array(*[F.lit(k) for k in range(deepest)]).cast("array<int>")
+
+    def leaf(tree: Column, x: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            return F.when(F.get(tree["f"], at) < 0, at).when(F.get(x, F.get(tree["f"], at)) <= F.get(tree["t"], at), F.get(tree["l"], at)).otherwise(F.get(tree["r"], at))
+
+        return F.get(tree["s"], F.aggregate(steps, F.lit(0), step))
+
+    row = df.withColumn("__x", F.array(*[c.cast("double") for c in inputs.values()]))
+    none = F.array(*[F.lit(0.0) for _ in classes])
+    row = row.withColumn("__votes", F.aggregate(literal, none, lambda votes, tree: F.zip_with(votes, leaf(tree, F.col("__x")), lambda a, b: a + b)))
+    return row.withColumn(column, class_label(F.array_position("__votes", F.array_max("__votes")) - 1, classes)).drop("__x", "__votes")
+
+
+def _depth(tree: Mapping[int, list]) -> int:
+    level, depth = [0], 0
+    while True:
+        level = [child for i in level if tree[i][0] >= 0 for child in tree[i][2:4]]
+        if not level:
+            return depth
+        depth += 1
+
+
 def evaluate(model: Forest, df: DataFrame, *, label: str = "model_target", task: str = "multiclass") -> float:
     scored = model.predict(df).select(label, "prediction")
     return f1_score(scored, label, "prediction", average="binary" if task == "binary" else "macro").first()["f1"] or 0.0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.models import clusters, forecast, forest, sequence_models
 from tidemark.models.interval_report import interval_report
 from tidemark.models.prepare import fit_medians, impute
-from tidemark.operators import cleaning, features, metrics, sequences, splits, summaries
+from tidemark.operators import cleaning, features, metrics, selection, sequences, splits, summaries
 from tidemark.plans.registry import PROFILE, READINGS, SCORES, query, r9, readings, scores
 from tidemark.plans.sequence_queries import FIXED, window_sql
 from tidemark.plans.split_queries import GLOBAL, PER_SOURCE, episode_split_sql
@@ -53,6 +53,16 @@ def forest_importances(spark, sf):
     return found.agg(F.countDistinct("feature").alias("features"), ((F.min("importance") >= 0) & (F.sum("importance") <= 1.000001)).alias("in_range"))
 
 
+@query("m02_forest_nodes", PER_SOURCE + " SELECT row_id, TRUE AS as_fitted FROM split WHERE split = 'test'")
+def forest_nodes(spark, sf):
+    """Every test row scored by the node table alone and by the fitted forest."""
+    rows, names, model = _forest(spark, sf)
+    filled = fit_medians(rows.where("split = 'train'"), names)
+    scored = forest.score_nodes(model.predict(rows.where("split = 'test'")), forest.node_table(spark, model), model.classes,
+                                {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(filled[c])) for c in names}, column="by_nodes")
+    return scored.select("row_id", F.col("prediction").eqNullSafe(F.col("by_nodes")).alias("as_fitted"))
+
+
 @query("m03_forest_growth", "SELECT CAST(trees AS BIGINT) AS trees, TRUE AS in_range FROM (VALUES (2), (4), (6), (8)) t(trees)")
 def forest_growth(spark, sf):
     rows, _, model = _forest(spark, sf)
@@ -289,6 +299,46 @@ def forecast_scores(spark, sf):
     return found.select("split", "ts", "source_file", "actual_value", "qc_label", "is_good", "is_issue", F.coalesce(fits, F.lit(False)).alias("error_fits"))
 
 
+def _ridge_sql(lookback: int, channels: list[str], penalty: float) -> str:
+    """Windows, scales, normal equations and their solution by elimination, as common table expressions."""
+    size = lookback * len(channels)
+    lags = ", ".join(f"lag({c}, {lookback - k}) OVER w AS h{k * len(channels) + i}" for k in range(lookback) for i, c in enumerate(channels))
+    own = lambda i: [f"h{k * len(channels) + i}" for k in range(lookback)]
+    scales = ", ".join(f"({' + '.join(f'sum({h})' for h in own(i))}) / ({lookback} * count(*)) AS u{i}" for i in range(len(channels)))
+    spreads = ", ".join(f"sqrt(({' + '.join(f'sum(({h} - u{i}) * ({h} - u{i}))' for h in own(i))}) / ({lookback} * count(*))) + 1e-6 AS s{i}" for i in range(len(channels)))
+    scaled = ", ".join(f"(h{k} - u{k % len(channels)}) / s{k % len(channels)} AS z{k}" for k in range(size))
+    name = lambda k: "y" if k == size else f"z{k}"
+    cells = [(i, j) for i in range(size) for j in range(size + 1)]
+    first = ", ".join(f"avg({name(i)} * {name(j)}) - avg({name(i)}) * avg({name(j)}){f' + {penalty}' if i == j else ''} AS a{i}_{j}" for i, j in cells)
+    sql = f""", judged AS (SELECT s.split, s.ts, s.source_file, s.row_id, r.m1, r.m2, r.m3, s.qc FROM split s JOIN readings r USING (row_id)),
+steps AS (SELECT *, ts - lag(ts) OVER w AS gap, {lags} FROM judged WINDOW w AS (PARTITION BY split, source_file ORDER BY ts, row_id)),
+linked AS (SELECT *, count(*) FILTER (gap <= 14400000000) OVER (PARTITION BY split, source_file ORDER BY ts, row_id ROWS BETWEEN {lookback - 1} PRECEDING AND CURRENT ROW) AS links,
+count(*) FILTER (qc = 1) OVER (PARTITION BY split, source_file ORDER BY ts, row_id ROWS BETWEEN {lookback} PRECEDING AND CURRENT ROW) AS goods FROM steps),
+windows AS (SELECT * FROM linked WHERE links = {lookback} AND (split <> 'train' OR goods = {lookback + 1})),
+level AS (SELECT {scales}, avg(m1) AS uy, stddev_pop(m1) + 1e-6 AS sy FROM windows WHERE split = 'train'),
+spread AS (SELECT {spreads} FROM windows, level WHERE split = 'train'),
+z AS (SELECT split, ts, source_file, row_id, m1, (m1 - uy) / sy AS y, uy, sy, {scaled} FROM windows, level, spread),
+means AS (SELECT {', '.join(f'avg({name(k)}) AS m_{name(k)}' for k in range(size + 1))} FROM z WHERE split = 'train'), e0 AS (SELECT {first} FROM z WHERE split = 'train')"""
+    for k in range(size):
+        turned = ", ".join((f"a{i}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j}") + f" AS a{i}_{j}" for i, j in cells)
+        sql += f", e{k + 1} AS (SELECT {turned} FROM e{k})"
+    sql += f", weights AS (SELECT {', '.join(f'a{k}_{size} / a{k}_{k} AS w{k}' for k in range(size))} FROM e{size})"
+    guess = f"m_y + {' + '.join(f'w{k} * (z{k} - m_z{k})' for k in range(size))}"
+    return sql + f", forecast AS (SELECT split, row_id, m1, ({guess}) * sy + uy AS predicted, sy FROM z, means, weights WHERE split <> 'train')"
+
+
+@query("m08_ridge_forecast", episode_split_sql(64, 4, 4, 4) + _ridge_sql(2, ["m2", "m3"], 0.01) + """ SELECT split, row_id, round(m1, 6) AS actual_value, round(predicted, 6) AS predicted_value,
+round(abs(m1 - predicted) / sy, 6) AS forecast_abs_error_scaled FROM forecast""")
+def ridge_forecast(spark, sf):
+    """Fit and predictions in full: SQL builds and solves the same normal equations."""
+    rows = readings(spark, sf)
+    cut = splits.split_by_strategy(cleaning.reviewed_target_frame(rows, PROFILE), PROFILE, "episode_aware", **EPISODE)
+    judged = settle(selection.features_for_splits(rows, cut, PROFILE))
+    experiment = forecast.Experiment("ridge", include_target_history=False, learner="ridge", regularisation=0.01, lookback=2, max_gap_seconds=14_400.0)
+    found, _ = forecast.run_experiment(judged, PROFILE, experiment, target="m1")
+    return found.select("split", "row_id", *[F.round(c, 6).alias(c) for c in ("actual_value", "predicted_value", "forecast_abs_error_scaled")])
+
+
 @query("m12_forecast_anomaly_job", SCORED + """ SELECT split, threshold_source, count(*) AS rows, count(*) FILTER (qc IN (3, 4, 9)) AS issue_rows, TRUE AS in_range FROM scored,
 (VALUES ('good_q0.9'), ('good_q0.95'), ('good_q0.97'), ('good_q0.98'), ('good_q0.99'), ('good_q0.995'), ('validation_f1_optimized')) t(threshold_source) GROUP BY ALL""")
 def forecast_job(spark, sf):
