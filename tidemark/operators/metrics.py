@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import _search, arrange
+from tidemark.operators.ordering import search_bounds, arrange
 from tidemark.operators.quantiles import exact_quantiles, grouped_quantiles, quantiles_of  # noqa: F401 (exact_quantiles is part of this module's surface)
 from tidemark.session import settle
 
@@ -167,7 +167,7 @@ def best_f1_threshold(valid: DataFrame, score: str, *, limits: Sequence[float] |
     limits = sorted({x for x in limits if x is not None})
     if not limits:
         return None
-    rows = (valid.where(F.col(score).isNotNull()).groupBy(_search(limits, "double", F.col(score).cast("double")).alias("b"))
+    rows = (valid.where(F.col(score).isNotNull()).groupBy(search_bounds(limits, "double", F.col(score).cast("double")).alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_issue").alias("h")).collect())  # one row a candidate
     actual = sum(r["h"] for r in rows)
     best, best_f1 = limits[0], -1.0

@@ -78,7 +78,7 @@ class _Chunks:
 _TREE_LIMIT = 64
 
 
-def _search(bounds: list, element_type: str, key: Column) -> Column:
+def search_bounds(bounds: list, element_type: str, key: Column) -> Column:
     """Number of (sorted) bounds not greater than the key, by binary search.
 
     A few bounds become a tree of comparisons inside generated code; many are
@@ -104,6 +104,9 @@ def _search(bounds: list, element_type: str, key: Column) -> Column:
     return F.get(F.transform(F.array(key), walk), F.lit(0))
 
 
+_search = search_bounds
+
+
 def _cut(df: DataFrame, by: list[str], order: list[str], back: int, ahead: int,
          tallies: Mapping[str, Column], size: int) -> _Chunks:
     total = df.count()
@@ -132,7 +135,7 @@ def _cut(df: DataFrame, by: list[str], order: list[str], back: int, ahead: int,
     if not bounds:
         return _Chunks()
 
-    binned = keyed.withColumn(_BIN, _search(bounds, key_type, F.col("key")))
+    binned = keyed.withColumn(_BIN, search_bounds(bounds, key_type, F.col("key")))
     counts = [F.count(F.lit(1)).alias("rows")] + [F.count_if(F.col(f"t_{t}")).alias(t) for t in tallies]
     measures = F.struct("rows", *tallies)
     per_bin = (binned.groupBy(_BIN, "grp").agg(*counts).groupBy(_BIN)
@@ -373,7 +376,7 @@ def arrange(df: DataFrame, *, by: Sequence[str] = (), order: Sequence[str], back
     if chunks.count == 1:
         frame = df.withColumns({CHUNK: F.lit(0), OWN: F.lit(True)})
         return Ordered(frame, by, order, chunks, tallies, columns)
-    frame = df.withColumn(_BIN, _search(chunks.bounds, chunks.key_type, _key(df, [*by, *order], "k")))
+    frame = df.withColumn(_BIN, search_bounds(chunks.bounds, chunks.key_type, _key(df, [*by, *order], "k")))
     if back or ahead:
         frame = (frame.withColumn(CHUNK, F.explode(F.get(_constant(chunks.targets, "array<int>"), F.col(_BIN))))
                  .withColumn(OWN, F.get(_constant(chunks.home, "int"), F.col(_BIN)) == F.col(CHUNK)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import is_issue, is_reviewed, label_id
 from tidemark.operators.cleaning import attach_small, union_all
-from tidemark.operators.ordering import _constant, _search, arrange, with_position
+from tidemark.operators.ordering import _constant, search_bounds, arrange, with_position
 from tidemark.operators.splits import SPLITS, contiguous_cut, slot_schedule, slot_split, source_ranks
 from tidemark.profiles import Profile
 from tidemark.session import settle
@@ -176,7 +176,7 @@ def with_time_bin(df: DataFrame, time: str, edges: Sequence[int]) -> DataFrame:
     """Right-closed bin number; the first bin also holds its left edge."""
     micros = F.unix_micros(F.col(f"`{time}`").cast("timestamp"))
     inner = list(edges[1:-1])
-    index = _search(inner, "bigint", micros - 1)
+    index = search_bounds(inner, "bigint", micros - 1)
     return df.withColumn("bin_index", index)
 
 
