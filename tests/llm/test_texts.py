@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tidemark.llm import chat, html, licenses, lm, sketch
@@ -200,6 +201,36 @@ def test_versions_beside_their_successors(documents, nothing, spark):
     assert one[0].near_next == 1.0
 
 
+def test_one_word_more_changes_one_paragraph():
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(3_000)}" for _ in range(2_000)]
+    own = sketch.digests(" ".join(words))
+    assert 40 < len(own) < 160
+    for at in (0, 700, 2_000):
+        other = sketch.digests(" ".join([*words[:at], "inserted", *words[at:]]))
+        assert sketch.likeness(own, other) > 0.9
+    assert sketch.likeness(own, sketch.digests(" ".join(words[::-1]))) < 0.1
+    assert b" ".join(sketch.paragraphs(" ".join(words))).decode() == " ".join(words)
+    assert list(sketch.paragraphs("short line\n\n \t\n" + "é " * 30 + "end"))[0] == b"short line"
+
+
+@pytest.mark.parametrize("kind, ids", [("string", ["b", "a", "é\"", None, "b"]), ("double", [1.25, 1.5, -2.0, None, 1.25]), ("date", ["2024-01-02", "2023-05-05", "2024-03-01", None, "2024-01-02"])])
+def test_ids_of_any_type_keep_their_order(spark, nothing, kind, ids):
+    rows = [(i, f"text {k} of its own") for k, i in enumerate(ids)]
+    found = sketch.compare_versions(spark.createDataFrame(rows, "doc_id string, text string" if kind != "double" else "doc_id double, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text").repartition(3))
+    assert found.schema["doc_id"].dataType.simpleString() == kind and found.count() == 5
+    tie = {r.text: r.h for r in spark.createDataFrame(rows, "x string, text string" if kind != "double" else "x double, text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], tie[r[1]]), reverse=True) + [r for r in rows if r[0] is None]
+    want = {hashlib.sha256(sketch.edited(t, after).encode()).hexdigest() for (_, t), (_, after) in zip(order, order[1:] + order[:1])}
+    assert {r.edited_sha256 for r in found.collect()} == want
+
+
+def test_one_id_on_many_texts_is_spread(spark, nothing):
+    rows = spark.range(400).selectExpr("CAST(7 AS BIGINT) AS doc_id", "concat('text ', id, ' and more') AS text").repartition(8)
+    found = sketch.compare_versions(rows)
+    assert found.count() == 400 and found.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(5)
     net = lm.Network.from_flat(lm.Network.first().flat().astype(np.float64))

@@ -1,7 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs are its lines; long lines are cut into runs of words, so a
-text of one line has several. Each paragraph's digest (with its occurrence among
+A text's paragraphs are its lines; long lines are cut where a hash of the bytes
+before a space says so, on average every 24 words. Cuts depend on what stands
+around them, not on the line's start: a word put in or taken out changes the
+paragraph around it, and the rest stays. Each paragraph's digest (with its occurrence among
 equal paragraphs) goes into three cells of a table that keep a count, the
 exclusive or of digests, and that of check sums. Two sketches subtract cell by
 cell; what both texts share vanishes. Cells with one digest left give it away,
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,33 +29,48 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidemark.llm.common import row_map
-from tidemark.operators.ordering import _search
+from tidemark.operators.ordering import comparable, search_bounds
 
-#: Words of the longest paragraph, and cells of a fingerprint.
+#: Words of the longest line that is never cut and of the mean paragraph of others, and cells of a fingerprint.
 RUN_WORDS, CELLS = 24, 24
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _M1, _M2, _S1, _S2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33), np.uint64(29)
 _CELL = np.dtype([("count", "<i4"), ("check", "<u4"), ("keys", "<u8")])
 
 
-def paragraphs(text: str | None) -> Iterator[str]:
+_WINDOW, _PADDING = np.arange(8), np.zeros(8, np.uint8)
+
+
+def paragraphs(text: str | None) -> Iterator[bytes]:
+    """Paragraphs in UTF-8; of longer lines with single spaces between words."""
     for line in (text or "").split("\n"):
         words = line.split()
-        if len(words) <= RUN_WORDS:
-            if words:
-                yield line
-        else:
-            for first in range(0, len(words), RUN_WORDS):
-                yield " ".join(words[first:first + RUN_WORDS])
+        if len(words) > RUN_WORDS:
+            yield from _runs(" ".join(words).encode("utf-8", "surrogatepass"))
+        elif words:
+            yield line.encode("utf-8", "surrogatepass")
+
+
+def _runs(line: bytes) -> Iterator[bytes]:
+    """Cut behind a space where the eight bytes before it hash into one part of `RUN_WORDS`."""
+    data = np.frombuffer(line, np.uint8)
+    spaces = np.flatnonzero(data == 32)
+    ends = np.concatenate([_PADDING, data])[spaces[:, None] + _WINDOW].view(np.uint64).ravel()
+    hashed = _mixed(ends, _SEEDS[:1])[:, 0] >> np.uint64(32)
+    first = 0
+    for cut in spaces[(hashed * np.uint64(RUN_WORDS)) >> np.uint64(32) == 0].tolist():
+        yield line[first:cut]
+        first = cut + 1
+    yield line[first:]
 
 
 def digests(text: str | None) -> np.ndarray:
     """Digests of a text's paragraphs; equal paragraphs get different ones by their occurrence."""
-    seen: dict[str, int] = {}
+    seen: dict[bytes, int] = {}
     found = []
     for p in paragraphs(text):
         nth = seen[p] = seen.get(p, -1) + 1
-        found.append(xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), nth))
+        found.append(xxhash.xxh64_intdigest(p, nth))
     return np.array(found, np.uint64)
 
 
@@ -147,30 +165,41 @@ def edited(text: str, following: str) -> str:
 
 # ---------------------------------------------------------------- documents beside their successors
 
+#: Ranges at most, and sampled keys for each: bounds of what the driver holds.
+RANGES, SAMPLES = 8_192, 16
+
+
 def beside_next(documents: DataFrame, function: Callable[[object, str, str], tuple], names: list[str], schema: str) -> DataFrame:
     """Apply `function(doc_id, text, next text)` in descending order of doc_id; after the last comes the first.
 
-    Ids are cut into ranges by their quantiles, one number per range on the driver. The first document of each range
+    Rows stand in order of (doc_id, hash of the text), ids of any type by their own
+    order, null ids last; so one id on many texts is spread over several ranges, too.
+    Only rows alike in both can't be told apart. A sample of keys of bounded size,
+    those with the smallest hashes, cuts the order into ranges. The first document of each range
     is also sent to the range before it, so each text moves once (a few twice)
-    and no range needs another's task. Equal ids stand in order of their texts;
-    null ids come last.
+    and no range needs another's task.
     """
-    lowest = -(1 << 63)
-    keyed = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(lowest)).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    place = comparable(documents, "doc_id")
+    place = F.lit(0) if documents.schema["doc_id"].dataType.typeName() == "void" else place
+    keyed = documents.select("doc_id", F.struct(place.alias("id"), F.xxhash64(text).alias("tie")).alias("place"), text.alias("text"))
+    kind = keyed.schema["place"].dataType.simpleString()
     tasks = max(1, 2 * documents.rdd.getNumPartitions())
-    wanted = 4 * tasks  # several ranges a task, so that tasks are about as large
-    cuts = keyed.agg(F.percentile_approx("place", [i / wanted for i in range(1, wanted)] or [0.5], 100 * wanted)).first()[0] or []
-    bounds = sorted(set(cuts)) if wanted > 1 else []
-    ranged = keyed.withColumn("range", _search(bounds, "bigint", F.col("place")))
-    heads = {r["range"]: r["head"] for r in ranged.groupBy("range").agg(F.max("place").alias("head")).collect()}  # one row per range
+    wanted = min(4 * tasks, RANGES)  # several ranges a task, so that tasks are about as large
+    sample = keyed.select("place").distinct().orderBy(F.xxhash64("place")).limit(SAMPLES * wanted)
+    drawn = [r["place"] for r in sample.orderBy("place").collect()]
+    bounds = [drawn[i].asDict() for i in sorted({len(drawn) * k // wanted for k in range(1, wanted)}) if i] if len(drawn) > 1 else []
+    listed = lambda values, of: F.from_json(F.lit(json.dumps(values, default=str)), f"array<{of}>")
+    ranged = keyed.withColumn("range", search_bounds(json.loads(json.dumps(bounds, default=str)), kind, F.col("place")))
+    heads = {r["range"]: r["head"].asDict() for r in ranged.groupBy("range").agg(F.max("place").alias("head")).collect()}  # one row per range
     there = sorted(heads)
     span = (there[-1] + 1) if there else 0
     before = dict(zip(there, there[1:] + there[:1]))  # where a range's first document is the successor
-    head_of = F.get(F.lit([heads.get(i, lowest) for i in range(span)] or [0]).cast("array<bigint>"), F.col("range"))
-    goes_to = F.get(F.lit([before.get(i, 0) for i in range(span)] or [0]).cast("array<int>"), F.col("range"))
+    head_of = F.get(listed([heads.get(i) for i in range(span)], kind), F.col("range"))
+    goes_to = F.get(listed([before.get(i, 0) for i in range(span)], "int"), F.col("range"))
     own = F.struct(F.col("range").alias("target"), F.lit(0).alias("guest"))
     guest = F.struct(goes_to.alias("target"), F.lit(1).alias("guest"))
-    sent = ranged.select("doc_id", "place", "text", F.explode(F.when(F.col("place") == head_of, F.array(own, guest)).otherwise(F.array(own))).alias("to"))
+    sent = ranged.select("doc_id", "place", "text", F.explode(F.when(F.col("place").eqNullSafe(head_of), F.array(own, guest)).otherwise(F.array(own))).alias("to"))
     laid = (sent.select("doc_id", "place", "text", "to.target", "to.guest").repartition(min(tasks, max(1, len(there))), "target")
             .sortWithinPartitions("target", "guest", F.col("place").desc(), "text"))
 
@@ -191,7 +220,7 @@ def beside_next(documents: DataFrame, function: Callable[[object, str, str], tup
 
 
 def compare_versions(documents: DataFrame) -> DataFrame:
-    """Each text, its edited version and the next text: fingerprints and likenesses; repeated rows stay repeated."""
+    """Each text, its edited version and the next text: fingerprints and likenesses; repeated rows stay repeated, an empty table gives none."""
     kept: dict[str, tuple] = {}
 
     def sketched(text: str):
