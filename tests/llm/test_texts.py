@@ -40,6 +40,40 @@ def test_article_in_several_parts_is_whole(around, first, last):
     assert html.main_text(page) == "\n".join(["One", *said[:7], "Two", *said[7:]])
 
 
+SAID = [f"Sentence {k} of the article, with some words, and more of them, as prose has." for k in range(8)]
+PROSE = "".join(f"<p>{t}</p>" for t in SAID)
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div><div><a href='/a'>Home</a></div><div>Today</div><div>Log in</div></div><div>{PROSE}</div><div><div>More</div><div>Up</div></div></body>",
+    f"<table><tr><td>Menu<td>Start</tr><tr><td><div>{PROSE}</div><td>Weather</tr></table>",
+    f"<div><span>Site name</span></div><div><div><h2>Head</h2>{PROSE}</div></div><div><ul><li>One<li>Two<li>Three</ul></div>",
+])
+def test_ratios_alone_find_the_article(page, monkeypatch):
+    """No article tag, no telling name, no role: without the ratios other blocks come along."""
+    expected = "\n".join((["Head"] if "Head" in page else []) + SAID)
+    assert html.main_text(page) == expected
+    monkeypatch.setattr(html, "path_weights", lambda ratios: {p: 1.0 for p in ratios})
+    assert html.main_text(page) != expected
+
+
+REFERENCES = "".join(f"<li><a href='/{k}'>Author, A., and Other, B. (20{k}). A study of things, part {k}. Journal, 3.</a></li>" for k in range(10, 14))
+
+
+@pytest.mark.parametrize("page, text", [
+    (PAGE % f"<article>{PROSE}<section class='legal'><p>The law, as it stands, says much of this. It is read, and said.</p></section></article>", [*SAID, "The law, as it stands, says much of this. It is read, and said."]),
+    (PAGE % f"<article>{PROSE}<div class='search-results-of-study'><p>In the study, they found, and wrote, a lot.</p></div></article>", [*SAID, "In the study, they found, and wrote, a lot."]),
+    (PAGE % f"<article>{PROSE}<p>It is <span class='tags'>marked</span> here, too.</p></article>", [*SAID, "It is marked here, too."]),
+    (PAGE % f"<div>{PROSE}<ul>{REFERENCES}</ul></div>", [*SAID, *[f"Author, A., and Other, B. (20{k}). A study of things, part {k}. Journal, 3." for k in range(10, 14)]]),
+    # What only the names tell still goes.
+    (PAGE % f"<article>{PROSE}<div class='ad'>Buy this, now, and save. It is good.</div><div class='legal'>All rights</div></article>", SAID),
+    (PAGE % f"<div>{PROSE}<ul><li><a href='/x'>Home</a><li><a href='/y'>About us</a></ul></div>", SAID),
+    (PAGE % f"<article>{PROSE}<p>End.<span class='share'>Share</span></p><p>So <span class='tags' hidden>x</span>it is.</p></article>", [*SAID, "End.", "So it is."]),
+])
+def test_names_take_out_no_article_text(page, text):
+    assert html.main_text(page) == "\n".join(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<b", "<!--", "-->", "&amp", "x, y.", "<script>", "</article>", "<article>", "\"'", ">"])).map("".join))
 def test_any_markup_gives_some_text(page):

@@ -4,11 +4,20 @@ A page is cut into blocks, each with its root-to-leaf path of block tags (with
 class and id). Per path the text length and the punctuation marks are added up
 and divided by the number of blocks; both ratios are smoothed over neighbouring
 paths, weighted by how much the paths share, and fused. Paths over the threshold
-carry the content; the article is the smallest container around all their weight,
-and its blocks are kept unless a tag, class or id on their path names boilerplate.
+carry the content; the article is the smallest container around all their weight.
 Where only the page itself holds all of it, the container around most of the weight,
-the other parts of the page with content, and headings are kept. Paths that mostly
-hold link text don't count as content.
+the other parts of the page with content, and headings are kept.
+
+Names only settle what ratios can't tell: menus, adverts, notices, sidebars and readers'
+comments may read like an article, so tags, roles and names that say so take a
+block out. Names that an article's own parts have as well (legal, tags, search ...) take
+out only what the ratios, too, find without content, or what stands outside the
+container. Blocks that mostly hold link text count as content where they carry as much
+punctuation as prose, as references do; menus carry none. Inline elements
+with such a name stay where text goes on behind them.
+
+Of an article's own header the headings stay and the rest (bylines, dates) goes, as do
+forms and fieldsets and what is named as a reply.
 
 Nulls and pages without content give an empty string.
 """
@@ -42,16 +51,27 @@ navigation menu menus topbar toolbar breadcrumb breadcrumbs crumbs header masthe
 notices alert alerts popup modal overlay dialog lightbox newsletter subscribe subscription signup login register search share sharing social follow comment comments
 disqus reply replies responses discussion related recommended recommendations trending pager pagination paging skip byline tags taglist tracking disclaimer legal
 copyright hidden""".split())
+#: Those of them that parts of an article have as well.
+WEAK_WORDS = frozenset("legal copyright disclaimer tags search tracking notice notices alert alerts note responses discussion social follow register header foot banner skip".split())
+#: Words that say nothing of what an element holds.
+NEUTRAL_WORDS = frozenset("list section box container wrapper wrap block area inner outer item items bar links link site page top bottom left right global js is has the of and slot unit col row".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+HIDES = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"[\s​]+")
 MARK = re.compile(r"[.,;:!?…、。，！？]")
 #: Share of the fused weight that the article's main container must hold.
 CONTAINER_SHARE = 0.6
+#: Marks in a block of links from which on it reads like prose.
+PROSE_MARKS = 3
+#: Part of the best content path's ratio from which on a path reads like content.
+PROSE_SHARE = 0.25
+#: What names say of an element: nothing, boilerplate unless the ratios say otherwise, boilerplate.
+PLAIN, WEAK, STRONG = 0, 1, 2
 
 
 class _Node:
@@ -61,29 +81,43 @@ class _Node:
         self.tag, self.label, self.parent, self.boiler, self.number = tag, label, parent, boiler, number
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """The label of an element in paths, and whether it names boilerplate."""
-    label, boiler = tag, tag in BOILERPLATE_TAGS
+def _named(value: str) -> int:
+    """What the names of a class or id attribute say; boilerplate words must make up half of a name's telling words."""
+    found = PLAIN
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name) if not w.isdigit()]
+        telling = [w for w in words if w not in NEUTRAL_WORDS]
+        boiler = [w for w in telling if w in BOILERPLATE_WORDS]
+        if boiler and 2 * len(boiler) >= len(telling):
+            found = max(found, WEAK if all(w in WEAK_WORDS for w in boiler) else STRONG)
+    return found
+
+
+def _describe(tag: str, attributes: str) -> tuple[str, int]:
+    """The label of an element in paths, and what it says of its content."""
+    label, boiler = tag, STRONG if tag in BOILERPLATE_TAGS else PLAIN
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), entities.unescape(value.strip("\"'"))
             if name == "role":
-                boiler |= value.lower() in ROLES
+                boiler = STRONG if value.lower() in ROLES else boiler
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                boiler = True
+                boiler = STRONG
             elif name == "style":
-                boiler |= "display:none" in value.replace(" ", "").lower()
+                boiler = STRONG if "display:none" in value.replace(" ", "").lower() else boiler
             elif name in ("class", "id"):
                 words = {w.lower() for w in WORDS.findall(value)}
                 label += ("." if name == "class" else "#") + value
-                boiler |= bool(words & BOILERPLATE_WORDS) and tag not in ("html", "body", "main", "article") and not words & CONTENT_WORDS - {"text", "body"}
-                boiler |= bool(words & {"comment", "comments"}) and tag not in ("html", "body", "main")
+                if tag not in ("html", "body", "main", "article") and not words & CONTENT_WORDS - {"text", "body"}:
+                    boiler = max(boiler, _named(value))
+                if words & {"comment", "comments"} and tag not in ("html", "body", "main"):
+                    boiler = STRONG
     return label, boiler
 
 
 def blocks(html: str) -> list[tuple[_Node, str, int]]:
     """Blocks of a page in order: element, text with white space folded, characters inside links."""
-    root = _Node("", "", None, False, 0)
+    root = _Node("", "", None, PLAIN, 0)
     stack, out, piece, made = [root], [], [], 1
     owner, linked, links = root, 0, 0
 
@@ -144,6 +178,8 @@ def blocks(html: str) -> list[tuple[_Node, str, int]]:
             label, boiler = _describe(tag, attributes)
             if boiler and not attributes.endswith("/"):  # an inline element that names boilerplate: leave its text out
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                if end and "".join(piece).strip() and html[end.end():end.end() + 2].strip()[:1] not in ("", "<") and not HIDES.search(attributes):
+                    continue  # text before and behind it: a part of the sentence
                 if end and not re.search(rf"<{re.escape(tag)}\b", html[at:end.start()], re.I):
                     at = end.end()
                     links -= tag == "a"
@@ -165,8 +201,8 @@ def blocks(html: str) -> list[tuple[_Node, str, int]]:
         label, boiler = _describe(tag, attributes)
         parent = stack[-1]
         if tag == "header" and any(n.tag in ("article", "main") for n in stack) and not any(n.boiler for n in stack):
-            boiler = False  # an article's own head: its headings belong to the text, the rest is left out below
-        owner = _Node(tag, label, parent, boiler or parent.boiler, made)
+            boiler = PLAIN  # an article's own head: its headings belong to the text, the rest is left out below
+        owner = _Node(tag, label, parent, max(boiler, parent.boiler), made)
         made += 1
         stack.append(owner)
     flush()
@@ -190,8 +226,12 @@ def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return 2.0 * same / max(len(a) + len(b), 1)
 
 
-def path_weights(found: list[tuple[tuple[str, ...], int, int, int, bool]], reach: int = 3) -> dict[tuple[str, ...], float]:
-    """Fused, smoothed weight of each path over the threshold; found: path, length, marks, linked, boilerplate per block."""
+def path_ratios(found: list[tuple[tuple[str, ...], int, int, int, bool]], reach: int = 3) -> dict[tuple[str, ...], tuple[float, float, int]]:
+    """(own, smoothed, blocks) of each path; found: path, length, marks, linked, boilerplate per block.
+
+    Both are the geometric mean of text length and punctuation a block: of the
+    path itself, and smoothed over its neighbours by how much the paths share.
+    """
     totals: dict[tuple[str, ...], list[float]] = {}
     for path, length, marks, linked, boiler in found:
         row = totals.setdefault(path, [0, 0, 0, 0])
@@ -202,16 +242,22 @@ def path_weights(found: list[tuple[tuple[str, ...], int, int, int, bool]], reach
     paths = list(totals)
     values = np.array([totals[p] for p in paths], dtype=float)
     text, marks, linked, count = values.T
-    own = np.where(linked <= 0.5 * np.maximum(text, 1), 1.0, 0.0)
+    own = np.where((linked <= 0.5 * np.maximum(text, 1)) | (marks >= PROSE_MARKS * count), 1.0, 0.0)
     ratios = np.stack([own * text / count, own * (marks + 0.5 * (text > 0)) / count])
     smooth = np.zeros_like(ratios)
     for i, path in enumerate(paths):
         near = range(max(0, i - reach), min(len(paths), i + reach + 1))
         weight = np.array([np.exp(-0.5 * (i - j) ** 2) * _shared(path, paths[j]) if j != i else 1.0 for j in near])
         smooth[:, i] = (ratios[:, list(near)] * weight).sum(1) / weight.sum()
-    fused = np.sqrt(smooth[0] * smooth[1]) * count * (text > 0)
+    fused = [np.sqrt(r[0] * r[1]) * (text > 0) for r in (ratios, smooth)]
+    return {p: (float(a), float(b), int(n)) for p, a, b, n in zip(paths, *fused, count)}
+
+
+def path_weights(ratios: dict[tuple[str, ...], tuple[float, float, int]]) -> dict[tuple[str, ...], float]:
+    """Smoothed ratio times blocks of each path over the threshold."""
+    fused = np.array([smooth * blocks for _, smooth, blocks in ratios.values()])
     limit = min(fused.std(), 0.5 * fused.max())
-    return {p: float(w) for p, w in zip(paths, fused) if w > 0 and w >= limit}
+    return {p: float(w) for p, w in zip(ratios, fused) if w > 0 and w >= limit}
 
 
 def main_text(html: str | None) -> str:
@@ -222,9 +268,13 @@ def main_text(html: str | None) -> str:
     if not found:
         return ""
     paths = [_path(node) for node, _, _ in found]
-    weights = path_weights([(p, len(t), len(MARK.findall(t)), linked, n.boiler) for p, (n, t, linked) in zip(paths, found)])
+    ratios = path_ratios([(p, len(t), len(MARK.findall(t)), linked, n.boiler == STRONG) for p, (n, t, linked) in zip(paths, found)])
+    weights = path_weights(ratios)
     if not weights:
         return ""
+    # Paths whose blocks, few as they may be, read like those of the content.
+    prose = PROSE_SHARE * max((ratios[p][0] for p in weights), default=0.0)
+    reads = {p for p, (own, _, _) in ratios.items() if own > 0 and own >= prose}
     # Weight of each block of a content path, added to all elements around it.
     per_path: dict[tuple[str, ...], int] = {}
     for p in paths:
@@ -252,7 +302,7 @@ def main_text(html: str | None) -> str:
     page = whole.tag in ("", "html", "body")
     out = []
     for p, (node, text, linked) in zip(paths, found):
-        if node.boiler:
+        if node.boiler == STRONG:
             continue
         up, below, inside, around, head = node, node, False, False, False
         while up is not None:
@@ -262,7 +312,9 @@ def main_text(html: str | None) -> str:
                 around = not page or node.tag in HEADINGS or node is whole and p in weights or below is not whole and below.number in held
             below = up
             up = up.parent
-        if (strict or not inside) and linked > 0.5 * len(text):
+        if node.boiler == WEAK and not (inside and p in reads):
+            continue
+        if (strict or not inside) and linked > 0.5 * len(text) and p not in reads:
             continue
         if (inside or around) and (not head or node.tag in HEADINGS):
             out.append(text)
