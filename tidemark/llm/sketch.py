@@ -8,7 +8,7 @@ equal paragraphs) goes into three cells of a table that keep a count, the
 exclusive or of digests, and that of check sums. Two sketches subtract cell by
 cell; what both texts share vanishes. Cells with one digest left give it away,
 and taking it out of its other cells opens more of them. If that gets stuck, both
-texts are sketched again at twice the size, until the difference is out.
+texts are sketched again at four times the size, until the difference is out.
 
 Nulls count as empty texts; these have no paragraphs, and two of them are alike.
 """
@@ -35,6 +35,7 @@ from tidemark.operators.ordering import comparable, search_bounds
 RUN_WORDS, CELLS = 24, 24
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _M1, _M2, _S1, _S2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33), np.uint64(29)
+_HALF, _THIRDS = np.uint64(32), np.arange(3)
 _CELL = np.dtype([("count", "<i4"), ("check", "<u4"), ("keys", "<u8")])
 
 
@@ -42,26 +43,34 @@ _WINDOW, _PADDING = np.arange(8), np.zeros(8, np.uint8)
 
 
 def paragraphs(text: str | None) -> Iterator[bytes]:
-    """Paragraphs in UTF-8; of longer lines with single spaces between words."""
+    """Paragraphs in UTF-8, those of long lines last and with single spaces between words."""
+    long = []
     for line in (text or "").split("\n"):
         words = line.split()
         if len(words) > RUN_WORDS:
-            yield from _runs(" ".join(words).encode("utf-8", "surrogatepass"))
+            long.append(" ".join(words))
         elif words:
             yield line.encode("utf-8", "surrogatepass")
+    if long:
+        yield from _runs(_BETWEEN.join(long).encode("utf-8", "surrogatepass"))
 
 
-def _runs(line: bytes) -> Iterator[bytes]:
-    """Cut behind a space where the eight bytes before it hash into one part of `RUN_WORDS`."""
-    data = np.frombuffer(line, np.uint8)
-    spaces = np.flatnonzero(data == 32)
-    ends = np.concatenate([_PADDING, data])[spaces[:, None] + _WINDOW].view(np.uint64).ravel()
-    hashed = _mixed(ends, _SEEDS[:1])[:, 0] >> np.uint64(32)
+#: Between two long lines; the zeros keep a line's first cuts free of the line before it.
+_BETWEEN = "\n" + "\0" * 8
+
+
+def _runs(lines: bytes) -> Iterator[bytes]:
+    """Cut between lines, and behind a space where the eight bytes before it hash into one part of `RUN_WORDS`."""
+    data = np.frombuffer(lines, np.uint8)
+    stops = np.flatnonzero((data == 32) | (data == 10))
+    ends = np.concatenate([_PADDING, data])[stops[:, None] + _WINDOW].view(np.uint64).ravel() * _M1
+    chosen = (((ends ^ (ends >> _S2)) * _M2) >> _S1) % np.uint64(RUN_WORDS) == 0
+    chosen |= data[stops] == 10
     first = 0
-    for cut in spaces[(hashed * np.uint64(RUN_WORDS)) >> np.uint64(32) == 0].tolist():
-        yield line[first:cut]
-        first = cut + 1
-    yield line[first:]
+    for cut in stops[chosen].tolist():
+        yield lines[first:cut]
+        first = cut + (1 if lines[cut] == 32 else len(_BETWEEN))
+    yield lines[first:]
 
 
 def digests(text: str | None) -> np.ndarray:
@@ -83,13 +92,13 @@ def _mixed(keys: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return h
 
 
-def _put(cells: np.ndarray, keys: np.ndarray, signs: np.ndarray) -> None:
-    h = _mixed(keys, _SEEDS)
+def _put(cells: np.ndarray, keys: np.ndarray, signs: np.ndarray, h: np.ndarray | None = None) -> None:
+    h = _mixed(keys, _SEEDS) if h is None else h
     third = len(cells) // 3
-    at = ((h[:, :3] % np.uint64(third)).astype(np.int64) + np.arange(3) * third).ravel()
-    np.add.at(cells["count"], at, np.repeat(signs, 3).astype(np.int32))
+    at = ((h[:, :3] % np.uint64(third)).view(np.int64) + _THIRDS * third).ravel()
+    np.add.at(cells["count"], at, np.repeat(signs, 3))
     np.bitwise_xor.at(cells["keys"], at, np.repeat(keys, 3))
-    np.bitwise_xor.at(cells["check"], at, np.repeat((h[:, 3] >> np.uint64(32)).astype(np.uint32), 3))
+    np.bitwise_xor.at(cells["check"], at, np.repeat((h[:, 3] >> _HALF).astype(np.uint32), 3))
 
 
 def build(keys: np.ndarray, cells: int = CELLS) -> np.ndarray:
@@ -113,16 +122,20 @@ def peel(table: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     ours, theirs = [], []
     for _ in range(len(table) + 1):
         single = np.flatnonzero(np.abs(table["count"]) == 1)
-        if len(single):
-            keys = table["keys"][single]
-            pure = (_mixed(keys, _SEEDS[3:])[:, 0] >> np.uint64(32)).astype(np.uint32) == table["check"][single]
-            keys, which = np.unique(keys[pure], return_index=True)
-            signs = table["count"][single[pure][which]]
-        if not len(single) or not len(keys):
+        if not len(single):
+            break
+        keys, signs = table["keys"][single], table["count"][single]
+        h = _mixed(keys, _SEEDS)
+        pure = (h[:, 3] >> _HALF).astype(np.uint32) == table["check"][single]
+        # A digest may be alone in several of its cells.
+        once = {key: i for i, key in enumerate(keys.tolist()) if pure[i]}
+        if not once:
             break
+        at = list(once.values())
+        keys, signs, h = keys[at], signs[at], h[at]
         ours.append(keys[signs > 0])
         theirs.append(keys[signs < 0])
-        _put(table, keys, -signs)
+        _put(table, keys, -signs, h)
     if table["count"].any() or table["keys"].any():
         return None
     empty = np.zeros(0, np.uint64)
@@ -130,23 +143,33 @@ def peel(table: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def difference(at_size: Callable[[int], tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """The differing digests of two texts, whose sketches `at_size` gives; doubles the size on failure."""
+    """The differing digests of two texts, whose sketches `at_size` gives; four times the size on failure."""
     while True:
         out = peel(subtract(*at_size(cells)))
         if out is not None:
             return out
-        cells *= 2
+        cells *= 4
 
 
 def likeness(a: np.ndarray, b: np.ndarray, sketch_a: np.ndarray | None = None, sketch_b: np.ndarray | None = None) -> float:
     """Shared part of all paragraphs of two texts, from the peeled difference of their sketches."""
-    made = {CELLS: (sketch_a if sketch_a is not None else build(a), sketch_b if sketch_b is not None else build(b))}
-    start = CELLS
-    while start < 1.2 * abs(len(a) - len(b)):  # at least so many digests differ, and no smaller sketch can give them away
-        start *= 2
-    only_a, only_b = difference(lambda cells: made[cells] if cells in made else (build(a, cells), build(b, cells)), start)
-    union = len(a) + len(only_b)
-    return (len(a) - len(only_a)) / union if union else 1.0
+    keys, signs = np.concatenate([a, b]), np.repeat(np.array([1, -1], np.int32), [len(a), len(b)])
+
+    def subtracted(cells: int) -> np.ndarray:
+        """Both sketches of this size, one taken from the other, in one pass."""
+        if cells == CELLS and sketch_a is not None and sketch_b is not None:
+            return subtract(sketch_a, sketch_b)
+        table = np.zeros(cells, _CELL)
+        _put(table, keys, signs)
+        return table
+
+    cells = CELLS
+    while cells < 1.2 * abs(len(a) - len(b)):  # at least so many digests differ, and no smaller sketch can give them away
+        cells *= 2
+    while (out := peel(subtracted(cells))) is None:
+        cells *= 4
+    union = len(a) + len(out[1])
+    return (len(a) - len(out[0])) / union if union else 1.0
 
 
 def fingerprint(table: np.ndarray) -> str:
