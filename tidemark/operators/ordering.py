@@ -104,9 +104,6 @@ def search_bounds(bounds: list, element_type: str, key: Column) -> Column:
     return F.get(F.transform(F.array(key), walk), F.lit(0))
 
 
-_search = search_bounds
-
-
 def _cut(df: DataFrame, by: list[str], order: list[str], back: int, ahead: int,
          tallies: Mapping[str, Column], size: int) -> _Chunks:
     total = df.count()
