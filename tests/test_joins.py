@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof
@@ -75,25 +76,42 @@ def files(spark, spans, name):
     return spark.createDataFrame(made, "name string, series_key string, start_time timestamp, end_time timestamp")
 
 
-def in_micros(df, a, b):
-    return df.select("name", "series_key", F.unix_micros("start_time").alias(a), F.unix_micros("end_time").alias(b))
+def laid_out(monkeypatch, primary, candidates):
+    """The best companions, and how many rows the tree of the sweep holds."""
+    rows, made = [], asof.range_nodes
+    monkeypatch.setattr(asof, "range_nodes", lambda *args: rows.append(made(*args)) or rows[0])
+    best = {r["name"]: r["companion"] for r in asof.best_companions(primary, candidates).collect()}
+    return best, rows[0].count()
 
 
-def test_one_long_file_does_not_pair_all_others(spark):
+def test_one_long_file_does_not_pair_all_others(spark, monkeypatch):
     short = [(3600 * i, 3600 * i + 3000) for i in range(600)]
     primary, candidates = files(spark, short, "p"), files(spark, [*[(a + 600, b + 600) for a, b in short], (0, 365 * 86_400)], "c")
-    met = asof.meetings(in_micros(primary, "ps", "pe"), in_micros(candidates, "cs", "ce").withColumnRenamed("name", "companion"))
-    assert met.count() < 3_000
-    best = {r["name"]: r["companion"] for r in asof.best_companions(primary, candidates).collect()}
+    best, rows = laid_out(monkeypatch, primary, candidates)
+    assert rows < 1_201 * 11
     assert len(best) == 600 and set(best.values()) == {"c00600"}  # covers each primary as a whole
 
 
-def test_best_companions_equal_brute_force(spark):
-    rng = random.Random(8)
-    spans = lambda n: [(a, a + rng.choice([1, 5, 60, 900, 20_000, 400_000])) for a in (rng.randint(0, 500_000) for _ in range(n))]
+def test_files_that_all_overlap_meet_no_pairs(small_chunks, monkeypatch):
+    """Every primary overlaps every candidate: 250,000 pairs, of which none is made."""
+    primary = files(small_chunks, [(i, 10_000 - 3 * i) for i in range(500)], "p")
+    candidates = files(small_chunks, [(2 * i, 10_001 - 2 * i) for i in range(500)], "c")
+    best, rows = laid_out(monkeypatch, primary, candidates)
+    assert rows < 1_000 * 10
+    for i in range(0, 500, 7):
+        a, b = i, 10_000 - 3 * i
+        rank = min((-(min(b, d) - max(a, c)), abs(c - a), abs(d - b), f"c{j:05d}") for j, (c, d) in enumerate((2 * j, 10_001 - 2 * j) for j in range(500)))
+        assert best[f"p{i:05d}"] == rank[3]
+
+
+@pytest.mark.parametrize("seed, reach", [(8, 500_000), (9, 40_000), (10, 2_000)])
+def test_best_companions_equal_brute_force(small_chunks, seed, reach):
+    """Sparse to dense; instants, backward ranges and ties among them."""
+    rng = random.Random(seed)
+    spans = lambda n: [(a, a + rng.choice([-30, 0, 1, 5, 60, 900, 20_000, 400_000])) for a in (10 * rng.randint(0, reach // 10) for _ in range(n))]
     ps, cs = spans(150), spans(150)
     cs += ps[:5]
-    primary, candidates = files(spark, ps, "p"), files(spark, cs, "c")
+    primary, candidates = files(small_chunks, ps, "p"), files(small_chunks, cs, "c")
     got = {r["name"]: (r["companion"], r["exact"], r["overlap_seconds"]) for r in asof.best_companions(primary, candidates).collect()}
     for i, (a, b) in enumerate(ps):
         rank = min(((c, d) != (a, b), -max(0, min(b, d) - max(a, c)), abs(c - a), abs(d - b), f"c{j:05d}") for j, (c, d) in enumerate(cs))

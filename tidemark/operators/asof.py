@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import arrange
@@ -95,33 +95,66 @@ def join_companions(primary: DataFrame, companions: Sequence[tuple[str, DataFram
     return nearest_joins(primary, sides, time=time, by=by, left_tie=tie, tolerance_seconds=tolerance_seconds)
 
 
-def meetings(timed: DataFrame, ranged: DataFrame) -> DataFrame:
-    """Pairs of one series that share a time bucket: primaries (`ps`, `pe`) with candidates (`cs`, `ce`), in microseconds.
+def range_nodes(held: DataFrame, asked: DataFrame, levels: int) -> DataFrame:
+    """Files laid into the nodes of a binary tree over the candidates' order of starts.
 
-    Two files meet in buckets as wide as the longer one's length class, where
-    each of them lies in three at most: neither a year beside a second nor a
-    second beside a year becomes many rows. A file appears once per class of the
-    other side that is its own or longer, and there are fewer than 64. One of a
-    pair is always in its own class: longer primaries meet the candidates raised
-    to them, longer candidates the primaries. Short files never meet each other
-    in the wide buckets of a long one, so matches grow with overlaps.
+    `held` are candidates with their rank from 1 (`upto`), `asked` are primaries
+    with the number of candidates that start no later (`upto`) and whether one
+    of those reaches their end (`covered`). A node is a run of 2^level ranks, so
+    a candidate lies in one node a level. Ranks up to a number are the even
+    nodes at its set bits, ranks beyond it the odd nodes at its unset bits: a
+    covered primary asks the first, any other the second, at most one a level.
+    Inside a node the order decides who counts: candidates that end no earlier
+    come before a covered primary, those that end no later before any other.
     """
-    length = lambda a, b: F.floor(F.log2(F.greatest(F.col(b) - F.col(a), F.lit(1_000_000)).cast("double"))).cast("int")
-    timed, ranged = timed.withColumn("pcls", length("ps", "pe")), ranged.withColumn("ccls", length("cs", "ce"))
-    width = F.expr("shiftleft(1L, cls)")
-
-    def raised(frame: DataFrame, own: str, others: DataFrame, longer: Callable[[Column, Column], Column]) -> DataFrame:
-        classes = sorted(r[0] for r in others.distinct().collect())  # fewer than 64
-        return frame.withColumn("cls", F.explode(F.filter(F.array(*[F.lit(c) for c in classes]).cast("array<int>"), lambda c: longer(c, F.col(own)))))
-
-    def spread(frame: DataFrame, a: str, b: str) -> DataFrame:
-        return frame.select("*", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(a, b) / width))).alias("bucket"))
-
-    on = ["series_key", "cls", "bucket"]
-    shorter = raised(ranged, "ccls", timed.select("pcls"), lambda c, own: c >= own)
-    longer = raised(timed, "pcls", ranged.select("ccls"), lambda c, own: c > own)
-    return (spread(timed.withColumn("cls", F.col("pcls")), "ps", "pe").join(spread(shorter, "cs", "ce"), on)
-            .unionByName(spread(longer, "ps", "pe").join(spread(ranged.withColumn("cls", F.col("ccls")), "cs", "ce"), on)))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    node = F.expr("shiftright(upto, level)")
+    even = F.col("node") % 2 == 0
+    last, first = F.col("until"), F.col("at")
+    columns = ["series_key", "level", "node", "side", "name", "at", "until"]
+    kept = held.select("series_key", "side", "name", "at", "until", "upto", level).withColumn("node", node).select(
+        *columns, F.when(even, -last).otherwise(last).alias("end"),
+        # The latest start, then the earliest end; or the longest, then the earliest.
+        F.when(even, F.struct(first.alias("x"), (-last).alias("y"), F.col("name").alias("z"))).otherwise(F.struct((last - first).alias("x"), (-first).alias("y"), F.col("name").alias("z"))).alias("value"))
+    wanted = asked.select("series_key", "side", "name", "at", "until", "covered", (F.col("upto") + F.col("covered").cast("int")).alias("upto"), level)
+    wanted = (wanted.withColumn("node", node).where((F.col("node") % 2 == 1) == F.col("covered"))
+              .withColumn("node", F.when(F.col("covered"), F.col("node") - 1).otherwise(F.col("node") + 1)))
+    return kept.unionByName(wanted.select(*columns, F.when(F.col("covered"), -last).otherwise(last).alias("end")), allowMissingColumns=True)
+
+
+def overlap_pairs(swept: DataFrame) -> DataFrame:
+    """For each primary a few candidates, the best by overlap among them: (name, ps, pe, cs, ce, companion).
+
+    `swept` holds candidates (side 0) and primaries (side 1) with what one sweep
+    by start tells: `upto` and `reach`, the latest end among the candidates that
+    start no later. Four kinds of candidates can be best, each an extreme that
+    a running value finds: of those that start no later and end first, the one
+    with the latest end (`reach`); of those that cover the primary, the latest
+    start; of those inside, the longest; of those that start inside and end
+    later, the earliest start. The second and third have two bounds and are
+    asked of the nodes of a tree. No file meets all files it overlaps: rows
+    grow with files times the logarithm of their number.
+    """
+    held = swept.where("side = 0 AND until > at")
+    asked = swept.where("side = 1 AND until > at").withColumn("covered", F.coalesce(F.col("reach.ce") >= F.col("until"), F.lit(False)))
+    most = held.agg(F.max("upto")).first()[0]
+    pair = lambda cs, ce, who: [F.col("name"), F.col("at").alias("ps"), F.col("until").alias("pe"), cs.alias("cs"), ce.alias("ce"), who.alias("companion")]
+    before = asked.where("reach IS NOT NULL").select(*pair(F.col("reach.cs"), F.col("reach.ce"), F.col("reach.companion")))
+    if most is None:
+        return before
+
+    ends = held.unionByName(asked, allowMissingColumns=True).withColumn("end", -F.col("until"))
+    seq = arrange(ends, by=["series_key"], order=["end", "side", "name", "at"])
+    seq = seq.accumulate(over=("max", F.when(F.col("side") == 0, F.struct((-F.col("at")).alias("x"), F.col("end").alias("y"), F.col("name").alias("z")))))
+    after = seq.rows().where("side = 1 AND over IS NOT NULL").select(*pair(-F.col("over.x"), -F.col("over.y"), F.col("over.z")))
+
+    seq = arrange(range_nodes(held, asked, (most + 1).bit_length()), by=["series_key", "level", "node"], order=["end", "side", "name", "at"])
+    seq = seq.accumulate(best=("max", F.col("value")))
+    found = seq.rows().where("side = 1 AND best IS NOT NULL")
+    # A covered primary asked even nodes.
+    x, y, covers = F.col("best.x"), F.col("best.y"), F.col("node") % 2 == 0
+    nested = found.select(*pair(F.when(covers, x).otherwise(-y), F.when(covers, -y).otherwise(x - y), F.col("best.z")))
+    return before.unionByName(after).unionByName(nested)
 
 
 def best_companions(primary: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -130,7 +163,8 @@ def best_companions(primary: DataFrame, candidates: DataFrame) -> DataFrame:
     Both frames hold `name, series_key, start_time, end_time`, one row per
     file. An exact time range wins, then the longest overlap, the smaller start
     gap, the smaller end gap and the name. Files of a series are not paired
-    with each other at large: overlaps are found through time buckets, and a file without any overlap looks only at the
+    with each other at large: sweeps along time leave a few candidates for each
+    (`overlap_pairs`), and a file without any overlap looks only at the
     candidate starts next to its own.
     """
     micros = lambda c: F.unix_micros(F.col(c))
@@ -150,18 +184,25 @@ def best_companions(primary: DataFrame, candidates: DataFrame) -> DataFrame:
         return (pairs.groupBy("name").agg(F.min(rank).alias("r"))
                 .select("name", F.col("r.companion").alias("companion"), (~F.col("r.inexact")).alias("exact"), (-F.col("r.lost") + 0.0).alias("overlap_seconds")))
 
-    found = settle(best(meetings(timed, ranged).where(exact | (overlap > 0))))
+    # One sweep by start: rank and reach for the overlaps, the starts beside a file for those without.
+    both = (ranged.select("series_key", F.lit(0).alias("side"), F.col("companion").alias("name"), F.col("cs").alias("at"), F.col("ce").alias("until"))
+            .unionByName(timed.select("series_key", F.lit(1).alias("side"), "name", F.col("ps").alias("at"), F.col("pe").alias("until"))).where("series_key IS NOT NULL"))
+    lasting = (F.col("side") == 0) & (F.col("until") > F.col("at"))
+    seq = arrange(both, by=["series_key"], order=["at", "side", "name", "until"], tallies={"lasting": lasting})
+    seq = seq.with_columns({"upto": seq.running("lasting")})
+    start = F.when(F.col("side") == 0, F.col("at"))
+    seq = seq.accumulate(reach=("max", F.when(lasting, F.struct(F.col("until").alias("ce"), F.col("at").alias("cs"), F.col("name").alias("companion")))),
+                         earlier=("last", start), later=("next", start))
+    swept = settle(seq.rows())
+    same = (timed.withColumns({"cs": F.col("ps"), "ce": F.col("pe")}).join(ranged, ["series_key", "cs", "ce"])
+            .select("name", "ps", "pe", "cs", "ce", "companion"))
+    found = settle(best(same.unionByName(overlap_pairs(swept)).where(exact | (overlap > 0))))
 
     # No overlap: all candidates of the series tie, so the nearest start decides.
-    left = timed.join(found.select("name"), "name", "left_anti")
-    starts = ranged.select("series_key", F.col("cs").alias("at"), F.lit(0).alias("side"), F.lit("").alias("name"), F.col("cs").alias("start")).distinct()
-    marked = left.select("series_key", F.col("ps").alias("at"), F.lit(1).alias("side"), "name", "pe").unionByName(starts, allowMissingColumns=True)
-    seq = arrange(marked, by=["series_key"], order=["at", "side", "name"])
-    seq = seq.accumulate(earlier=("last", F.col("start")), later=("next", F.col("start")))
     gap = lambda c: F.abs(F.col(c) - F.col("at"))
     least = F.least(gap("earlier"), gap("later"))
     nearby = F.array_compact(F.array(*[F.when(gap(c) == least, F.col(c)) for c in ("earlier", "later")]))
-    beside = (seq.rows().where("side = 1").select("name", "series_key", F.col("at").alias("ps"), "pe", F.explode(F.array_distinct(nearby)).alias("cs"))
+    beside = (swept.where("side = 1").join(found.select("name"), "name", "left_anti").select("name", "series_key", F.col("at").alias("ps"), F.col("until").alias("pe"), F.explode(F.array_distinct(nearby)).alias("cs"))
               .join(ranged, ["series_key", "cs"]))
     found = settle(found.unionByName(best(beside)))
 
