@@ -63,9 +63,9 @@ def holds(planned, counts, capacity):
     return inside == Counter({n: c for n, c in counts.items() if c})
 
 
-@pytest.mark.parametrize("rest", [0, 40_000])
-def test_plan_holds_the_counts_and_is_near_the_bound(monkeypatch, rest):
-    monkeypatch.setattr(packing, "REST", rest)
+@pytest.mark.parametrize("runs", [packing.RUNS, packing.RUNS[1:]])
+def test_plan_holds_the_counts_and_is_near_the_bound(monkeypatch, runs):
+    monkeypatch.setattr(packing, "RUNS", runs)
     rng = random.Random(3)
     counts = Counter(min(64, max(1, int(rng.gauss(20, 9)))) for _ in range(5_000)) + Counter({64: 300})
     planned = packing.plan(dict(counts), 64)
@@ -89,6 +89,31 @@ def test_plan_keeps_configurations_of_hot_lengths(n):
     assert 1980 / 2048 * n - 1 <= bound <= n + 1e-6
 
 
+@pytest.mark.parametrize("n, within", [(3_000, 0.005), (300_000, 0.002)])
+def test_program_is_solved(n, within):
+    """All lengths are covered, the value is near the bound, and rounding leaves little to best fit."""
+    rng = np.random.default_rng(4)
+    counts = dict(Counter(np.clip(rng.lognormal(5.6, 1.0, n).astype(int), 1, 2048).tolist()))
+    found, bound = packing.solve(counts, 2048)
+    held: dict = {}
+    for inside, times in found.items():
+        assert sum(length * k for length, k in inside) <= 2048
+        for length, k in inside:
+            held[length] = held.get(length, 0.0) + k * times
+    assert held == pytest.approx(counts, rel=1e-6)
+    value, used = sum(found.values()), sum(t for _, t in packing.plan(counts))
+    assert bound <= used and value <= (1 + within) * bound and used <= value + 2 + 0.001 * value
+    if n > 100_000:
+        assert sum(int(t) for t in found.values()) > 0.95 * used
+
+
+def test_best_fit_alone_is_not_enough():
+    """Three lengths that fill a sequence only one of each: best fit pairs the long ones."""
+    counts = {1000: 9_000, 600: 9_000, 380: 9_000}
+    alone = sum(packing._best_fit(dict(counts), 2048, Counter()).values())
+    assert sum(t for _, t in packing.plan(dict(counts))) <= 9_001 < 9_200 < alone
+
+
 def test_packing_all_rows(documents, nothing, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 2)
     cut = packing.cut(documents, WORD_BPE, with_ids=True).collect()

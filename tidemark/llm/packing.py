@@ -5,12 +5,11 @@ many pieces there are of each length is all that the packing problem needs: at
 most one count per length. A configuration is a multiset of lengths that fits one
 sequence; the linear program asks for the fewest sequences whose configurations
 cover the counts. Multiplicative weights solve it: each length's price falls as
-it is covered, a knapsack dynamic program prices configurations, and the best one
-around each length gets a small share of the sequences. Whole numbers of each
-configuration are kept, what is left goes through the same again while it is
-large, and the bounded rest by best fit, largest first. The prices also give a
-bound that no packing is below: first well-filled configurations alone are kept,
-and if that plan is not near the bound, all of them, with faster prices.
+it is covered, a knapsack dynamic program prices configurations, and those around
+each length get a small share of the sequences, until all lengths are covered.
+The prices also give a bound that no packing is below: if the program's value is
+not near it, it runs again with faster prices. The numbers are then rounded; only
+what rounding leaves over, under one sequence a configuration, meets best fit.
 
 Each piece then takes a place by its rank among the pieces of its length. Ranks
 come from counts per (length, bucket) and positions inside a bucket, so that a
@@ -41,8 +40,8 @@ CAPACITY, END_ID = 2048, 0
 MARK = "<|endoftext|>"
 #: Words tokenised at once and kept in a worker's memo.
 AT_ONCE, MEMO, PORTION = 1_024, 350_000, 2_000_000
-#: Pieces left to best fit, and pieces of one bucket.
-REST, BUCKET_ROWS = 100_000, 2_000
+#: Pieces of one bucket.
+BUCKET_ROWS = 2_000
 
 
 class Tokenizer:
@@ -175,94 +174,117 @@ def _fill(taken: np.ndarray, room: int) -> list[int]:
     return inside
 
 
-def configurations(counts: dict[int, int], capacity: int, *, share: float = 0.2, phases: int = 30, slack: float = 0.02, rate: float = 0.1) -> tuple[Counter, float]:
-    """Fractional numbers of sequences per configuration, and a number of sequences that no packing is below.
+def configurations(counts: dict[int, int], capacity: int, *, share: float = 0.34, rate: float = 0.01, slack: float = 0.002, close: float = 0.001) -> tuple[dict, float]:
+    """The linear program: fractional numbers of sequences per configuration that hold all counts exactly, and a bound that no packing is below.
 
     Any prices give such a bound: what all pieces cost over the dearest sequence.
+    In a phase no length is covered by more than `share` of its count, so prices
+    follow what has been covered. A configuration must come within `slack` of
+    the dearest one; where a phase brings little, twice as far, so that in the
+    end every length is covered. Among ways within `close` of each other the
+    longest length is taken: short ones fill gaps later.
     """
     lengths = np.array(sorted(counts), np.int64)
     need = np.array([counts[int(n)] for n in lengths], float)
-    place = {int(n): i for i, n in enumerate(lengths)}
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     covered = np.zeros(len(lengths))
-    found: Counter = Counter()
+    found: dict = {}
     bound = 0.0
-    for _ in range(phases):
-        if covered.min() >= 1.0:
-            break
+    while len(open_ := np.flatnonzero(covered < 1 - 1e-9)):
         # Prices: the length itself, scaled down as its count is covered.
-        lag = covered - covered.min()
-        prices = lengths / capacity * np.exp(-rate * lag)
-        prices[covered >= 1.0] *= 0.5
+        prices = lengths / capacity * np.exp(-rate * (covered - covered[open_].min()))
         value, taken = knapsack(lengths, prices, capacity)
         bound = max(bound, float(prices @ need) / value[capacity])
-        room = need * share
-        around = prices + value[capacity - lengths]
-        order = np.lexsort((-lengths, covered.round(6)))
-        for i in order[around[order] >= (1 - slack) * value[capacity]]:
-            if room[i] <= 1e-9 or covered[i] >= 1.0:
-                continue
-            inside = Counter([int(lengths[i]), *_fill(taken, capacity - int(lengths[i]))])
-            step = min(room[place[n]] / k for n, k in inside.items())
-            if step <= 1e-9 * need[i]:
-                continue
-            found[tuple(sorted(inside.items()))] += step
-            for n, k in inside.items():
-                room[place[n]] -= step * k
-                covered[place[n]] += step * k / need[place[n]]
-    return found, bound
-
-
-#: Distance to the bound at which no further plan is tried, and the plans in order: least fill of a configuration, and how the program runs.
-GAP = 0.005
-TRIES = ((0.97, {}), (0.0, {}), (0.0, {"share": 0.1, "phases": 60, "rate": 1.0}), (0.0, {"share": 0.1, "phases": 60, "rate": 4.0}))
+        room = need * np.minimum(share, 1 - covered)
+        room[covered >= 1 - 1e-9] = 0
+        least = room * 0.01
+        before, dearest = covered.sum(), (1 - slack) * value[capacity]
+        for i in open_[np.lexsort((-lengths[open_], covered[open_].round(6)))]:
+            while room[i] > least[i]:
+                inside, worth, left = Counter([int(i)]), prices[i], capacity - int(lengths[i])
+                # What the dynamic program would take next, among lengths with room.
+                while k := fits[left]:
+                    ways = np.where(room[:k] > least[:k], value[left - lengths[:k]] + prices[:k], -1.0)
+                    top = ways.max()
+                    if top < 0:
+                        break
+                    j = int(np.flatnonzero(ways >= top * (1 - close))[-1])
+                    inside[j] += 1
+                    worth += prices[j]
+                    left -= int(lengths[j])
+                if worth < dearest:
+                    break
+                step = min(room[j] / k for j, k in inside.items())
+                key = tuple(sorted(inside.items()))
+                found[key] = found.get(key, 0.0) + step
+                for j, k in inside.items():
+                    room[j] -= step * k
+                    covered[j] += step * k / need[j]
+        covered[covered > 1 - 1e-9] = 1.0
+        if covered.sum() - before < 0.02 * share * len(open_):
+            slack = min(2 * slack, 1.0)
+    return {tuple((int(lengths[j]), k) for j, k in key): times for key, times in found.items()}, bound
+
+
+#: Distance to the bound at which the program isn't run again, and how it runs, in order.
+GAP = 0.002
+RUNS = ({}, {"rate": 0.1, "close": 0.01}, {"share": 0.1, "rate": 1.0, "close": 0.01})
+
+
+def solve(counts: dict[int, int], capacity: int) -> tuple[dict, float]:
+    """The program's best solution and the bound: the first run within `GAP` of the bound, else the one with the fewest sequences."""
+    best, bound = None, sum(n * c for n, c in counts.items()) / capacity
+    for how in RUNS:
+        found, now = configurations(counts, capacity, **how)
+        bound = max(bound, now)
+        if best is None or sum(found.values()) < sum(best.values()):
+            best = found
+        if sum(best.values()) <= (1 + GAP) * bound:
+            break
+    return best, bound
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Configurations and how many sequences have each; together they hold exactly the counts.
 
-    The first plan within `GAP` of the bound is taken, else the one with the fewest sequences.
+    Whole parts of the program's numbers stand. The fractions are rounded up or
+    down along the order of the configurations, so that their sum is kept; pieces
+    that are then there too often leave their sequence, and those that are
+    missing go into the rooms left by best fit.
     """
     need = {n: c for n, c in counts.items() if c}
     if not need:
         return []
-    bound = sum(n * c for n, c in need.items()) / capacity
-    best = None
-    for least, how in TRIES:
-        made, found = _one_plan(need, capacity, least, how)
-        bound = max(bound, found)
-        if best is None or made.total() < best.total():
-            best = made
-        if best.total() <= (1 + GAP) * bound + 1:
-            break
-    return sorted(best.items())
-
-
-def _one_plan(need: dict[int, int], capacity: int, least: float, how: dict) -> tuple[Counter, float]:
-    """Whole parts of the configurations filled to `least`, rest again, then best fit; and the bound of all pieces."""
-    left, bound = dict(need), None
-    made: Counter = Counter()
-    while left:
-        before = sum(left.values())
-        found, now = configurations(left, capacity, **how)
-        bound = now if bound is None else bound
-        for inside, times in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-            fill = sum(n * k for n, k in inside)
-            whole = min(int(times + 1e-6), *(left[n] // k for n, k in inside))
-            if whole and fill >= least * capacity:
-                made[inside] += whole
-                for n, k in inside:
-                    left[n] -= whole * k
-        left = {n: c for n, c in left.items() if c}
-        if sum(left.values()) <= REST or sum(left.values()) > 0.9 * before:
-            break
-    made.update(_best_fit(left, capacity))
-    return made, bound or 0.0
-
-
-def _best_fit(left: dict[int, int], capacity: int) -> Counter:
-    """Best fit, largest first. Equal sequences are handled together, so the work follows lengths, not pieces."""
+    found, _ = solve(need, capacity)
+    left, made, upto = dict(need), Counter(), 0.5
+    order = sorted(found.items(), key=lambda x: (-sum(n * k for n, k in x[0]), x[0]))
+    rounded = []
+    for inside, times in order:
+        whole = min(int(times + 1e-6), *(left[n] // k for n, k in inside))
+        made[inside] += whole
+        for n, k in inside:
+            left[n] -= whole * k
+        upto += max(0.0, times - whole)
+        rounded.append((inside, int(upto)))
+        upto -= int(upto)
+    for inside, times in rounded:
+        for _ in range(times):  # under one for each configuration, whatever the counts
+            kept = tuple((n, min(k, left[n])) for n, k in inside if left[n])
+            if kept:
+                made[kept] += 1
+                for n, k in kept:
+                    left[n] -= k
+    return sorted(_best_fit({n: c for n, c in left.items() if c}, capacity, +made).items())
+
+
+def _best_fit(left: dict[int, int], capacity: int, begun: Counter) -> Counter:
+    """Best fit, largest first, into the sequences begun and new ones. Equal sequences are handled together, so the work follows lengths, not pieces."""
     open_at: dict[int, Counter] = {}
     rooms = 0  # bit r: some open sequence has room r
+    for inside, times in begun.items():
+        room = capacity - sum(n * k for n, k in inside)
+        open_at.setdefault(room, Counter())[tuple(n for n, k in inside for _ in range(k))] += times
+        rooms |= 1 << room
     for length in sorted(left, reverse=True):
         todo = left[length]
         while todo:
