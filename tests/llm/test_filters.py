@@ -77,16 +77,45 @@ def test_estimate_matches_numpy(spark):
     np.testing.assert_allclose(np.array(got.precision).reshape(precision.shape), precision, rtol=0.05, atol=2.0)
 
 
-def test_groups_on_both_sides_of_the_bound(spark):
+def test_groups_are_drawn_toward_their_language(spark):
+    """Any two sizes differ by weight alone, next to the former bound of 70 texts as anywhere."""
     ready(spark)
     rng = random.Random(8)
-    sizes = {"at": 70, "under": 69, "large": 300}
+    sizes = {"one": 1, "few": 69, "more": 70, "large": 300}
     rows = [(k, prose(rng, rng.randint(60, 120)), "en", source) for k, source in enumerate(s for s, n in sizes.items() for _ in range(n))]
     measured = written(quality.counts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")), "t")
     estimates = written(quality.fit(measured), "t")
-    of_group = {r.group: list(r.center) for r in estimates.collect()}
-    of_pair = {r.source: list(r.center) for r in quality.resolve(estimates, measured).collect()}
-    assert of_pair == {s: of_group["1\x1f=en" if s == "under" else f"2\x1f=en\x1f={s}"] for s in sizes}
+    d = len(quality.FEATURES)
+    of_group = {r.group: (r.n, np.array(r.center), np.linalg.inv(np.array(r.precision).reshape(d, d))) for r in estimates.collect()}
+    of_pair = {r.source: r for r in quality.resolve(estimates, measured).collect()}
+    assert set(of_pair) == set(sizes)
+    _, c0, v0 = of_group["0"]
+    n1, c1, v1 = of_group["1\x1f=en"]
+    w1 = n1 ** 2 / (n1 ** 2 + quality.PRIOR ** 2)
+    c, v = c0 + w1 * (c1 - c0), w1 * v1 + (1 - w1) * v0
+    for source, n in sizes.items():
+        _, own, spread = of_group[f"2\x1f=en\x1f={source}"]
+        w = n ** 2 / (n ** 2 + quality.PRIOR ** 2)
+        np.testing.assert_allclose(of_pair[source].center, c + w * (own - c), rtol=1e-9)
+        want = w * spread + (1 - w) * v
+        np.testing.assert_allclose(np.linalg.inv(np.array(of_pair[source].precision).reshape(d, d)), want, rtol=1e-6, atol=1e-9)
+
+
+def test_outliers_of_small_groups_do_not_excuse_themselves():
+    """One far text in groups too small for a half stays far, even where it is part of the estimate."""
+    rng, d = np.random.default_rng(2), 3
+    for n in range(1, d + 8):
+        x = rng.normal(size=(n, d))
+        x[0] = 15.0
+        center, cov = quality.blend((n, x.mean(0), np.cov(x.T, bias=True) + np.eye(d) if n > 1 else np.eye(d)), (np.zeros(d), np.eye(d)), quality.PRIOR)
+        off = x[0] - center
+        assert off @ np.linalg.inv(cov) @ off > quality.LIMIT
+
+
+def test_blend_without_one_side():
+    center, cov = np.zeros(2), np.eye(2)
+    assert quality.blend(None, None, 70) is None
+    assert quality.blend(None, (center, cov), 70)[1] is cov and quality.blend((5, center, cov), None, 70)[1] is cov
 
 
 def test_chi_squared():

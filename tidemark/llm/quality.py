@@ -9,8 +9,9 @@ half settles. Texts far away by Mahalanobis distance are rejected.
 The steps are Spark aggregates over the small table of vectors, summed per group
 before they move, so a source with a third of all rows is no single task; the
 half's border comes from a histogram of distances with bins of one per cent.
-Groups with fewer texts than ten times the statistics take the estimate of their
-language, such languages that of all texts.
+A group's estimate is drawn toward that of its language, a language's toward that
+of all texts, the more so the fewer texts it has: n texts weigh n^2 / (n^2 + k^2), k
+ten times the statistics. There is no size at which verdicts jump.
 
 Null texts have no words. A null language or source is a group of its own.
 Texts that fail the base rules take no part in the estimate and are never kept.
@@ -34,8 +35,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ("word_length", "symbols", "repeated_lines", "repeated_words", "upper", "digits", "marks")
 #: Spread below which a statistic's own scatter is not believed: many are zero in nearly all good texts.
 FLOORS = np.array([0.05, 0.06, 0.12, 0.10, 0.04, 0.05, 0.08])
-#: Steps, share of the half, smallest group with an estimate of its own, and the squared distance beyond which a text goes.
-STEPS, HALF, SMALL = 4, 0.5, 10 * len(FEATURES)
+#: Steps, share of the half, texts at which a group's own estimate weighs as much as its language's, and the squared distance beyond which a text goes.
+STEPS, HALF, PRIOR = 4, 0.5, 10 * len(FEATURES)
 LIMIT = 90.0
 _NOT_UPPER = re.compile(r"[^A-ZÀ-ÖØ-ÞΑ-ΡΣ-ΫА-Я]+")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -221,16 +222,40 @@ def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "group")
 
 
-def resolve(estimates: DataFrame, groups: DataFrame, *, small: int = SMALL) -> DataFrame:
-    """(lang, source, center, precision) for each pair of `groups`: its own estimate, or its language's, or that of all."""
+def blend(own: tuple[float, np.ndarray, np.ndarray] | None, wider: tuple[np.ndarray, np.ndarray] | None, prior: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """(center, covariance) of a group of n texts, drawn toward a wider group's.
+
+    The weight grows with the square of n: in a handful of texts, of which half
+    can't be left out, one outlier moves the estimate and would excuse itself.
+    """
+    if own is None or wider is None:
+        return own[1:] if own else wider
+    n, center, cov = own
+    weight = n * n / (n * n + prior * prior)
+    return wider[0] + weight * (center - wider[0]), weight * cov + (1 - weight) * wider[1]
+
+
+def resolve(estimates: DataFrame, groups: DataFrame, *, prior: float = PRIOR) -> DataFrame:
+    """(lang, source, center, precision) for each pair of `groups`: its own estimate drawn toward its language's, that one toward that of all."""
     named = groups.select("lang", "source").distinct()
     for k, keys in enumerate(LEVELS):
         # The empty string of the first part keeps the key of all texts a column: a constant would make the join a nested loop.
         key = F.concat_ws("\x1f", F.concat(F.lit(str(len(keys))), F.coalesce(F.left("lang", F.lit(0)), F.lit(""))), *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~")) for c in keys])
-        found = estimates if not keys else estimates.filter(F.col("n") >= small)
-        named = named.withColumn("group", key).join(found.select("group", F.struct("center", "precision").alias(f"of{k}")), "group", "left").drop("group")
-    best = F.coalesce(*(f"of{k}" for k in range(len(LEVELS))))
-    return named.select("lang", "source", best["center"].alias("center"), best["precision"].alias("precision"))
+        named = named.withColumn("group", key).join(estimates.select("group", F.struct("n", "center", "precision").alias(f"of{k}")), "group", "left").drop("group")
+
+    def run(columns):
+        d = len(FEATURES)
+        out = {"lang": columns["lang"], "source": columns["source"], "center": [], "precision": []}
+        for levels in zip(*(columns[f"of{k}"] for k in range(len(LEVELS)))):
+            found = None
+            for own in reversed(levels):
+                at = (own["n"], np.array(own["center"]), np.linalg.inv(np.array(own["precision"]).reshape(d, d))) if own else None
+                found = blend(at, found, prior)
+            out["center"].append(found[0].tolist() if found else None)
+            out["precision"].append(np.linalg.inv(found[1]).ravel().tolist() if found else None)
+        return out
+
+    return row_map(named, run, "lang string, source string, center array<double>, precision array<double>")
 
 
 def verdict(measured: DataFrame, resolved: DataFrame, *, of: Callable[[str], Column] = F.col, limit: float = LIMIT) -> DataFrame:
