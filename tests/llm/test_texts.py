@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -199,6 +200,43 @@ def test_every_word_has_a_probability_of_its_own(spark, monkeypatch, known):
         assert sum(np.exp(score[w]) for w, i in zip(found, ids) if i == c) == pytest.approx(classes[c], rel=1e-5)
 
 
+class OneTask:
+    """A frame of classes whose Arrow map runs here, as one task, so that a test sees the steps it takes."""
+
+    def __init__(self, ids):
+        self.batch, self.made = pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"]), None
+
+    def mapInArrow(self, run, schema):
+        self.made = list(run(iter([self.batch])))
+        return self
+
+    def collect(self):
+        return []
+
+    def select(self, *_):
+        return self
+
+    groupBy = agg = select
+
+
+@pytest.mark.parametrize("stride", [1, 3, 8])
+def test_every_window_is_trained_on_once_a_pass(spark, monkeypatch, stride):
+    sizes = [0, 1, 2, 7, 8, 9, 40, lm.BATCH + 5, 3 * lm.BATCH]
+    texts = [np.random.default_rng(n).integers(0, lm.EDGE, n) for n in sizes]
+    want = Counter(tuple(row) for ids in texts for row in np.column_stack([ids, lm.contexts_of(ids)]).tolist())
+    seen = Counter()
+
+    def noted(self, tokens, contexts, squares, rate):
+        assert len(tokens) <= lm.BATCH
+        seen.update(map(tuple, np.column_stack([tokens, contexts]).tolist()))
+
+    monkeypatch.setattr(lm.Network, "step", noted)
+    classes = OneTask([ids.astype(np.uint8).tobytes() for ids in texts] + [None])
+    lm.train(None, [], passes=((stride, 0.01),), classes=classes)
+    assert seen == want
+    assert classes.made[0].column(2)[0].as_py() == sum(sizes)
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(0)
     net = lm.Network.first()

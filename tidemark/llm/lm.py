@@ -12,8 +12,8 @@ of the `KNOWN` most frequent words are sent to the tasks, the others are joined
 words that the corpus does not have count together as one more token of each class.
 
 Words are counted over all documents. Training passes go over all documents, too:
-every task starts from the same weights, takes a step per batch of windows (every
-`stride`-th token of each text, with a phase by the text's place), and the tasks'
+every task starts from the same weights, takes a step per batch of windows (those of
+all tokens of each text, `stride` apart, one phase after the other), and the tasks'
 weights are averaged, weighted by their windows, in a Spark aggregate. Both what
 is counted and what is trained on grow with the corpus; the network does not.
 
@@ -50,7 +50,7 @@ SCORED_TOKENS = 16_384
 #: Words besides the classes of their own whose shares every task holds.
 KNOWN = 50_000
 _ENDS = string.punctuation + "…“”„«»¿¡’‘–—"
-#: (stride, rate) of each pass over the corpus.
+#: (stride, rate) of each pass over the corpus; the stride orders a text's windows, all are taken.
 PASSES = ((8, 0.03), (3, 0.015))
 
 
@@ -174,11 +174,13 @@ class Reader:
         classes = np.where(place < self.own, place, WORDS + endings(words)).astype(np.uint8)[word_of]
         left = np.flatnonzero(np.isnan(share))
         share[left] = 0.0
-        summed = np.concatenate([[0.0], np.cumsum(share)])
+        full, sums = np.flatnonzero(np.diff(offsets)), np.zeros(len(offsets) - 1)
+        if len(full):  # row by row, so that a row's sum does not depend on its batch
+            sums[full] = np.add.reduceat(share, offsets[full])
         rows = np.searchsorted(offsets, left, side="right") - 1
         pairs, times = np.unique(rows * max(1, len(words)) + word_of[left], return_counts=True)
         rows, left_words = np.divmod(pairs, max(1, len(words)))
-        return offsets, classes, summed[offsets[1:]] - summed[offsets[:-1]], rows, words.take(pa.array(left_words)), times
+        return offsets, classes, sums, rows, words.take(pa.array(left_words)), times
 
 
 def _bytes_of(offsets: np.ndarray, classes: np.ndarray) -> pa.Array:
@@ -230,13 +232,13 @@ class Network:
 
     def tables(self) -> np.ndarray:
         """What each token adds to the hidden layer at each position."""
-        return np.einsum("vd,pdh->pvh", self.embed, self.mix).astype(np.float32)
+        return np.matmul(self.embed, self.mix)
 
     def hidden(self, contexts: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Hidden layer, one column a token: sums over the few rows then run along the tokens."""
-        total = tables[0][contexts[:, 0]]
+        total = tables[0].take(contexts[:, 0], 0)
         for p in range(1, len(OFFSETS)):
-            total += tables[p][contexts[:, p]]
+            total += tables[p].take(contexts[:, p], 0)
         total += self.mix_bias
         total = np.ascontiguousarray(total.T)
         return np.tanh(total, out=total)
@@ -248,19 +250,23 @@ class Network:
         return order, [(g, slice(a, b)) for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends)) if b > a]
 
     def _member_scores(self, hidden: np.ndarray, spans: list[tuple[int, slice]]) -> np.ndarray:
-        scores = np.empty((MEMBERS, hidden.shape[1]), np.float32)
+        scores = np.empty((MEMBERS, hidden.shape[1]), hidden.dtype)
         for g, at in spans:
             np.matmul(self.member[g].T, hidden[:, at], out=scores[:, at])
             scores[:, at] += self.member_bias[g][:, None]
         return scores
 
     def log_probabilities(self, tokens: np.ndarray, contexts: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Of each token's class: log P(group) + log P(class of the group)."""
-        hidden = self.hidden(contexts, tables)
+        """Of each token's class: log P(group) + log P(class of the group).
+
+        Products are taken in double precision, whose last digits alone depend on
+        the tokens beside a token, and rounded: a token's value is its own.
+        """
+        hidden = self.hidden(contexts, tables).astype(np.float64)
         group, place = np.divmod(tokens, MEMBERS)
-        found = _log_softmax_at(self.group.T @ hidden + self.group_bias[:, None], group)
+        found = _log_softmax_at((self.group.T @ hidden + self.group_bias[:, None]).astype(np.float32), group)
         order, spans = self._by_group(group)  # tokens of one group share one product
-        found[order] += _log_softmax_at(self._member_scores(hidden[:, order], spans), place[order])
+        found[order] += _log_softmax_at(self._member_scores(hidden[:, order], spans).astype(np.float32), place[order])
         return found
 
     def step(self, tokens: np.ndarray, contexts: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
@@ -279,13 +285,12 @@ class Network:
             toward[:, at] += self.member[g] @ inner[:, at]
         back = toward * (1 - hidden * hidden)
         embed, mix = np.zeros_like(self.embed), np.zeros_like(self.mix)
-        weights = np.ascontiguousarray(back.T).ravel().astype(np.float64)
-        for p in range(len(OFFSETS)):
-            # What reaches the hidden layer from each token at this position, summed by token.
-            key = (contexts[:, p, None] * HIDDEN + np.arange(HIDDEN)).ravel()
-            by_token = np.bincount(key, weights, minlength=VOCABULARY * HIDDEN).reshape(VOCABULARY, HIDDEN).astype(f)
-            embed += by_token @ self.mix[p].T
-            mix[p] = self.embed.T @ by_token
+        # What reaches the hidden layer from each token at each position, summed by token.
+        key = (contexts + np.arange(len(OFFSETS)) * VOCABULARY).T.ravel()
+        by_token = np.stack([np.bincount(key, np.tile(unit, len(OFFSETS)), minlength=len(OFFSETS) * VOCABULARY) for unit in back.astype(np.float64)], 1).astype(f)
+        for p, reached in enumerate(by_token.reshape(len(OFFSETS), VOCABULARY, HIDDEN)):
+            embed += reached @ self.mix[p].T
+            mix[p] = self.embed.T @ reached
         gradients = [embed, mix, back.sum(1), hidden @ slope.T, slope.sum(1), member, member_bias]
         for weight, gradient, square in zip(self.parts(), gradients, squares):
             square *= f(0.98)
@@ -298,7 +303,10 @@ def _log_softmax_at(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     scores -= scores.max(0)
     own = scores[chosen, np.arange(len(chosen))].astype(np.float64)
     np.exp(scores, out=scores)
-    return own - np.log(scores.sum(0, dtype=np.float64))
+    total = scores[0].astype(np.float64)
+    for row in scores[1:]:  # in one order, however many columns there are
+        total += row
+    return own - np.log(total)
 
 
 def _softmax_slope(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -316,36 +324,39 @@ def contexts_of(ids: np.ndarray) -> np.ndarray:
     return np.stack([framed[SIDE + o:SIDE + o + len(ids)] for o in OFFSETS], 1)
 
 
+def window_order(size: int, stride: int) -> np.ndarray:
+    """All positions of a text, `stride` apart, one phase after the other: a batch of a long text is not of one passage."""
+    return np.concatenate([np.arange(phase, size, stride) for phase in range(min(size, stride))]) if stride > 1 and size else np.arange(size)
+
+
 def train(documents: DataFrame, words: list[str], *, passes: tuple[tuple[int, float], ...] = PASSES, classes: DataFrame | None = None) -> Network:
-    """Train on all documents: local steps in the tasks, weights averaged after each pass.
+    """Train on all windows of all documents in every pass: local steps in the tasks, weights averaged after each pass.
 
     `classes` has the texts' classes if they are written already (`ids`).
     """
     classes, network = classes_of(documents, words) if classes is None else classes, Network.first()
-    for number, (stride, rate) in enumerate(passes):
+    for stride, rate in passes:
         start = network.flat()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, windows, place = Network.from_flat(start), 0, number
+            own, windows = Network.from_flat(start), 0
             squares = [np.full_like(p, 1e-4) for p in own.parts()]
             tokens, contexts, waiting = [], [], 0
             edges, near = np.full(SIDE, EDGE), SIDE + np.array((0, *OFFSETS))
             for batch in batches:
                 for said in batch.column(0).to_pylist():
-                    place += 1
-                    if not said:
-                        continue
-                    first = place * 7 % stride if len(said) > stride else place % len(said)
-                    framed = np.concatenate([edges, np.frombuffer(said, np.uint8), edges]).astype(np.int64)
-                    ids = framed[np.arange(first, len(said), stride)[:, None] + near]
-                    tokens.append(ids[:, 0])
-                    contexts.append(ids[:, 1:])
-                    waiting += len(ids)
-                    while waiting >= BATCH:
-                        all_tokens, all_contexts = np.concatenate(tokens), np.concatenate(contexts)
-                        own.step(all_tokens[:BATCH], all_contexts[:BATCH], squares, rate)
-                        tokens, contexts, waiting = [all_tokens[BATCH:]], [all_contexts[BATCH:]], waiting - BATCH
-                        windows += BATCH
+                    framed = np.concatenate([edges, np.frombuffer(said or b"", np.uint8), edges]).astype(np.int64)
+                    order = window_order(len(framed) - 2 * SIDE, stride)
+                    for first in range(0, len(order), BATCH):  # a long text's windows are not held at once
+                        ids = framed[order[first:first + BATCH, None] + near]
+                        tokens.append(ids[:, 0])
+                        contexts.append(ids[:, 1:])
+                        waiting += len(ids)
+                        if waiting >= BATCH:  # under two batches
+                            all_tokens, all_contexts = np.concatenate(tokens), np.concatenate(contexts)
+                            own.step(all_tokens[:BATCH], all_contexts[:BATCH], squares, rate)
+                            tokens, contexts, waiting = [all_tokens[BATCH:]], [all_contexts[BATCH:]], waiting - BATCH
+                            windows += BATCH
             if waiting:
                 own.step(np.concatenate(tokens), np.concatenate(contexts), squares, rate * waiting / BATCH)
                 windows += waiting
