@@ -131,3 +131,18 @@ def test_packing_all_rows(documents, nothing, monkeypatch):
             at += length
         assert at <= 2048
     assert packing.pack_documents(nothing, WORD_BPE).count() == 0
+
+
+def test_words_that_skip_the_normalizer_have_its_ids(monkeypatch):
+    rng = random.Random(5)
+    signs = "aB1'.,-_<|>!\"É\u0301ßΣ\t\x00\x1c\u00a0😀İ\u212a"
+    words = {"".join(rng.choice(signs) for _ in range(rng.randint(0, 9))) for _ in range(4_000)} | {"Don't", "DON'T.", "'S", "<|ENDOFTEXT|>", "<|endoftext|>", ""}
+    codec = packing.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    seen, joined = [], codec._joined
+    monkeypatch.setattr(codec, "_joined", lambda plain: (seen.append((codec.codec.normalizer is None or "Lowercase" not in str(codec.codec.normalizer), plain)), joined(plain))[1])
+    made = codec._new(set(words))
+    assert made == {w: np.array(codec.ids_of(w), "<u4").tobytes() for w in words}
+    # Printable ASCII is lowered once for all its cases, and goes past the normalizer; nothing else does.
+    (skips, rest), (alone, lowered) = seen
+    assert not skips and alone and sorted(lowered) == sorted({w.lower() for w in words if w.isascii() and w.isprintable() and "<|" not in w})
+    assert all(not (w.isascii() and w.isprintable()) for w in rest)

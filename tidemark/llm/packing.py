@@ -21,6 +21,7 @@ rows are pieces of their own. No rows give no sequences.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
@@ -54,6 +55,7 @@ class Tokenizer:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Loaded
+        from tokenizers import normalizers
 
         self.codec = Loaded.from_file(path)
         self.codec.no_truncation()
@@ -61,6 +63,11 @@ class Tokenizer:
         self.mark = MARK if self.codec.token_to_id(MARK) is not None else ""
         self.mark_id = self.codec.token_to_id(MARK)
         self.memo: dict[str, bytes] = {}
+        # What the vocabulary does to a text first; to printable ASCII without blanks, only the last of these does anything.
+        with open(path, encoding="utf-8") as file:
+            steps = (json.load(file).get("normalizer") or {}).get("normalizers") or []
+        self.lowers = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"}
+        self.normalizer, self.nothing = self.codec.normalizer, normalizers.Sequence([])
 
     def ids_of(self, text: str) -> list[int]:
         """Ids from the tokenizer itself; strings of special tokens are ordinary text."""
@@ -96,7 +103,18 @@ class Tokenizer:
         """Ids of each word. Many words go as one string with a special token between them, which no word holds."""
         odd = [w for w in words if not self.mark or "<|" in w]
         made = {w: np.array(self.ids_of(w), "<u4").tobytes() for w in odd}
-        plain = list(words.difference(odd)) if odd else list(words)
+        plain = words.difference(odd) if odd else words
+        lowered = {w: w.lower() for w in plain if w.isascii() and w.isprintable()} if self.lowers else {}
+        made.update(self._joined([w for w in plain if w not in lowered]))
+        self.codec.normalizer = self.nothing
+        of_lower = self._joined(list(set(lowered.values())))
+        self.codec.normalizer = self.normalizer
+        made.update((w, of_lower[low]) for w, low in lowered.items())
+        return made
+
+    def _joined(self, plain: list[str]) -> dict[str, bytes]:
+        """Ids of each of words without parts of special tokens, by the codec as it is."""
+        made: dict[str, bytes] = {}
         self.codec.encode_special_tokens = False
         for first in range(0, len(plain), AT_ONCE):
             part = plain[first:first + AT_ONCE]
