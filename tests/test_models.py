@@ -36,6 +36,17 @@ def test_forest_beats_majority_and_repeats(tabular):
     assert sorted(curve) == [4, 8] and curve[8] == pytest.approx(f1)
 
 
+def test_search_prepares_rows_once_for_all_trials(tabular, monkeypatch):
+    rows, names = tabular
+    train, valid = rows.where("split = 'train'"), rows.where("split = 'validation'")
+    asked, assemble = [], forest.imputing_assembler
+    monkeypatch.setattr(forest, "imputing_assembler", lambda *a, **k: (asked.append(1), assemble(*a, **k))[1])
+    trials, _ = forest.search(train, valid, names, {"numTrees": [2], "maxDepth": [2, 3]})
+    assert len(asked) == 1 and len(trials) == 2
+    alone = {d: forest.evaluate(forest.fit_forest(train, names, config={"numTrees": 2, "maxDepth": d}), valid) for d in (2, 3)}
+    assert {t["maxDepth"]: t["validation_f1"] for t in trials} == pytest.approx(alone)
+
+
 def test_inertia_does_not_rise_with_k(spark):
     windows = features.window_features(readings(spark, SF), PROFILE, 64)
     names = clusters.window_feature_names(windows)
