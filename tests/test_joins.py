@@ -116,3 +116,17 @@ def test_best_companions_equal_brute_force(small_chunks, seed, reach):
     for i, (a, b) in enumerate(ps):
         rank = min(((c, d) != (a, b), -max(0, min(b, d) - max(a, c)), abs(c - a), abs(d - b), f"c{j:05d}") for j, (c, d) in enumerate(cs))
         assert got[f"p{i:05d}"] == (rank[4], not rank[0], float(-rank[1]))
+
+
+def test_files_with_an_exact_companion_ask_no_nodes(spark, monkeypatch):
+    """Only the last primary has no candidate of its own range: the tree holds one that asks, and no node beyond its series."""
+    spans = [(100 * i, 100 * i + 90) for i in range(40)]
+    lone, many = files(spark, [(0, 90), (30, 95)], "s"), files(spark, spans, "c")
+    primary = files(spark, [*spans, (50, 1_000)], "p").unionByName(lone.withColumn("series_key", F.lit("other")))
+    candidates = many.unionByName(files(spark, [(5, 50)], "o").withColumn("series_key", F.lit("other")))
+    rows, made = [], asof.range_nodes
+    monkeypatch.setattr(asof, "range_nodes", lambda *args: rows.append(made(*args)) or rows[0])
+    best = {r["name"]: (r["companion"], r["exact"]) for r in asof.best_companions(primary, candidates).collect()}
+    assert best == {**{f"p{i:05d}": (f"c{i:05d}", True) for i in range(40)}, "p00040": ("c00001", False), "s00000": ("o00000", False), "s00001": ("o00000", False)}
+    assert rows[0].where("side = 1").select("name").distinct().count() <= 3
+    assert rows[0].where("side = 0 AND name LIKE 'o%'").count() == 2  # one candidate needs two levels, not those of the longest series

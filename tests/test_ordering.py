@@ -1,9 +1,11 @@
+import bisect
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import arrange, evenly_spaced_take, spread_keep, with_position
+from tidemark.operators.ordering import arrange, evenly_spaced_take, spread_keep, with_bin, with_position
 
 
 def skewed(spark, rows=3000):
@@ -72,3 +74,12 @@ def test_null_groups_and_times(small_chunks):
     got = with_position(df, by=["source"], order=["t", "row_id"])
     plain = df.withColumn("row_index", (F.row_number().over(Window.partitionBy("source").orderBy("t", "row_id")) - 1).cast("bigint"))
     assert got.exceptAll(plain.select(*got.columns)).isEmpty() and got.count() == 400
+
+
+@pytest.mark.parametrize("count", [0, 1, 7, 8, 9, 63, 64, 65, 600])
+def test_bins_equal_bisection(spark, count):
+    bounds = [{"k0": i // 3, "k1": f"n{i % 3}"} for i in range(count)]
+    rows = spark.range(700).select(F.floor(F.col("id") / 3).alias("a"), F.concat(F.lit("n"), (F.col("id") % 3).cast("string")).alias("b"), "id")
+    found = with_bin(rows, "bin", bounds, "struct<k0:bigint,k1:string>", F.struct(F.col("a").alias("k0"), F.col("b").alias("k1")))
+    assert found.columns == ["a", "b", "id", "bin"]
+    assert {r["id"]: r["bin"] for r in found.collect()} == {i: bisect.bisect_right(range(count), i) for i in range(700)}

@@ -95,7 +95,7 @@ def join_companions(primary: DataFrame, companions: Sequence[tuple[str, DataFram
     return nearest_joins(primary, sides, time=time, by=by, left_tie=tie, tolerance_seconds=tolerance_seconds)
 
 
-def range_nodes(held: DataFrame, asked: DataFrame, levels: int) -> DataFrame:
+def range_nodes(held: DataFrame, asked: DataFrame) -> DataFrame:
     """Files laid into the nodes of a binary tree over the candidates' order of starts.
 
     `held` are candidates with their rank from 1 (`upto`), `asked` are primaries
@@ -104,10 +104,12 @@ def range_nodes(held: DataFrame, asked: DataFrame, levels: int) -> DataFrame:
     a candidate lies in one node a level. Ranks up to a number are the even
     nodes at its set bits, ranks beyond it the odd nodes at its unset bits: a
     covered primary asks the first, any other the second, at most one a level.
+    The number of candidates in the series (`size`) bounds its levels and tells
+    which nodes are empty.
     Inside a node the order decides who counts: candidates that end no earlier
     come before a covered primary, those that end no later before any other.
     """
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    level = F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("size") + 1)) - 1)).alias("level")
     node = F.expr("shiftright(upto, level)")
     even = F.col("node") % 2 == 0
     last, first = F.col("until"), F.col("at")
@@ -116,9 +118,10 @@ def range_nodes(held: DataFrame, asked: DataFrame, levels: int) -> DataFrame:
         *columns, F.when(even, -last).otherwise(last).alias("end"),
         # The latest start, then the earliest end; or the longest, then the earliest.
         F.when(even, F.struct(first.alias("x"), (-last).alias("y"), F.col("name").alias("z"))).otherwise(F.struct((last - first).alias("x"), (-first).alias("y"), F.col("name").alias("z"))).alias("value"))
-    wanted = asked.select("series_key", "side", "name", "at", "until", "covered", (F.col("upto") + F.col("covered").cast("int")).alias("upto"), level)
+    wanted = asked.select("series_key", "side", "name", "at", "until", "covered", "size", (F.col("upto") + F.col("covered").cast("int")).alias("upto"), level)
     wanted = (wanted.withColumn("node", node).where((F.col("node") % 2 == 1) == F.col("covered"))
-              .withColumn("node", F.when(F.col("covered"), F.col("node") - 1).otherwise(F.col("node") + 1)))
+              .withColumn("node", F.when(F.col("covered"), F.col("node") - 1).otherwise(F.col("node") + 1))
+              .where(F.expr("shiftleft(node, level)") <= F.col("size")))
     return kept.unionByName(wanted.select(*columns, F.when(F.col("covered"), -last).otherwise(last).alias("end")), allowMissingColumns=True)
 
 
@@ -126,8 +129,8 @@ def overlap_pairs(swept: DataFrame) -> DataFrame:
     """For each primary a few candidates, the best by overlap among them: (name, ps, pe, cs, ce, companion).
 
     `swept` holds candidates (side 0) and primaries (side 1) with what one sweep
-    by start tells: `upto` and `reach`, the latest end among the candidates that
-    start no later. Four kinds of candidates can be best, each an extreme that
+    by start tells: `upto`, the `size` of the series and `reach`, the latest end
+    among the candidates that start no later. Four kinds of candidates can be best, each an extreme that
     a running value finds: of those that start no later and end first, the one
     with the latest end (`reach`); of those that cover the primary, the latest
     start; of those inside, the longest; of those that start inside and end
@@ -137,18 +140,15 @@ def overlap_pairs(swept: DataFrame) -> DataFrame:
     """
     held = swept.where("side = 0 AND until > at")
     asked = swept.where("side = 1 AND until > at").withColumn("covered", F.coalesce(F.col("reach.ce") >= F.col("until"), F.lit(False)))
-    most = held.agg(F.max("upto")).first()[0]
     pair = lambda cs, ce, who: [F.col("name"), F.col("at").alias("ps"), F.col("until").alias("pe"), cs.alias("cs"), ce.alias("ce"), who.alias("companion")]
     before = asked.where("reach IS NOT NULL").select(*pair(F.col("reach.cs"), F.col("reach.ce"), F.col("reach.companion")))
-    if most is None:
-        return before
 
     ends = held.unionByName(asked, allowMissingColumns=True).withColumn("end", -F.col("until"))
     seq = arrange(ends, by=["series_key"], order=["end", "side", "name", "at"])
     seq = seq.accumulate(over=("max", F.when(F.col("side") == 0, F.struct((-F.col("at")).alias("x"), F.col("end").alias("y"), F.col("name").alias("z")))))
     after = seq.rows().where("side = 1 AND over IS NOT NULL").select(*pair(-F.col("over.x"), -F.col("over.y"), F.col("over.z")))
 
-    seq = arrange(range_nodes(held, asked, (most + 1).bit_length()), by=["series_key", "level", "node"], order=["end", "side", "name", "at"])
+    seq = arrange(range_nodes(held, asked), by=["series_key", "level", "node"], order=["end", "side", "name", "at"])
     seq = seq.accumulate(best=("max", F.col("value")))
     found = seq.rows().where("side = 1 AND best IS NOT NULL")
     # A covered primary asked even nodes.
@@ -184,19 +184,23 @@ def best_companions(primary: DataFrame, candidates: DataFrame) -> DataFrame:
         return (pairs.groupBy("name").agg(F.min(rank).alias("r"))
                 .select("name", F.col("r.companion").alias("companion"), (~F.col("r.inexact")).alias("exact"), (-F.col("r.lost") + 0.0).alias("overlap_seconds")))
 
+    # Nothing beats an exact range, so a file that has one needs no sweep.
+    same = (timed.withColumns({"cs": F.col("ps"), "ce": F.col("pe")}).join(ranged, ["series_key", "cs", "ce"])
+            .select("name", "ps", "pe", "cs", "ce", "companion"))
+    same = settle(best(same))
+    timed = timed.join(same.select("name"), "name", "left_anti")
+
     # One sweep by start: rank and reach for the overlaps, the starts beside a file for those without.
     both = (ranged.select("series_key", F.lit(0).alias("side"), F.col("companion").alias("name"), F.col("cs").alias("at"), F.col("ce").alias("until"))
             .unionByName(timed.select("series_key", F.lit(1).alias("side"), "name", F.col("ps").alias("at"), F.col("pe").alias("until"))).where("series_key IS NOT NULL"))
     lasting = (F.col("side") == 0) & (F.col("until") > F.col("at"))
     seq = arrange(both, by=["series_key"], order=["at", "side", "name", "until"], tallies={"lasting": lasting})
-    seq = seq.with_columns({"upto": seq.running("lasting")})
+    seq = seq.with_columns({"upto": seq.running("lasting"), "size": seq.total("lasting")})
     start = F.when(F.col("side") == 0, F.col("at"))
     seq = seq.accumulate(reach=("max", F.when(lasting, F.struct(F.col("until").alias("ce"), F.col("at").alias("cs"), F.col("name").alias("companion")))),
                          earlier=("last", start), later=("next", start))
     swept = settle(seq.rows())
-    same = (timed.withColumns({"cs": F.col("ps"), "ce": F.col("pe")}).join(ranged, ["series_key", "cs", "ce"])
-            .select("name", "ps", "pe", "cs", "ce", "companion"))
-    found = settle(best(same.unionByName(overlap_pairs(swept)).where(exact | (overlap > 0))))
+    found = settle(same.unionByName(best(overlap_pairs(swept).where(overlap > 0))))
 
     # No overlap: all candidates of the series tie, so the nearest start decides.
     gap = lambda c: F.abs(F.col(c) - F.col("at"))

@@ -11,7 +11,7 @@ from tidemark.plans.registry import PROFILE, READINGS, query, r9, readings, spre
 from tidemark.plans.row_queries import NAMES, export_names
 from tidemark.plans.sequence_queries import RUNS, window_sql
 from tidemark.plans.split_queries import GLOBAL, global_contiguous, reviewed
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, settle
 from tidemark.sources import datasets, exports
 
 W = "PARTITION BY source_file ORDER BY ts, row_id"
@@ -98,6 +98,8 @@ SELECT name, companion, exact, """ + r9("overlap_seconds", "overlap_seconds") +
 def best_companions(spark, sf):
     name = F.col("name")
     infos = export_names(spark, sf).select("name", device_family(name).alias("device"), series_key(name).alias("series_key"), name_time(name, 1).alias("start_time"), name_time(name, 2).alias("end_time"))
+    # Both sides and every step read the parsed names, so they are made from the events once.
+    infos = settle(infos.where(F.col("device").isin("ctd", "fluorometer")))
     pick = lambda d: infos.where(F.col("device") == d).drop("device")
     return asof.best_companions(pick("ctd"), pick("fluorometer"))
 
