@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.sources import exports
 
@@ -50,3 +51,18 @@ def test_files_without_breaks_pass_as_they_are(spark, tmp_path):
     (tmp_path / "b.csv").write_text('Time UTC,k\n2024-01-01T00:00:00Z,"never closed\nto the end\n')
     records = exports.csv_records(exports.export_lines(spark, str(tmp_path)))
     assert sorted(r["line"] for r in records.collect()) == ['2024-01-01T00:00:00Z,"1"', '2024-01-01T00:00:00Z,"never closed\nto the end', "Time UTC,k", "Time UTC,k"]
+
+
+def test_a_long_split_is_read_in_pieces(spark, tmp_path, monkeypatch):
+    """One file in one split: its lines are dealt over many tasks, and records and breaks stay those of one reader."""
+    write_quoted(tmp_path / "q.csv", 600, 3)
+    monkeypatch.setattr(exports, "_PIECE_BITS", 3, raising=False)
+    monkeypatch.setattr(exports, "_TASK_BYTES", 1_000, raising=False)
+    settled, settle = [], exports.settle
+    monkeypatch.setattr(exports, "settle", lambda df: settled.append(settle(df)) or settled[-1])
+    lines = exports.export_lines(spark, str(tmp_path))
+    assert lines.select("at.file", "at.split").distinct().count() == 1
+    got = [r["line"] for r in exports.csv_records(lines).orderBy("at").collect()]
+    assert list(csv.reader(got)) == list(csv.reader(io.StringIO((tmp_path / "q.csv").read_text(), newline="")))
+    dealt = next(df for df in settled if "__odd" in df.columns).groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).first()[0] < lines.count() / 4

@@ -20,6 +20,9 @@ from tidemark.session import scratch_path, settle
 
 # A quote inside a quoted field is doubled; a field may be of any length.
 _PARSING = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"', "maxCharsPerColumn": "-1"}
+# Lines that are put in order together, as a power of two, and bytes of lines in one task.
+_PIECE_BITS = 12
+_TASK_BYTES = 32 << 20
 _FIELD_BREAK = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
@@ -43,33 +46,42 @@ def csv_records(lines: DataFrame) -> DataFrame:
     """Lines as records: lines inside a quoted field are joined by a line feed; same columns.
 
     Whether a line stands inside quotes depends on all quotes before it in its
-    file. Each split is read for both cases at once, as if it began outside and
-    as if it began inside a quoted field: it gives its number of quotes and how
-    many records would begin in it either way. A prefix over the splits of a file
-    then tells which case holds and which record is open where a split begins.
+    file. Each piece of a few thousand lines is read for both cases at once, as
+    if it began outside and as if it began inside a quoted field: it gives its
+    number of quotes and how many records would begin in it either way. A prefix
+    over the pieces of a file then tells which case holds and which record is
+    open where a piece begins. Pieces are dealt over as many tasks as the lines
+    need, so that no task holds more of a larger table.
     Files without a line of odd quotes pass as they are, and of the others only
     the lines of broken records are grouped. A quote that is never closed takes
     the rest of its file into one record, as it does for any reader.
     """
     quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
-    counted = lines.withColumns({"__file": F.col("at.file"), "__split": F.col("at.split"), "__quotes": quotes})
-    broken = settle(counted.where(F.col("__quotes") % 2 == 1).select("__file").distinct())
-    if broken.isEmpty():
+    counted = lines.withColumns({"__file": F.col("at.file"), "__piece": F.struct(F.col("at.split").alias("split"), F.shiftright("at.n", _PIECE_BITS).alias("n")), "__quotes": quotes})
+    broken = settle(counted.groupBy("__file").agg(F.sum(F.octet_length("line")).alias("bytes"), F.max(F.col("__quotes") % 2).alias("odd")).where("odd = 1"))
+    total = broken.agg(F.sum("bytes")).first()[0]
+    if total is None:
         return lines
+    broken, tasks = broken.select("__file"), -(-total // _TASK_BYTES)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        # Below the session's own number of partitions the window's shuffle does it, and joins small ones.
+        return df if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(tasks, "__file", "__piece")
+
     whole = attach_small(counted, broken, ["__file"], "left_anti").select(*lines.columns)
-    inside = Window.partitionBy("__file", "__split").orderBy("at")
+    inside = Window.partitionBy("__file", "__piece").orderBy("at")
     before = F.coalesce(F.sum("__quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = settle(attach_small(counted, broken, ["__file"], "left_semi").withColumn("__odd", before % 2))
-    splits = local.groupBy("__file", "__split").agg(
+    local = settle(dealt(attach_small(counted, broken, ["__file"], "left_semi")).withColumn("__odd", before % 2))
+    pieces = local.groupBy("__file", "__piece").agg(
         F.sum("__quotes").alias("__all"), F.count_if(F.col("__odd") == 0).alias("__from_outside"), F.count_if(F.col("__odd") == 1).alias("__from_inside"))
-    earlier = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("__begins", F.coalesce(F.sum("__all").over(earlier) % 2, F.lit(0)))
-    splits = splits.withColumn("__records", F.when(F.col("__begins") == 0, F.col("__from_outside")).otherwise(F.col("__from_inside")))
-    splits = splits.withColumn("__open", F.last(F.when(F.col("__records") > 0, F.struct(F.col("__split").alias("split"), F.col("__records").alias("k"))), True).over(earlier))
-    placed = attach_small(local, settle(splits.select("__file", "__split", "__begins", "__open")), ["__file", "__split"])
+    earlier = Window.partitionBy("__file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("__begins", F.coalesce(F.sum("__all").over(earlier) % 2, F.lit(0)))
+    pieces = pieces.withColumn("__records", F.when(F.col("__begins") == 0, F.col("__from_outside")).otherwise(F.col("__from_inside")))
+    pieces = pieces.withColumn("__open", F.last(F.when(F.col("__records") > 0, F.struct(F.col("__piece").alias("piece"), F.col("__records").alias("k"))), True).over(earlier))
+    placed = dealt(attach_small(local, settle(pieces.select("__file", "__piece", "__begins", "__open")), ["__file", "__piece"]))
     starts, ends = (F.col("__odd") + F.col("__begins")) % 2 == 0, (F.col("__odd") + F.col("__begins") + F.col("__quotes")) % 2 == 0
     k = F.count_if(starts).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    record = F.when(k > 0, F.struct(F.col("__split").alias("split"), k.alias("k"))).otherwise(F.col("__open"))
+    record = F.when(k > 0, F.struct(F.col("__piece").alias("piece"), k.alias("k"))).otherwise(F.col("__open"))
     numbered = placed.withColumns({"__alone": starts & ends, "__record": record})
     parts = F.array_sort(F.collect_list(F.struct("at", "line")))
     joined = (numbered.where(~F.col("__alone")).groupBy("export", "__file", "__record").agg(parts.alias("__parts"))
