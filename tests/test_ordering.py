@@ -83,3 +83,10 @@ def test_bins_equal_bisection(spark, count):
     found = with_bin(rows, "bin", bounds, "struct<k0:bigint,k1:string>", F.struct(F.col("a").alias("k0"), F.col("b").alias("k1")))
     assert found.columns == ["a", "b", "id", "bin"]
     assert {r["id"]: r["bin"] for r in found.collect()} == {i: bisect.bisect_right(range(count), i) for i in range(700)}
+
+
+def test_many_chunks_are_found_by_compiled_comparisons(spark):
+    """Past 64 bounds too, no step of the layout is a function over an array, which Spark interprets row by row."""
+    seq = arrange(skewed(spark), by=["source"], order=["ts", "row_id"], chunk_rows=60)
+    assert len(seq._chunks.bounds) > 64
+    assert "lambda" not in seq.frame._jdf.queryExecution().toString()
