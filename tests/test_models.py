@@ -129,3 +129,30 @@ def test_node_table_scores_and_weighs_like_the_forest(spark, tabular):
     both = forest.score_nodes(model.predict(test), nodes, model.classes, inputs, column="by_nodes")
     assert both.count() > 0 and both.where("NOT prediction <=> by_nodes").count() == 0
     assert both.select("by_nodes").distinct().count() > 1
+
+
+def test_split_takes_positions_from_the_features_layout(small_chunks, monkeypatch):
+    """One layout for features and split, with the split that a layout of its own gives, over many chunks and null sources."""
+    from tidemark.operators import ordering
+    from tidemark.plans import model_queries
+
+    laid, cut = [], ordering._cut
+    monkeypatch.setattr(ordering, "_cut", lambda *a: (laid.append(cut(*a)), laid[-1])[1])
+    model_queries._tabular(small_chunks, "/root/testdata/sf0.001")
+    assert [chunks.count > 1 for chunks in laid] == [True]
+    rows = reviewed_target_frame(readings(small_chunks, "/root/testdata/sf0.001"), PROFILE)
+    rows = rows.withColumn("source_file", F.when(F.col("source_file") != "view", F.col("source_file")))
+    built, names = features.model_features(rows, PROFILE, lags=(1,), widths=(5,), place=("p", "n"))
+    assert not {"p", "n"} & set(names)
+    got = {r["row_id"]: (r["p"], r["n"]) for r in built.select("row_id", "p", "n").collect()}
+    line = {}
+    for r in sorted(rows.select("source_file", "ts", "row_id").collect(), key=lambda r: (r["ts"], r["row_id"])):
+        line.setdefault(r["source_file"], []).append(r["row_id"])
+    assert got == {k: (i, len(ids)) for ids in line.values() for i, k in enumerate(ids)}
+    for strategy in ("per_source_contiguous", "global_contiguous"):
+        built, _ = features.model_features(rows, PROFILE, lags=(1,), widths=(5,), place=("p", "n"), scope="global" if strategy[0] == "g" else "source")
+        here, anew = splits.split_by_strategy(built, PROFILE, strategy, placed=("p", "n")), splits.split_by_strategy(rows, PROFILE, strategy)
+        assert here.columns == [*built.drop("p", "n").columns, "split"]
+        assert sorted(here.select("row_id", "split").collect()) == sorted(anew.select("row_id", "split").collect())
+    with pytest.raises(ValueError):
+        splits.split_by_strategy(built, PROFILE, "episode_aware", placed=("p", "n"))

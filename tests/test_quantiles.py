@@ -73,3 +73,21 @@ def test_nothing_moves_by_value(spark, monkeypatch):
     df = spark.range(200_000).select(F.rand(3).alias("v"))
     quantiles.quantiles_of(df, {"v": (F.col("v"), [0.5, 0.99])})
     assert sum(moved) < 2_000  # brackets of 0.04 % of the rows each, not 200,000 values
+
+
+@pytest.mark.parametrize("kind", ["ties", "distinct", "skewed"])
+def test_a_sketch_of_a_part_gives_the_same(spark, monkeypatch, kind):
+    """The first sketch stands on about SKETCH_ROWS rows of a long series and on all of a short one; all rows are counted."""
+    monkeypatch.setattr(quantiles, "SKETCH_ROWS", 100)
+    monkeypatch.setattr(quantiles, "INSIDE_ROWS", 20)
+    values = numbers(kind, random.Random(2))
+    df = spark.createDataFrame([(v, v if i % 60 == 0 else None) for i, v in enumerate(values)], "v double, few double").repartition(5)
+    sketched, plain = [], quantiles._sketched
+    monkeypatch.setattr(quantiles, "_sketched", lambda frame, *a: (sketched.append(frame.count()), plain(frame, *a))[1])
+    got = quantiles.quantiles_of(df, {"v": (F.col("v"), FRACTIONS), "few": (F.col("few"), FRACTIONS)})
+    assert sketched == [len(values)]
+    for name, line in (("v", sorted(values)), ("few", sorted(values[::60]))):
+        for q, x in zip(FRACTIONS, got[name]):
+            at = (len(line) - 1) * q
+            low = math.floor(at)
+            assert x == (line[low] if at == low else line[low] * (1.0 - (at - low)) + line[low + 1] * (at - low))
