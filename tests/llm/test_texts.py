@@ -237,6 +237,68 @@ def test_every_window_is_trained_on_once_a_pass(spark, monkeypatch, stride):
     assert classes.made[0].column(2)[0].as_py() == sum(sizes)
 
 
+def test_windows_reach_the_step_as_bytes(monkeypatch):
+    """A batch of windows is held at one byte a class, not eight."""
+    sent = []
+    monkeypatch.setattr(lm.Network, "step", lambda self, tokens, contexts, squares, rate: sent.append((tokens, contexts)))
+    lm.train(None, [], passes=((8, 0.01),), classes=OneTask([bytes(range(255)) * 20, None, b""]))
+    assert [len(tokens) for tokens, _ in sent] == [lm.BATCH, lm.BATCH, 255 * 20 - 2 * lm.BATCH]
+    assert all(tokens.itemsize == contexts.itemsize == 1 for tokens, contexts in sent)
+
+
+@pytest.mark.parametrize("scale", [1, 60])
+def test_step_equals_plain_sums(scale):
+    """One step's gradient, from loops over the windows in double precision; with large weights scores are shifted."""
+    rng = np.random.default_rng(2)
+    net = lm.Network.first()
+    net.group *= scale
+    net.member *= scale
+    net.group_bias += rng.normal(0, 0.1, lm.GROUPS).astype(np.float32)
+    net.mix_bias += rng.normal(0, 0.1, lm.HIDDEN).astype(np.float32)
+    tokens, around = rng.integers(0, 60, 90).astype(np.uint8), rng.integers(0, lm.VOCABULARY, (90, 4)).astype(np.uint8)
+    before = [p.astype(np.float64) for p in net.parts()]
+    embed, mix, mix_bias, group, group_bias, member, member_bias = before
+    want = [np.zeros_like(p) for p in before]
+
+    def slope(scores, at):
+        e = np.exp(scores - scores.max())
+        return e / e.sum() - (np.arange(len(scores)) == at)
+
+    for token, near in zip(tokens.tolist(), around.tolist()):
+        g, m = divmod(token, lm.MEMBERS)
+        hidden = np.tanh(sum(embed[c] @ mix[p] for p, c in enumerate(near)) + mix_bias)
+        by_group, by_member = slope(hidden @ group + group_bias, g) / 90, slope(hidden @ member[g] + member_bias[g], m) / 90
+        back = (group @ by_group + member[g] @ by_member) * (1 - hidden**2)
+        for p, c in enumerate(near):
+            want[0][c] += mix[p] @ back
+            want[1][p] += np.outer(embed[c], back)
+        want[2] += back
+        want[3] += np.outer(hidden, by_group)
+        want[4] += by_group
+        want[5][g] += np.outer(hidden, by_member)
+        want[6][g] += by_member
+    squares = [np.full_like(p, 1e4) for p in net.parts()]
+    net.step(tokens, around, squares, 0.01)
+    for square, gradient, old, new in zip(squares, want, before, net.parts()):
+        assert np.abs((old - new) * np.sqrt(square) / 0.01 - gradient).max() < 2e-2 and np.isfinite(new).all()
+    plain = [np.full_like(p, 1e-30) for p in lm.Network.first().parts()]
+    other = lm.Network(*[p.astype(np.float32) for p in before])
+    other.step(tokens, around, plain, 0.0)
+    for square, gradient in zip(plain, want):
+        assert np.allclose(np.sqrt(square / 0.02), np.abs(gradient), rtol=2e-3, atol=2e-6 * scale)
+
+
+def test_tanh_by_exponentials():
+    x = np.concatenate([np.linspace(-12, 12, 10_001), [-1e4, -90, -45, 0, 45, 90, 1e4]]).astype(np.float32)
+    assert np.abs(lm._tanh(x.copy()) - np.tanh(x.astype(np.float64))).max() < 3e-7
+
+
+@pytest.mark.parametrize("stride", [1, 3, 8])
+def test_window_order_goes_phase_by_phase(stride):
+    for size in (0, 1, 2, 7, 8, 9, 100):
+        assert lm.window_order(size, stride).tolist() == [k for phase in range(stride) for k in range(phase, size, stride)]
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(0)
     net = lm.Network.first()

@@ -240,21 +240,14 @@ class Network:
         for p in range(1, len(OFFSETS)):
             total += tables[p].take(contexts[:, p], 0)
         total += self.mix_bias
-        total = np.ascontiguousarray(total.T)
-        return np.tanh(total, out=total)
+        return _tanh(np.ascontiguousarray(total.T))
 
-    def _by_group(self, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-        """An order that puts the tokens of a group together, and where each group stands in it."""
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=GROUPS))
-        return order, [(g, slice(a, b)) for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends)) if b > a]
-
-    def _member_scores(self, hidden: np.ndarray, spans: list[tuple[int, slice]]) -> np.ndarray:
-        scores = np.empty((MEMBERS, hidden.shape[1]), hidden.dtype)
-        for g, at in spans:
-            np.matmul(self.member[g].T, hidden[:, at], out=scores[:, at])
-            scores[:, at] += self.member_bias[g][:, None]
-        return scores
+    def _weights(self) -> np.ndarray:
+        """Per group, what gives a token's scores of all groups and then of the group's classes; the last row is the biases."""
+        weights = np.empty((GROUPS, HIDDEN + 1, GROUPS + MEMBERS), self.group.dtype)
+        weights[:, :HIDDEN, :GROUPS], weights[:, HIDDEN, :GROUPS] = self.group, self.group_bias
+        weights[:, :HIDDEN, GROUPS:], weights[:, HIDDEN, GROUPS:] = self.member, self.member_bias
+        return weights
 
     def log_probabilities(self, tokens: np.ndarray, contexts: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Of each token's class: log P(group) + log P(class of the group).
@@ -262,42 +255,82 @@ class Network:
         Products are taken in double precision, whose last digits alone depend on
         the tokens beside a token, and rounded: a token's value is its own.
         """
-        hidden = self.hidden(contexts, tables).astype(np.float64)
-        group, place = np.divmod(tokens, MEMBERS)
-        found = _log_softmax_at((self.group.T @ hidden + self.group_bias[:, None]).astype(np.float32), group)
-        order, spans = self._by_group(group)  # tokens of one group share one product
-        found[order] += _log_softmax_at(self._member_scores(hidden[:, order], spans).astype(np.float32), place[order])
+        found, weights = np.empty(len(tokens)), self._weights().astype(np.float64)
+        turned = np.ascontiguousarray(weights[:, :HIDDEN].transpose(0, 2, 1))
+        for first in range(0, len(tokens), BATCH):
+            part = slice(first, first + BATCH)
+            order, said, spans = _by_group(tokens[part])
+            hidden = self.hidden(contexts[part].take(order, 0), tables).astype(np.float64)
+            products = np.empty((GROUPS + MEMBERS, len(said)))
+            for g, at in spans:  # tokens of one group share one product
+                np.matmul(turned[g], hidden[:, at], out=products[:, at])
+                products[:, at] += weights[g, HIDDEN][:, None]
+            scores = products.astype(np.float32)
+            found[first + order] = _log_softmax_at(scores[:GROUPS], said // MEMBERS) + _log_softmax_at(scores[GROUPS:], said % MEMBERS)
         return found
 
     def step(self, tokens: np.ndarray, contexts: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
         """One batch of gradient descent, scaled by running squares of the gradients."""
         n, f = len(tokens), np.float32
-        group, place = np.divmod(tokens, MEMBERS)
-        order, spans = self._by_group(group)
-        group, place, contexts = group[order], place[order], contexts[order]
-        hidden = self.hidden(contexts, self.tables())
-        slope = _softmax_slope(self.group.T @ hidden + self.group_bias[:, None], group) / f(n)
-        inner = _softmax_slope(self._member_scores(hidden, spans), place) / f(n)
-        toward = self.group @ slope
-        member, member_bias = np.zeros_like(self.member), np.zeros_like(self.member_bias)
+        order, said, spans = _by_group(tokens)
+        near = contexts.take(order, 0).T + np.arange(len(OFFSETS))[:, None] * VOCABULARY  # places in the tables, one row a position
+        tables = self.tables()
+        tables[0] += self.mix_bias
+        tables = tables.reshape(-1, HIDDEN)
+        total = tables.take(near[0], 0)
+        for at in near[1:]:
+            total += tables.take(at, 0)
+        hidden = np.ones((n, HIDDEN + 1), f)  # the last column meets the biases
+        hidden[:, :HIDDEN] = _tanh(total)
+        weights = self._weights()
+        slope = np.empty((n, GROUPS + MEMBERS), f)
         for g, at in spans:
-            member[g], member_bias[g] = hidden[:, at] @ inner[:, at].T, inner[:, at].sum(1)
-            toward[:, at] += self.member[g] @ inner[:, at]
-        back = toward * (1 - hidden * hidden)
-        embed, mix = np.zeros_like(self.embed), np.zeros_like(self.mix)
+            np.matmul(hidden[at], weights[g], out=slope[at])
+        _softmax_slope(slope.reshape(2 * n, GROUPS), np.stack([said // MEMBERS, said % MEMBERS], 1).ravel(), n, np.abs(weights).sum(1).max())
+        toward, moved = np.empty((n, HIDDEN), f), np.zeros_like(weights)
+        for g, at in spans:
+            np.matmul(hidden[at].T, slope[at], out=moved[g])
+            np.matmul(slope[at], weights[g, :HIDDEN].T, out=toward[at])
+        total *= total
+        np.subtract(f(1), total, out=total)
+        toward *= total
         # What reaches the hidden layer from each token at each position, summed by token.
-        key = (contexts + np.arange(len(OFFSETS)) * VOCABULARY).T.ravel()
-        by_token = np.stack([np.bincount(key, np.tile(unit, len(OFFSETS)), minlength=len(OFFSETS) * VOCABULARY) for unit in back.astype(np.float64)], 1).astype(f)
-        for p, reached in enumerate(by_token.reshape(len(OFFSETS), VOCABULARY, HIDDEN)):
-            embed += reached @ self.mix[p].T
-            mix[p] = self.embed.T @ reached
-        gradients = [embed, mix, back.sum(1), hidden @ slope.T, slope.sum(1), member, member_bias]
+        near, reached = near.ravel(), np.empty((HIDDEN, len(OFFSETS) * VOCABULARY), f)
+        each = np.empty((len(OFFSETS), n))
+        for k, unit in enumerate(np.ascontiguousarray(toward.T)):
+            each[:] = unit
+            reached[k] = np.bincount(near, each.ravel(), minlength=reached.shape[1])
+        by_token = reached.reshape(HIDDEN * len(OFFSETS), VOCABULARY)
+        embed = by_token.T @ self.mix.transpose(2, 0, 1).reshape(-1, EMBED)
+        mix = (by_token @ self.embed).reshape(HIDDEN, len(OFFSETS), EMBED).transpose(1, 2, 0)
+        groups = moved[:, :, :GROUPS].sum(0)
+        gradients = [embed, mix, reached[:, :VOCABULARY].sum(1), groups[:HIDDEN], groups[HIDDEN], moved[:, :HIDDEN, GROUPS:], moved[:, HIDDEN, GROUPS:]]
         for weight, gradient, square in zip(self.parts(), gradients, squares):
             square *= f(0.98)
             square += f(0.02) * gradient * gradient
             weight -= f(rate) * gradient / (np.sqrt(square) + f(1e-4))
 
 
+def _by_group(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """An order that puts the tokens of a group together, the tokens in it, and where each group stands."""
+    tokens = tokens.astype(np.uint8)
+    order = np.argsort(tokens, kind="stable")
+    said = tokens.take(order)
+    ends = np.searchsorted(said, np.arange(0, VOCABULARY, MEMBERS, dtype=np.uint8)).tolist() + [len(said)]
+    return order, said, [(g, slice(a, b)) for g, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place, 1 - 2 / (exp(2 x) + 1): half the time of the library's."""
+    x += x
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += x.dtype.type(1)
+    np.divide(x.dtype.type(-2), x, out=x)
+    x += x.dtype.type(1)
+    return x
+
+
 def _log_softmax_at(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Log softmax down the columns, at one row of each."""
     scores -= scores.max(0)
@@ -309,24 +342,27 @@ def _log_softmax_at(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return own - np.log(total)
 
 
-def _softmax_slope(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Derivative of the negative log likelihood by the scores."""
-    scores -= scores.max(0)
+def _softmax_slope(scores: np.ndarray, chosen: np.ndarray, n: int, bound: float) -> None:
+    """In place, the derivative of the negative log likelihood by the scores of each row, over n; no score is beyond `bound`."""
+    if not bound < 40:  # exponentials of smaller ones are far from the ends of single precision
+        scores -= scores.max(1, keepdims=True)
     np.exp(scores, out=scores)
-    scores /= scores.sum(0)
-    scores[chosen, np.arange(len(chosen))] -= 1.0
-    return scores
+    scores /= scores @ np.full((scores.shape[1],) * 2, n, scores.dtype)
+    scores.ravel()[np.arange(0, scores.size, scores.shape[1]) + chosen] -= scores.dtype.type(1 / n)
 
 
 def contexts_of(ids: np.ndarray) -> np.ndarray:
     """The tokens around each token; outside the text stands the edge."""
-    framed = np.concatenate([np.full(SIDE, EDGE), ids, np.full(SIDE, EDGE)])
+    edge = np.full(SIDE, EDGE, ids.dtype)
+    framed = np.concatenate([edge, ids, edge])
     return np.stack([framed[SIDE + o:SIDE + o + len(ids)] for o in OFFSETS], 1)
 
 
 def window_order(size: int, stride: int) -> np.ndarray:
     """All positions of a text, `stride` apart, one phase after the other: a batch of a long text is not of one passage."""
-    return np.concatenate([np.arange(phase, size, stride) for phase in range(min(size, stride))]) if stride > 1 and size else np.arange(size)
+    rows = -(-size // stride)
+    order = np.arange(rows * stride).reshape(rows, stride).T.ravel()
+    return order[order < size]
 
 
 def train(documents: DataFrame, words: list[str], *, passes: tuple[tuple[int, float], ...] = PASSES, classes: DataFrame | None = None) -> Network:
@@ -341,24 +377,23 @@ def train(documents: DataFrame, words: list[str], *, passes: tuple[tuple[int, fl
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, windows = Network.from_flat(start), 0
             squares = [np.full_like(p, 1e-4) for p in own.parts()]
-            tokens, contexts, waiting = [], [], 0
-            edges, near = np.full(SIDE, EDGE), SIDE + np.array((0, *OFFSETS))
+            held, waiting = [], 0  # rows of a token and those around it
+            edge, near = bytes([EDGE]) * SIDE, SIDE + np.array((0, *OFFSETS))
             for batch in batches:
                 for said in batch.column(0).to_pylist():
-                    framed = np.concatenate([edges, np.frombuffer(said or b"", np.uint8), edges]).astype(np.int64)
+                    framed = np.frombuffer(edge + (said or b"") + edge, np.uint8)
                     order = window_order(len(framed) - 2 * SIDE, stride)
                     for first in range(0, len(order), BATCH):  # a long text's windows are not held at once
-                        ids = framed[order[first:first + BATCH, None] + near]
-                        tokens.append(ids[:, 0])
-                        contexts.append(ids[:, 1:])
-                        waiting += len(ids)
+                        held.append(framed.take(order[first:first + BATCH, None] + near))
+                        waiting += len(held[-1])
                         if waiting >= BATCH:  # under two batches
-                            all_tokens, all_contexts = np.concatenate(tokens), np.concatenate(contexts)
-                            own.step(all_tokens[:BATCH], all_contexts[:BATCH], squares, rate)
-                            tokens, contexts, waiting = [all_tokens[BATCH:]], [all_contexts[BATCH:]], waiting - BATCH
+                            ids = np.concatenate(held)
+                            own.step(ids[:BATCH, 0], ids[:BATCH, 1:], squares, rate)
+                            held, waiting = [ids[BATCH:]], waiting - BATCH
                             windows += BATCH
             if waiting:
-                own.step(np.concatenate(tokens), np.concatenate(contexts), squares, rate * waiting / BATCH)
+                ids = np.concatenate(held)
+                own.step(ids[:, 0], ids[:, 1:], squares, rate * waiting / BATCH)
                 windows += waiting
             if windows:
                 values = own.flat().astype(np.float64)
@@ -426,7 +461,7 @@ def score(documents: DataFrame, words: list[str], network: Network, counted: Dat
                 np.add.at(sums, owners, np.add.reduceat(found, np.cumsum([0, *map(len, tokens[:-1])])))
 
             for k, said in enumerate(batch.column(3).to_pylist()):
-                part = np.frombuffer(said, np.uint8).astype(np.int64)
+                part = np.frombuffer(said, np.uint8)
                 around = contexts_of(part)
                 for first in range(0, len(part), SCORED_TOKENS):
                     tokens.append(part[first:first + SCORED_TOKENS])
