@@ -50,6 +50,8 @@ SCORED_TOKENS = 16_384
 #: Words besides the classes of their own whose shares every task holds.
 KNOWN = 50_000
 _ENDS = string.punctuation + "…“”„«»¿¡’‘–—"
+#: Exponentials of scores under it are far from the ends of single precision.
+SMALL = 40
 #: (stride, rate) of each pass over the corpus; the stride orders a text's windows, all are taken.
 PASSES = ((8, 0.03), (3, 0.015))
 
@@ -255,18 +257,18 @@ class Network:
         Products are taken in double precision, whose last digits alone depend on
         the tokens beside a token, and rounded: a token's value is its own.
         """
-        found, weights = np.empty(len(tokens)), self._weights().astype(np.float64)
-        turned = np.ascontiguousarray(weights[:, :HIDDEN].transpose(0, 2, 1))
+        found, weights = np.empty(len(tokens)), self._weights()
+        bound = np.abs(weights).sum(1).max()
+        turned = np.ascontiguousarray(weights.transpose(0, 2, 1), np.float64)
         for first in range(0, len(tokens), BATCH):
             part = slice(first, first + BATCH)
             order, said, spans = _by_group(tokens[part])
-            hidden = self.hidden(contexts[part].take(order, 0), tables).astype(np.float64)
+            hidden = np.ones((HIDDEN + 1, len(said)))  # the last row meets the biases
+            hidden[:HIDDEN] = self.hidden(contexts[part].take(order, 0), tables)
             products = np.empty((GROUPS + MEMBERS, len(said)))
             for g, at in spans:  # tokens of one group share one product
                 np.matmul(turned[g], hidden[:, at], out=products[:, at])
-                products[:, at] += weights[g, HIDDEN][:, None]
-            scores = products.astype(np.float32)
-            found[first + order] = _log_softmax_at(scores[:GROUPS], said // MEMBERS) + _log_softmax_at(scores[GROUPS:], said % MEMBERS)
+            found[first + order] = _log_softmax_at(products.astype(np.float32).reshape(2, GROUPS, -1), np.stack([said // MEMBERS, said % MEMBERS]), bound).sum(0)
         return found
 
     def step(self, tokens: np.ndarray, contexts: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
@@ -331,20 +333,21 @@ def _tanh(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _log_softmax_at(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log softmax down the columns, at one row of each."""
-    scores -= scores.max(0)
-    own = scores[chosen, np.arange(len(chosen))].astype(np.float64)
+def _log_softmax_at(scores: np.ndarray, chosen: np.ndarray, bound: float) -> np.ndarray:
+    """Log softmax along the second axis, at one place of each; no score is beyond `bound`."""
+    if not bound < SMALL:
+        scores -= scores.max(1, keepdims=True)
+    own = np.take_along_axis(scores, chosen[:, None].astype(np.intp), 1)[:, 0].astype(np.float64)
     np.exp(scores, out=scores)
-    total = scores[0].astype(np.float64)
-    for row in scores[1:]:  # in one order, however many columns there are
-        total += row
+    total = scores[:, 0].astype(np.float64)
+    for k in range(1, scores.shape[1]):  # in one order, however many columns there are
+        total += scores[:, k]
     return own - np.log(total)
 
 
 def _softmax_slope(scores: np.ndarray, chosen: np.ndarray, n: int, bound: float) -> None:
     """In place, the derivative of the negative log likelihood by the scores of each row, over n; no score is beyond `bound`."""
-    if not bound < 40:  # exponentials of smaller ones are far from the ends of single precision
+    if not bound < SMALL:
         scores -= scores.max(1, keepdims=True)
     np.exp(scores, out=scores)
     scores /= scores @ np.full((scores.shape[1],) * 2, n, scores.dtype)
